@@ -16,6 +16,7 @@ per-document state is written between steps.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +66,7 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, vocabulary
     gain = sum((F.col(f"n{i}") * F.abs(x - mean) for i, x in enumerate(logs)), F.lit(0.0))
     model = wide.where(seen >= 5).select("word", F.array(*[(x - mean) for x in logs] or [F.lit(0.0)]).alias("logs"), gain.alias("gain"))
     best = model.orderBy(F.desc("gain"), "word").limit(vocabulary).select("word", "logs")
-    priors = [float(math.log(sizes[d] / total)) for d in domains]
+    priors = [math.log(sizes[d] / total) for d in domains]
     return domains, priors, materialise(best, "mix-model")
 
 
@@ -109,24 +110,26 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [a[i][n] / a[i][i] for i in range(n)]
 
 
-def _rate(steps: list[list[float]], most: float | None) -> str:
-    """SQL of a document's rate after all steps: each projects onto 0 <= r (<= most)."""
+def _rate(steps: list[list[float]], most: float | None, least: float) -> str:
+    """SQL of a document's rate after all steps: each projects onto least <= r (<= most)."""
     if not steps:
         return "1D"
     moves = "array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in s) + ")" for s in steps) + ")"
     dot = "aggregate(zip_with(p, s, (x, y) -> x * y), 0D, (a, b) -> a + b)"
-    inner = f"greatest(0D, r - {dot})" if most is None else f"least({most!r}D, greatest(0D, r - {dot}))"
+    inner = f"greatest({least!r}D, r - {dot})"
+    if most is not None:
+        inner = f"least({most!r}D, {inner})"
     return f"aggregate({moves}, 1D, (r, s) -> {inner})"
 
 
 def fit_rates(
-    memberships: DataFrame, targets: list[float], rounds: int = 40, tolerance: float = 1e-6, most: float | None = None
+    memberships: DataFrame, targets: list[float], rounds: int = 40, tolerance: float = 1e-6, most: float | None = None, least: float = 0.0
 ) -> tuple[DataFrame, list[float]]:
     """``memberships`` (tokens, p) with rate, and the relative residual of each domain.
 
     ``targets`` are token totals by position in p.  Steps end when every residual is
     within ``tolerance`` of the total target, or after ``rounds``.  An unreachable target
-    (a domain that no document belongs to) leaves its residual.  ``most`` bounds rates above.
+    (a domain that no document belongs to) leaves its residual.  ``most`` bounds rates above, ``least`` (0 or more) below.
     """
     k = len(targets)
     total = sum(targets) or 1.0
@@ -136,7 +139,7 @@ def fit_rates(
     matrix = [[float(gram[f"g{min(i, j)}_{max(i, j)}"]) for j in range(k)] for i in range(k)]
     steps: list[list[float]] = []
     while True:
-        rated = memberships.withColumn("rate", F.expr(_rate(steps, most)))
+        rated = memberships.withColumn("rate", F.expr(_rate(steps, most, least)))
         sums = rated.agg(*[F.coalesce(F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
         residual = [float(sums[f"t{i}"]) - targets[i] for i in range(k)]
         if max((abs(x) / total for x in residual), default=0.0) <= tolerance or len(steps) >= rounds:
@@ -152,12 +155,15 @@ def mix_rates(
     sample: int = SAMPLE,
     vocabulary: int = VOCABULARY,
     most: float | None = None,
+    least: float = 0.0,
+    totals: Callable[[dict[str, float]], dict[str, float]] | None = None,
 ) -> DataFrame:
     """One row a document: doc_id, text_hash, tokens, domains, p, rate and copies.
 
     ``weights`` are target shares of tokens by domain (all alike if None; scaled to sum
     to 1; a domain left out gets 0).  ``budget`` is the total of expected tokens, by
-    default that of the corpus.  ``copies`` rounds the rate at random by a hash of
+    default that of the corpus.  ``totals`` replaces both: it makes the target token totals from
+    the expected ones of the corpus.  ``copies`` rounds the rate at random by a hash of
     doc_id and text, so its mean is the rate.  Documents without tokens have rate 1 and
     the priors.  Rows equal in doc_id and text count together and share one result row.
     Without domains, all rates are 1.
@@ -165,10 +171,14 @@ def mix_rates(
     domains, priors, model = train(docs, labelled, sample, vocabulary)
     names = domains or ["all"]
     member = materialise(posteriors(docs, names, priors if domains else [0.0], model if domains else model.limit(0)), "mix-members")
-    have = float(member.agg(F.sum("tokens")).first()[0] or 0)
-    shares = [1.0 if weights is None or not domains else float(weights.get(d, 0.0)) for d in names]
-    scale = sum(shares) or 1.0
-    rated, _ = fit_rates(member, [(budget or have) * s / scale for s in shares], most=most)
+    held = member.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("p")[i]), F.lit(0.0)) for i in range(len(names))]).first()
+    have = {d: float(x) for d, x in zip(names, held)}
+    if totals is not None:
+        wanted = totals(have)
+    else:
+        shares = {d: 1.0 if weights is None or not domains else float(weights.get(d, 0.0)) for d in names}
+        wanted = {d: (budget or sum(have.values())) * s / (sum(shares.values()) or 1.0) for d, s in shares.items()}
+    rated, _ = fit_rates(member, [float(wanted.get(d, 0.0)) for d in names], most=most, least=least)
     empty = docs.where("NOT coalesce(text, '') rlike '[^ \\t\\n\\x0B\\f\\r]'").select("doc_id", F.hash("text").alias("text_hash")).distinct()
     total = sum(math.exp(x) for x in priors) or 1.0
     prior = F.array(*[F.lit(math.exp(x) / total) for x in priors] or [F.lit(1.0)])
@@ -178,3 +188,11 @@ def mix_rates(
     return both.select(
         "doc_id", "text_hash", "tokens", F.array(*[F.lit(d) for d in names]).alias("domains"), "p", "rate", F.floor(F.col("rate") + spread).cast("int").alias("copies")
     )
+
+
+def mixed(docs: DataFrame, rates: DataFrame) -> DataFrame:
+    """``docs`` with every row as many times as its ``copies`` in ``rates`` (of mix_rates) say."""
+    held = rates.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), "copies").where("copies > 0")
+    body = docs.withColumn("__h", F.hash("text"))
+    joined = body.join(held, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")))
+    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)

@@ -150,11 +150,13 @@ def fit(
     sparsity: float = 2e-4,
     rounds: int = 150,
     evidence: float = 15.0,
+    threshold: float = 0.7,
 ) -> Model:
     """Fit by accelerated proximal gradient (deterministic).
 
     Only slots whose likelihood-ratio statistic with the label reaches ``evidence`` take
-    part (all of them if none does).  Classes weigh alike.  Without texts of both labels the model gives one score, the
+    part (all of them if none does).  Classes weigh alike.  The intercept is set so that
+    the best cut on the fitted texts falls on ``threshold``.  Without texts of both labels the model gives one score, the
     share of label 1, to all texts (0 without texts).
     """
     y = np.array(labels, float)
@@ -224,7 +226,15 @@ def fit(
         v, b, t = new, new_b, t2
     weights = np.zeros(1 << HASH_BITS)
     weights[used] = v * scale
-    return Model(weights, b)
+    # put the cut that parts the labels best (the middle of its plateau) at the threshold
+    z = product(v * scale, slot, row) + b
+    order = np.argsort(z, kind="stable")
+    gain = np.concatenate([[0.0], np.cumsum(np.where(y[order] > 0, -1 / y.sum(), 1 / (n - y.sum())))])
+    zs = np.concatenate([[z.min() - 1], z[order], [z.max() + 1]])
+    gain[1:-1][zs[1:-2] == zs[2:-1]] = -np.inf  # no cut between equal scores
+    best = int(np.argmax(gain))
+    cut = (zs[best] + zs[best + 1]) / 2
+    return Model(weights, float(b + np.log(threshold / (1 - threshold)) - cut))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: dict[int, int] | None = None) -> tuple[list, list]:
