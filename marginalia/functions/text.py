@@ -198,8 +198,13 @@ def hash_embedding(text: Column, dims: int = 8) -> Column:
     )
     start = F.array_repeat(F.lit(0.0), dims)
     total = F.aggregate(at, start, lambda acc, x: F.transform(acc, lambda v, i: F.when(i == x["i"], v + x["v"]).otherwise(v)))
-    norm = F.sqrt(F.aggregate(total, F.lit(0.0), lambda a, v: a + v * v))
-    return F.transform(total, lambda v: F.when(norm > 0, v / norm).otherwise(F.lit(0.0)))
+
+    def unit(sums: Column) -> Column:
+        norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, v: a + v * v))
+        return F.transform(sums, lambda v: F.when(norm > 0, v / norm).otherwise(F.lit(0.0)))
+
+    # the array around the sums is a binding: they are computed once
+    return F.transform(F.array(total), unit)[0]
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -207,9 +212,13 @@ def cosine(a: Column, b: Column) -> Column:
     def dot(x: Column, y: Column) -> Column:
         return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    value = F.when(norms == 0, F.lit(0.0)).otherwise(dot(a, b) / F.nullif(norms, F.lit(0.0)))
-    return F.when(F.size(a) == F.size(b), value).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
+    def value(x: Column, y: Column) -> Column:
+        norms = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
+        angle = F.when(norms == 0, F.lit(0.0)).otherwise(dot(x, y) / F.nullif(norms, F.lit(0.0)))
+        return F.when(F.size(x) == F.size(y), angle).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
+
+    # the struct is a binding: each vector is computed once
+    return F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda p: value(p["a"], p["b"]))[0]
 
 
 def idf(n: Column, df: Column) -> Column:
