@@ -142,6 +142,9 @@ def lzw_decode(stream: bytes, least: int, count: int) -> np.ndarray:
             plain = (grid[:, 0] == clear) & (grid[:, 1:] < clear).all(axis=1)
             good = runs if plain.all() else int(np.argmin(plain))
             good = min(good, count // _RUN)
+            # the table starts anew only if a clear code or the end follows the last run
+            if good and int(unpack(np.array([good * stride]), np.array([9]))[0]) not in (clear, stop):
+                good -= 1
             out.append(grid[:good, 1:].astype(np.uint8).ravel())
             made, at = good * _RUN, good * stride
     width = np.diff(ends)
