@@ -8,7 +8,8 @@
 
 The gradient of a document depends on the others through the residual alone, one number
 for each domain, so a step is one narrow aggregation.  The steps are scaled by token
-counts, document by document, and by the inverse of the domains' joint token matrix.
+counts, document by document, and by the inverse of the domains' joint token matrix, in
+which documents at a bound count less.
 Rates follow from the residuals of all steps, which are kept as small literals, so no
 per-document state is written between steps.
 """
@@ -33,6 +34,10 @@ VOCABULARY = 4096
 MAX_DOMAINS = 64
 
 
+#: Weight in the joint token matrix of a document whose rate is at a bound.
+HELD = 0.1
+
+
 def _words(text: str) -> str:
     return f"split(lower({text}), '[ \\\\t\\\\n\\\\x0B\\\\f\\\\r]+')"
 
@@ -133,17 +138,21 @@ def fit_rates(
     """
     k = len(targets)
     total = sum(targets) or 1.0
-    gram = memberships.agg(
-        *[F.coalesce(F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
-    ).first()
-    matrix = [[float(gram[f"g{min(i, j)}_{max(i, j)}"]) for j in range(k)] for i in range(k)]
     steps: list[list[float]] = []
     while True:
         rated = memberships.withColumn("rate", F.expr(_rate(steps, most, least)))
-        sums = rated.agg(*[F.coalesce(F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(k)]).first()
+        # documents at a bound hardly follow a step and count less; they keep the matrix regular
+        free = F.col("rate") > least if most is None else (F.col("rate") > least) & (F.col("rate") < most)
+        free = free | F.lit(not steps)
+        moved = F.when(free, F.col("tokens")).otherwise(F.col("tokens") * HELD)
+        sums = rated.agg(
+            *[F.coalesce(F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(k)],
+            *[F.coalesce(F.sum(moved * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)],
+        ).first()
         residual = [float(sums[f"t{i}"]) - targets[i] for i in range(k)]
         if max((abs(x) / total for x in residual), default=0.0) <= tolerance or len(steps) >= rounds:
             return rated, [x / total for x in residual]
+        matrix = [[float(sums[f"g{min(i, j)}_{max(i, j)}"]) for j in range(k)] for i in range(k)]
         steps.append(_solve(matrix, residual))
 
 
