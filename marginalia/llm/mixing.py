@@ -136,6 +136,7 @@ def fit_rates(
     within ``tolerance`` of the total target, or after ``rounds``.  An unreachable target
     (a domain that no document belongs to) leaves its residual.  ``most`` bounds rates above, ``least`` (0 or more) below.
     """
+    targets = [float(t) for t in targets]
     k = len(targets)
     total = sum(targets) or 1.0
     steps: list[list[float]] = []

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialise, parallelism, small_batches
@@ -290,8 +290,8 @@ def repeated_spans(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROW
     text share one result row, made as if each was a text of its own.
     """
     small_batches(docs.sparkSession)
-    k = max(size // 4, 1)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_hash"), F.col("text").alias("body"))
+    k = max(size // 8, 1)
+    rows = _keyed(docs)
     long_enough = rows.where(F.octet_length("body") >= size)
     found = materialise(long_enough.mapInArrow(_anchor_rows(size, k), _ANCHORS), "repeat-anchors")
     # one row of each context; equal rows are summed before they are dealt out
@@ -306,9 +306,10 @@ def repeated_spans(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROW
     )
     # anchors with several contexts: bytes of one row of each
     several = contexts.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1")
-    picked = contexts.join(several, "anchor").select("anchor", "many", "row.*")
-    text = rows.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "body")
-    cut = picked.join(text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).select(
+    picked = contexts.join(several, "anchor").select(
+        "anchor", "many", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("t"), "row.start", "row.shape"
+    )
+    cut = rows.join(picked, _same()).select(
         "doc_id",
         "text_hash",
         "anchor",
@@ -332,6 +333,15 @@ def repeated_spans(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROW
     return spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
+def _keyed(docs: DataFrame, *rest: str) -> DataFrame:
+    """The texts with the key that joins go by; made alike everywhere, so that Spark deals them out once."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_hash"), F.col("text").alias("body"), *rest)
+
+
+def _same() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
+
+
 def _merge(spans: list[dict]) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted((s["start"], s["end"]) for s in spans):
@@ -378,10 +388,10 @@ def remove_repeats(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROW
     """
     added = {"n_bytes", "n_removed", "n_spans", "kept", "spans", "text_hash"}
     rest = [c for c in docs.columns if c not in added | {"doc_id", "text"}]
-    spans = repeated_spans(docs, size, group_rows).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), "spans")
-    body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest).withColumn("__h", F.hash("text"))
-    joined = body.join(spans, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")), "left")
-    joined = joined.select("doc_id", "text", "spans", *rest)
+    spans = repeated_spans(docs, size, group_rows).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "spans")
+    held = docs.select("doc_id", "text", *[F.col(c).alias(f"rest_{i}") for i, c in enumerate(rest)])
+    body = _keyed(held, *[f"rest_{i}" for i in range(len(rest))])
+    joined = body.join(spans, _same(), "left").select("doc_id", "body", "spans", *[F.col(f"rest_{i}").alias(c) for i, c in enumerate(rest)])
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
     schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in rest), "n_bytes long, n_removed long, n_spans long, kept string"])
     return joined.mapInArrow(_clean_rows(digest), schema)
