@@ -41,8 +41,8 @@ def upsert(known: DataFrame, links: DataFrame) -> DataFrame:
     seen = known.select("slug", F.col("entity_type").alias("kept"))
     both = new.join(seen, "slug", "left")
     clash = (F.col("entity_type") != F.col("other")) | (F.col("kept").isNotNull() & (F.col("kept") != F.col("entity_type")))
-    checked = both.withColumn("entity_type", F.when(clash, F.raise_error(F.concat(F.lit("entity has two types: "), "slug")).cast("string")).otherwise(F.col("entity_type")))
-    return checked.where("kept IS NULL").select("slug", "entity_type", "label")
+    fail = F.raise_error(F.concat(F.lit("entity has two types: "), "slug")).cast("boolean")
+    return both.where(F.when(clash, fail).otherwise(F.col("kept").isNull())).select("slug", "entity_type", "label")
 
 
 def attach(existing: DataFrame, links: DataFrame) -> DataFrame:

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import clean_html_blocks, seconds_from_duration
 
-_ITEM = """struct<
-  title:string, link:string, guid:string, description:string, pubDate:string,
-  `content:encoded`:string, `itunes:duration`:string, `itunes:season`:string, `itunes:episode`:string,
-  enclosure:struct<_url:string>, `podcast:transcript`:array<struct<_url:string,_type:string>>>"""
+_TEXTS = ["title", "link", "guid", "description", "pubDate", "content:encoded", "itunes:duration", "itunes:season", "itunes:episode"]
+_ITEM = T.StructType(
+    [
+        *(T.StructField(name, T.StringType()) for name in _TEXTS),
+        T.StructField("enclosure", T.StructType([T.StructField("_url", T.StringType())])),
+        T.StructField("podcast:transcript", T.ArrayType(T.StructType([T.StructField("_url", T.StringType()), T.StructField("_type", T.StringType())]))),
+    ]
+)
 
 #: Transcript kinds from the best on; others come last.
 PRIORITY = {"text/vtt": 0, "application/srt": 1, "application/x-subrip": 1, "application/json": 2, "text/html": 3, "text/plain": 4}
@@ -27,8 +32,7 @@ def episodes(feeds: DataFrame) -> DataFrame:
     # each item is parsed alone; the namespaces that its names use are declared for it
     head = '<item xmlns:itunes="i" xmlns:podcast="p" xmlns:content="c" xmlns:atom="a" xmlns:media="m" xmlns:dc="d">'
     rows = feeds.select("feed", F.posexplode(items).alias("n", "raw"))
-    kind = _ITEM.replace("\n", " ")[len("struct<"):-1].strip()
-    rows = rows.select("feed", "n", F.from_xml(F.regexp_replace("raw", r"^<item\b[^>]*>", head), kind).alias("i"))
+    rows = rows.select("feed", "n", F.from_xml(F.regexp_replace("raw", r"^<item\b[^>]*>", head), _ITEM).alias("i"))
 
     def text(name: str):
         return F.nullif(F.trim(F.col(f"i.`{name}`")), F.lit(""))
