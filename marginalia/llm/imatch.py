@@ -55,14 +55,25 @@ def likeness(a: str, b: str) -> Column:
     return F.when(used > 0, same / used).otherwise(F.lit(1.0))
 
 
-def _subset_hashes(sorted_terms: str, subsets: int) -> Column:
-    """The hash of each subset's terms as four hex digits."""
-    half = subsets // 2
-    part = f"filter({sorted_terms}, t -> pmod(shiftrightunsigned(t, 20), if(j < {half}, {SHARES[0]}, {SHARES[1]})) = j)"
-    return F.expr(
-        f"transform(sequence(0, {subsets - 1}), j -> transform(array({part}),"
-        f" p -> if(size(p) = 0, '{NONE}', lpad(lower(hex(xxhash64(p) & 65535)), 4, '0')))[0])"
+def subset_of(term: str, subsets: int) -> str:
+    """SQL of the subset that holds a term, null for most; a term is in one at most."""
+    low, high, half = f"pmod(shiftrightunsigned({term}, 20), {SHARES[0]})", f"pmod(shiftrightunsigned({term}, 20), {SHARES[1]})", subsets // 2
+    return f"CASE WHEN {low} < {half} THEN {low} WHEN {high} >= {half} AND {high} < {subsets} AND {low} >= {half} THEN {high} END"
+
+
+def _subset_hashes(members: str, subsets: int) -> Column:
+    """The hash of each subset's terms as four hex digits, from structs (subset, term) in order.
+
+    One pass chains the terms' hashes within each subset.
+    """
+    done = "if(a.j < 0, a.made, concat(a.made, array(struct(a.j AS j, a.h AS h))))"
+    chained = (
+        f"aggregate({members}, named_struct('j', -1, 'h', 0L, 'made', cast(array() AS array<struct<j:int,h:bigint>>)),"
+        " (a, x) -> if(x.j = a.j, named_struct('j', a.j, 'h', xxhash64(a.h, x.term), 'made', a.made),"
+        f" named_struct('j', x.j, 'h', xxhash64(x.term), 'made', {done})), a -> map_from_entries({done}))"
     )
+    digits = "lpad(lower(hex(try_element_at(m, j) & 65535)), 4, '0')"
+    return F.expr(f"transform(array({chained}), m -> transform(sequence(0, {subsets - 1}), j -> coalesce({digits}, '{NONE}')))[0]")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -140,13 +151,15 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, subsets: int
             )
         ).alias("x"),
     ).select("block", "at", "copy", "doc_id", "n_chars", "edited_sha256", "x.*")
+    # terms outside all subsets go before they meet the lexicon
+    each = each.withColumn("j", F.expr(f"cast({subset_of('term', subsets)} AS int)")).where("side = 0 OR j IS NOT NULL")
     marked = known.withColumn("known", F.lit(True))
     if size <= LEXICON_ROWS:
         marked = F.broadcast(marked)
     each = each.join(marked, "term", "left").where("free OR known")
     sets = each.groupBy("block", "at", "copy", "doc_id", "n_chars", "edited_sha256").agg(
-        F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.col("term")))).alias("own"),
-        F.array_sort(F.collect_list(F.when(F.col("side") == 2, F.col("term")))).alias("new"),
+        F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.struct("j", "term")))).alias("own"),
+        F.array_sort(F.collect_list(F.when(F.col("side") == 2, F.struct("j", "term")))).alias("new"),
     )
     made = sets.withColumn("print", _subset_hashes("own", subsets)).withColumn("edited_print", _subset_hashes("new", subsets))
     made = made.withColumn("next_print", F.expr("lead(print) OVER (PARTITION BY block ORDER BY at)")).where("NOT copy")
