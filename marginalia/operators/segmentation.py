@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import small_batches
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -208,6 +210,7 @@ def overlapping(segments: DataFrame, target: int = 1800, most: int = 2400, overl
             begin = stop
         return pd.DataFrame(out, columns=["source", "chunk", "start_ms", "body", "overlap_chars"])
 
+    small_batches(segments.sparkSession)
     return segments.select("source", "idx", "start_ms", "text").groupBy("source").applyInPandas(
         run, "source long, chunk long, start_ms long, body string, overlap_chars long"
     )

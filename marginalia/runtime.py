@@ -8,6 +8,7 @@ so a lost executor never loses an intermediate result.
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 
@@ -17,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: is a few MB, so a worker's memory does not depend on the size of a partition.
 ARROW_ROWS = 512
 
+#: Where the package lies; of no effect on machines that have it elsewhere on their path.
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -46,8 +50,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the Arrow batches sent to Python workers."""
+    """Bound the Arrow batches sent to Python workers, and let workers find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    env = spark.sparkContext.environment
+    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
 
 
 def parallelism(spark: SparkSession) -> int:
