@@ -133,13 +133,14 @@ def fit_rates(
     """``memberships`` (tokens, p) with rate, and the relative residual of each domain.
 
     ``targets`` are token totals by position in p.  Steps end when every residual is
-    within ``tolerance`` of the total target, or after ``rounds``.  An unreachable target
+    within ``tolerance`` of the total target, no longer shrinks, or after ``rounds``.  An unreachable target
     (a domain that no document belongs to) leaves its residual.  ``most`` bounds rates above, ``least`` (0 or more) below.
     """
     targets = [float(t) for t in targets]
     k = len(targets)
     total = sum(targets) or 1.0
     steps: list[list[float]] = []
+    worst: list[float] = []
     while True:
         rated = memberships.withColumn("rate", F.expr(_rate(steps, most, least)))
         # documents at a bound hardly follow a step and count less; they keep the matrix regular
@@ -151,7 +152,9 @@ def fit_rates(
             *[F.coalesce(F.sum(moved * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)],
         ).first()
         residual = [float(sums[f"t{i}"]) - targets[i] for i in range(k)]
-        if max((abs(x) / total for x in residual), default=0.0) <= tolerance or len(steps) >= rounds:
+        worst.append(max((abs(x) / total for x in residual), default=0.0))
+        stalled = len(worst) > 4 and worst[-1] > 0.9 * worst[-5]
+        if worst[-1] <= tolerance or stalled or len(steps) >= rounds:
             return rated, [x / total for x in residual]
         matrix = [[float(sums[f"g{min(i, j)}_{max(i, j)}"]) for j in range(k)] for i in range(k)]
         steps.append(_solve(matrix, residual))

@@ -31,7 +31,7 @@ _U = np.uint64
 HASH_BITS = 18
 
 #: Texts of each label that a fit reads at most: a stated sample, taken by a hash of doc_id.
-SAMPLE = {1: 3000, 0: 6000}
+SAMPLE = {1: 2500, 0: 5000}
 
 #: Groups of terms that may stand for one another (a parameter; these are plain examples).
 IDENTITY_TERMS = (
@@ -60,16 +60,18 @@ def _word_hash(terms: list[str]) -> np.ndarray:
     return mix(PrefixHash(data).of(off[:-1], off[1:]))
 
 
-def features(texts: pa.Array, swap: dict[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct feature slots of every text: (slots, n+1 offsets, texts with a swapped term).
+def features(texts: pa.Array, swap: dict[int, int] | None = None, named: dict[int, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct feature slots of every text: (slots, n+1 offsets, texts with an identity term).
 
-    With ``swap``, identity terms count as their counterparts.  Whole words are compared.
+    With ``swap``, identity terms count as their counterparts; with ``named`` they are
+    only reported.  Whole words are compared.
     """
     data, off = flat(pc.utf8_lower(texts.cast(pa.large_string())))
     slots, sizes, changed = [], [], []
     low = _U((1 << HASH_BITS) - 1)
-    keys = np.array(sorted(swap), _U) if swap else np.zeros(0, _U)
-    values = np.array([swap[int(k)] for k in keys], _U) if swap else keys
+    known = swap or named or {}
+    keys = np.array(sorted(known), _U)
+    values = np.array([known[int(k)] for k in keys], _U)
     for i, j in blocks(off):
         sub, cut = data[off[i] : off[j]], off[i : j + 1] - off[i]
         start, end, count = words(sub, cut, ALNUM)
@@ -80,11 +82,12 @@ def features(texts: pa.Array, swap: dict[int, int] | None = None) -> tuple[np.nd
         if len(keys) and len(whole):
             at = np.minimum(np.searchsorted(keys, whole), len(keys) - 1)
             hit = keys[at] == whole
-            whole = np.where(hit, values[at], whole)
+            if swap:
+                whole = np.where(hit, values[at], whole)
         changed.append(np.bincount(doc[hit], minlength=j - i) > 0)
         parts, owners = [whole], [doc]
         for k in (4, 5, 6):
-            some = np.flatnonzero((end - start > k) & ~hit)
+            some = np.flatnonzero((end - start > k) & ~(hit & bool(swap)))
             parts.append(mix(prefix.of(start[some], start[some] + k) + _U(k)))
             owners.append(doc[some])
         pair = np.flatnonzero(doc[1:] == doc[:-1])
@@ -106,12 +109,20 @@ def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def _evidence(slot: np.ndarray, label: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Likelihood-ratio statistic of each slot's presence against the label."""
-    width = 1 << HASH_BITS
+def _kept(batches: list[tuple[np.ndarray, np.ndarray]], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places and rows of the slots that have a place."""
+    found = [(place[s], r) for s, r in batches]
+    slots = [p[p >= 0] for p, _ in found] or [np.zeros(0, np.int64)]
+    rows = [r[p >= 0] for p, r in found] or [np.zeros(0, np.int64)]
+    return np.concatenate(slots), np.concatenate(rows).astype(np.int64)
+
+
+def _evidence(a: np.ndarray, seen: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Likelihood-ratio statistic of each slot's presence against the label.
+
+    ``a`` and ``seen`` count the texts of label 1, and all texts, that have the slot.
+    """
     n, pos = len(y), float(y.sum())
-    a = np.bincount(slot, weights=label, minlength=width)
-    seen = np.bincount(slot, minlength=width).astype(float)
 
     def part(observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
@@ -161,30 +172,39 @@ def fit(
     """
     y = np.array(labels, float)
     n = len(y)
+    swap = swaps(groups)
     if not n or y.min() == y.max():
         share = min(max(y.mean() if n else 0.0, 1e-9), 1 - 1e-9)
         return Model(np.zeros(1 << HASH_BITS), float(np.log(share / (1 - share))))
+    # batches keep the memory near that of the texts; all but the telling slots go early
+    batches, a, seen = [], 0, 0
+    moved = np.zeros(n, bool)
     with np.errstate(over="ignore"):
-        column = pa.array([t or "" for t in texts], pa.large_string())
-        slot, off, _ = features(column)
-        slot2, off2, moved = features(column, swaps(groups))
-    row = np.repeat(np.arange(n), np.diff(off))
-    used = np.flatnonzero(_evidence(slot, y[row], y) >= evidence)
-    if not len(used):
-        used = np.unique(slot)
-    width = len(used)
-    place = np.full(1 << HASH_BITS, -1)
-    place[used] = np.arange(width)
-    kept = place[slot] >= 0
-    slot, row = place[slot[kept]], row[kept]
-    # only texts that name a group have a counterpart
-    sel = np.repeat(moved, np.diff(off2)) & (place[slot2] >= 0)
-    slot2, row2 = place[slot2[sel]], np.repeat(np.arange(n), np.diff(off2))[sel]
+        for i in range(0, n, 128):
+            column = pa.array([t or "" for t in texts[i : i + 128]], pa.large_string())
+            slot, off, moved[i : i + 128] = features(column, named=swap)
+            row = np.repeat(np.arange(i, i + len(column)), np.diff(off))
+            a = a + np.bincount(slot, weights=y[row], minlength=1 << HASH_BITS)
+            seen = seen + np.bincount(slot, minlength=1 << HASH_BITS)
+            batches.append((slot.astype(np.int32), row.astype(np.int32)))
+        used = np.flatnonzero(_evidence(a, seen.astype(float), y) >= evidence)
+        if not len(used):
+            used = np.flatnonzero(seen)
+        width = len(used)
+        place = np.full(1 << HASH_BITS, -1)
+        place[used] = np.arange(width)
+        slot, row = _kept(batches, place)
+        # only texts that name a group have a counterpart
+        batches, who = [], np.flatnonzero(moved)
+        for i in range(0, len(who), 128):
+            part = who[i : i + 128]
+            slot2, off2, _ = features(pa.array([texts[k] for k in part], pa.large_string()), swap)
+            batches.append((slot2.astype(np.int32), np.repeat(part, np.diff(off2)).astype(np.int32)))
+        slot2, row2 = _kept(batches, place)
     pairs = max(int(moved.sum()), 1)
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     # columns scaled by their frequency keep the step size independent of text length
-    seen = np.bincount(slot, weights=weight[row], minlength=width)
-    scale = 1 / np.sqrt(seen + 1e-3)
+    scale = 1 / np.sqrt(np.bincount(slot, weights=weight[row], minlength=width) + 1e-3)
 
     def product(w: np.ndarray, s: np.ndarray, r: np.ndarray) -> np.ndarray:
         return np.bincount(r, weights=w[s], minlength=n)
