@@ -101,15 +101,19 @@ class Trie:
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         token, rank, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        # rare n-grams first: sets that are not alike part at once
         order = np.empty(len(token), np.int64)
-        order[np.lexsort((token, -count))] = np.arange(len(token))
+        order[np.lexsort((token, count))] = np.arange(len(token))
         ranks = order[rank]
         ends = np.cumsum([len(s) for s in sets])
         self.sets = [np.sort(r) for r in np.split(ranks, ends[:-1])]
         self.mark = np.zeros(len(token), bool)
         by = sorted(range(len(sets)), key=lambda i: self.sets[i].astype(">u4").tobytes())
-        # node: (depth from, depth to, set whose path it is, least length, greatest length, children, sets ending here)
-        self.root = [0, 0, by[0], 0, 0, [], []]
+        # how many sets share a set's n-grams, on average
+        self.central = np.array([count[r].mean() for r in np.split(rank, ends[:-1])])
+        # node: depth from, depth to, a set whose path it is, least and greatest length, inner
+        # children, sets that end here, leaf children
+        self.root = [0, 0, by[0], 0, 0, [], [], None]
         path = [self.root]
         last: np.ndarray | None = None
         for i in by:
@@ -123,92 +127,128 @@ class Trie:
                 path.pop()
             node = path[-1]
             if node[1] > shared:  # split the edge where the paths part
-                low = [shared, node[1], node[2], 0, 0, node[5], node[6]]
+                low = [shared, node[1], node[2], 0, 0, node[5], node[6], None]
                 node[1], node[5], node[6] = shared, [low], []
             if len(s) == node[1]:
                 node[6].append(i)
             else:
-                leaf = [node[1], len(s), i, 0, 0, [], [i]]
+                leaf = [node[1], len(s), i, 0, 0, [], [i], None]
                 node[5].append(leaf)
                 path.append(leaf)
             last = s
-        stack, order_ = [self.root], []
+        stack, nodes = [self.root], []
         while stack:
             node = stack.pop()
-            order_.append(node)
+            nodes.append(node)
             stack += node[5]
-        for node in reversed(order_):
+        for node in reversed(nodes):
             lengths = [len(self.sets[i]) for i in node[6]]
             node[3] = min(lengths + [c[3] for c in node[5]])
             node[4] = max(lengths + [c[4] for c in node[5]])
-
-    def similar(self, x: int, num: int, den: int) -> list[tuple[int, int, int]]:
-        """(set, overlap, union) of all sets with overlap/union >= num/den, by one walk."""
+        for node in nodes:
+            node[5], node[7] = self._bundle(node[5])
+
+    def _bundle(self, children: list) -> tuple[list, tuple | None]:
+        """The inner children, and the leaves among them laid end to end so that one look-up scores all."""
+        leaves = [c for c in children if not c[5]]
+        if not leaves:
+            return children, None
+        edges = [self.sets[c[2]][c[0] : c[1]] for c in leaves]
+        begin = np.concatenate([[0], np.cumsum([len(e) for e in edges])[:-1]])
+        ends = np.repeat(np.arange(len(leaves)), [len(c[6]) for c in leaves])
+        ids = np.array([i for c in leaves for i in c[6]])
+        lengths = np.array([c[1] for c in leaves])
+        inner = [c for c in children if c[5]]
+        return inner, (np.concatenate(edges), begin, ends, ids, lengths, int(lengths.min()), int(lengths.max()))
+
+    def similar(self, x: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sets, overlaps, unions) of all sets with overlap/union >= num/den, by one walk."""
         own = self.sets[x]
         size = len(own)
         self.mark[own] = True
-        found, stack = [], [(self.root, 0)]
+        found: list[tuple] = []
+
+        def short(matched: int, left: int, least: int, most: int) -> bool:
+            """Does what is left of either set fall short of the least overlap that any length below allows?"""
+            return matched + min(left, most) < -(-num * (size + max(least, 1)) // (num + den))
+
+        stack = [(self.root, 0)]
         while stack:
             node, matched = stack.pop()
             low, depth = node[0], node[1]
+            left = size
             if depth > low:
                 seg = self.sets[node[2]][low:depth]
                 matched += int(np.count_nonzero(self.mark[seg]))
-                left = size - int(np.searchsorted(own, seg[-1], "right"))
-            else:
-                left = size
-            # the least overlap that any length below this node allows
-            shortest = max(node[3], 1)
-            need = -(-num * (size + shortest) // (num + den))
-            if matched + min(left, node[4] - depth) < need:
+                left -= int(np.searchsorted(own, seg[-1], "right"))
+            if short(matched, left, node[3], node[4] - depth):
                 continue
-            for i in node[6]:
+            if node[6]:
                 union = size + depth - matched
                 if den * matched >= num * union:
-                    found.append((i, matched, union))
-            for child in node[5]:
-                stack.append((child, matched))
+                    found.append((np.array(node[6]), np.full(len(node[6]), matched), np.full(len(node[6]), union)))
+            if node[7] is not None:
+                edges, begin, ends, ids, lengths, least, most = node[7]
+                if not short(matched, left, least, most - depth):
+                    overlap = matched + np.add.reduceat(self.mark[edges], begin, dtype=np.int64)
+                    union = size + lengths - overlap
+                    ok = (den * overlap >= num * union)[ends]
+                    found.append((ids[ok], overlap[ends[ok]], union[ends[ok]]))
+            stack += [(child, matched) for child in node[5]]
         self.mark[own] = False
-        return found
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate(f) for f in zip(*found))
 
 
 def link_classes(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     """The class of every set under links of Jaccard >= num/den: the index of its first member.
 
-    A class grows from a pivot by trie walks.  Jaccard distance is a metric, so a
-    member at distance d of its pivot can only link to sets within d plus the link
-    distance of it; the pivot's walk lists those up to twice the link distance, and a
-    member is walked only where an unassigned set of that list is near enough.
+    Sets are walked from the most central on, those whose n-grams most others share.  A
+    set that links to a walked one need not be walked itself: its links to walked sets
+    are known, and Jaccard distance is a metric, so a link to another such set b puts b
+    within the link distance of the walked set's farthest such member.  Those b in
+    other classes are found by the same walk, at twice the link distance, and walked in the end.
     """
     n = len(sets)
-    label = [-1] * n
+    parent = list(range(n))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
     if n == 1:
         return [0]
     trie = Trie(sets)
-    wide = max(2 * num - den, 0)
-    limit = 1 - num / den
-    for start in range(n):
-        if label[start] >= 0:
-            continue
-        label[start] = start
-        queue: list[tuple[int, list, float]] = [(start, [], -1.0)]
-        while queue:
-            i, near, far = queue.pop()
-            if far >= 0:
-                if not any(label[z] < 0 and d <= limit + far + 1e-9 for z, d in near):
-                    continue
-            found = trie.similar(i, wide, den) if wide else [(j, *_overlap(trie.sets[i], trie.sets[j])) for j in range(n)]
-            rest = [(j, 1 - m / u) for j, m, u in found if den * m < num * u]
-            for j, m, u in found:
-                if label[j] < 0 and den * m >= num * u:
-                    label[j] = start
-                    queue.append((j, rest, 1 - m / u))
-    return label
-
-
-def _overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    m = len(np.intersect1d(a, b, assume_unique=True))
-    return m, len(a) + len(b) - m
+    wide, limit = max(2 * num - den, 0), 1 - num / den
+    reached, walked = np.zeros(n, bool), np.zeros(n, bool)
+    around: list[tuple[int, np.ndarray]] = []
+
+    def walk(i: int, keep: bool) -> None:
+        walked[i] = True
+        ids, overlap, union = trie.similar(i, wide if keep else num, den)
+        linked = den * overlap >= num * union
+        for j in ids[linked].tolist():
+            x, y = root(i), root(j)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if keep:
+            far = 1 - overlap / union
+            new = linked & ~reached[ids] & ~walked[ids]
+            if new.any():
+                near = ids[~linked & (far <= limit + far[new].max() + 1e-9)]
+                around.append((i, near))
+            reached[ids[linked]] = True
+
+    for i in np.argsort(-trie.central, kind="stable").tolist():
+        if not reached[i] and not walked[i]:
+            walk(i, True)
+    for i, near in around:
+        for j in near[~walked[near]].tolist():
+            if not walked[j] and root(j) != root(i):
+                walk(j, False)
+    return [root(i) for i in range(n)]
 
 
 _SETS = T.StructType(

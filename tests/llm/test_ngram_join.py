@@ -83,8 +83,7 @@ def test_trie_finds_all_similar_sets():
     trie = Trie(sets)
     for x in range(len(sets)):
         want = {i for i, s in enumerate(sets) if 10 * len(set(s) & set(sets[x])) >= 8 * len(set(s) | set(sets[x]))}
-        assert {i for i, _, _ in trie.similar(x, 8, 10)} == want
-    assert len(set(link_classes(sets, 9, 10))) >= 1
+        assert set(trie.similar(x, 8, 10)[0].tolist()) == want
 
 
 def test_components(spark, monkeypatch):
@@ -95,3 +94,23 @@ def test_components(spark, monkeypatch):
         monkeypatch.setattr(graph, "TASK_EDGES", most)
         assert {r.node: r.root for r in graph.components(rows).collect()} == want
     assert graph.components(rows.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_classes_of_one_group(seed):
+    rnd = random.Random(seed)
+    base = list(range(100))
+    sets = []
+    for _ in range(60):
+        if sets and rnd.random() < 0.5:
+            base = [int(v) for v in rnd.choice(sets)]
+        cut = rnd.sample(base, min(len(base), rnd.randrange(0, 14)))
+        sets.append(np.array(sorted(set(base) - set(cut) | {rnd.randrange(10**6) for _ in range(rnd.randrange(0, 12))}), np.uint64))
+    for num in (8, 9, 5, 4):
+        label = list(range(60))
+        for a, b in itertools.combinations(range(60), 2):
+            x, y = set(sets[a].tolist()), set(sets[b].tolist())
+            if 10 * len(x & y) >= num * len(x | y) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = [low if v == high else v for v in label]
+        assert link_classes(sets, num, 10) == label
