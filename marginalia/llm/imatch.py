@@ -3,8 +3,9 @@
 The lexicon keeps the terms whose share of documents lies in a band, that is, whose
 inverse document frequency does.  Its size is at most (mean distinct terms of a document)
 / (lower share), whatever the corpus size; it is counted before it is broadcast, and
-joined by shuffle beyond LEXICON_ROWS.  Subsets of it are drawn at random; the
-fingerprint is one hash for each subset: that of the document's sorted distinct terms in it.
+joined by shuffle beyond LEXICON_ROWS.  It is dealt at random into subsets, which
+together hold all of it; the fingerprint is one hash for each subset: that of the
+document's sorted distinct terms in it.
 """
 
 from __future__ import annotations
@@ -18,10 +19,12 @@ from ..runtime import materialise, parallelism
 BAND = (0.002, 0.2)
 
 #: Random subsets of the lexicon, and the share of it that each holds: half of them are
-#: for texts of usual length, half, much smaller, still tell long texts apart.
+#: for texts of usual length, half, much smaller, still tell long texts apart.  The last
+#: holds all other terms.
 SUBSETS, SHARES = 64, (128, 1024)
 
 #: A text of at most so many distinct terms keeps all of them: the band would leave too few.
+#: So does a longer text without terms in the band.
 SHORT = 32
 
 #: Lexicon entries (16 bytes each) up to which it is broadcast.
@@ -56,9 +59,9 @@ def likeness(a: str, b: str) -> Column:
 
 
 def subset_of(term: str, subsets: int) -> str:
-    """SQL of the subset that holds a term, null for most; a term is in one at most."""
+    """SQL of the one subset that holds a term: the last where no smaller one does."""
     low, high, half = f"pmod(shiftrightunsigned({term}, 20), {SHARES[0]})", f"pmod(shiftrightunsigned({term}, 20), {SHARES[1]})", subsets // 2
-    return f"CASE WHEN {low} < {half} THEN {low} WHEN {high} >= {half} AND {high} < {subsets} AND {low} >= {half} THEN {high} END"
+    return f"cast(CASE WHEN {low} < {half} THEN {low} WHEN {high} >= {half} AND {high} < {subsets} THEN {high} ELSE {subsets - 1} END AS int)"
 
 
 def _subset_hashes(members: str, subsets: int) -> Column:
@@ -129,8 +132,8 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, subsets: int
     The edited text has its last quarter (n_chars // 4 code points) replaced by as many of
     the next document's first ones, by ascending doc_id, the first after the last.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next.  A null text counts as empty; empty texts have no terms, and equal texts
-    equal fingerprints.  Repeated rows are kept, extra columns ignored.
+    near_next.  A null text counts as empty; only texts without terms have the empty
+    fingerprint, and equal texts equal fingerprints.  Repeated rows are kept, extra columns ignored.
     """
     known, size = lexicon(docs, band)
     rows = with_next(docs)
@@ -140,27 +143,26 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, subsets: int
         "block", "at", "copy", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         terms(F.col("body")).alias("own"), terms(F.col("edited")).alias("new"),
     )
-    # 0 stands for the row itself, so that rows without terms go on
-    each = both.select(
-        "block", "at", "copy", "doc_id", "n_chars", "edited_sha256",
-        F.explode(
-            F.expr(
-                "concat(array(struct(0L AS term, 0 AS side, true AS free)),"
-                f" transform(own, t -> struct(t AS term, 1 AS side, size(own) <= {SHORT} AS free)),"
-                f" transform(new, t -> struct(t AS term, 2 AS side, size(new) <= {SHORT} AS free)))"
-            )
-        ).alias("x"),
-    ).select("block", "at", "copy", "doc_id", "n_chars", "edited_sha256", "x.*")
-    # terms outside all subsets go before they meet the lexicon
-    each = each.withColumn("j", F.expr(f"cast({subset_of('term', subsets)} AS int)")).where("side = 0 OR j IS NOT NULL")
+    # side 0 stands for the row itself and alone carries its columns; 1 are terms of the text
+    # only, 2 of the edited one only, 3 of both
+    row = "named_struct('copy', copy, 'doc_id', doc_id, 'n_chars', n_chars, 'edited_sha256', edited_sha256, 'own', own, 'new', new)"
+    parts = {1: "array_except(own, new)", 2: "array_except(new, own)", 3: "array_intersect(own, new)"}
+    sided = [f"transform({part}, t -> struct(t AS term, {side} AS side, if(false, {row}, null) AS row))" for side, part in parts.items()]
+    each = both.select("block", "at", F.explode(F.expr(f"concat(array(struct(xxhash64(block, at) AS term, 0 AS side, {row} AS row)), {', '.join(sided)})")).alias("x"))
+    each = each.select("block", "at", "x.*")
     marked = known.withColumn("known", F.lit(True))
     if size <= LEXICON_ROWS:
         marked = F.broadcast(marked)
-    each = each.join(marked, "term", "left").where("free OR known")
-    sets = each.groupBy("block", "at", "copy", "doc_id", "n_chars", "edited_sha256").agg(
-        F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.struct("j", "term")))).alias("own"),
-        F.array_sort(F.collect_list(F.when(F.col("side") == 2, F.struct("j", "term")))).alias("new"),
+    each = each.join(marked, "term", "left").where("side = 0 OR known")
+    sets = each.groupBy("block", "at").agg(
+        F.max("row").alias("row"),
+        F.collect_list(F.when(F.col("side").isin(1, 3), F.col("term"))).alias("own"),
+        F.collect_list(F.when(F.col("side").isin(2, 3), F.col("term"))).alias("new"),
     )
+    for side in ("own", "new"):
+        used = f"if(size(row.{side}) <= {SHORT} OR size({side}) = 0, row.{side}, {side})"
+        sets = sets.withColumn(side, F.expr(f"sort_array(transform({used}, t -> struct({subset_of('t', subsets)} AS j, t AS term)))"))
+    sets = sets.select("block", "at", "row.copy", "row.doc_id", "row.n_chars", "row.edited_sha256", "own", "new")
     made = sets.withColumn("print", _subset_hashes("own", subsets)).withColumn("edited_print", _subset_hashes("new", subsets))
     made = made.withColumn("next_print", F.expr("lead(print) OVER (PARTITION BY block ORDER BY at)")).where("NOT copy")
     return made.select(

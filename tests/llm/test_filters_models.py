@@ -139,6 +139,25 @@ def test_fingerprints(spark):
     assert imatch.fingerprints(docs.limit(0)).count() == 0
 
 
+def test_different_short_texts_have_different_fingerprints(spark):
+    texts = [f"short{i} text{i}" for i in range(60)] + [f"one{i}" for i in range(20)] + ["", None, "?!"]
+    # longer, and without a term in the lexicon: all are in one document only
+    texts += [" ".join(f"rare{i}x{k}" for k in range(40)) for i in range(5)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in imatch.fingerprints(docs).collect()}
+    empty = imatch.NONE * imatch.SUBSETS
+    assert {i for i, r in got.items() if r.fingerprint == empty} == {80, 81, 82}
+    assert len({r.fingerprint for r in got.values()}) == len(texts) - 2
+    assert got[0].near_next == 0.0 and got[83].near_next == 0.0 and got[81].near_next == 1.0
+
+
+def test_subsets_cover_all_terms(spark):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("t")).select(F.expr(imatch.subset_of("t", imatch.SUBSETS)).alias("j"))
+    sizes = {r.j: r["count"] for r in rows.groupBy("j").count().collect()}
+    assert set(sizes) == set(range(imatch.SUBSETS)) and sum(sizes.values()) == 20_000
+    assert sizes[0] < 300 and sizes[40] < 60
+
+
 def test_rates_meet_targets_like_a_dense_solver(spark):
     rng = np.random.default_rng(1)
     p = rng.dirichlet([0.4] * 3, 200)
