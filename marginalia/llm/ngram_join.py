@@ -342,6 +342,14 @@ def ngram_classes(
     null).  Repeated rows are kept.  Extra columns are ignored.  An empty table gives
     an empty result.
     """
+    named = _named(docs, size, num, den, class_rows)
+    least = named.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
+    out = named.join(least, "class", "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def _named(docs: DataFrame, size: int, num: int, den: int, class_rows: int = CLASS_ROWS) -> DataFrame:
+    """One row a document: doc_id, text_hash, n_shingles and class, which is null without shingles."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("body"))
@@ -372,20 +380,28 @@ def ngram_classes(
     keyed = keyed.repartition(parallelism(spark), "key").sortWithinPartitions("key")
     links = materialise(keyed.mapInArrow(_solve_rows(size, num, den), "a binary, b binary"), "ngram-links")
     roots = components(links, "ngram-classes")
-    named = sets.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).select("doc_id", "text_hash", "n_shingles", "class")
-    least = named.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "class", "left")
-    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    return sets.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).select("doc_id", "text_hash", "n_shingles", "class")
 
 
 def near_duplicates_removed(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The documents with one of each class of near copies, the one with the least doc_id.
+    """The documents with one row of each class of near copies.
 
-    Of exact repeats of that row one stays.  Documents without words stay as they are,
-    unlinked.  All columns of ``docs`` are kept.
+    It is the one with the least doc_id, null ids last, then the least text hash, then,
+    of rows that repeat both, the least by all columns.  Documents without words stay as
+    they are, unlinked.  All columns of ``docs`` are kept.
     """
-    found = ngram_classes(docs, size, num, den)
-    gone = found.where("n_shingles > 0 AND NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    named = _named(docs, size, num, den).where("class IS NOT NULL").select("doc_id", "text_hash", "class")
+    keys = materialise(named.groupBy("class", "doc_id", "text_hash").agg(F.count("*").alias("n")), "ngram-keys")
+    first = keys.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("row"))
+    told = keys.select("doc_id", "text_hash", "n", F.lit(False).alias("first")).unionByName(
+        first.select("row.doc_id", "row.text_hash", F.lit(0).cast("long").alias("n"), F.lit(True).alias("first"))
+    )
+    told = told.groupBy(F.col("doc_id").alias("told_id"), F.col("text_hash").alias("told_hash")).agg(F.sum("n").alias("n"), F.max("first").alias("first"))
+    # keys of which no row, or not every row, stays; of the latter one row each comes back
+    told = materialise(told.where("n > 1 OR NOT first"), "ngram-told")
+    again = materialise(told.where("first"), "ngram-again")
     body = docs.withColumn("__hash", F.xxhash64("text"))
-    kept = body.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("__hash") == F.col("gone_hash")), "left_anti")
-    return kept.drop("__hash")
+    same = F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col("__hash") == F.col("told_hash"))
+    kept = body.join(told, same, "left_anti").drop("__hash")
+    row = F.min(F.struct(*docs.columns)).alias("row")
+    return kept.unionByName(body.join(again, same, "left_semi").groupBy("doc_id", "__hash").agg(row).select("row.*"))

@@ -73,6 +73,27 @@ def test_one_of_each_class_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
 
 
+def test_one_row_stays_of_repeats_and_null_ids(spark):
+    long = [" ".join(f"{c}{i}" for i in range(100)) for c in "pqrs"]
+    rows = [
+        (1, long[0], "a"), (1, long[0], "a"), (1, long[0], "b"),  # repeats, one with another column
+        (2, long[1], "a"), (2, long[1] + " end", "a"),  # near copies under one doc_id
+        (None, long[2], "a"), (None, long[2], "a"), (None, long[2] + " end", "a"),  # without ids
+        (None, long[3], "a"), (4, long[3] + " end", "a"),
+        (1, "other text", "a"), (1, long[1] + " more", "a"),
+        (7, None, "a"), (7, None, "a"), (None, "", "a"), (None, "", "a"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root string")
+    kept = near_duplicates_removed(docs)
+    assert kept.columns == docs.columns
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted(str(r) for r in got if not r[1]) == sorted(str(r) for r in rows if not r[1])
+    got = [r for r in got if r[1]]
+    assert {r for r in got if r[0] is not None} == {(1, long[0], "a"), (1, "other text", "a"), (1, long[1] + " more", "a"), (4, long[3] + " end", "a")}
+    rest = [r for r in got if r[0] is None]
+    assert len(got) == 5 and len(rest) == 1 and rest[0][1].startswith(long[2])
+
+
 def test_trie_finds_all_similar_sets():
     rnd = random.Random(4)
     base = [rnd.randrange(10**6) for _ in range(60)]

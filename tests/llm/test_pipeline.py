@@ -48,3 +48,15 @@ def test_stages(spark, tmp_path):
     assert kept["suffix_dedup"][9].text == rows[9][1] and kept["suffix_dedup"][300].text is None
     assert set(kept["mixing"]) == clean - set(copies)
     assert kept["byte_bpe"][300].n_tokens == 0 and len(kept["byte_bpe"][9].ids) == kept["byte_bpe"][9].n_tokens > 60
+
+
+def test_repeated_and_null_id_rows_keep_their_text(spark, tmp_path):
+    rnd = random.Random(9)
+    text = [" ".join("".join(rnd.choice("abcdefghijklm") for _ in range(5)) for _ in range(80)) for _ in range(4)]
+    rows = [(1, text[0]), (1, text[0]), (2, text[1]), (2, text[1] + " end"), (None, text[2]), (None, text[2]), (3, text[3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in cp.STAGES[1:3]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+    left = [(r.doc_id, r.text.removesuffix(" end")) for r in docs.collect()]
+    assert sorted(left, key=str) == sorted([(1, text[0]), (2, text[1]), (None, text[2]), (3, text[3])], key=str)
