@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import small_batches
 
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
@@ -154,48 +158,73 @@ def pack_cues(cues: Column, most: int = 1200, longest_ms: int = 90_000) -> Colum
     return _fold(cues, state, step, lambda acc: F.when(acc["cur"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"]))))
 
 
-#: What ends a sentence.
-ENDINGS = (".", "!", "?", '."', '!"', '?"', ".”", "!”", "?”")
-
-
-def window_end(texts: list[str], begin: int, target: int, most: int) -> int:
-    """Where the window that begins at a unit ends: at a sentence end near the target if there is one."""
-    enough, size = max(400, target * 65 // 100), 0
-    sentence = early = late = 0
-    for at in range(begin, len(texts)):
-        grown = size + len(texts[at]) + (size > 0)
-        if at > begin and grown > most:
-            return sentence or early or late or at
-        size, stop = grown, at + 1
-        reached = size >= target
-        late = late or (stop if reached else 0)
-        if not texts[at].endswith(ENDINGS):
-            continue
-        if reached and size >= enough:
-            return stop
-        early = stop if size <= target else early
-        sentence = stop if size >= enough else sentence
-    return len(texts)
-
-
-def overlap_begin(texts: list[str], begin: int, overlap: int) -> int:
-    """How far back units fit into the overlap; the one before the window always does."""
-    size, at = 0, begin
-    while overlap > 0 and at > 0:
-        more = len(texts[at - 1]) + (size > 0)
-        if size and size + more > overlap:
-            break
-        size, at = size + more, at - 1
-    return at
+#: The endings that close a sentence.
+SENTENCE_ENDS = (".", "?", "!", ".”", '?"', '!"', ".'", "?'", "!'")
+
+
+def ends_sentence(text: Column) -> Column:
+    """Does the text, without white space after it, end as a sentence does?"""
+    held = F.regexp_replace(text, r"(?U)\s+$", "")
+    return reduce(lambda a, b: a | b, [F.endswith(held, F.lit(e)) for e in SENTENCE_ENDS])
+
+
+class Windows:
+    """Boundaries of overlapping windows over units of text, by binary search in prefix sums.
+
+    ``place[i]`` counts the characters before unit i when all units are joined by single
+    spaces, so the length of units a..b is place[b] - place[a] - 1.
+    """
+
+    def __init__(self, units: list[str], target: int, most: int, overlap: int) -> None:
+        self.place = np.concatenate([[0], np.cumsum([len(u) + 1 for u in units])])
+        closed = [i + 1 for i, u in enumerate(units) if u.rstrip().endswith(SENTENCE_ENDS)]
+        self.closed = np.array(closed, np.int64)
+        self.target, self.most, self.overlap = target, most, overlap
+        self.enough = max(400, target * 65 // 100)
+
+    def _first(self, begin: int, chars: int) -> int:
+        """The first end with which a window from ``begin`` has so many characters at least."""
+        return max(int(np.searchsorted(self.place, self.place[begin] + 1 + chars, "left")), begin + 1)
+
+    def _last(self, begin: int, chars: int) -> int:
+        """The last end with which it has so many at most; ``begin`` if none."""
+        return max(int(np.searchsorted(self.place, self.place[begin] + 1 + chars, "right")) - 1, begin)
+
+    def end(self, begin: int) -> int:
+        """Where the window from ``begin`` ends.
+
+        The first sentence end at target length or beyond; else, if units are left over,
+        the last sentence end of sufficient length, the last one before the target, the
+        first unit end beyond the target, or the last unit that fits.
+        """
+        units = len(self.place) - 1
+        limit = max(self._last(begin, self.most), begin + 1)
+        inside = self.closed[np.searchsorted(self.closed, begin, "right") : np.searchsorted(self.closed, limit, "right")]
+        full = inside[inside >= self._first(begin, max(self.target, self.enough))]
+        if len(full):
+            return int(full[0])
+        if limit == units:
+            return units
+        for fits in (inside[inside >= self._first(begin, self.enough)], inside[inside <= self._last(begin, self.target)]):
+            if len(fits):
+                return int(fits[-1])
+        return min(self._first(begin, self.target), limit)
+
+    def overlap_from(self, begin: int) -> int:
+        """The unit from which the end of the window before is repeated: one unit at least, more while they fit."""
+        if begin == 0 or self.overlap <= 0:
+            return begin
+        return min(int(np.searchsorted(self.place, self.place[begin] - 1 - self.overlap, "left")), begin - 1)
 
 
 def overlapping(segments: DataFrame, target: int = 1800, most: int = 2400, overlap: int = 250) -> DataFrame:
     """(source, chunk, start_ms, body, overlap_chars) of segments (source, idx, start_ms, text).
 
     A transcript is cut into windows near ``target`` characters, at sentence ends where
-    possible; each repeats the end of the one before.  The choice of a boundary looks
-    back and ahead, which is why this one runs on a group of Pandas rows, one transcript
-    each.  Blank segments are left out.
+    possible; each repeats the end of the one before.  start_ms is that of the first word
+    (``word_ms``, if the segments have it) of the window's own part, else of its segment.
+    The choice of a boundary looks back and ahead, which is why this one runs on a group of
+    Pandas rows, one transcript each.  Blank segments are left out.
     """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -203,15 +232,16 @@ def overlapping(segments: DataFrame, target: int = 1800, most: int = 2400, overl
         text = rows["text"].fillna("").str.split().str.join(" ")
         rows, text = rows[text != ""], text[text != ""].tolist()
         out, begin = [], 0
-        starts = rows["start_ms"].tolist()
+        starts, windows = rows["at"].tolist(), Windows(text, target, most, overlap)
         while begin < len(text):
-            stop, first = window_end(text, begin, target, most), overlap_begin(text, begin, overlap)
-            out.append((rows["source"].iloc[0], len(out), starts[begin], " ".join(text[first:stop]), sum(len(t) + 1 for t in text[first:begin])))
+            stop, first = windows.end(begin), windows.overlap_from(begin)
+            out.append((rows["source"].iloc[0], len(out), starts[begin], " ".join(text[first:stop]), int(windows.place[begin] - windows.place[first])))
             begin = stop
         return pd.DataFrame(out, columns=["source", "chunk", "start_ms", "body", "overlap_chars"])
 
     small_batches(segments.sparkSession)
-    return segments.select("source", "idx", "start_ms", "text").groupBy("source").applyInPandas(
+    at = F.coalesce("word_ms", "start_ms") if "word_ms" in segments.columns else F.col("start_ms")
+    return segments.select("source", "idx", at.alias("at"), "text").groupBy("source").applyInPandas(
         run, "source long, chunk long, start_ms long, body string, overlap_chars long"
     )
 

@@ -17,8 +17,11 @@ _ITEM = T.StructType(
     ]
 )
 
-#: Transcript kinds from the best on; others come last.
-PRIORITY = {"text/vtt": 0, "application/srt": 1, "application/x-subrip": 1, "application/json": 2, "text/html": 3, "text/plain": 4}
+#: Transcript kinds from the best on; others come last.
+PRIORITY = {"text/vtt": 0, "application/srt": 1, "text/srt": 1, "application/json": 2, "text/html": 3, "text/plain": 4}
+
+#: Titles of items and channels without one.
+UNTITLED_ITEM, UNTITLED_CHANNEL = "Untitled episode", "Untitled podcast"
 
 
 def episodes(feeds: DataFrame) -> DataFrame:
@@ -47,7 +50,7 @@ def episodes(feeds: DataFrame) -> DataFrame:
     return rows.select(
         "feed",
         F.col("n").alias("idx"),
-        F.coalesce(text("title"), F.lit("Untitled episode")).alias("title"),
+        F.coalesce(text("title"), F.lit(UNTITLED_ITEM)).alias("title"),
         text("link").alias("link"),
         F.coalesce(text("guid"), text("link"), text("title")).alias("guid"),
         F.col("i.enclosure._url").alias("audio_url"),
@@ -68,4 +71,4 @@ def channels(feeds: DataFrame) -> DataFrame:
         raw = F.regexp_extract(checked, rf"(?s)<{name}\b[^>]*>(.*?)</{name}>", 1)
         return F.nullif(F.trim(F.regexp_replace(raw, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")), F.lit(""))
 
-    return feeds.select("feed", F.coalesce(tag("title"), F.lit("Untitled podcast")).alias("title"), tag("link").alias("link"))
+    return feeds.select("feed", F.coalesce(tag("title"), F.lit(UNTITLED_CHANNEL)).alias("title"), tag("link").alias("link"))

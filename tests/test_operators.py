@@ -1,5 +1,6 @@
 """Operators on small literal inputs."""
 
+import random
 import json
 
 import pytest
@@ -100,10 +101,45 @@ def test_cues(spark):
     assert [tuple(r) for r in row.x] == [(0, 333, "abcd"), (333, 666, "efgh"), (666, 1000, "ij")]
 
 
-def test_windows_overlap():
-    texts = ["one two three.", "four five", "six.", "seven eight nine ten"]
-    assert segmentation.window_end(["a" * 500 + ".", "b" * 100], 0, 400, 550) == 1
-    assert segmentation.overlap_begin(texts, 2, 14) == 1 and segmentation.overlap_begin(texts, 0, 99) == 0
+def _window(units, begin, target, most):
+    """The rules one after another over all possible ends, each measured on the joined text."""
+    size = {e: len(" ".join(units[begin:e])) for e in range(begin + 1, len(units) + 1)}
+    fit = [e for e in size if size[e] <= most] or [begin + 1]
+    closed = [e for e in fit if units[e - 1].rstrip().endswith(segmentation.SENTENCE_ENDS)]
+    enough = max(400, int(target * 0.65))
+    full = [e for e in closed if size[e] >= max(target, enough)]
+    if full:
+        return full[0]
+    if fit[-1] == len(units):
+        return len(units)
+    for found in ([e for e in closed if size[e] >= enough][-1:], [e for e in closed if size[e] <= target][-1:], [e for e in fit if size[e] >= target][:1]):
+        if found:
+            return found[0]
+    return fit[-1]
+
+
+def _back(units, begin, overlap):
+    if not begin or overlap <= 0:
+        return begin
+    fit = [f for f in range(begin) if len(" ".join(units[f:begin])) <= overlap]
+    return min([*fit, begin - 1])
+
+
+def test_windows_follow_their_rules():
+    rnd = random.Random(1)
+    for _ in range(400):
+        units = ["x" * rnd.choice([1, 3, 20, 90, 300, 900]) + rnd.choice(["", "", ".", "?'", '!"', ".”", ".’", ","]) for _ in range(rnd.randrange(1, 40))]
+        target, most, overlap = rnd.choice([(100, 150, 30), (450, 600, 80), (1800, 2400, 250), (700, 700, 0)])
+        held = segmentation.Windows(units, target, most, overlap)
+        for begin in range(len(units)):
+            assert held.end(begin) == _window(units, begin, target, most)
+            assert held.overlap_from(begin) == _back(units, begin, overlap)
+
+
+def test_sentence_ends(spark):
+    texts = ["a.", "a. ", "a?'", "a!\"", "a.”", "a?”", "a,", "", "a.’", "a.'\u00a0"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(segmentation.ends_sentence(F.col("t")).alias("e")).collect()
+    assert [r.e for r in rows] == [True, True, True, True, True, False, False, False, False, True]
 
 
 def test_overlapping_chunks(spark):
