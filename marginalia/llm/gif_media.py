@@ -108,23 +108,32 @@ def write_gif(payload: bytes) -> bytes:
 
 
 def _widths(least: int) -> np.ndarray:
-    """Bits of the n-th code after a clear code: the table gains an entry by each but the first."""
-    first = (1 << least) + 2
-    size = first + np.maximum(np.arange(5000) - 1, 0)
+    """Bits of the n-th code after a clear code: the table gains an entry by each but the first, up to 4,096."""
+    size = (1 << least) + 2 + np.maximum(np.arange(4096 - (1 << least)) - 1, 0)
     return np.minimum(np.maximum(np.ceil(np.log2(size + 1)).astype(np.int64), least + 1), 12)
 
 
 _ENDS = {k: np.concatenate([[0], np.cumsum(_widths(k))]) for k in range(1, 9)}
 
 
+def _begins(least: int, many: int) -> np.ndarray:
+    """Where the first ``many`` codes after a clear code begin, and the last of them ends: of 12 bits once the table is full."""
+    ends = _ENDS[least]
+    more = many + 1 - len(ends)
+    return ends[: many + 1] if more <= 0 else np.concatenate([ends, ends[-1] + 12 * np.arange(1, more + 1)])
+
+
 def lzw_decode(stream: bytes, least: int, count: int) -> np.ndarray:
     """``count`` palette indices from an LZW stream with ``least`` bits of root codes.
 
-    A stream that ends early is filled with zeros; codes beyond the table are an error.
+    A table that is full stays as it is until a clear code.  Codes beyond the table, and
+    a stream that ends before ``count`` samples, are an error (ValueError).
     """
+    if not 1 <= least <= 8:
+        raise ValueError("an LZW code size beyond 1 to 8")
     clear, stop = 1 << least, (1 << least) + 1
     raw = np.frombuffer(stream + b"\0\0\0\0", np.uint8)
-    bits, ends = len(stream) * 8, _ENDS[least]
+    bits = len(stream) * 8
     out: list[np.ndarray] = []
     made, at = 0, 0
 
@@ -147,12 +156,17 @@ def lzw_decode(stream: bytes, least: int, count: int) -> np.ndarray:
                 good -= 1
             out.append(grid[:good, 1:].astype(np.uint8).ravel())
             made, at = good * _RUN, good * stride
-    width = np.diff(ends)
+    window = 8192
     while made < count and at + least + 1 <= bits:
-        n = int(np.searchsorted(ends, bits - at, "right")) - 1
-        n = min(n, len(width))
-        codes = unpack(at + ends[:n], width[:n])
+        # each code gives a sample at least; one more finds the code that ends the run
+        most = min(count - made + 1, (bits - at) // (least + 1), window)
+        begin = _begins(least, most)
+        n = int(np.searchsorted(begin, bits - at, "right")) - 1
+        codes = unpack(at + begin[:n], np.diff(begin[: n + 1]))
         halt = np.flatnonzero((codes == clear) | (codes == stop))
+        if not len(halt) and n == window:
+            window *= 4
+            continue
         used = int(halt[0]) if len(halt) else n
         run = codes[:used]
         if len(run):
@@ -161,9 +175,11 @@ def lzw_decode(stream: bytes, least: int, count: int) -> np.ndarray:
             made += len(part)
         if not len(halt) or codes[used] == stop:
             break
-        at += int(ends[used + 1])
+        at += int(begin[used + 1])
     got = np.concatenate(out)[:count] if out else np.zeros(0, np.uint8)
-    return got if len(got) == count else np.concatenate([got, np.zeros(count - len(got), np.uint8)])
+    if len(got) < count:
+        raise ValueError("an LZW stream that ends early")
+    return got
 
 
 def _expand(codes: list[int], clear: int) -> np.ndarray:
@@ -188,9 +204,20 @@ def _interlaced(rows: int) -> np.ndarray:
 
 
 def read_gif(raw: bytes) -> list[Frame]:
-    """All frames, composed by disposal method and transparency."""
+    """All frames, composed by disposal method and transparency.
+
+    Parts of a frame beyond the canvas are not shown.  Bytes that are no GIF, or a GIF
+    that is cut off, are an error (ValueError).
+    """
     if raw[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
+    try:
+        return _frames(raw)
+    except (IndexError, struct.error) as cut:
+        raise ValueError("a GIF that is cut off") from cut
+
+
+def _frames(raw: bytes) -> list[Frame]:
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", raw, 6)
     at = 13
     common = None
@@ -237,13 +264,14 @@ def read_gif(raw: bytes) -> list[Frame]:
             raise ValueError("a frame without a palette")
         before = canvas.copy() if disposal == 3 else None
         area = canvas[top : top + h, left : left + w]
+        inside = samples[: area.shape[0], : area.shape[1]]
         colours = np.full((max(256, len(palette)), 4), 255, np.uint8)
         colours[: len(palette), :3] = palette
         if clear_index >= 0:
-            solid = samples != clear_index
-            area[solid] = colours[samples[solid]]
+            solid = inside != clear_index
+            area[solid] = colours[inside[solid]]
         else:
-            area[:] = colours[samples]
+            area[:] = colours[inside]
         frames.append(Frame(left, top, start, delay, disposal, samples, canvas.copy()))
         if disposal == 2:
             area[:] = 0
@@ -324,7 +352,8 @@ def media_digests(stored: DataFrame) -> DataFrame:
     """doc_id, n_bytes and, from the stored bytes alone, digests of payload and medium and a feature.
 
     The payload is the red channel of every frame as it is shown, in order; the feature
-    names frames, seconds and the summed colour histogram over its four grey cells.
+    names frames, time and the summed colour histogram over its four grey cells.  Null
+    media have nulls in all of these; a GIF without frames has an empty payload.
     """
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
@@ -332,14 +361,18 @@ def media_digests(stored: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for raw in batch.column(2).to_pylist():
+                if raw is None:
+                    out.append((None,) * 6)
+                    continue
                 shown = read_gif(raw)
                 payload = b"".join(
                     f.canvas[f.top : f.top + f.samples.shape[0], f.left : f.left + f.samples.shape[1], 0].tobytes() for f in shown
                 )
-                total = np.sum([histogram(f) for f in shown], axis=0)
-                feature = f"frames={len(shown)};ticks={shown[-1].start + shown[-1].delay};grey=" + ",".join(str(total[21 * k]) for k in range(4))
+                total = np.sum([np.zeros(64, int), *(histogram(f) for f in shown)], axis=0)
+                ticks = shown[-1].start + shown[-1].delay if shown else 0
+                feature = f"frames={len(shown)};ticks={ticks};grey=" + ",".join(str(total[21 * k]) for k in range(4))
                 out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(raw), hashlib.sha256(raw).hexdigest(), feature))
-            cols = list(zip(*out))
+            cols = list(zip(*out)) or [()] * 6
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
 

@@ -56,8 +56,8 @@ def test_documents(spark):
     assert {r.doc_id: bytes(r.decoded).decode() for r in back.collect()} == {i: t or "" for i, t in enumerate(TEXTS)}
 
 
-def lzw(samples, least):
-    """A plain compressing encoder, to test the decoder's dictionary."""
+def lzw(samples, least, defer=False):
+    """A plain compressing encoder, to test the decoder's dictionary; with ``defer`` a full table stays."""
     clear, out, nbits, acc = 1 << least, bytearray(), 0, 0
 
     def put(code, width):
@@ -82,7 +82,7 @@ def lzw(samples, least):
             nxt += 1
             if nxt > 1 << width and width < 12:
                 width += 1
-        else:
+        elif not defer:
             put(clear, width)
             table, width, nxt = {bytes([i]): i for i in range(clear)}, least + 1, clear + 2
         word = bytes([s])
@@ -104,6 +104,24 @@ def test_lzw_streams(least):
             assert (gif_media.lzw_decode(lzw(samples.tolist(), least), least, n) == samples).all()
 
 
+@pytest.mark.parametrize("least", [2, 8])
+def test_a_full_table_stays_until_a_clear_code(least):
+    for n in (6000, 20000, 60000):
+        samples = np.random.default_rng(n).integers(0, 1 << least, n).astype(np.uint8)
+        assert (gif_media.lzw_decode(lzw(samples.tolist(), least, True), least, n) == samples).all()
+
+
+def test_streams_that_end_early_are_an_error():
+    stream = lzw([1, 2, 3] * 50, 2)
+    for bad in (stream[:10], b""):
+        with pytest.raises(ValueError):
+            gif_media.lzw_decode(bad, 2, 150)
+    whole = gif_media.write_gif(bytes(640))
+    for bad in (b"", b"GIF89a", whole[:-20], b"PNG" + whole):
+        with pytest.raises(ValueError):
+            gif_media.read_gif(bad)
+
+
 def test_payload_round_trip():
     for n in (64, 128, 254 * 64, 64 * 512, 64 * 1300):
         payload = bytes(i * 7 % 256 for i in range(n))
@@ -153,6 +171,26 @@ def test_media_columns(spark):
     assert gif_media.media_digests(gif_media.store_texts(docs.limit(0))).count() == 0
 
 
+def test_null_and_frameless_media(spark):
+    bare = b"GIF89a" + bytes([4, 0, 4, 0, 0x80, 0, 0]) + bytes(6) + b"\x3b"
+    rows = gif_media.media_digests(spark.createDataFrame([(1, 0, None), (2, 0, bare)], "doc_id long, n_bytes long, media binary")).collect()
+    none, empty = sorted(rows, key=lambda r: r.doc_id)
+    assert none.payload_sha256 is None and none.feature is None and none.media_bytes is None
+    assert (empty.payload_bytes, empty.media_bytes, empty.tail_crc32) == (0, len(bare), 0) and empty.feature == "frames=0;ticks=0;grey=0,0,0,0"
+    over = b"GIF89a" + bytes([2, 0, 2, 0, 0x80, 0, 0]) + bytes([0, 0, 0, 255, 255, 255])
+    data = lzw([1] * 16, 2)
+    over += bytes([0x2C, 1, 0, 1, 0, 4, 0, 4, 0, 0, 2, len(data)]) + data + b"\0\x3b"
+    assert gif_media.read_gif(over)[0].canvas[:, :, 3].tolist() == [[0, 0], [0, 255]]
+
+
+def test_a_text_over_a_mebibyte(spark):
+    text = "é" + "".join(chr(33 + i * 7919 % 90) for i in range(1_200_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    raw = text.encode()
+    row = gif_media.media_digests(gif_media.store_texts(docs)).first()
+    assert row.n_bytes == len(raw) and row.payload_sha256 == hashlib.sha256(raw + bytes(-len(raw) % 64)).hexdigest()
+
+
 def test_warc_derivatives(spark):
     page = '<html><head><title> A &amp; B </title></head><body><script>no()</script><p>one <b>two</b></p><a href="/x?a=1&amp;b=2">three</a></body></html>'
     rows = [(1, "http://a/", page), (1, "http://a/", page), (2, None, None), (None, "http://b/", "")]
