@@ -3,9 +3,9 @@
 The lexicon keeps the terms whose share of documents lies in a band, that is, whose
 inverse document frequency does.  Its size is at most (mean distinct terms of a document)
 / (lower share), whatever the corpus size; it is counted before it is broadcast, and
-joined by shuffle beyond LEXICON_ROWS.  It is dealt at random into subsets, which
-together hold all of it; the fingerprint is one hash for each subset: that of the
-document's sorted distinct terms in it.
+joined by shuffle beyond LEXICON_ROWS.  The fingerprint has one 64-bit hash of the
+document's sorted distinct terms for the whole lexicon and one for each of several
+subsets of it, drawn at random and independently of each other.
 """
 
 from __future__ import annotations
@@ -18,20 +18,14 @@ from ..runtime import materialise, parallelism
 #: Shares of documents between which a term is in the lexicon.
 BAND = (0.002, 0.2)
 
-#: Random subsets of the lexicon, and the share of it that each holds: half of them are
-#: for texts of usual length, half, much smaller, still tell long texts apart.  The last
-#: holds all other terms.
-SUBSETS, SHARES = 64, (128, 1024)
-
-#: A text of at most so many distinct terms keeps all of them: the band would leave too few.
-#: So does a longer text without terms in the band.
-SHORT = 32
+#: How many random subsets, and one term in how many each of them holds.
+SUBSETS = ((20, 64), (11, 256))
 
 #: Lexicon entries (16 bytes each) up to which it is broadcast.
 LEXICON_ROWS = 1_000_000
 
 #: The mark of a subset without terms.
-NONE = "----"
+NONE = "-" * 16
 
 
 def terms(text: Column) -> Column:
@@ -58,14 +52,17 @@ def likeness(a: str, b: str) -> Column:
     return F.when(used > 0, same / used).otherwise(F.lit(1.0))
 
 
-def subset_of(term: str, subsets: int) -> str:
-    """SQL of the one subset that holds a term: the last where no smaller one does."""
-    low, high, half = f"pmod(shiftrightunsigned({term}, 20), {SHARES[0]})", f"pmod(shiftrightunsigned({term}, 20), {SHARES[1]})", subsets // 2
-    return f"cast(CASE WHEN {low} < {half} THEN {low} WHEN {high} >= {half} AND {high} < {subsets} THEN {high} ELSE {subsets - 1} END AS int)"
+def subsets_of(term: str, subsets: tuple[tuple[int, int], ...] = SUBSETS) -> str:
+    """SQL of the subsets that hold a term: 0, the whole lexicon, and those that its hash with their number falls to."""
+    parts, first = [], 1
+    for many, one_in in subsets:
+        parts.append(f"filter(sequence({first}, {first + many - 1}), j -> pmod(xxhash64({term}, j), {one_in}) = 0)")
+        first += many
+    return f"concat(array(0), {', '.join(parts)})"
 
 
-def _subset_hashes(members: str, subsets: int) -> Column:
-    """The hash of each subset's terms as four hex digits, from structs (subset, term) in order.
+def _subset_hashes(members: str, many: int) -> Column:
+    """The hash of each subset's terms as sixteen hex digits, from structs (j, term) in order.
 
     One pass chains the terms' hashes within each subset.
     """
@@ -75,8 +72,8 @@ def _subset_hashes(members: str, subsets: int) -> Column:
         " (a, x) -> if(x.j = a.j, named_struct('j', a.j, 'h', xxhash64(a.h, x.term), 'made', a.made),"
         f" named_struct('j', x.j, 'h', xxhash64(x.term), 'made', {done})), a -> map_from_entries({done}))"
     )
-    digits = "lpad(lower(hex(try_element_at(m, j) & 65535)), 4, '0')"
-    return F.expr(f"transform(array({chained}), m -> transform(sequence(0, {subsets - 1}), j -> coalesce({digits}, '{NONE}')))[0]")
+    digits = "lpad(lower(hex(try_element_at(m, j))), 16, '0')"
+    return F.expr(f"transform(array({chained}), m -> transform(sequence(0, {many}), j -> coalesce({digits}, '{NONE}')))[0]")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -126,14 +123,16 @@ def with_next(docs: DataFrame) -> DataFrame:
     )
 
 
-def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, subsets: int = SUBSETS) -> DataFrame:
+def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, subsets: tuple[tuple[int, int], ...] = SUBSETS) -> DataFrame:
     """Fingerprints of all texts and of their edited forms, and how near each comes.
 
     The edited text has its last quarter (n_chars // 4 code points) replaced by as many of
     the next document's first ones, by ascending doc_id, the first after the last.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next.  A null text counts as empty; only texts without terms have the empty
-    fingerprint, and equal texts equal fingerprints.  Repeated rows are kept, extra columns ignored.
+    near_next.  A text without terms of the lexicon is printed by all its terms, so only
+    texts without terms (null, empty, no letters or digits) have the empty fingerprint.
+    Equal texts have equal fingerprints.  Repeated rows are kept, extra columns ignored;
+    an empty table gives an empty result.
     """
     known, size = lexicon(docs, band)
     rows = with_next(docs)
@@ -150,20 +149,21 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, subsets: int
     sided = [f"transform({part}, t -> struct(t AS term, {side} AS side, if(false, {row}, null) AS row))" for side, part in parts.items()]
     each = both.select("block", "at", F.explode(F.expr(f"concat(array(struct(xxhash64(block, at) AS term, 0 AS side, {row} AS row)), {', '.join(sided)})")).alias("x"))
     each = each.select("block", "at", "x.*")
-    marked = known.withColumn("known", F.lit(True))
+    marked = known.withColumn("js", F.expr(subsets_of("term", subsets)))
     if size <= LEXICON_ROWS:
         marked = F.broadcast(marked)
-    each = each.join(marked, "term", "left").where("side = 0 OR known")
+    each = each.join(marked, "term", "left").where("side = 0 OR js IS NOT NULL").withColumn("member", F.struct("js", "term"))
     sets = each.groupBy("block", "at").agg(
         F.max("row").alias("row"),
-        F.collect_list(F.when(F.col("side").isin(1, 3), F.col("term"))).alias("own"),
-        F.collect_list(F.when(F.col("side").isin(2, 3), F.col("term"))).alias("new"),
+        F.collect_list(F.when(F.col("side").isin(1, 3), F.col("member"))).alias("own"),
+        F.collect_list(F.when(F.col("side").isin(2, 3), F.col("member"))).alias("new"),
     )
     for side in ("own", "new"):
-        used = f"if(size(row.{side}) <= {SHORT} OR size({side}) = 0, row.{side}, {side})"
-        sets = sets.withColumn(side, F.expr(f"sort_array(transform({used}, t -> struct({subset_of('t', subsets)} AS j, t AS term)))"))
+        used = f"if(size({side}) = 0, transform(row.{side}, t -> struct({subsets_of('t', subsets)} AS js, t AS term)), {side})"
+        sets = sets.withColumn(side, F.expr(f"sort_array(flatten(transform({used}, x -> transform(x.js, j -> struct(j AS j, x.term AS term)))))"))
     sets = sets.select("block", "at", "row.copy", "row.doc_id", "row.n_chars", "row.edited_sha256", "own", "new")
-    made = sets.withColumn("print", _subset_hashes("own", subsets)).withColumn("edited_print", _subset_hashes("new", subsets))
+    many = sum(n for n, _ in subsets)
+    made = sets.withColumn("print", _subset_hashes("own", many)).withColumn("edited_print", _subset_hashes("new", many))
     made = made.withColumn("next_print", F.expr("lead(print) OVER (PARTITION BY block ORDER BY at)")).where("NOT copy")
     return made.select(
         "doc_id",
