@@ -7,11 +7,13 @@
    sum(r * tokens * posterior), meet the targets in the least-squares sense.
 
 The gradient of a document depends on the others through the residual alone, one number
-for each domain, so a step is one narrow aggregation.  The steps are scaled by token
+for each domain, so a step is one narrow aggregation.  The first steps are scaled by token
 counts, document by document, and by the inverse of the domains' joint token matrix, in
-which documents at a bound count less.
-Rates follow from the residuals of all steps, which are kept as small literals, so no
-per-document state is written between steps.
+which documents at a bound count less: they meet targets that can be met in a few rounds.
+Where they stall, targets cannot all be met, and accelerated steps of plain projected
+gradient (scaled by token counts alone, of length 1 / the matrix's greatest eigenvalue) go on
+to the least-squares optimum, which a bound by duality confirms.  Rates follow from the residuals of the last steps, which are
+kept as small literals; per-document state is written every few rounds only.
 """
 
 from __future__ import annotations
@@ -46,12 +48,13 @@ def train(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE, vocabulary
     """(domains, log priors, model): model has a row (word, logs), logs by domain.
 
     ``labelled`` has doc_id and domain.  Rows with nulls are left out; a document with
-    several domains counts for each.  Words count once a document.  Without labelled
-    documents there are no domains.
+    several domains counts for each; of rows that share a doc_id the least text counts.
+    Words count once a document.  Without labelled documents there are no domains.
     """
     known = labelled.where("doc_id IS NOT NULL AND domain IS NOT NULL").select("doc_id", "domain").distinct()
     picked = known.orderBy(F.xxhash64("doc_id"), "doc_id", "domain").limit(sample)
     rows = docs.where("text IS NOT NULL").select(F.col("doc_id"), F.col("text").alias("body")).join(F.broadcast(picked), "doc_id")
+    rows = materialise(rows.groupBy("doc_id", "domain").agg(F.min("body").alias("body")), "mix-sample")
     sizes = {r.domain: r.n for r in rows.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     domains = sorted(sizes)
     if len(domains) > MAX_DOMAINS:
@@ -115,32 +118,79 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [a[i][n] / a[i][i] for i in range(n)]
 
 
+#: Steps after which the plain steps write their state, so that a rate folds over no more.
+_WRITE = 16
+
+
+def _clip(rate: str, most: float | None, least: float) -> str:
+    low = f"greatest({least!r}D, {rate})"
+    return low if most is None else f"least({most!r}D, {low})"
+
+
+def _rows_of(steps: list[list[float]]) -> str:
+    return "array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in s) + ")" for s in steps) + ")"
+
+
+_DOT = "aggregate(zip_with(p, s, (x, y) -> x * y), 0D, (a, b) -> a + b)"
+
+
 def _rate(steps: list[list[float]], most: float | None, least: float) -> str:
     """SQL of a document's rate after all steps: each projects onto least <= r (<= most)."""
     if not steps:
         return "1D"
-    moves = "array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in s) + ")" for s in steps) + ")"
-    dot = "aggregate(zip_with(p, s, (x, y) -> x * y), 0D, (a, b) -> a + b)"
-    inner = f"greatest({least!r}D, r - {dot})"
-    if most is not None:
-        inner = f"least({most!r}D, {inner})"
-    return f"aggregate({moves}, 1D, (r, s) -> {inner})"
+    return f"aggregate({_rows_of(steps)}, 1D, (r, s) -> {_clip(f'r - {_DOT}', most, least)})"
+
+
+def _accelerated(steps: list[list[float]], most: float | None, least: float) -> str:
+    """SQL of (rate, the one before) after steps with momentum; a step is its momentum, then its move by domain."""
+    start = "named_struct('rate', rate, 'before', before)"
+    if not steps:
+        return start
+    dot = "aggregate(zip_with(p, slice(s, 2, size(p)), (x, y) -> x * y), 0D, (a, b) -> a + b)"
+    new = _clip(f"r.rate + s[0] * (r.rate - r.before) - {dot}", most, least)
+    return f"aggregate({_rows_of(steps)}, {start}, (r, s) -> named_struct('rate', {new}, 'before', r.rate))"
+
+
+def _totals(rate: str, k: int) -> list:
+    return [F.coalesce(F.sum(F.col(rate) * F.col("tokens") * F.col("p")[i]), F.lit(0.0)) for i in range(k)]
+
+
+def _greatest_eigenvalue(matrix: list[list[float]]) -> float:
+    """Of a matrix without negative entries; power iteration, a little above."""
+    x, top = [1.0] * len(matrix), 0.0
+    for _ in range(100):
+        y = [sum(a * b for a, b in zip(row, x)) for row in matrix]
+        top = max(y, default=0.0)
+        if top <= 0:
+            break
+        x = [v / top for v in y]
+    return 1.001 * top or 1.0
 
 
 def fit_rates(
-    memberships: DataFrame, targets: list[float], rounds: int = 40, tolerance: float = 1e-6, most: float | None = None, least: float = 0.0
+    memberships: DataFrame,
+    targets: list[float],
+    rounds: int = 40,
+    tolerance: float = 1e-6,
+    most: float | None = None,
+    least: float = 0.0,
+    plain_rounds: int = 400,
 ) -> tuple[DataFrame, list[float]]:
     """``memberships`` (tokens, p) with rate, and the relative residual of each domain.
 
-    ``targets`` are token totals by position in p.  Steps end when every residual is
-    within ``tolerance`` of the total target, no longer shrinks, or after ``rounds``.  An unreachable target
-    (a domain that no document belongs to) leaves its residual.  ``most`` bounds rates above, ``least`` (0 or more) below.
+    ``targets`` are token totals by position in p.  Scaled steps end when every residual is
+    within ``tolerance`` of the total target, or no longer shrinks, or after ``rounds``.  If targets
+    cannot all be met, up to ``plain_rounds`` plain steps lead to the rates of least squared
+    residuals; they end when the sum of squares is within 1 % of the optimum, by a bound from
+    duality.
+    ``most`` bounds rates above, ``least`` (0 or more) below.
     """
     targets = [float(t) for t in targets]
     k = len(targets)
     total = sum(targets) or 1.0
     steps: list[list[float]] = []
     worst: list[float] = []
+    whole: list[list[float]] = []
     while True:
         rated = memberships.withColumn("rate", F.expr(_rate(steps, most, least)))
         # documents at a bound hardly follow a step and count less; they keep the matrix regular
@@ -148,16 +198,79 @@ def fit_rates(
         free = free | F.lit(not steps)
         moved = F.when(free, F.col("tokens")).otherwise(F.col("tokens") * HELD)
         sums = rated.agg(
-            *[F.coalesce(F.sum(F.col("rate") * F.col("tokens") * F.col("p")[i]), F.lit(0.0)).alias(f"t{i}") for i in range(k)],
+            *[x.alias(f"t{i}") for i, x in enumerate(_totals("rate", k))],
             *[F.coalesce(F.sum(moved * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)],
         ).first()
         residual = [float(sums[f"t{i}"]) - targets[i] for i in range(k)]
+        matrix = [[float(sums[f"g{min(i, j)}_{max(i, j)}"]) for j in range(k)] for i in range(k)]
+        whole = whole or matrix
         worst.append(max((abs(x) / total for x in residual), default=0.0))
-        stalled = len(worst) > 4 and worst[-1] > 0.9 * worst[-5]
-        if worst[-1] <= tolerance or stalled or len(steps) >= rounds:
+        if worst[-1] <= tolerance:
             return rated, [x / total for x in residual]
-        matrix = [[float(sums[f"g{min(i, j)}_{max(i, j)}"]) for j in range(k)] for i in range(k)]
+        if len(worst) > 4 and worst[-1] > 0.9 * worst[-5] or len(steps) >= rounds:
+            break
         steps.append(_solve(matrix, residual))
+    return _least_squares(rated, targets, _greatest_eigenvalue(whole), plain_rounds, most, least)
+
+
+def _least_squares(rated: DataFrame, targets: list[float], widest: float, rounds: int, most: float | None, least: float) -> tuple[DataFrame, list[float]]:
+    """Accelerated projected gradient from the rates given.
+
+    A step is 1 / the greatest eigenvalue of the matrix over the documents off their
+    bounds, which grows as documents come to rest there.  Where the squares grow, momentum
+    starts anew and steps fall back towards 1 / ``widest``, that over all documents, which is safe.
+    """
+    k, total = len(targets), sum(targets) or 1.0
+    names = rated.columns
+    state = materialise(rated.withColumn("before", F.col("rate")), "mix-state")
+    steps: list[list[float]] = []
+    squares: list[float] = []
+    speed, trust = 1.0, 1.0
+    free = F.col("rate") > least if most is None else (F.col("rate") > least) & (F.col("rate") < most)
+    moved = F.when(free, F.col("tokens")).otherwise(0)
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    while True:
+        now = state.withColumn("now", F.expr(_accelerated(steps, most, least))).withColumn("rate", F.col("now.rate")).withColumn("before", F.col("now.before")).drop("now")
+        if len(steps) >= _WRITE:
+            state, steps = materialise(now, "mix-state"), []
+            now = state
+        sums = now.agg(
+            *[x.alias(f"t{i}") for i, x in enumerate(_totals("rate", k))],
+            *[x.alias(f"b{i}") for i, x in enumerate(_totals("before", k))],
+            *[F.coalesce(F.sum(moved * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i, j in cells],
+        ).first()
+        at = [float(sums[f"t{i}"]) - targets[i] for i in range(k)]
+        was = [float(sums[f"b{i}"]) - targets[i] for i in range(k)]
+        squares.append(sum(x * x for x in at))
+        done = len(squares) > rounds
+        if done or len(squares) % 10 == 0 and _excess(now, targets, at, most, least) <= 0.01 * squares[-1]:
+            return now.select(*names), [x / total for x in at]
+        if len(squares) > 1 and squares[-1] > squares[-2]:
+            speed, trust = 1.0, trust / 4
+        else:
+            trust = min(1.3 * trust, 1.0)
+        matrix = [[float(sums[f"g{min(i, j)}_{max(i, j)}"]) for j in range(k)] for i in range(k)]
+        near = _greatest_eigenvalue(matrix) if any(map(any, matrix)) else widest
+        step = 1 / (min(near, widest) ** trust * widest ** (1 - trust))
+        faster = (1 + (1 + 4 * speed * speed) ** 0.5) / 2
+        momentum = (speed - 1) / faster
+        speed = faster
+        # totals are linear, so the residual at the point ahead needs no job of its own
+        steps.append([momentum, *(step * (a + momentum * (a - b)) for a, b in zip(at, was))])
+
+
+def _excess(rated: DataFrame, targets: list[float], residual: list[float], most: float | None, least: float) -> float:
+    """How far, at most, the sum of squares lies above the optimum: its distance from a bound by duality."""
+    slope = F.expr(f"aggregate(zip_with(p, array({', '.join(f'{x!r}D' for x in residual)}), (x, y) -> x * y), 0D, (a, b) -> a + b)")
+    k = len(targets)
+    if most is None:  # posteriors sum to 1, so a shift of all residuals lifts all slopes to 0 at least
+        found = rated.agg(F.min(slope).alias("low"), *[F.coalesce(F.sum(F.col("tokens") * F.col("p")[i]), F.lit(0.0)).alias(f"a{i}") for i in range(k)]).first()
+        y = [x + max(0.0, -float(found["low"] or 0.0)) for x in residual]
+        bound = least * sum(v * float(found[f"a{i}"]) for i, v in enumerate(y))
+    else:
+        y = residual
+        bound = float(rated.agg(F.coalesce(F.sum(F.col("tokens") * (least * F.greatest(slope, F.lit(0.0)) + most * F.least(slope, F.lit(0.0)))), F.lit(0.0)).alias("x")).first()["x"])
+    return sum(x * x for x in residual) - 2 * (bound - sum(v * t for v, t in zip(y, targets))) + sum(v * v for v in y)
 
 
 def mix_rates(
@@ -171,7 +284,7 @@ def mix_rates(
     least: float = 0.0,
     totals: Callable[[dict[str, float]], dict[str, float]] | None = None,
 ) -> DataFrame:
-    """One row a document: doc_id, text_hash, tokens, domains, p, rate and copies.
+    """One row a document: doc_id, text_hash, tokens, domains, p, rate, copies and residuals.
 
     ``weights`` are target shares of tokens by domain (all alike if None; scaled to sum
     to 1; a domain left out gets 0).  ``budget`` is the total of expected tokens, by
@@ -179,7 +292,8 @@ def mix_rates(
     the expected ones of the corpus.  ``copies`` rounds the rate at random by a hash of
     doc_id and text, so its mean is the rate.  Documents without tokens have rate 1 and
     the priors.  Rows equal in doc_id and text count together and share one result row.
-    Without domains, all rates are 1.
+    ``residuals`` says by how much of the total target each domain misses its own, the same in
+    all rows.  Without domains, all rates are 1.
     """
     domains, priors, model = train(docs, labelled, sample, vocabulary)
     names = domains or ["all"]
@@ -191,7 +305,7 @@ def mix_rates(
     else:
         shares = {d: 1.0 if weights is None or not domains else float(weights.get(d, 0.0)) for d in names}
         wanted = {d: (budget or sum(have.values())) * s / (sum(shares.values()) or 1.0) for d, s in shares.items()}
-    rated, _ = fit_rates(member, [float(wanted.get(d, 0.0)) for d in names], most=most, least=least)
+    rated, missed = fit_rates(member, [float(wanted.get(d, 0.0)) for d in names], most=most, least=least)
     empty = docs.where("NOT coalesce(text, '') rlike '[^ \\t\\n\\x0B\\f\\r]'").select("doc_id", F.hash("text").alias("text_hash")).distinct()
     total = sum(math.exp(x) for x in priors) or 1.0
     prior = F.array(*[F.lit(math.exp(x) / total) for x in priors] or [F.lit(1.0)])
@@ -199,13 +313,17 @@ def mix_rates(
     both = rated.select("doc_id", "text_hash", "tokens", "p", "rate").unionByName(rest)
     spread = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return both.select(
-        "doc_id", "text_hash", "tokens", F.array(*[F.lit(d) for d in names]).alias("domains"), "p", "rate", F.floor(F.col("rate") + spread).cast("int").alias("copies")
+        "doc_id", "text_hash", "tokens", F.array(*[F.lit(d) for d in names]).alias("domains"), "p", "rate", F.floor(F.col("rate") + spread).cast("int").alias("copies"),
+        F.array(*[F.lit(x) for x in missed]).alias("residuals"),
     )
 
 
 def mixed(docs: DataFrame, rates: DataFrame) -> DataFrame:
-    """``docs`` with every row as many times as its ``copies`` in ``rates`` (of mix_rates) say."""
-    held = rates.select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t"), "copies").where("copies > 0")
-    body = docs.withColumn("__h", F.hash("text"))
-    joined = body.join(held, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")))
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    """``docs`` with every row as many times as its ``copies`` in ``rates`` (of mix_rates) say.
+
+    All columns stay, whatever their names.
+    """
+    held = rates.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "copies").where("copies > 0")
+    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    joined = body.join(held, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.hash("row.text") == F.col("t")))
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
