@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import small_batches
+from ..runtime import materialise, small_batches
 from .textvec import ALNUM, PrefixHash, blocks, flat, mix, words
 
 _U = np.uint64
@@ -33,6 +33,9 @@ HASH_BITS = 18
 #: Texts of each label that a fit reads at most: a stated sample, taken by a hash of doc_id.
 SAMPLE = {1: 2500, 0: 5000}
 
+#: Bytes of these texts, of each label, that come to the driver at most: whole texts in the order of the sample.
+SAMPLE_BYTES = 16_000_000
+
 #: Groups of terms that may stand for one another (a parameter; these are plain examples).
 IDENTITY_TERMS = (
     ("women", "men"),
@@ -257,20 +260,27 @@ def fit(
     return Model(weights, float(b + np.log(threshold / (1 - threshold)) - cut))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: dict[int, int] | None = None) -> tuple[list, list]:
-    """Texts and labels of at most ``sample[l]`` rows of each label l, the first by hash of doc_id.
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: dict[int, int] | None = None, most_bytes: int = SAMPLE_BYTES
+) -> tuple[list, list]:
+    """Texts and labels of at most ``sample[l]`` documents of each label l, the first by hash of doc_id.
 
     Rows with a null label, doc_id or text are left out; a doc_id labelled more than once
-    counts once, with the larger label.
+    counts once, with the larger label; of rows that share a doc_id the least text counts.
+    Of each label, the first texts that ``most_bytes`` hold together are taken, whole.
     """
     sample = sample or SAMPLE
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("__label"))
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
     picked = None
     for value, most in sample.items():
-        one = known.where(F.col("__label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        one = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = one if picked is None else picked.unionByName(one)
-    # a few thousand ids at most: the sizes in ``sample`` bound what is broadcast and collected
-    found = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "__label").collect()
+    # a few thousand ids at most: the sizes in ``sample`` bound what is broadcast
+    rows = docs.where("text IS NOT NULL").select("doc_id", F.col("text").alias("body")).join(F.broadcast(picked), "doc_id")
+    rows = materialise(rows.groupBy("doc_id", "label").agg(F.min("body").alias("body")), "toxic-sample")
+    order = "PARTITION BY label ORDER BY xxhash64(doc_id), doc_id"
+    sized = rows.select("doc_id", "body", "label", F.octet_length("body").alias("bytes")).withColumn("upto", F.expr(f"sum(bytes) OVER ({order})"))
+    found = sized.where(F.col("upto") <= most_bytes).select("doc_id", "body", "label").collect()
     found.sort(key=lambda r: (r[0], r[1]))
     return [r[1] for r in found], [r[2] for r in found]
 

@@ -1,11 +1,14 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 from marginalia.llm import imatch, mixing, queries, token_order, toxicity, url_filter
@@ -83,6 +86,19 @@ def test_toxicity_query(spark, tmp_path):
         assert none.score(pa.array([""]))[0] < 1e-6
 
 
+def test_the_sample_is_bounded(spark):
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(i, f"other {i}") for i in range(2, 40)] + [(None, "x"), (50, None)], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 0), (2, None), (None, 1)], "doc_id long, toxic int").withColumn("label", F.lit(7))
+    texts, marks = toxicity.labelled_sample(docs, labels, sample={1: 5, 0: 5})
+    assert len(texts) <= 10 and marks.count(1) <= 5 and len(set(texts)) == len(texts)
+    texts, marks = toxicity.labelled_sample(docs, labels, sample={1: 100, 0: 100})
+    assert texts.count("text 0") == 1 and len(texts) == 39 and marks[texts.index("text 0")] == 1
+    texts, _ = toxicity.labelled_sample(docs, labels, sample={1: 100, 0: 100}, most_bytes=30)
+    assert 0 < sum(map(len, texts)) <= 60
+    assert toxicity.labelled_sample(docs.limit(0), labels) == ([], [])
+
+
 def test_permutation():
     for n in (1, 2, 5, 16, 17, 1000, 4097):
         slots = token_order.permute(np.arange(n), n, 7)
@@ -145,20 +161,68 @@ def test_different_short_texts_have_different_fingerprints(spark):
     texts += [" ".join(f"rare{i}x{k}" for k in range(40)) for i in range(5)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r for r in imatch.fingerprints(docs).collect()}
-    empty = imatch.NONE * imatch.SUBSETS
+    empty = imatch.NONE * (1 + sum(n for n, _ in imatch.SUBSETS))
     assert {i for i, r in got.items() if r.fingerprint == empty} == {80, 81, 82}
     assert len({r.fingerprint for r in got.values()}) == len(texts) - 2
     assert got[0].near_next == 0.0 and got[83].near_next == 0.0 and got[81].near_next == 1.0
 
 
-def test_subsets_cover_all_terms(spark):
-    rows = spark.range(20_000).select(F.xxhash64("id").alias("t")).select(F.expr(imatch.subset_of("t", imatch.SUBSETS)).alias("j"))
-    sizes = {r.j: r["count"] for r in rows.groupBy("j").count().collect()}
-    assert set(sizes) == set(range(imatch.SUBSETS)) and sum(sizes.values()) == 20_000
-    assert sizes[0] < 300 and sizes[40] < 60
+def _signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _hash(value, seed=42):
+    """Spark's xxhash64 of a string, a long or (as a tuple) an int, as an unsigned number."""
+    raw = value.encode() if isinstance(value, str) else value[0].to_bytes(4, "little") if isinstance(value, tuple) else (value % (1 << 64)).to_bytes(8, "little")
+    return xxhash.xxh64_intdigest(raw, seed)
+
+
+def _print(text, lexicon):
+    """The fingerprint by plain loops."""
+    terms = {_signed(_hash(w)) for w in regex.split(r"[^\p{L}\p{N}]+", text.lower()) if w}
+    held = sorted((terms & lexicon) or terms)
+    out, first = [], 1
+    members = [held]
+    for many, one_in in imatch.SUBSETS:
+        for j in range(first, first + many):
+            members.append([t for t in held if _signed(_hash((j,), _hash(t))) % one_in == 0])
+        first += many
+    for m in members:
+        h = None
+        for t in m:
+            h = _hash(t, 42 if h is None else _hash(h))
+        out.append(imatch.NONE if h is None else f"{h:016x}")
+    return out
+
+
+def _alike(a, b):
+    used = [(x, y) for x, y in zip(a, b) if x != imatch.NONE or y != imatch.NONE]
+    return sum(x == y for x, y in used) / len(used) if used else 1.0
 
 
-def test_rates_meet_targets_like_a_dense_solver(spark):
+def test_fingerprints_match_plain_loops(spark):
+    rnd = random.Random(11)
+    words = [f"w{i}" for i in range(300)] + ["été", "Straße", "语言"]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.choice([1, 5, 40, 300]))) for _ in range(40)] + ["", "only here", "w1" * 9, None]
+    texts.append(" ".join(rnd.choice(words) for _ in range(200_000)))  # over a mebibyte
+    assert len(texts[-1]) > 1 << 19
+    texts += texts[:3]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("term", F.lit("x"))
+    df = Counter(_signed(_hash(w)) for t in texts for w in {x for x in regex.split(r"[^\p{L}\p{N}]+", (t or "").lower()) if x})
+    band = (0.05, 0.4)
+    lexicon = {w for w, n in df.items() if max(2, band[0] * len(texts)) <= n <= max(2, band[1] * len(texts))}
+    plain = [t or "" for t in texts]
+    edited = [t[: len(t) - len(t) // 4] + plain[(i + 1) % len(plain)][: len(t) // 4] for i, t in enumerate(plain)]
+    own, new = [_print(t, lexicon) for t in plain], [_print(t, lexicon) for t in edited]
+    got = {r.doc_id: r for r in imatch.fingerprints(docs, band).collect()}
+    assert len(got) == len(texts)
+    for i in range(len(texts)):
+        assert got[i].fingerprint == "".join(own[i]) and got[i].edited_fingerprint == "".join(new[i]), i
+        assert got[i].near_edited == pytest.approx(_alike(own[i], new[i]))
+        assert got[i].near_next == pytest.approx(_alike(own[i], own[(i + 1) % len(own)]))
+
+
+def test_rates_meet_targets(spark):
     rng = np.random.default_rng(1)
     p = rng.dirichlet([0.4] * 3, 200)
     tokens = rng.integers(1, 500, 200).astype(float)
@@ -168,22 +232,62 @@ def test_rates_meet_targets_like_a_dense_solver(spark):
     rate = np.array([r.rate for r in sorted(rated.collect(), key=lambda r: r.doc_id)])
     assert max(map(abs, residual)) < 1e-6 and (rate >= 0).all()
     assert np.allclose((rate * tokens) @ p, target, rtol=1e-4)
-    # the same steps by dense algebra
-    dense = np.ones(200)
-    for step in range(40):
-        r = (dense * tokens) @ p - target
-        if np.abs(r).max() <= 1e-6 * target.sum():
-            break
-        free = tokens * np.where((dense > 0) | (step == 0), 1, mixing.HELD)
-        m = (p * free[:, None]).T @ p
-        dense = np.maximum(0, dense - p @ np.linalg.solve(m + 1e-9 * m.diagonal().max() * np.eye(3), r))
-    assert np.allclose(rate, dense, atol=1e-5)
     # a domain that no document belongs to leaves its residual
     zero = rows.withColumn("p", F.expr("array(1D, 0D)"))
     _, rest = mixing.fit_rates(zero, [tokens.sum(), 100.0], rounds=5)
     assert rest[1] < 0
 
 
+def _nonnegative_least_squares(a, b):
+    """Active sets, by plain linear algebra."""
+    n = a.shape[1]
+    x, passive = np.zeros(n), np.zeros(n, bool)
+    for _ in range(10 * n):
+        w = a.T @ (b - a @ x)
+        w[passive] = -np.inf
+        if w.max() <= 1e-9 * np.abs(a).max() * np.abs(b).max():
+            break
+        passive[int(w.argmax())] = True
+        while True:
+            z = np.zeros(n)
+            z[passive] = np.linalg.lstsq(a[:, passive], b, rcond=None)[0]
+            if z[passive].min() > 0:
+                break
+            bad = passive & (z <= 0)
+            move = np.min(x[bad] / np.maximum(x[bad] - z[bad], 1e-300))
+            x = x + move * (z - x)
+            passive &= x > 1e-12
+            x[~passive] = 0
+        x = z
+    return x
+
+
+@pytest.mark.parametrize(("seed", "most"), [(0, None), (1, None), (4, 3.0)])
+def test_unreachable_targets_get_the_least_squares_optimum(spark, seed, most):
+    rng = np.random.default_rng(seed)
+    # no document belongs mostly to the last domain, so its target cannot be met without the others' being passed
+    p = rng.dirichlet([2.0, 1.0, 0.6], 300)
+    p[:, 2] = np.minimum(p[:, 2], 0.3)
+    p /= p.sum(axis=1, keepdims=True)
+    tokens = rng.integers(1, 500, 300).astype(float)
+    target = np.array([0.1, 0.1, 0.8]) * tokens.sum()
+    rows = spark.createDataFrame([(float(t), [float(x) for x in q]) for t, q in zip(tokens, p)], "tokens double, p array<double>").coalesce(1)
+    best = (p * tokens[:, None]).T
+    if most is None:
+        rate = _nonnegative_least_squares(best, target)
+    else:  # small steps, one document at a time
+        rate = np.ones(300)
+        for i in list(range(300)) * 400:
+            rate[i] = np.clip(rate[i] - best[:, i] @ (best @ rate - target) / (best[:, i] @ best[:, i]), 0, most)
+    want = np.linalg.norm(best @ rate - target)
+    assert want > 0.02 * target.sum()
+    rated, residual = mixing.fit_rates(rows, target.tolist(), most=most)
+    held = rated.collect()
+    got = sum(np.array(r.p) * r.tokens * r.rate for r in held) - target
+    assert np.allclose(got / target.sum(), residual, atol=1e-6) and all(0 <= r.rate <= (most or np.inf) for r in held)
+    assert np.linalg.norm(got) <= 1.01 * want
+
+
 def test_mixing(spark):
     rnd = random.Random(6)
     vocab = {"a": ["alpha", "apple", "arrow"], "b": ["bread", "bell", "bone"]}
@@ -198,5 +302,8 @@ def test_mixing(spark):
     assert all((r.p[0] > 0.5) == bool(r.doc_id % 4) for r in held if r.doc_id is not None and r.doc_id < 200)
     back = mixing.mixed(docs, got)
     assert back.columns == docs.columns and back.count() == sum(r.copies for r in held)
+    clash = docs.withColumn("copies", F.lit(1)).withColumn("d", F.lit(2)).withColumn("row", F.lit(3))
+    assert mixing.mixed(clash, got).columns == clash.columns
+    assert all(max(map(abs, r.residuals)) < 1e-3 for r in held)
     assert {r.rate for r in mixing.mix_rates(docs, labelled.limit(0)).collect()} == {1.0}
     assert mixing.mix_rates(docs.limit(0), labelled).count() == 0
