@@ -12,8 +12,11 @@ most two window lengths.  So:
    extension by binary search over prefix hashes.  The order of the suffixes beginning
    one byte further left follows by a stable sort on that byte.  Equal windows are
    neighbours in it; equality by hash is verified on the bytes;
-4. an anchor with more contexts than one task should hold is decided by counting its
-   windows by two 64-bit hashes, spread over the cluster.
+4. an anchor with more contexts than one task should hold is split first.  Windows at
+   nearby offsets from the anchor share a core of bytes, so the contexts are cut into
+   pieces for offsets 0..w-1, w..2w-1 and so on, and meet by the bytes of the core.
+   Whole pieces that recur are repeats, others are sorted as in 3; where one core still
+   has too many, w is halved, down to single windows.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialise, parallelism, small_batches
+from .keyfilter import key_filter, parted
 from .textvec import PrefixHash, blocks, flat, mix
 
 _U = np.uint64
@@ -34,8 +38,8 @@ _U = np.uint64
 #: Positions that one anchor search covers; their number must fit the low bits of a key.
 _POS_BITS = 20
 
-#: Contexts of one anchor that one task sorts; beyond, windows are counted instead.
-GROUP_ROWS = 20_000
+#: Contexts of one anchor that are sorted together; more are split by the bytes around it.
+GROUP_ROWS = 2_000
 
 #: Contexts sorted together, over several anchors.
 _SORT_ROWS = 4096
@@ -77,11 +81,11 @@ def anchors(data: np.ndarray, off: np.ndarray, size: int, k: int) -> tuple[np.nd
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-_ANCHORS = "doc_id long, text_hash int, anchor long, context long, start int, shape int"
+_ANCHORS = "doc_id long, text_hash int, anchor long, context long, start int, windows int, at int"
 
 
 def _anchor_rows(size: int, k: int):
-    names = ["doc_id", "text_hash", "anchor", "context", "start", "shape"]
+    names = ["doc_id", "text_hash", "anchor", "context", "start", "windows", "at"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
@@ -103,7 +107,8 @@ def _anchor_rows(size: int, k: int):
                             pa.array(h.view(np.int64)),
                             pa.array(np.frombuffer(digest, np.int64)),
                             pa.array((first - cut[doc]).astype(np.int32)),
-                            pa.array(((last - first) * 4096 + at - first).astype(np.int32)),
+                            pa.array((last - first).astype(np.int32)),
+                            pa.array((at - first).astype(np.int32)),
                         ],
                         names=names,
                     )
@@ -225,7 +230,7 @@ _FOUND = "doc_id long, text_hash int, start int, end int"
 
 
 def _sort_rows(size: int):
-    """Rows sorted by anchor (doc_id, text_hash, anchor, start, at, bytes) -> repeated byte ranges."""
+    """Rows sorted by key (doc_id, text_hash, key, start, at, bytes) -> repeated byte ranges."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
         names = {}
@@ -257,28 +262,50 @@ def _sort_rows(size: int):
     return run
 
 
-def _window_rows(size: int):
-    """The same rows -> two hashes of each window, with its offset."""
+def _sorted_spans(rows: DataFrame, size: int) -> DataFrame:
+    """Repeated ranges among the rows (doc_id, text_hash, key, start, at, raw) that share a key."""
+    dealt = rows.select("doc_id", "text_hash", "key", "start", "at", "raw").repartition(parallelism(rows.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_sort_rows(size), _FOUND)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                for doc_id, text_hash, _, start, _, raw in zip(*(c.to_pylist() for c in batch.columns)):
-                    data = np.frombuffer(raw, np.uint8)
-                    n = len(data) - size + 1
-                    one, two = PrefixHash(data, 1).every(size), PrefixHash(data, 2).every(size)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([doc_id] * n, pa.int64()),
-                            pa.array([text_hash] * n, pa.int32()),
-                            pa.array(np.arange(start, start + n, dtype=np.int32)),
-                            pa.array(mix(one).view(np.int64)),
-                            pa.array(mix(two).view(np.int64)),
-                        ],
-                        names=["doc_id", "text_hash", "start", "one", "two"],
-                    )
 
-    return run
+def _pieces(rows: DataFrame, size: int, width: int) -> DataFrame:
+    """The rows cut into pieces for ``width`` offsets each, keyed by the bytes that all windows of a piece share."""
+    least, j = F.greatest(F.col("at") + size - F.length("raw"), F.lit(0)), F.col("j")
+    each = rows.withColumn("least", least).withColumn("j", F.explode(F.expr(f"sequence(least div {width}, at div {width})")))
+    each = each.withColumn("far", F.least("at", (j + 1) * width - 1)).withColumn("near", F.greatest("least", j * width))
+    core = f"substring(raw, cast(at - j * {width} + 1 AS int), {size - width + 1})"
+    return each.select(
+        "doc_id",
+        "text_hash",
+        F.expr(f"xxhash64(key, j, {core})").alias("key"),
+        F.expr("cast(start + at - far AS int)").alias("start"),
+        F.col("far").cast("int").alias("at"),
+        F.expr(f"substring(raw, cast(at - far + 1 AS int), cast({size} + far - near AS int))").alias("raw"),
+    )
+
+
+def _split_spans(hot: DataFrame, size: int, group_rows: int) -> DataFrame:
+    """Repeated ranges among contexts whose anchors have more of them than ``group_rows``."""
+    width = 1 << max((size // 2).bit_length() - 1, 0)
+    found = hot.sparkSession.createDataFrame([], _FOUND)
+    while True:
+        pieces = materialise(_pieces(hot, size, width), "repeat-pieces")
+        alike = pieces.groupBy("key", F.md5("raw").alias("digest")).agg(
+            F.count("*").alias("times"), F.min(F.struct("doc_id", "text_hash", "start", "at", "raw")).alias("row")
+        )
+        alike = materialise(alike, "repeat-alike")
+        same = (F.col("key") == F.col("k")) & (F.md5("raw") == F.col("digest"))
+        again = pieces.join(alike.where("times > 1").select(F.col("key").alias("k"), "digest"), same, "left_semi")
+        found = found.unionByName(again.select("doc_id", "text_hash", "start", (F.col("start") + F.length("raw")).alias("end")))
+        several = alike.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
+        cut = alike.join(several, "key").select("key", "many", "row.*")
+        if width == 1:
+            return found.unionByName(_sorted_spans(cut, size))
+        found = found.unionByName(_sorted_spans(cut.where(F.col("many") <= group_rows), size))
+        hot = cut.where(F.col("many") > group_rows)
+        if hot.isEmpty():
+            return found
+        width //= 2
 
 
 def repeated_spans(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROWS) -> DataFrame:
@@ -287,8 +314,11 @@ def repeated_spans(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROW
     ``spans`` is an array of (start, end) byte ranges that may overlap.  A string counts
     as repeated if it starts anywhere else, in the same text or another row.  Texts
     shorter than ``size``, empty and null ones have no row.  Rows equal in doc_id and
-    text share one result row, made as if each was a text of its own.
+    text share one result row, made as if each was a text of its own.  ``size`` is at
+    least 1 and at most half of what one anchor search covers (else ValueError).
     """
+    if not 0 < size <= 1 << _POS_BITS - 1:
+        raise ValueError(f"size must be between 1 and {1 << _POS_BITS - 1}")
     small_batches(docs.sparkSession)
     k = max(size // 8, 1)
     rows = _keyed(docs)
@@ -296,40 +326,26 @@ def repeated_spans(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROW
     found = materialise(long_enough.mapInArrow(_anchor_rows(size, k), _ANCHORS), "repeat-anchors")
     # one row of each context; equal rows are summed before they are dealt out
     contexts = found.groupBy("anchor", "context").agg(
-        F.count("*").alias("times"), F.min(F.struct("doc_id", "text_hash", "start", "shape")).alias("row")
+        F.count("*").alias("times"), F.min(F.struct("doc_id", "text_hash", "start", "windows", "at")).alias("row")
     )
     contexts = materialise(contexts, "repeat-contexts")
-    windows = F.shiftright("shape", 12)
     again = contexts.where("times > 1").select("anchor", "context")
     whole = found.join(again, ["anchor", "context"], "left_semi").select(
-        "doc_id", "text_hash", "start", (F.col("start") + windows + F.lit(size)).alias("end")
+        "doc_id", "text_hash", "start", (F.col("start") + F.col("windows") + F.lit(size)).alias("end")
     )
     # anchors with several contexts: bytes of one row of each
     several = contexts.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1")
     picked = contexts.join(several, "anchor").select(
-        "anchor", "many", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("t"), "row.start", "row.shape"
+        F.col("anchor").alias("key"), "many", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("t"), "row.start", "row.windows", "row.at"
     )
-    cut = rows.join(picked, _same()).select(
-        "doc_id",
-        "text_hash",
-        "anchor",
-        "start",
-        F.col("shape").bitwiseAND(4095).alias("at"),
-        F.expr(f"substring(cast(body AS binary), start + 1, shiftright(shape, 12) + {size})").alias("raw"),
-        "many",
+    picked = materialise(picked, "repeat-picked")
+    asked, _ = parted(rows.withColumn("h", F.xxhash64("doc_id", "text_hash")), key_filter(picked.select("d", "t").distinct(), F.xxhash64("d", "t")))
+    cut = asked.join(picked, _same()).select(
+        "doc_id", "text_hash", "key", "start", "at", F.expr(f"substring(cast(body AS binary), start + 1, windows + {size})").alias("raw"), "many"
     )
-    few = cut.where(F.col("many") <= group_rows).drop("many")
-    few = few.repartition(parallelism(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
-    parts = few.mapInArrow(_sort_rows(size), _FOUND)
-    hot = contexts.sparkSession.createDataFrame([], _FOUND)
-    if not several.where(F.col("many") > group_rows).isEmpty():
-        each = cut.where(F.col("many") > group_rows).drop("many").mapInArrow(
-            _window_rows(size), "doc_id long, text_hash int, start int, one long, two long"
-        )
-        each = materialise(each.distinct(), "repeat-windows")
-        twice = each.groupBy("one", "two").agg(F.count("*").alias("n")).where("n > 1").select("one", "two")
-        hot = each.join(twice, ["one", "two"], "left_semi").select("doc_id", "text_hash", "start", (F.col("start") + size).alias("end"))
-    spans = whole.unionByName(parts).unionByName(hot)
+    spans = whole.unionByName(_sorted_spans(cut.where(F.col("many") <= group_rows), size))
+    if not picked.where(F.col("many") > group_rows).isEmpty():
+        spans = spans.unionByName(_split_spans(materialise(cut.where(F.col("many") > group_rows), "repeat-hot"), size, group_rows))
     return spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
@@ -389,9 +405,13 @@ def remove_repeats(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROW
     added = {"n_bytes", "n_removed", "n_spans", "kept", "spans", "text_hash"}
     rest = [c for c in docs.columns if c not in added | {"doc_id", "text"}]
     spans = repeated_spans(docs, size, group_rows).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "spans")
-    held = docs.select("doc_id", "text", *[F.col(c).alias(f"rest_{i}") for i, c in enumerate(rest)])
+    spans = materialise(spans, "repeat-spans")
+    held = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"rest_{i}") for i, c in enumerate(rest)])
     body = _keyed(held, *[f"rest_{i}" for i in range(len(rest))])
-    joined = body.join(spans, _same(), "left").select("doc_id", "body", "spans", *[F.col(f"rest_{i}").alias(c) for i, c in enumerate(rest)])
+    # texts without repeats are not shuffled
+    near, clear = parted(body.withColumn("h", F.xxhash64("doc_id", "text_hash")), key_filter(spans, F.xxhash64("d", "t")))
+    joined = near.join(spans, _same(), "left").drop("d", "t").unionByName(clear.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
+    joined = joined.select("doc_id", "body", "spans", *[F.col(f"rest_{i}").alias(c) for i, c in enumerate(rest)])
     kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
     schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in rest), "n_bytes long, n_removed long, n_spans long, kept string"])
     return joined.mapInArrow(_clean_rows(digest), schema)
