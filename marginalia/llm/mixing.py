@@ -7,13 +7,14 @@
    sum(r * tokens * posterior), meet the targets in the least-squares sense.
 
 The gradient of a document depends on the others through the residual alone, one number
-for each domain, so a step is one narrow aggregation.  The first steps are scaled by token
-counts, document by document, and by the inverse of the domains' joint token matrix, in
-which documents at a bound count less: they meet targets that can be met in a few rounds.
-Where they stall, targets cannot all be met, and accelerated steps of plain projected
-gradient (scaled by token counts alone, of length 1 / the matrix's greatest eigenvalue) go on
-to the least-squares optimum, which a bound by duality confirms.  Rates follow from the residuals of the last steps, which are
-kept as small literals; per-document state is written every few rounds only.
+for each domain.  A step moves the documents that are not held at a bound against their
+gradients, scaled by token counts, document by document, and by the inverse of the joint
+token matrix of the domains over them, and projects onto the bounds.  One aggregation makes
+that matrix, one more tries several damped steps at once and takes the best.  Steps lessen
+the squared residuals until the targets are met or a bound by duality shows that
+the rest cannot be met.
+Rates follow from the last steps, which are kept as small literals; per-document state is
+written every few rounds only.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import materialise
@@ -36,8 +37,11 @@ VOCABULARY = 4096
 MAX_DOMAINS = 64
 
 
-#: Weight in the joint token matrix of a document whose rate is at a bound.
-HELD = 0.1
+#: Damping of the steps that are tried, as shares of the matrix's mean diagonal, and their lengths.
+TRIED = ((1e-9, 1.0), (1e-4, 1.0), (1e-3, 1.0), (1e-2, 1.0), (1e-1, 1.0), (1e-1, 5.0), (1.0, 5.0), (1.0, 1.0))
+
+#: How near a bound a document is held there if its gradient points outwards.
+NEAR = 1e-3
 
 
 def _words(text: str) -> str:
@@ -101,13 +105,12 @@ def posteriors(docs: DataFrame, domains: list[str], priors: list[float], model:
     )
 
 
-def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
-    """Gaussian elimination with pivoting; the ridge keeps domains without tokens at zero."""
+def _solve(matrix: list[list[float]], right: list[float], damping: float) -> list[float]:
+    """Gaussian elimination with pivoting; ``damping`` is added to the diagonal."""
     n = len(right)
-    ridge = 1e-9 * max(max(matrix[i][i] for i in range(n)), 1e-9)
     a = [[*row, b] for row, b in zip(matrix, right)]
     for i in range(n):
-        a[i][i] += ridge
+        a[i][i] += damping
     for i in range(n):
         p = max(range(i, n), key=lambda r: abs(a[r][i]))
         a[i], a[p] = a[p], a[i]
@@ -118,153 +121,98 @@ def _solve(matrix: list[list[float]], right: list[float]) -> list[float]:
     return [a[i][n] / a[i][i] for i in range(n)]
 
 
-#: Steps after which the plain steps write their state, so that a rate folds over no more.
+#: Steps after which the rates are written, so that a rate folds over no more.
 _WRITE = 16
 
 
-def _clip(rate: str, most: float | None, least: float) -> str:
-    low = f"greatest({least!r}D, {rate})"
-    return low if most is None else f"least({most!r}D, {low})"
+def _array(values: list[float]) -> str:
+    return "array(" + ", ".join(f"{x!r}D" for x in values) + ")"
 
 
-def _rows_of(steps: list[list[float]]) -> str:
-    return "array(" + ", ".join("array(" + ", ".join(f"{x!r}D" for x in s) + ")" for s in steps) + ")"
+def _dot(other: str) -> str:
+    return f"aggregate(zip_with(p, {other}, (x, y) -> x * y), 0D, (a, b) -> a + b)"
 
 
-_DOT = "aggregate(zip_with(p, s, (x, y) -> x * y), 0D, (a, b) -> a + b)"
+def _held(rate: str, slope: str, most: float | None, least: float) -> tuple[str, str]:
+    """SQL: is a document held at its lower bound, and at its upper one?"""
+    high = "false" if most is None else f"{rate} >= {most - NEAR!r}D AND {slope} < 0"
+    return f"{rate} <= {least + NEAR!r}D AND {slope} > 0", high
 
 
-def _rate(steps: list[list[float]], most: float | None, least: float) -> str:
-    """SQL of a document's rate after all steps: each projects onto least <= r (<= most)."""
-    if not steps:
-        return "1D"
-    return f"aggregate({_rows_of(steps)}, 1D, (r, s) -> {_clip(f'r - {_DOT}', most, least)})"
+def _moved(rate: str, move: str, slope: str, most: float | None, least: float) -> str:
+    """SQL of a rate after a step."""
+    low, high = _held(rate, slope, most, least)
+    free = f"greatest({least!r}D, {rate} - {move})"
+    if most is None:
+        return f"if({low}, {least!r}D, {free})"
+    return f"CASE WHEN {low} THEN {least!r}D WHEN {high} THEN {most!r}D ELSE least({most!r}D, {free}) END"
 
 
-def _accelerated(steps: list[list[float]], most: float | None, least: float) -> str:
-    """SQL of (rate, the one before) after steps with momentum; a step is its momentum, then its move by domain."""
-    start = "named_struct('rate', rate, 'before', before)"
+def _rate(steps: list[tuple[list[float], list[float]]], most: float | None, least: float) -> str:
+    """SQL of the rate after steps, each a move and the residuals that it answers, by domain."""
     if not steps:
-        return start
-    dot = "aggregate(zip_with(p, slice(s, 2, size(p)), (x, y) -> x * y), 0D, (a, b) -> a + b)"
-    new = _clip(f"r.rate + s[0] * (r.rate - r.before) - {dot}", most, least)
-    return f"aggregate({_rows_of(steps)}, {start}, (r, s) -> named_struct('rate', {new}, 'before', r.rate))"
-
+        return "start"
+    rows = ", ".join(f"named_struct('m', {_array(m)}, 'g', {_array(g)})" for m, g in steps)
+    return f"aggregate(array({rows}), start, (r, s) -> {_moved('r', _dot('s.m'), _dot('s.g'), most, least)})"
 
-def _totals(rate: str, k: int) -> list:
-    return [F.coalesce(F.sum(F.col(rate) * F.col("tokens") * F.col("p")[i]), F.lit(0.0)) for i in range(k)]
 
-
-def _greatest_eigenvalue(matrix: list[list[float]]) -> float:
-    """Of a matrix without negative entries; power iteration, a little above."""
-    x, top = [1.0] * len(matrix), 0.0
-    for _ in range(100):
-        y = [sum(a * b for a, b in zip(row, x)) for row in matrix]
-        top = max(y, default=0.0)
-        if top <= 0:
-            break
-        x = [v / top for v in y]
-    return 1.001 * top or 1.0
+def _totals(rate: str, k: int, name: str) -> list[Column]:
+    return [F.expr(f"coalesce(sum({rate} * tokens * p[{i}]), 0D)").alias(f"{name}{i}") for i in range(k)]
 
 
 def fit_rates(
-    memberships: DataFrame,
-    targets: list[float],
-    rounds: int = 40,
-    tolerance: float = 1e-6,
-    most: float | None = None,
-    least: float = 0.0,
-    plain_rounds: int = 400,
+    memberships: DataFrame, targets: list[float], rounds: int = 40, tolerance: float = 1e-6, most: float | None = None, least: float = 0.0
 ) -> tuple[DataFrame, list[float]]:
     """``memberships`` (tokens, p) with rate, and the relative residual of each domain.
 
-    ``targets`` are token totals by position in p.  Scaled steps end when every residual is
-    within ``tolerance`` of the total target, or no longer shrinks, or after ``rounds``.  If targets
-    cannot all be met, up to ``plain_rounds`` plain steps lead to the rates of least squared
-    residuals; they end when the sum of squares is within 1 % of the optimum, by a bound from
-    duality.
+    ``targets`` are token totals by position in p.  Steps end when every residual is within
+    ``tolerance`` of the total target, when the sum of squared residuals is within 1 % of the
+    least one, by a bound from duality, when no step lessens it, or after ``rounds``.
     ``most`` bounds rates above, ``least`` (0 or more) below.
     """
     targets = [float(t) for t in targets]
     k = len(targets)
     total = sum(targets) or 1.0
-    steps: list[list[float]] = []
-    worst: list[float] = []
-    whole: list[list[float]] = []
-    while True:
-        rated = memberships.withColumn("rate", F.expr(_rate(steps, most, least)))
-        # documents at a bound hardly follow a step and count less; they keep the matrix regular
-        free = F.col("rate") > least if most is None else (F.col("rate") > least) & (F.col("rate") < most)
-        free = free | F.lit(not steps)
-        moved = F.when(free, F.col("tokens")).otherwise(F.col("tokens") * HELD)
-        sums = rated.agg(
-            *[x.alias(f"t{i}") for i, x in enumerate(_totals("rate", k))],
-            *[F.coalesce(F.sum(moved * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)],
-        ).first()
-        residual = [float(sums[f"t{i}"]) - targets[i] for i in range(k)]
-        matrix = [[float(sums[f"g{min(i, j)}_{max(i, j)}"]) for j in range(k)] for i in range(k)]
-        whole = whole or matrix
-        worst.append(max((abs(x) / total for x in residual), default=0.0))
-        if worst[-1] <= tolerance:
-            return rated, [x / total for x in residual]
-        if len(worst) > 4 and worst[-1] > 0.9 * worst[-5] or len(steps) >= rounds:
-            break
-        steps.append(_solve(matrix, residual))
-    return _least_squares(rated, targets, _greatest_eigenvalue(whole), plain_rounds, most, least)
-
-
-def _least_squares(rated: DataFrame, targets: list[float], widest: float, rounds: int, most: float | None, least: float) -> tuple[DataFrame, list[float]]:
-    """Accelerated projected gradient from the rates given.
-
-    A step is 1 / the greatest eigenvalue of the matrix over the documents off their
-    bounds, which grows as documents come to rest there.  Where the squares grow, momentum
-    starts anew and steps fall back towards 1 / ``widest``, that over all documents, which is safe.
-    """
-    k, total = len(targets), sum(targets) or 1.0
-    names = rated.columns
-    state = materialise(rated.withColumn("before", F.col("rate")), "mix-state")
-    steps: list[list[float]] = []
-    squares: list[float] = []
-    speed, trust = 1.0, 1.0
-    free = F.col("rate") > least if most is None else (F.col("rate") > least) & (F.col("rate") < most)
-    moved = F.when(free, F.col("tokens")).otherwise(0)
+    names = [*(c for c in memberships.columns if c != "rate"), "rate"]
+    begin = float(min(max(1.0, least), most if most is not None else 1.0 + least))
+    state, steps = memberships.withColumn("start", F.lit(begin)), []
     cells = [(i, j) for i in range(k) for j in range(i, k)]
-    while True:
-        now = state.withColumn("now", F.expr(_accelerated(steps, most, least))).withColumn("rate", F.col("now.rate")).withColumn("before", F.col("now.before")).drop("now")
+    first = state.agg(*_totals("start", k, "t")).first()
+    residual = [float(first[f"t{i}"]) - targets[i] for i in range(k)]
+
+    for turn in range(rounds):
+        rated = state.withColumn("rate", F.expr(_rate(steps, most, least)))
         if len(steps) >= _WRITE:
-            state, steps = materialise(now, "mix-state"), []
-            now = state
-        sums = now.agg(
-            *[x.alias(f"t{i}") for i, x in enumerate(_totals("rate", k))],
-            *[x.alias(f"b{i}") for i, x in enumerate(_totals("before", k))],
-            *[F.coalesce(F.sum(moved * F.col("p")[i] * F.col("p")[j]), F.lit(0.0)).alias(f"g{i}_{j}") for i, j in cells],
-        ).first()
-        at = [float(sums[f"t{i}"]) - targets[i] for i in range(k)]
-        was = [float(sums[f"b{i}"]) - targets[i] for i in range(k)]
-        squares.append(sum(x * x for x in at))
-        done = len(squares) > rounds
-        if done or len(squares) % 10 == 0 and _excess(now, targets, at, most, least) <= 0.01 * squares[-1]:
-            return now.select(*names), [x / total for x in at]
-        if len(squares) > 1 and squares[-1] > squares[-2]:
-            speed, trust = 1.0, trust / 4
-        else:
-            trust = min(1.3 * trust, 1.0)
+            state, steps = materialise(rated.withColumn("start", F.col("rate")).drop("rate"), "mix-state"), []
+            rated = state.withColumn("rate", F.col("start"))
+        squares = sum(x * x for x in residual)
+        if max((abs(x) / total for x in residual), default=0.0) <= tolerance:
+            break
+        if turn % 4 == 3 and _excess(rated, targets, residual, most, least) <= 0.01 * squares:
+            break
+        slope = _dot(_array(residual))
+        low, high = _held("rate", slope, most, least)
+        sums = rated.where(f"NOT ({low}) AND NOT ({high})").agg(*[F.expr(f"coalesce(sum(tokens * p[{i}] * p[{j}]), 0D)").alias(f"g{i}_{j}") for i, j in cells]).first()
         matrix = [[float(sums[f"g{min(i, j)}_{max(i, j)}"]) for j in range(k)] for i in range(k)]
-        near = _greatest_eigenvalue(matrix) if any(map(any, matrix)) else widest
-        step = 1 / (min(near, widest) ** trust * widest ** (1 - trust))
-        faster = (1 + (1 + 4 * speed * speed) ** 0.5) / 2
-        momentum = (speed - 1) / faster
-        speed = faster
-        # totals are linear, so the residual at the point ahead needs no job of its own
-        steps.append([momentum, *(step * (a + momentum * (a - b)) for a, b in zip(at, was))])
+        mean = max(sum(matrix[i][i] for i in range(k)) / max(k, 1), 1e-9)
+        moves = [[length * x for x in _solve(matrix, residual, damping * mean)] for damping, length in TRIED]
+        tried = rated.select("tokens", "p", *[F.expr(_moved("rate", _dot(_array(m)), slope, most, least)).alias(f"c{j}") for j, m in enumerate(moves)])
+        sums = tried.agg(*[x for j in range(len(moves)) for x in _totals(f"c{j}", k, f"t{j}_")]).first()
+        left = [[float(sums[f"t{j}_{i}"]) - targets[i] for i in range(k)] for j in range(len(moves))]
+        best = min(range(len(moves)), key=lambda j: sum(x * x for x in left[j]))
+        if sum(x * x for x in left[best]) >= squares * (1 - 1e-12):
+            break
+        steps.append((moves[best], residual))
+        residual = left[best]
+    return state.withColumn("rate", F.expr(_rate(steps, most, least))).select(*names), [x / total for x in residual]
 
 
 def _excess(rated: DataFrame, targets: list[float], residual: list[float], most: float | None, least: float) -> float:
     """How far, at most, the sum of squares lies above the optimum: its distance from a bound by duality."""
-    slope = F.expr(f"aggregate(zip_with(p, array({', '.join(f'{x!r}D' for x in residual)}), (x, y) -> x * y), 0D, (a, b) -> a + b)")
+    slope = F.expr(_dot(_array(residual)))
     k = len(targets)
     if most is None:  # posteriors sum to 1, so a shift of all residuals lifts all slopes to 0 at least
-        found = rated.agg(F.min(slope).alias("low"), *[F.coalesce(F.sum(F.col("tokens") * F.col("p")[i]), F.lit(0.0)).alias(f"a{i}") for i in range(k)]).first()
+        found = rated.agg(F.min(slope).alias("low"), *_totals("1D", k, "a")).first()
         y = [x + max(0.0, -float(found["low"] or 0.0)) for x in residual]
         bound = least * sum(v * float(found[f"a{i}"]) for i, v in enumerate(y))
     else:
