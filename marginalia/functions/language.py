@@ -32,48 +32,63 @@ STOP_WORDS = {
 TAGGED_FROM = 0.4
 
 
+#: All words that any of the languages counts.
+_ANY_STOP_WORD = sorted(set(" ".join(STOP_WORDS.values()).split()))
+
+
+def _bind(value: Column, then) -> Column:
+    """``then`` of a value that is computed once: a lambda's argument is."""
+    return F.transform(F.array(value), then)[0]
+
+
 def detect(text: Column) -> Column:
     """struct<language, confidence> of a text; (null, 0) for null, blank and letterless ones.
 
     The script with most letters wins, the first of equals.  Latin text goes to the
     language with most stop words, the first of equals, or to English without any.
     """
-    sample = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
-    size = F.length(sample)
-    counts = F.array(
-        *[
-            F.struct((size - F.length(F.regexp_replace(sample, f"[{letters}]", ""))).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code"))
-            for i, (code, letters) in enumerate(SCRIPTS)
-        ]
-    )
-    best = F.array_max(counts)
-
-    def decide(best: Column, words: Column) -> Column:
-        dense = F.least(F.lit(1.0), best["n"] / F.greatest(F.lit(20), size))
-
-        def count(stop: str) -> Column:
-            known = sorted(set(stop.split()))
-            return F.size(F.filter(words, lambda w: w.isin(known)))
-
-        hits = F.array_max(
-            F.array(*[F.struct(count(stop).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, stop) in enumerate(STOP_WORDS.items())])
+    none = F.struct(F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"))
+    others = "".join(letters for code, letters in SCRIPTS if code != "latin")
+
+    def of(sample: Column) -> Column:
+        def letters_of(letters: str) -> Column:
+            return F.length(sample) - F.length(F.regexp_replace(sample, f"[{letters}]+", ""))
+
+        def ranked(count) -> Column:
+            return F.array_max(F.array(*[F.struct(count(code, letters).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, letters) in enumerate(SCRIPTS)]))
+
+        # one look at most texts shows that they have letters of no other script
+        best = F.when(sample.rlike(f"[{others}]"), ranked(lambda _, letters: letters_of(letters))).otherwise(
+            ranked(lambda code, letters: letters_of(letters) if code == "latin" else F.lit(0))
         )
+        return _bind(best, lambda found: decide(sample, found))
+
+    def decide(sample: Column, best: Column) -> Column:
+        dense = F.least(F.lit(1.0), best["n"] / F.greatest(F.lit(20), F.length(sample)))
+        other = F.struct(best["code"].alias("language"), dense.alias("confidence"))
+        latin = _bind(tokenize(sample), lambda words: of_words(words, dense))
+        return F.when((F.length(sample) == 0) | (best["n"] == 0), none).when(best["code"] == "latin", latin).otherwise(other)
+
+    def of_words(words: Column, dense: Column) -> Column:
+        def top(stops: Column) -> Column:
+            def count(words_of: str) -> Column:
+                return F.size(F.filter(stops, lambda w: w.isin(sorted(set(words_of.split())))))
 
-        def latin(top: Column) -> Column:
+            return F.array_max(F.array(*[F.struct(count(stop).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, stop) in enumerate(STOP_WORDS.items())]))
+
+        def latin(best: Column) -> Column:
             return F.struct(
-                F.when(top["n"] > 0, top["code"]).otherwise("en").alias("language"),
+                F.when(best["n"] > 0, best["code"]).otherwise("en").alias("language"),
                 F.when(F.size(words) == 0, 0.0)
-                .when(top["n"] > 0, F.least(F.lit(1.0), F.greatest(top["n"] / F.greatest(F.size(words), F.lit(1)), dense)))
+                .when(best["n"] > 0, F.least(F.lit(1.0), F.greatest(best["n"] / F.greatest(F.size(words), F.lit(1)), dense)))
                 .otherwise(dense)
                 .alias("confidence"),
             )
 
-        other = F.struct(best["code"].alias("language"), dense.alias("confidence"))
-        return F.when(best["code"] == "latin", F.transform(F.array(hits), latin)[0]).otherwise(other)
+        # the languages look only at words that any of them counts
+        return _bind(F.filter(words, lambda w: w.isin(_ANY_STOP_WORD)), lambda stops: _bind(top(stops), latin))
 
-    found = F.transform(F.array(F.struct(best.alias("best"), tokenize(sample).alias("words"))), lambda x: decide(x["best"], x["words"]))[0]
-    none = F.struct(F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"))
-    return F.when(text.isNull() | (size == 0) | (best["n"] == 0), none).otherwise(found)
+    return F.when(text.isNull(), none).otherwise(_bind(F.regexp_extract(text, r"(?Us)^\s*((?:.*\S)?)", 1), of))
 
 
 def tagged(found: Column) -> Column:

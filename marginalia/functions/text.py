@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +38,18 @@ def tokenize(text: Column) -> Column:
     return F.when(text.rlike(CJK), F.flatten(F.transform(runs, split))).otherwise(runs)
 
 
+_RUN, _CJK = regex.compile(r"[\p{L}\p{N}]+"), regex.compile(r"[\u4E00-\u9FFF\u3040-\u30FF\uAC00-\uD7AF]")
+
+
+def tokens_of(text: str) -> list[str]:
+    """The tokens of one short text, such as a query, on the driver: as ``tokenize`` has them."""
+    out: list[str] = []
+    for run in _RUN.findall(text):
+        run = run.lower()
+        out += [run[i : i + 2] for i in range(len(run) - 1)] if len(run) > 1 and _CJK.search(run) else [run]
+    return out
+
+
 def ascii_tokens(text: Column) -> Column:
     """Distinct runs of a-z and 0-9 of the lower-cased text."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1)))
@@ -170,15 +183,15 @@ def episode_number(text: Column) -> Column:
 
 
 def classify_url(url: Column) -> Column:
-    """rss, apple_episode, apple_podcast or unknown."""
-    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/?#:]+)", 1))
-    path = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://[^/?#]*([^?#]*)", 1))
-    apple = host.isin("podcasts.apple.com", "itunes.apple.com")
+    """apple_episode, apple_podcast, rss_feed or unknown_url, by host, path and query."""
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+    path = F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1))
+    apple = F.contains(host, F.lit("podcasts.apple.com")) & path.rlike(r"/id\d+")
     return (
-        F.when(apple & url.rlike(r"[?&]i=\d+"), "apple_episode")
-        .when(apple & path.rlike(r"/id\d+"), "apple_podcast")
-        .when(path.rlike(r"\.(rss|xml)$") | path.rlike(r"/(feed|rss)/?$"), "rss")
-        .otherwise("unknown")
+        F.when(apple & url.rlike(r"^[^#]*[?&]i=[^&#]"), "apple_episode")
+        .when(apple, "apple_podcast")
+        .when(path.rlike(r"(\.xml|/feed)$") | F.contains(path, F.lit("rss")), "rss_feed")
+        .otherwise("unknown_url")
     )
 
 

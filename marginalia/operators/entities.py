@@ -49,3 +49,23 @@ def attach(existing: DataFrame, links: DataFrame) -> DataFrame:
     """Links (doc_id, slug, role) that are not there yet, once each."""
     keys = ["doc_id", "slug", "role"]
     return links.select(*keys).distinct().join(existing.select(*keys), keys, "left_anti")
+
+
+def listed(entities: DataFrame) -> DataFrame:
+    """(type, slug, label) of all entities, by type and slug."""
+    return entities.select(F.col("entity_type").alias("type"), "slug", "label").orderBy("type", "slug")
+
+
+def listed_of(links: DataFrame, entities: DataFrame) -> DataFrame:
+    """(type, slug, label, role) of linked entities, by type, slug and role."""
+    rows = links.select("slug", "role").join(entities.select("slug", "entity_type", "label"), "slug")
+    return rows.select(F.col("entity_type").alias("type"), "slug", "label", "role").orderBy("type", "slug", "role")
+
+
+def resolved(asked: DataFrame, entities: DataFrame) -> DataFrame:
+    """(slug) of the entities that ``slug`` or ``type:slug`` names; unknown ones are left out."""
+    parts = F.split("slug", ":", 2)
+    typed = F.size(parts) == 2
+    named = asked.select(F.when(typed, entity_type(parts[0])).alias("kind"), slugify(F.when(typed, F.get(parts, F.lit(1))).otherwise(F.col("slug"))).alias("wanted"), typed.alias("typed"))
+    fits = (F.col("slug") == F.col("wanted")) & (~F.col("typed") | (F.col("entity_type") == F.col("kind")))
+    return entities.join(F.broadcast(named), fits, "left_semi").select("slug")

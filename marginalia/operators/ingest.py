@@ -19,8 +19,15 @@ def _id(prefix: str, *parts) -> Column:
 
 
 def notes(rows: DataFrame, tenant: str = "local", most: int = 700) -> dict[str, DataFrame]:
-    """sources, chunks, embeddings and jobs for notes (title, text, collection_id)."""
-    sources = rows.select(
+    """sources, chunks, embeddings and jobs for notes (title, text, collection_id).
+
+    Of notes that share title and text the one with the least collection_id stays.
+    ``chunks`` also carries title and language of its source, so that showing both needs
+    no join with sources.
+    """
+    # repeats go before anything is computed of them
+    once = rows.groupBy("title", "text").agg(F.min("collection_id").alias("collection_id"))
+    sources = once.select(
         _id("src", F.lit(tenant), "title", "text").alias("source_id"),
         F.lit(tenant).alias("tenant_id"),
         "collection_id",
@@ -28,11 +35,12 @@ def notes(rows: DataFrame, tenant: str = "local", most: int = 700) -> dict[str,
         "title",
         tagged(detect(F.col("text"))).alias("language"),
         "text",
-    ).dropDuplicates(["source_id"])
-    pieces = sources.select("source_id", "tenant_id", F.posexplode(chunk_text(F.col("text"), most)).alias("n", "c"))
-    chunks = pieces.select(
-        _id("chk", "source_id", (F.col("n") + 1).cast("string")).alias("chunk_id"), "source_id", "tenant_id", (F.col("n") + 1).alias("chunk_index"), F.col("c.body").alias("text"), "c.start_char", "c.end_char"
     )
+    pieces = sources.select("source_id", "tenant_id", "title", "language", F.posexplode(chunk_text(F.col("text"), most)).alias("n", "c"))
+    chunks = pieces.select(
+        _id("chk", "source_id", (F.col("n") + 1).cast("string")).alias("chunk_id"), "source_id", "tenant_id", (F.col("n") + 1).alias("chunk_index"),
+        F.col("c.body").alias("text"), "c.start_char", "c.end_char", "title", "language",
+    )
     return _finish(sources.drop("text"), chunks, "text_ingestion")
 
 

@@ -8,23 +8,26 @@ are exploded after they are cut down to those asked for.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import bm25_term, idf, tokenize
+from ..functions.text import bm25_term, idf, tokenize, tokens_of
 
 
 def query_terms(query: str) -> list[str]:
     """Distinct tokens of a query, in order, by the tokenizer of the index."""
-    spark = SparkSession.getActiveSession()
-    row = spark.range(1).select(F.array_distinct(tokenize(F.lit(query))).alias("t")).first()
-    return list(row.t or [])
+    return list(dict.fromkeys(tokens_of(query)))
+
+
+def _tokens() -> Column:
+    """Tokens of the text; a null text has none."""
+    return F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>"))
 
 
 def term_counts(chunks: DataFrame, terms: list[str]) -> DataFrame:
     """Length and the count of each term; the other columns of ``chunks`` but its text stay."""
     rest = [c for c in chunks.columns if c != "text"]
-    held = chunks.select(*rest, tokenize(F.col("text")).alias("toks"))
+    held = chunks.select(*rest, _tokens().alias("toks"))
 
     def count(term: str) -> Column:
         return F.size(F.filter("toks", lambda x: x == F.lit(term)))
@@ -67,7 +70,7 @@ def search(chunks: DataFrame, query: str, limit: int = 10, corpus: DataFrame | N
 
 def postings(chunks: DataFrame) -> DataFrame:
     """(token, doc_id, tf, dl): the inverted index; write it partitioned by a token hash."""
-    toks = chunks.select("doc_id", tokenize(F.col("text")).alias("toks")).select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
+    toks = chunks.select("doc_id", _tokens().alias("toks")).select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
     return toks.groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
 
 
@@ -79,7 +82,7 @@ def search_many(chunks: DataFrame, queries: DataFrame, limit: int = 10) -> DataF
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token"))
     wanted = asked.select("token").distinct()
-    toks = chunks.select("doc_id", tokenize(F.col("text")).alias("toks"))
+    toks = chunks.select("doc_id", _tokens().alias("toks"))
     stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl"))
     tf = (
         toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("token"))

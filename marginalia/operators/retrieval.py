@@ -74,15 +74,26 @@ def search(
     limit: int = 10,
     language: Decision = Decision(None, False),
     tree: str | None = None,
+    tenant: str | None = None,
+    entities: list[str] | None = None,
+    links: DataFrame | None = None,
+    titles: DataFrame | None = None,
 ) -> DataFrame:
     """(doc_id, score) of one query, given as (text, vector), or of it and its translations.
 
-    Filters come before ranking.  Hybrid fuses keyword and vector runs of twice the limit;
-    several queries are run to twice the limit each and fused again.
+    Filters come before ranking: language, tree, tenant (of chunks and vectors alike), and
+    entities, by ``links`` (doc_id, slug).  Hybrid fuses keyword and vector runs of twice the
+    limit; several queries are run to twice the limit each and fused again.  Ties of fused
+    scores go by ``titles`` (doc_id, title) first.
     """
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
     held = chunks.transform(filters.language(language.language, language.undetermined)).transform(filters.tree(tree))
+    if tenant is not None:
+        held = held.transform(filters.tenant(tenant))
+        vectors = vectors.transform(filters.tenant(tenant)) if "tenant_id" in vectors.columns else vectors
+    if entities:
+        held = held.transform(filters.entities(links, entities))
     near = vectors if held is chunks else vectors.join(held.select("doc_id"), "doc_id", "left_semi")
     most = limit if len(queries) == 1 else 2 * limit
 
@@ -91,10 +102,10 @@ def search(
             return keyword.search(held, text, most).select("doc_id", "score")
         if mode == "vector":
             return vector.search(near, query, most).select("doc_id", "score")
-        return fusion.fuse([keyword.search(held, text, 2 * most).select("doc_id", "score"), vector.search(near, query, 2 * most).select("doc_id", "score")], most)
+        return fusion.fuse([keyword.search(held, text, 2 * most).select("doc_id", "score"), vector.search(near, query, 2 * most).select("doc_id", "score")], most, titles)
 
     runs = [one(t, v) for t, v in queries]
-    return runs[0] if len(runs) == 1 else fusion.fuse(runs, limit)
+    return runs[0] if len(runs) == 1 else fusion.fuse(runs, limit, titles)
 
 
 def context_pack(hits: DataFrame, sources: DataFrame, texts: DataFrame) -> DataFrame:

@@ -29,4 +29,4 @@ def context(source: DataFrame, chunks: DataFrame, most: int | None = None) -> Da
     rows = chunks.join(F.broadcast(source.select("doc_id", "title")), "doc_id")
     if most is not None:
         rows = rows.where(F.col("chunk_index") <= most)
-    return rows.select("doc_id", "title", "chunk_index", "body")
+    return rows.select("doc_id", "title", "chunk_index", "body").orderBy("doc_id", "chunk_index")

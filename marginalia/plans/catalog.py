@@ -222,7 +222,9 @@ def source_entities_listing(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _chunked(spark: SparkSession, d: str) -> DataFrame:
-    held = corpus.chunks(spark, d).select("doc_id", F.posexplode(segmentation.chunk_text(F.col("text"), 700, r"\n")).alias("n", "c"))
+    """The documents' lines as paragraphs, with blank lines between, in chunks."""
+    text = F.regexp_replace("text", "\n", "\n\n")
+    held = corpus.chunks(spark, d).select("doc_id", text.alias("text")).select("doc_id", F.posexplode(segmentation.chunk_text(F.col("text"), 700)).alias("n", "c"))
     return held.select("doc_id", (F.col("n") + 1).alias("chunk_index"), F.col("c.body").alias("body"), "c.start_char", "c.end_char")
 
 
@@ -480,8 +482,7 @@ def preference_overlay(spark: SparkSession, d: str) -> DataFrame:
 @query
 def ingest_notes(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus.table(spark, d, "documents").select(F.concat(F.lit("Document "), "doc_id").alias("title"), "text", F.lit(None).cast("string").alias("collection_id"))
-    made = ingest.notes(rows)
-    return made["chunks"].join(made["sources"].select("source_id", "language", "title"), "source_id").select("title", "source_id", "language", "chunk_index", F.length("text").alias("n_chars"))
+    return ingest.notes(rows)["chunks"].select("title", "source_id", "language", "chunk_index", F.length("text").alias("n_chars"))
 
 
 @query

@@ -160,7 +160,7 @@ _CHUNKS = f"""
 raw AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents),
 placed AS (
   SELECT doc_id, k, {STRIP.format('unit')} AS unit,
-    sum(length(unit) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(unit) - 1 + length(unit) - length(regexp_replace(unit, '^\\s+', '')) AS pos
+    sum(length(unit) + 2) OVER (PARTITION BY doc_id ORDER BY k) - length(unit) - 2 + length(unit) - length(regexp_replace(unit, '^\\s+', '')) AS pos
   FROM raw
 ),
 units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS idx, unit, length(unit) AS n, pos FROM placed WHERE unit <> ''),
@@ -369,10 +369,10 @@ ORDER BY match DESC, CASE preference WHEN 'current' THEN 0 WHEN 'legacy' THEN 3
         "summary_context": f"WITH RECURSIVE {_CHUNKS} SELECT doc_id, 'Document ' || doc_id AS title, chunk_index, md5(body) AS digest FROM chunks WHERE doc_id = 10 AND chunk_index <= 5",
         "html_clean": _html(),
         "link_extract": r"""WITH l AS (SELECT page_id, list_sort(list_distinct(regexp_extract_all(html, '(?i)<a\b[^>]*?href="([^"]*)"', 1))) AS f FROM pages) SELECT page_id, len(f) AS n, array_to_string(f, ' ') AS found FROM l""",
-        "url_resolve": rf"""WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1)) AS host, lower(regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1)) AS path FROM pages)
-SELECT page_id, CASE WHEN host IN ('podcasts.apple.com', 'itunes.apple.com') AND regexp_matches(url, '[?&]i=\d+') THEN 'apple_episode'
-  WHEN host IN ('podcasts.apple.com', 'itunes.apple.com') AND regexp_matches(path, '/id\d+') THEN 'apple_podcast'
-  WHEN regexp_matches(path, '\.(rss|xml)$') OR regexp_matches(path, '/(feed|rss)/?$') THEN 'rss' ELSE 'unknown' END AS kind,
+        "url_resolve": rf"""WITH p AS (SELECT page_id, url, lower(split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1)) AS host,
+  lower(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^[a-zA-Z]+://', ''), '^[^/]*', '')) AS path FROM pages)
+SELECT page_id, CASE WHEN contains(host, 'podcasts.apple.com') AND regexp_matches(path, '/id[0-9]+') THEN CASE WHEN regexp_matches(split_part(url, '#', 1), '[?&]i=[^&]') THEN 'apple_episode' ELSE 'apple_podcast' END
+  WHEN ends_with(path, '.xml') OR ends_with(path, '.rss') OR ends_with(path, '/feed') OR ends_with(path, '/rss') OR contains(path, 'rss') THEN 'rss_feed' ELSE 'unknown_url' END AS kind,
   {retimed('url', 'page_id * 1500')} AS timed FROM p""",
         "slugify_titles": "SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(p_name)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part",
         "durations": """WITH r AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'soon' WHEN 1 THEN doc_id::VARCHAR WHEN 2 THEN (doc_id % 90) || ':' || (doc_id % 60) ELSE (doc_id % 24) || ':' || (doc_id % 60) || ':' || (doc_id % 59) END AS raw FROM documents)
