@@ -9,15 +9,23 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch sent to a Python worker: with documents of a few kB this
 #: is a few MB, so a worker's memory does not depend on the size of a partition.
 ARROW_ROWS = 512
 
+#: Rows of a few numbers each (some 20 MB together) up to which a join's side is broadcast.
+BROADCAST_ROWS = 500_000
+
+#: Bytes in such a batch at most, for texts that are long.
+ARROW_BYTES = 16 << 20
+
 #: Where the package lies; of no effect on machines that have it elsewhere on their path.
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -25,12 +33,18 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one where none is named (tests)."""
+    """The folder that driver and executors share, ``spark.checkpoint.dir``.
+
+    Only in local mode, where they are one process, is a private folder made where none is
+    named; on a cluster that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     held = spark.sparkContext.getCheckpointDir()
     if not held:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="marginalia-"))
         held = spark.sparkContext.getCheckpointDir()
     return held.rstrip("/")
@@ -49,9 +63,18 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checked_broadcast(narrow: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``narrow``, whose rows are a few numbers each, marked for broadcast if it has few; else as it is, for a shuffled join.
+
+    It is counted, so it should be a table that is written already.
+    """
+    return F.broadcast(narrow) if narrow.count() <= rows else narrow
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches sent to Python workers, and let workers find this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
