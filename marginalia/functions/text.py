@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 #: Scripts written without spaces between words.
 CJK = r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
@@ -74,14 +79,24 @@ def slugify(text: Column, most: int | None = None, default: str | None = None) -
     return slug if default is None else F.coalesce(F.nullif(slug, F.lit("")), F.lit(default))
 
 
-#: Named and numbered entities that are decoded without leaving the JVM; &amp; comes last.
-_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "#39": "'", "#x27": "'", "nbsp": " ", "ndash": "–", "mdash": "—", "hellip": "…", "amp": "&"}
+#: A character reference, as HTML texts have them with and without the semicolon.
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@pandas_udf(T.ArrayType(T.StringType()))
+def _decoded(found: pd.Series) -> pd.Series:
+    return found.map(lambda refs: None if refs is None else [html.unescape(r) for r in refs])
 
 
 def unescape(text: Column) -> Column:
-    for name, char in _ENTITIES.items():
-        text = F.regexp_replace(text, f"&{name};", char)
-    return text
+    """All character references decoded, each once.
+
+    Only the references themselves go through Python; the text between them does not.
+    """
+    refs = F.regexp_extract_all(text, F.lit(f"({REFERENCE})"), F.lit(1))
+    between = F.split(text, REFERENCE)
+    woven = F.zip_with(between, _decoded(refs), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(woven, "")).otherwise(text)
 
 
 def _collapse(text: Column) -> Column:

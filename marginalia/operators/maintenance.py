@@ -109,15 +109,29 @@ def export_bundle(tables: dict[str, DataFrame], path: str) -> None:
     first.sparkSession.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/manifest")
 
 
-def import_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a bundle after counts and columns are checked against its manifest."""
+def _manifest(spark: SparkSession, path: str) -> dict:
     manifest = json.loads(spark.read.text(f"{path}/manifest", wholetext=True).first()[0])
     if manifest.get("format") != "marginalia-bundle" or manifest.get("format_version") != 1:
         raise ValueError("not a bundle of this format")
+    return manifest
+
+
+def inspect_bundle(spark: SparkSession, path: str) -> DataFrame:
+    """(table, rows, columns) as a bundle's manifest says, without reading its tables."""
+    entries = [(e["table"], e["rows"], ",".join(f["name"] for f in e["schema"]["fields"])) for e in _manifest(spark, path)["tables"]]
+    return spark.createDataFrame(entries, "table string, rows long, columns string")
+
+
+def _kinds(schema: dict) -> list[tuple[str, str]]:
+    return [(f["name"], json.dumps(f["type"], sort_keys=True)) for f in schema["fields"]]
+
+
+def import_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a bundle after counts, names and types of columns are checked against its manifest."""
     out = {}
-    for entry in manifest["tables"]:
+    for entry in _manifest(spark, path)["tables"]:
         rows = spark.read.parquet(f"{path}/{entry['table']}")
-        if [f["name"] for f in entry["schema"]["fields"]] != rows.columns or rows.count() != entry["rows"]:
+        if _kinds(entry["schema"]) != _kinds(json.loads(rows.schema.json())) or rows.count() != entry["rows"]:
             raise ValueError(f"table {entry['table']} is not as the manifest says")
         out[entry["table"]] = rows
     return out

@@ -42,3 +42,18 @@ def compare_stored(stored: DataFrame, fresh: DataFrame, same: float = 0.999) ->
         .otherwise("unchanged")
     )
     return both.select("doc_id", action.alias("action"), near.alias("similarity"))
+
+
+def applied_plan(stored: DataFrame, fresh: DataFrame, model: str, prune: bool = False, same: float = 0.999) -> DataFrame:
+    """The stored vectors (doc_id, model, vector) after a re-embedding with ``model``.
+
+    Unchanged vectors stay as they are, others are replaced by the fresh ones; documents that
+    have none any more keep what they had.  ``prune`` drops the rows of other models.
+    """
+    own, others = stored.where(F.col("model") == model), stored.where(~F.col("model").eqNullSafe(F.lit(model)))
+    plan = compare_stored(own.select("doc_id", "vector"), fresh, same)
+    new = plan.where("action IN ('created', 'updated')").select("doc_id")
+    kept = own.join(new, "doc_id", "left_anti")
+    made = fresh.join(new, "doc_id", "left_semi").select("doc_id", F.lit(model).alias("model"), "vector")
+    rows = kept.select("doc_id", "model", "vector").unionByName(made)
+    return rows if prune else rows.unionByName(others.select("doc_id", "model", "vector"))

@@ -42,6 +42,8 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import importing  # noqa: F401  registers its own
+
     return dict(_CATALOG)
 
 

@@ -202,7 +202,7 @@ def retimed(url: str, ms: str) -> str:
 
 
 def unescaped(x: str) -> str:
-    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("#39", "''"), ("#x27", "''"), ("nbsp", " "), ("ndash", "–"), ("mdash", "—"), ("hellip", "…"), ("amp", "&")):
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("#39", "''"), ("#x27", "''"), ("nbsp", " "), ("ndash", "–"), ("mdash", "—"), ("hellip", "…"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
         x = f"replace({x}, '&{name};', '{char}')"
     return x
 
@@ -307,7 +307,9 @@ def oracle_sql() -> dict[str, str]:
     q, tr = QUERY, TRANSLATED
     doc_vectors = hashed("text", "documents")
     asked = f"asked AS (SELECT -1 AS doc_id, '{q}' AS text)"
-    return {
+    from . import importing_oracle
+
+    return importing_oracle.oracle_sql() | {
         "bm25_search": scored([bm25("b", q, "lang = 'en' OR lang IS NULL")], "b"),
         "tokenize_documents": f"WITH t AS (SELECT doc_id, {toks('text')} AS toks FROM documents) SELECT doc_id, len(toks) AS n_tokens, md5(array_to_string(toks, ' ')) AS digest FROM t",
         "token_df_stats": f"WITH t AS (SELECT doc_id, unnest({toks('text')}) AS token FROM documents) SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM t GROUP BY token",

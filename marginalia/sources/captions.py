@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_html_flat, mmss_to_ms, timestamp_ms
+from ..functions.text import clean_html_flat, mmss_to_ms, timestamp_ms, unescape
 
 _CUES = "events array<struct<tStartMs:double,dDurationMs:double,aAppend:int,segs:array<struct<utf8:string,tOffsetMs:double>>>>"
 
@@ -21,6 +21,49 @@ def vtt(files: DataFrame) -> DataFrame:
     return rows.select("file", F.expr("row_number() OVER (PARTITION BY file ORDER BY n)").alias("idx"), "start_ms", "end_ms", "body")
 
 
+#: What begins a line of a caption file that belongs to no cue.
+ASIDES = ("NOTE", "STYLE", "REGION")
+
+
+def vtt_lines(files: DataFrame) -> DataFrame:
+    """(file, idx, start_ms, end_ms, body) of caption texts (file, content), read line by line.
+
+    For files whose cues need no blank lines between: a timing line, a blank one and one
+    of a note, style or region end the cue before.  Numbers alone are no text, tags go, and a
+    time that cannot be read is 0.  Cues without text go.
+    """
+    line = F.struct(F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"), F.array().cast("array<string>").alias("text"))
+    begin = F.struct(F.array().cast("array<struct<start:bigint,end:bigint,body:string>>").alias("done"), line.alias("cue"))
+
+    def closed(acc: Column) -> Column:
+        """The finished cues, the open one among them if it has text."""
+        texts = F.filter(F.transform(acc["cue"]["text"], lambda x: F.when(x.rlike(r"^\d+$"), "").otherwise(F.trim(F.regexp_replace(x, "<[^>]+>", "")))), lambda x: x != "")
+        body = F.array_join(texts, " ")
+        cue = F.struct(acc["cue"]["start"].alias("start"), acc["cue"]["end"].alias("end"), body.alias("body"))
+        return F.when((body != "") & acc["cue"]["start"].isNotNull(), F.concat(acc["done"], F.array(cue))).otherwise(acc["done"])
+
+    def time(x: Column) -> Column:
+        return F.coalesce(timestamp_ms(x), F.lit(0).cast("long"))
+
+    def step(acc: Column, x: Column) -> Column:
+        aside = (x == "") | (x == "WEBVTT") | x.rlike("^(" + "|".join(ASIDES) + ")")
+        some = F.size(acc["cue"]["text"]) > 0
+        fresh = F.struct(time(F.regexp_extract(x, r"^\s*(\S+)\s*-->", 1)).alias("start"), time(F.regexp_extract(x, r"-->\s*(\S+)", 1)).alias("end"), F.array().cast("array<string>").alias("text"))
+        longer = F.struct(acc["cue"]["start"].alias("start"), acc["cue"]["end"].alias("end"), F.concat(acc["cue"]["text"], F.array(x)).alias("text"))
+        return (
+            F.when(aside & some, F.struct(closed(acc).alias("done"), line.alias("cue")))
+            .when(aside, acc)
+            .when(F.contains(x, F.lit("-->")), F.struct(F.when(some, closed(acc)).otherwise(acc["done"]).alias("done"), fresh.alias("cue")))
+            .when(acc["cue"]["start"].isNotNull(), F.struct(acc["done"].alias("done"), longer.alias("cue")))
+            .otherwise(acc)
+        )
+
+    lines = F.transform(F.split("content", r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, r"^[\x{FEFF} ]+|[\x{FEFF} ]+$", ""))
+    cues = F.aggregate(lines, begin, step, closed)
+    rows = files.select("file", F.posexplode(cues).alias("n", "c"))
+    return rows.select("file", (F.col("n") + 1).alias("idx"), F.col("c.start").alias("start_ms"), F.col("c.end").alias("end_ms"), unescape(F.col("c.body")).alias("body"))
+
+
 def clipped(cues: DataFrame, key: str, order: str = "idx") -> DataFrame:
     """Cues that end where the next begins at the latest."""
     return cues.withColumn("end_ms", F.expr(f"least(end_ms, coalesce(lead(start_ms) OVER (PARTITION BY {key} ORDER BY {order}), end_ms))"))
@@ -58,13 +101,16 @@ def recogniser_chunks(files: DataFrame) -> DataFrame:
 
 def slices(page: Column, size: int = 1000, seconds: int = 60) -> Column:
     """array<struct<start_ms, body>> of an HTML transcript: fixed slices of its text, a minute each."""
-    body = clean_html_flat(page)
-    count = F.ceil(F.length(body) / size).cast("int")
-    cut = F.transform(
-        F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1),
-        lambda i: F.struct((i * seconds * 1000).alias("start_ms"), F.substring(body, i * size + 1, F.lit(size)).alias("body")),
-    )
-    return F.filter(cut, lambda s: s["body"] != "")
+
+    def cut(body: Column) -> Column:
+        count = F.ceil(F.length(body) / size).cast("int")
+        parts = F.transform(
+            F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1),
+            lambda i: F.struct((i * seconds * 1000).alias("start_ms"), F.substring(body, i * size + 1, F.lit(size)).alias("body")),
+        )
+        return F.filter(parts, lambda s: s["body"] != "")
+
+    return F.transform(F.array(clean_html_flat(page)), cut)[0]
 
 
 def clean_lines(text: Column, boilerplate: list[str]) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,3 +74,34 @@ def channels(feeds: DataFrame) -> DataFrame:
         return F.nullif(F.trim(F.regexp_replace(raw, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")), F.lit(""))
 
     return feeds.select("feed", F.coalesce(tag("title"), F.lit(UNTITLED_CHANNEL)).alias("title"), tag("link").alias("link"))
+
+
+def with_transcripts(items: DataFrame) -> DataFrame:
+    """Episodes that offer a transcript."""
+    return items.where(F.size("transcripts") > 0)
+
+
+def show_episodes(items: DataFrame, show: str | None = None) -> DataFrame:
+    """Episodes with ``number``, ``episode_title`` and ``date_key``, by the habits of shows.
+
+    The number is the feed's, else that of the link's last part, else what stands before a
+    colon in the title; that beginning, and ``show`` before a number, leave the title.
+    """
+    by_link = F.nullif(F.regexp_extract("link", r"/(-?\d+[a-z]?)/?$", 1), F.lit(""))
+    head = F.regexp_extract("title", r"^([^:]*):", 1)
+    number = F.coalesce(F.col("episode").cast("string"), by_link, F.nullif(F.trim(head), F.lit("")), F.col("title"))
+    title = F.col("title") if show is None else F.regexp_replace("title", f"^{re.escape(show)}\\s+", "")
+    begin = F.concat(F.lit("^"), F.regexp_replace(number, r"([\\^$.|?*+()\[\]{}])", r"\\$1"), F.lit(r"\s*:\s*"))
+    bare = F.trim(F.regexp_replace(title, begin, F.lit("")))
+    return items.withColumn("number", number).withColumn("episode_title", F.coalesce(F.nullif(bare, F.lit("")), F.col("title")))
+
+
+def guid_titles(feeds: DataFrame) -> DataFrame:
+    """(feed, guid, title) of items by pattern alone, for feeds that are no sound XML; CDATA or plain."""
+    items = feeds.select("feed", F.posexplode(F.regexp_extract_all("content", F.lit(r"(?s)(<item\b[^>]*>.*?</item>)"), F.lit(1))).alias("n", "raw"))
+
+    def tag(name: str):
+        inner = F.regexp_extract("raw", rf"(?s)<{name}\b[^>]*>(.*?)</{name}>", 1)
+        return F.trim(F.regexp_replace(inner, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1"))
+
+    return items.select("feed", "n", tag("guid").alias("guid"), tag("title").alias("title")).where("guid <> ''")

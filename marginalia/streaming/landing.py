@@ -8,25 +8,49 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from ..operators.ingest import notes
 
 _KEYS = {"sources": "source_id", "chunks": "chunk_id", "embeddings": "chunk_id", "jobs": "job_id"}
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def ingest_notes(spark: SparkSession, landing: str, target: str, checkpoint: str) -> StreamingQuery:
     """Ingest JSON notes (title, text, collection_id) landing in a folder; ends when all are read."""
     rows = spark.readStream.schema("title string, text string, collection_id string").json(landing)
 
     def batch(part: DataFrame, number: int) -> None:
-        for name, new in notes(part).items():
+        # four tables are made of a batch: its notes are read once, not four times
+        made = notes(part.persist())
+        for name, new in made.items():
             path = f"{target}/{name}"
-            try:
-                known = part.sparkSession.read.parquet(path).select(_KEYS[name])
+            if _exists(part.sparkSession, path):
+                ids = new.select(_KEYS[name])
+                known = part.sparkSession.read.parquet(path).select(_KEYS[name]).join(ids, _KEYS[name], "left_semi")
                 new = new.join(known, _KEYS[name], "left_anti")
-            except AnalysisException:
-                pass  # the first batch makes the table
             new.write.mode("append").parquet(path)
+        part.unpersist()
 
     return rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def new_items(spark: SparkSession, landing: str, target: str, checkpoint: str) -> StreamingQuery:
+    """Items (guid, status, position) landing as JSON: the first of each guid goes to ``target``, whatever lands again does not.
+
+    The guids seen so far are the stream's state, kept under its checkpoint, so a restart resumes
+    where it was.
+    """
+    rows = spark.readStream.schema("guid string, status string, position long").json(landing).where("guid IS NOT NULL")
+    return (
+        rows.dropDuplicates(["guid"])
+        .writeStream.format("parquet")
+        .option("path", target)
+        .option("checkpointLocation", checkpoint)
+        .outputMode("append")
+        .trigger(availableNow=True)
+        .start()
+    )
