@@ -112,14 +112,6 @@ def _sums(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def _kept(batches: list[tuple[np.ndarray, np.ndarray]], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places and rows of the slots that have a place."""
-    found = [(place[s], r) for s, r in batches]
-    slots = [p[p >= 0] for p, _ in found] or [np.zeros(0, np.int64)]
-    rows = [r[p >= 0] for p, r in found] or [np.zeros(0, np.int64)]
-    return np.concatenate(slots), np.concatenate(rows).astype(np.int64)
-
-
 def _evidence(a: np.ndarray, seen: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Likelihood-ratio statistic of each slot's presence against the label.
 
@@ -179,31 +171,37 @@ def fit(
     if not n or y.min() == y.max():
         share = min(max(y.mean() if n else 0.0, 1e-9), 1 - 1e-9)
         return Model(np.zeros(1 << HASH_BITS), float(np.log(share / (1 - share))))
-    # batches keep the memory near that of the texts; all but the telling slots go early
-    batches, a, seen = [], 0, 0
+    # two passes over batches of texts: all slots are counted, then the telling ones alone are kept
+    a, seen = np.zeros(1 << HASH_BITS), np.zeros(1 << HASH_BITS)
     moved = np.zeros(n, bool)
+
+    def slots_of(rows: np.ndarray, **how) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i in range(0, len(rows), 128):
+            part = rows[i : i + 128]
+            slot, off, changed = features(pa.array([texts[k] or "" for k in part], pa.large_string()), **how)
+            yield slot, np.repeat(part, np.diff(off)), changed
+
+    def kept(rows: np.ndarray, **how) -> tuple[np.ndarray, np.ndarray]:
+        found = [(place[slot], row) for slot, row, _ in slots_of(rows, **how)]
+        slots = [p[p >= 0] for p, _ in found] or [np.zeros(0, np.int64)]
+        owners = [r[p >= 0] for p, r in found] or [np.zeros(0, np.int64)]
+        return np.concatenate(slots).astype(np.int64), np.concatenate(owners).astype(np.int64)
+
+    everything = np.arange(n)
     with np.errstate(over="ignore"):
-        for i in range(0, n, 128):
-            column = pa.array([t or "" for t in texts[i : i + 128]], pa.large_string())
-            slot, off, moved[i : i + 128] = features(column, named=swap)
-            row = np.repeat(np.arange(i, i + len(column)), np.diff(off))
-            a = a + np.bincount(slot, weights=y[row], minlength=1 << HASH_BITS)
-            seen = seen + np.bincount(slot, minlength=1 << HASH_BITS)
-            batches.append((slot.astype(np.int32), row.astype(np.int32)))
-        used = np.flatnonzero(_evidence(a, seen.astype(float), y) >= evidence)
+        for i, (slot, row, changed) in enumerate(slots_of(everything, named=swap)):
+            moved[128 * i : 128 * i + len(changed)] = changed
+            a += np.bincount(slot, weights=y[row], minlength=1 << HASH_BITS)
+            seen += np.bincount(slot, minlength=1 << HASH_BITS)
+        used = np.flatnonzero(_evidence(a, seen, y) >= evidence)
         if not len(used):
             used = np.flatnonzero(seen)
         width = len(used)
-        place = np.full(1 << HASH_BITS, -1)
+        place = np.full(1 << HASH_BITS, -1, np.int32)
         place[used] = np.arange(width)
-        slot, row = _kept(batches, place)
+        slot, row = kept(everything)
         # only texts that name a group have a counterpart
-        batches, who = [], np.flatnonzero(moved)
-        for i in range(0, len(who), 128):
-            part = who[i : i + 128]
-            slot2, off2, _ = features(pa.array([texts[k] for k in part], pa.large_string()), swap)
-            batches.append((slot2.astype(np.int32), np.repeat(part, np.diff(off2)).astype(np.int32)))
-        slot2, row2 = _kept(batches, place)
+        slot2, row2 = kept(np.flatnonzero(moved), swap=swap)
     pairs = max(int(moved.sum()), 1)
     weight = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     # columns scaled by their frequency keep the step size independent of text length
