@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 
 from ..runtime import small_batches
 
+_ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 _SKIP = re.compile(r"<(script|style|template|noscript)\b.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)", re.S | re.I)
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 _HEAD = re.compile(r"<head\b.*?</head\s*>", re.S | re.I)
-_BREAK = re.compile(r"<(?:/?(?:address|article|aside|blockquote|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul)\b[^>]*|br\b[^>]*)>", re.I)
-_TAG = re.compile(r"</?[a-z!][^>]*>", re.I)
+_BLOCKS = "address|article|aside|blockquote|dd|div|dl|dt|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|tr|ul"
+# a tag ends behind its attributes, whose values may hold any character; with an open quote, at the next >
+_BREAK = re.compile(rf"<(?:/?(?:{_BLOCKS})\b|br\b)(?:{_ATTRIBUTES}|[^>]*>)", re.I)
+_TAG = re.compile(rf"</?[a-z!](?:{_ATTRIBUTES}|[^>]*>)", re.I)
 _LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.S | re.I)
 
 
@@ -52,14 +55,24 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], fields, payload
 
 
-def record(kind: str, fields: dict[str, str], block: bytes) -> bytes:
-    """One WARC/1.1 record."""
-    head = {"WARC-Type": kind, **fields, "WARC-Block-Digest": digest(block), "Content-Length": str(len(block))}
-    return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head.items()) + b"\r\n" + block + b"\r\n\r\n"
+def _line(value: str) -> str:
+    """A header value on one line; line breaks become spaces."""
+    return " ".join(value.split("\r\n")).replace("\r", " ").replace("\n", " ").strip()
 
 
-def read_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of every record, of plain bytes or gzip members."""
+def _uri(value: str) -> str:
+    """A URI without the characters that would end a header line."""
+    return value.replace("\r", "%0D").replace("\n", "%0A")
+
+
+def record(kind: str, fields: list[tuple[str, str]], block: bytes) -> bytes:
+    """One WARC/1.1 record; fields without a value are left out."""
+    head = [("WARC-Type", kind), *((k, _line(v)) for k, v in fields if v), ("WARC-Block-Digest", digest(block)), ("Content-Length", str(len(block)))]
+    return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode("utf-8", "replace") for k, v in head) + b"\r\n" + block + b"\r\n\r\n"
+
+
+def read_records(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """Headers, in order, and block of every record, of plain bytes or gzip members."""
     if raw[:2] == b"\x1f\x8b":
         raw = gzip.decompress(raw)
     at = 0
@@ -68,14 +81,23 @@ def read_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if end < 0 or not raw.startswith(b"WARC/", at):
             raise ValueError("not a WARC record")
         lines = raw[at:end].decode("utf-8").split("\r\n")
-        fields = {a.strip(): b.strip() for a, _, b in (x.partition(":") for x in lines[1:])}
-        size = int(fields["Content-Length"])
+        fields = [(a.strip(), b.strip()) for a, _, b in (x.partition(":") for x in lines[1:])]
+        size = int(next(v for k, v in fields if k == "Content-Length"))
+        if end + 4 + size > len(raw):
+            raise ValueError("a WARC record that is cut off")
         yield fields, raw[end + 4 : end + 4 + size]
         at = end + 4 + size + 4
 
 
-_COLUMNS = ["warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "payload_digest", "block_digest", "content_length", "block"]
-_DERIVED = ", ".join(f"{c} {'long' if c == 'content_length' else 'binary' if c == 'block' else 'string'}" for c in _COLUMNS)
+_COLUMNS = ["warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "payload_digest", "source_block_digest", "source_headers", "block_digest", "content_length", "block"]
+_KINDS = {"content_length": "long", "block": "binary", "source_headers": "array<struct<name:string,value:string>>"}
+_ARROW = {"content_length": pa.int64(), "block": pa.binary(), "source_headers": pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))}
+_DERIVED = ", ".join(f"{c} {_KINDS.get(c, 'string')}" for c in _COLUMNS)
+
+
+def _table(rows: list[tuple], names: list[str]) -> list[pa.Array]:
+    cols = list(zip(*rows)) or [()] * len(names)
+    return [pa.array(list(c), _ARROW.get(n, pa.string())) for n, c in zip(names, cols)]
 
 
 def derive(responses: DataFrame) -> DataFrame:
@@ -84,9 +106,10 @@ def derive(responses: DataFrame) -> DataFrame:
     ``responses`` has record_id, target_uri, warc_date, block (an HTTP response) and, if
     known, payload_digest; other columns stay.  The metadata record holds the source's
     HTTP headers, digests, title and links as ``name: value`` lines; the conversion record the
-    text as UTF-8, and the source's payload digest as payload_digest of its origin.
-    A null block counts as empty and still gives both records; nulls elsewhere become
-    empty header values.  Columns named like the record's are replaced.
+    text as UTF-8.  Both keep the source's identifier (refers_to), payload digest, block
+    digest, status and HTTP headers.  A null block counts as empty and still gives both
+    records; nulls elsewhere become empty.  A source without an identifier gives its
+    records identifiers by its URI, date and content.  Columns named like the record's are replaced.
     """
     small_batches(responses.sparkSession)
     need = ["record_id", "target_uri", "warc_date", "block", "payload_digest"]
@@ -99,22 +122,22 @@ def derive(responses: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[tuple] = []
             for rid, uri, date, block, known in zip(*(c.to_pylist() for c in batch.columns[:5])):
-                status, fields, payload = split_http(block or b"")
-                source = known or digest(payload)
+                raw = block or b""
+                status, fields, payload = split_http(raw)
+                source, whole = known or digest(payload), digest(raw)
                 title, text, links = plain_text(payload.decode("utf-8", "replace"))
-                base = {"WARC-Refers-To": rid or "", "WARC-Target-URI": uri or "", "WARC-Date": date or ""}
-                lines = [("status", status), *((f"http-{k.lower()}", v) for k, v in fields), ("payload-digest", source), ("block-digest", digest(block or b"")), ("title", title), *(("outlink", x) for x in links)]
+                name = rid or f"{uri} {date} {whole}"
+                lines = [("status", status), *((f"http-{k.lower()}", v) for k, v in fields), ("payload-digest", source), ("block-digest", whole), ("title", title), *(("outlink", x) for x in links)]
                 meta = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in lines).encode("utf-8", "replace")
+                headers = [{"name": "status", "value": status}, *({"name": k, "value": v} for k, v in fields)]
                 for kind, mime, made in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
-                    name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {rid}')}>"
-                    out.append((kind, name, *base.values(), mime, source, digest(made), len(made), made))
-            cols = list(zip(*out)) or [()] * len(_COLUMNS)
+                    own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {name}')}>"
+                    out.append((kind, own, rid or "", _uri(uri or ""), date or "", mime, source, whole, headers, digest(made), len(made), made))
             twice = pa.array([i for i in range(batch.num_rows) for _ in range(2)], pa.int64())
-            done = [pa.array(c, pa.int64() if n == "content_length" else pa.binary() if n == "block" else pa.string()) for n, c in zip(_COLUMNS, cols)]
-            yield pa.RecordBatch.from_arrays([*(c.take(twice) for c in batch.columns[5:]), *done], names=[*rest, *_COLUMNS])
+            yield pa.RecordBatch.from_arrays([*(c.take(twice) for c in batch.columns[5:]), *_table(out, _COLUMNS)], names=[*rest, *_COLUMNS])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), _DERIVED])
-    return responses.select(*need, *rest).mapInArrow(run, schema)
+    return responses.select(*need, *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
 
 
 def responses_of(pages: DataFrame) -> DataFrame:
@@ -131,7 +154,7 @@ def responses_of(pages: DataFrame) -> DataFrame:
                 blocks.append(b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload)
                 digests.append(digest(payload))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids), pa.array(urls, pa.string()), pa.array(["2024-01-01T00:00:00Z"] * len(ids)), pa.array(blocks, pa.binary()), pa.array(digests)],
+                [batch.column(0), pa.array(ids, pa.string()), pa.array(urls, pa.string()), pa.array(["2024-01-01T00:00:00Z"] * len(ids), pa.string()), pa.array(blocks, pa.binary()), pa.array(digests, pa.string())],
                 names=["page_id", "record_id", "target_uri", "warc_date", "block", "payload_digest"],
             )
 
@@ -139,15 +162,81 @@ def responses_of(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema)
 
 
+#: The header of each column; the source's own headers go into fields that begin with SOURCE.
+_HEADERS = {
+    "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "content_type": "Content-Type",
+    "payload_digest": "Source-Payload-Digest", "source_block_digest": "Source-Block-Digest",
+}
+SOURCE = "Source-HTTP-"
+
+
 def as_records(derived: DataFrame) -> DataFrame:
-    """Adds ``raw``, the bytes of each derived record, ready to be written one after another."""
-    need = ["warc_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "block"]
+    """Each derived record's bytes in ``raw``, ready to be written one after another; columns beside the record's stay."""
+    need = ["warc_type", *_HEADERS, "source_headers", "block"]
+    rest = [c for c in derived.columns if c not in {*_COLUMNS, "raw"}]
+    kinds = {f.name: f.dataType.simpleString() for f in derived.schema.fields}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = []
+            for kind, *values, headers, block in zip(*(c.to_pylist() for c in batch.columns[: len(need)])):
+                fields = [(h, v or "") for h, v in zip(_HEADERS.values(), values)]
+                fields += [(SOURCE + h["name"], h["value"] or "") for h in headers or []]
+                raw.append(record(kind, fields, block or b""))
+            yield pa.RecordBatch.from_arrays([*batch.columns[len(need) :], pa.array(raw, pa.binary())], names=[*rest, "raw"])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "raw binary"])
+    return derived.select(*need, *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """One row a record of the bytes in ``raw`` (a record, a file or gzip members), with the columns that ``derive`` gives.
+
+    Other columns stay.  ``sound`` tells whether the block has the digest that its header
+    states.  Null bytes give no rows; bytes that are no records are an error.
+    """
+    small_batches(files.sparkSession)
+    names = [*_COLUMNS, "sound"]
+    rest = [c for c in files.columns if c not in {*names, "raw"}]
+    kinds = {f.name: f.dataType.simpleString() for f in files.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["WARC-Record-ID", "WARC-Refers-To", "WARC-Target-URI", "WARC-Date", "Content-Type"]
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns))
-            raw = [record(r[0], dict(zip(names, (x or "" for x in r[1:6]))), r[6] or b"") for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(raw, pa.binary())], names=["record_id", "raw"])
+            for i, raw in enumerate(batch.column(0).to_pylist()):
+                out = []
+                for fields, block in read_records(raw) if raw is not None else ():
+                    got = dict(fields)
+                    headers = [{"name": k[len(SOURCE) :], "value": v} for k, v in fields if k.startswith(SOURCE)]
+                    stated = got.get("WARC-Block-Digest")
+                    out.append((got.get("WARC-Type"), *(got.get(h, "") for h in _HEADERS.values()), headers, stated, len(block), block, stated == digest(block)))
+                if out:
+                    same = pa.array([i] * len(out), pa.int64())
+                    cols = _table([r[:-1] for r in out], _COLUMNS)
+                    yield pa.RecordBatch.from_arrays([*(c.take(same) for c in batch.columns[1:]), *cols, pa.array([r[-1] for r in out], pa.bool_())], names=[*rest, *names])
+
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), _DERIVED, "sound boolean"])
+    return files.select("raw", *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
+
+
+def write_warcs(derived: DataFrame, path: str) -> None:
+    """Write derived records as ``part-<id>.warc.gz`` files, a gzip member a record, a file a task.
+
+    A task writes under a name of its own attempt and renames it at the end by its partition,
+    so a task that is run again leaves one file.
+    """
+    from pyarrow import fs
+    from pyspark import TaskContext
 
-    return derived.select(*need).mapInArrow(run, "record_id string, raw binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(path)
+        store.create_dir(root, recursive=True)
+        part = TaskContext.get().partitionId()
+        temp = f"{root}/.part-{part:06d}-{uuid.uuid4().hex}"
+        with store.open_output_stream(temp) as out:
+            for batch in batches:
+                for raw in batch.column(0).to_pylist():
+                    out.write(gzip.compress(raw, mtime=0))
+        store.move(temp, f"{root}/part-{part:06d}.warc.gz")
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64())], names=["done"])
+
+    as_records(derived).select("raw").mapInArrow(run, "done long").count()

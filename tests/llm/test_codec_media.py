@@ -7,7 +7,7 @@ import pytest
 import public_tokenizers
 import tiktoken
 
-from marginalia.llm import byte_bpe, gif_media, warc
+from marginalia.llm import byte_bpe, gif_media, queries, warc
 from marginalia.llm.queries import pattern, vocabulary
 
 TEXTS = [None, "", " ", "Hello  world!\n\n\tit's", "naïve 🦜 语言 été", "<|endoftext|>", "a" * 5000, "x \x1c\x85\u00a0y", "\U0001f1e9\U0001f1ea e\u0301"]
@@ -206,6 +206,49 @@ def test_warc_derivatives(spark):
     assert bytes(text.block).decode() == "one two\nthree" and text.payload_digest == warc.digest(page.encode())
     assert "title: A & B\r\n" in meta and "outlink: /x?a=1&b=2\r\n" in meta and "http-content-type: text/html; charset=utf-8\r\n" in meta
     raw = b"".join(bytes(r.raw) for r in warc.as_records(warc.derive(source)).collect())
-    parsed = list(warc.read_records(raw))
-    assert len(parsed) == 8 and all(f["WARC-Refers-To"] in refers and f["WARC-Block-Digest"] == warc.digest(b) for f, b in parsed)
+    records = [(dict(f), b) for f, b in warc.read_records(raw)]
+    assert len(records) == 8 and all(f["WARC-Refers-To"] in refers and f["WARC-Block-Digest"] == warc.digest(b) for f, b in records)
+    assert all(f["Source-HTTP-status"] == "HTTP/1.1 200 OK" and f["Source-HTTP-Content-Type"].startswith("text/html") for f, _ in records)
+    assert {f["Source-Payload-Digest"] for f, _ in records} == {warc.digest(page.encode()), warc.digest(b"")}
     assert warc.derive(warc.responses_of(pages.limit(0))).count() == 0
+
+
+def test_warc_edges(spark, tmp_path):
+    block = b"HTTP/1.1 404 Not\r\nX-A: 1\r\nx-a: 2\r\n\r\n<p title=\"a > b\">seen</p><p class='x\">'>also</p> <b broken=\"x>end"
+    rows = [(None, "http://x/\r\nEvil: 1", "d", block, None, 1), (None, None, None, None, None, 2), (None, None, None, None, None, 3), ("<id>", "http://y/", "d\r\nEvil: 2", b"no header end", "sha1:known", 4)]
+    source = spark.createDataFrame(rows, "record_id string, target_uri string, warc_date string, block binary, payload_digest string, raw int")
+    made = warc.derive(source)
+    got = [r.asDict() for r in made.collect()]
+    text = [bytes(r["block"]).decode() for r in got if r["warc_type"] == "conversion" and r["raw"] == 1]
+    assert text == ["seen\nalso\nend"] and {r["payload_digest"] for r in got if r["raw"] == 4} == {"sha1:known"}
+    assert len({r["record_id"] for r in got if r["raw"] == 1} | {r["record_id"] for r in got if r["raw"] == 2}) == 4
+    back = warc.parsed(warc.as_records(made.drop("raw"))).collect()
+    assert len(back) == 8 and all(r.sound for r in back) and not any("Evil" in h.name for r in back for h in r.source_headers)
+    assert {r.target_uri for r in back} == {"http://x/%0D%0AEvil: 1", "", "http://y/"}
+    assert [[(h.name, h.value) for h in r.source_headers] for r in back if "x/" in r.target_uri][0] == [("status", "HTTP/1.1 404 Not"), ("X-A", "1"), ("x-a", "2")]
+    path = f"file://{tmp_path}/warcs"
+    warc.write_warcs(made.repartition(3), path)
+    warc.write_warcs(made.repartition(3), path)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    again = warc.parsed(files.withColumnRenamed("content", "raw"))
+    assert sorted((r.record_id, bytes(r.block)) for r in again.collect()) == sorted((r["record_id"], bytes(r["block"])) for r in got)
+    with pytest.raises(ValueError):
+        list(warc.read_records(warc.record("metadata", [], b"abc")[:-6]))
+
+
+def test_warc_query_matches_plain_code(spark, tmp_path):
+    """op5 against the records made by hand from the pages."""
+    pages = [(i, f"http://h/{i}" if i % 3 else None, f"<head><title>T{i}</title></head><p>text {i} &lt;x&gt;</p><a href='/l{i}'>l</a>" if i % 4 else None) for i in range(12)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {(r.page_id, r.warc_type): r for r in queries.op5_warc(spark, str(tmp_path)).collect()}
+    assert len(got) == 24
+    for i, url, page in pages:
+        payload = (page or "").encode()
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+        text = f"text {i} <x>\nl" if page else ""
+        meta = f"status: HTTP/1.1 200 OK\r\nhttp-content-type: text/html; charset=utf-8\r\nhttp-content-length: {len(payload)}\r\npayload-digest: {warc.digest(payload)}\r\nblock-digest: {warc.digest(block)}\r\ntitle: {f'T{i}' if page else ''}\r\n" + (f"outlink: /l{i}\r\n" if page else "")
+        for kind, want in (("conversion", text), ("metadata", meta)):
+            r = got[i, kind]
+            assert r.block_sha256 == hashlib.sha256(want.encode()).hexdigest() and r.content_length == len(want.encode()) and r.sound
+            assert r.target_uri == (url or "") and r.payload_digest == warc.digest(payload) and r.source_block_digest == warc.digest(block)
+            assert r.source_headers.split("\n")[0] == "status: HTTP/1.1 200 OK" and r.refers_to.startswith("<urn:uuid:")
