@@ -63,6 +63,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def swept(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the session ends, as tables that are written in between are."""
+    _written.append((spark, path))
+
+
 def checked_broadcast(narrow: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``narrow``, whose rows are a few numbers each, marked for broadcast if it has few; else as it is, for a shuffled join.
 
