@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import shared_dir, swept
 from . import byte_bpe, gif_media, imatch, mixing, ngram_join, suffix_dedup, token_order, toxicity, url_filter, warc
 
 #: Rules of the URL query: (verdict, host, path).
@@ -86,8 +88,12 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots, _ = token_order.assign_slots(_documents(spark, sf_dir), key=20240101)
-    return slots.withColumn("ids", F.sha2("ids", 256)).withColumnRenamed("ids", "ids_sha256")
+    """The slots as they are read back from the shards that are written into the shared folder."""
+    path = f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    sequences, n = token_order.assign_slots(_documents(spark, sf_dir), key=20240101)
+    token_order.write_shards(sequences, path, n)
+    swept(spark, path)
+    return token_order.shard_rows(spark, path, n)
 
 
 def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,27 +109,48 @@ def test_permutation():
         token_order.permute(np.array([5]), 5, 1)
 
 
+def _plain_slots(rows, key, length):
+    """Every slot's bytes, by plain loops over the rows in order."""
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, _signed(_hash(r[1]) if r[1] is not None else 42)))
+    parts = []
+    for _, text in ordered:
+        raw = (text or "").encode()
+        parts += [raw[i : i + length] for i in range(0, len(raw), length)] or [b""]
+    slots = token_order.permute(np.arange(len(parts)), len(parts), key)
+    return {int(s): p for s, p in zip(slots, parts)}
+
+
 def test_shards(spark, tmp_path):
-    texts = [None, "", "abc", "é" * 70, "x" * 64, "same", "same"]
-    docs = spark.createDataFrame([(i if i < 5 else 5, t, 0) for i, t in enumerate(texts)] + [(None, "null id", 0)], "doc_id long, text string, slot int")
-    rows, n = token_order.assign_slots(docs, 3, 64, 4)
-    got = rows.collect()
-    assert n == len(got) == sum(max(1, -(-len((t or "").encode()) // 64)) for t in texts) + 1
-    assert sorted(r.slot for r in got) == list(range(n))
-    assert all(r.shard == r.slot // 4 and r.offset == r.slot % 4 * 128 for r in got)
+    texts = [None, "", "abc", "é" * 70, "x" * 64, "same", "same", "same" * 50, "same" * 50]
+    rows = [(i if i < 5 else 5, t) for i, t in enumerate(texts)] + [(None, "null id"), (None, None)]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, slot int")
+    want = _plain_slots(rows, 3, 64)
+    found, n = token_order.assign_slots(docs, 3, 64, 4)
+    got = found.collect()
+    assert n == len(got) == len(want) and {r.slot: bytes(r.record)[2 : 2 + r.n_tokens] for r in got} == want
+    assert all(r.shard == r.slot // 4 and r.offset == r.slot % 4 * 66 and len(r.record) == 66 for r in got)
     path = f"file://{tmp_path}/shards"
-    token_order.write_shards(rows, path, 64)
-    token_order.write_shards(rows, path, 64)
+    token_order.write_shards(found, path, n, 4)
+    token_order.write_shards(found, path, n, 4)
     read = list(token_order.read_slots(path, 0, n, 64, 4))
-    assert [r.tobytes() for r in read] == [bytes(r.ids) for r in sorted(got, key=lambda r: r.slot)]
-    assert [r.tobytes() for r in token_order.read_slots(path, 3, 4, 64, 4)] == [r.tobytes() for r in read[3:7]]
-    whole = {}
-    for r in sorted(got, key=lambda r: r.part):
-        ids = np.frombuffer(bytes(r.ids), "<u2")
-        assert (ids[r.n_tokens :] == 0).all()
-        whole[r.doc_id] = whole.get(r.doc_id, b"") + (ids[: r.n_tokens] - 1).astype(np.uint8).tobytes()
-    assert whole[3].decode() == texts[3] and whole[None] == b"null id" and whole[0] == b""
-    assert token_order.assign_slots(docs.limit(0))[0].count() == 0
+    assert read == [want[i] for i in range(n)]
+    assert list(token_order.read_slots(path, 3, 4, 64, 4)) == read[3:7]
+    assert list(token_order.read_slots(path, n - 2, 100, 64, 4)) == read[-2:] and list(token_order.read_slots(path, 4 * n, 5, 64, 4)) == []
+    back = token_order.shard_rows(spark, path, n, 64, 4).collect()
+    assert {r.slot: (r.shard, r.offset, r.n_tokens, r.ids_sha256) for r in back} == {i: (i // 4, i % 4 * 66, len(x), hashlib.sha256(x).hexdigest()) for i, x in want.items()}
+    empty, none = token_order.assign_slots(docs.limit(0))
+    assert none == 0 and empty.count() == 0 and token_order.shard_rows(spark, path, 0).count() == 0
+    with pytest.raises(ValueError):
+        token_order.assign_slots(docs, length=1 << 16)
+
+
+def test_order_query_matches_plain_code(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(i, "".join(rnd.choice("abcé ") for _ in range(rnd.choice([0, 5, 700, 3000])))) for i in range(40)] + [(7, "again"), (7, "again")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = _plain_slots(rows, 20240101, token_order.LENGTH)
+    got = {r.slot: (r.n_tokens, r.ids_sha256) for r in queries.op8_token_order(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(x), hashlib.sha256(x).hexdigest()) for i, x in want.items()}
 
 
 def test_fingerprints(spark):
