@@ -14,27 +14,40 @@ from ..runtime import materialise, small_batches
 TASK_EDGES = 400_000
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One task's edges to a star from the least node of each of its components."""
-    parent: dict = {}
+def _contract(most: int):
+    """Edges to a star from the least node of each of their components, ``most`` edges at a time."""
 
-    def root(x):
-        while (up := parent[x]) != x:
-            parent[x] = x = parent[up]
-        return x
+    def star(parent: dict, root, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        nodes = list(parent)
+        for i in range(0, len(nodes), 4096):
+            part = nodes[i : i + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([root(x) for x in part], kind)], names=["node", "root"])
 
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            parent.setdefault(a, a)
-            parent.setdefault(b, b)
-            x, y = root(a), root(b)
-            if x != y:
-                parent[max(x, y)] = min(x, y)
-    nodes = list(parent)
-    kind = batch.column(0).type if nodes else None
-    for i in range(0, len(nodes), 4096):
-        part = nodes[i : i + 4096]
-        yield pa.RecordBatch.from_arrays([pa.array(part, kind), pa.array([root(x) for x in part], kind)], names=["node", "root"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+        held, kind = 0, None
+
+        def root(x):
+            while (up := parent[x]) != x:
+                parent[x] = x = parent[up]
+            return x
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parent.setdefault(a, a)
+                parent.setdefault(b, b)
+                x, y = root(a), root(b)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                held += 1
+                if held == most:
+                    yield from star(parent, root, kind)
+                    parent.clear()
+                    held = 0
+        yield from star(parent, root, kind)
+
+    return run
 
 
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
@@ -51,7 +64,7 @@ def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     kind = edges.schema["a"].dataType.simpleString()
     held = materialise(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b"), tag)
     tasks = max(1, -(-held.count() // TASK_EDGES))
-    stars = materialise(held.coalesce(tasks).mapInArrow(_contract, f"node {kind}, root {kind}"), tag)
+    stars = materialise(held.coalesce(tasks).mapInArrow(_contract(TASK_EDGES), f"node {kind}, root {kind}"), tag)
     if tasks == 1:
         return stars
     near = stars.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))

@@ -5,95 +5,39 @@ global order, in a path-compressed trie and walks it with each set: all sets bel
 node share the overlap counted so far, and a subtree is left as soon as the overlap
 plus what can remain of either set falls short of the threshold.
 
-Which sets meet is exact as well.  Two sets with Jaccard of at least num/den differ in
-D <= min(|x|,|y|)(den-num)/num elements.  The hash range is cut into parts, so of the
-first D+1 parts that are not empty one is equal in both; every set publishes the
-hashes of that many parts.  Sizes fall in bands with a fixed number of parts, and a set
-also publishes for a lower band that may hold partners.  If a set fills too few parts, it
-publishes again with twice as many; a pair misses a level only if both do so.
+Which sets meet is exact as well.  A set of n n-grams can only link if at least
+ceil(n num/den) of them are in another set too, so
+
+1. n-grams whose hash lies in a fixed range are counted first; a set goes if too many of
+   its own are nowhere else;
+2. over the sets that are left, all n-grams are counted, and each set's are ordered by
+   (frequency, hash).  Two sets that link share one of their first
+   n - ceil(n num/den) + 1; those that more than one set holds are posted;
+3. sets that meet at a posted n-gram form candidate classes.  A class whose n-grams fit
+   one task is joined there.  A larger one is dealt into blocks, the blocks' classes
+   into blocks by one set of each, and what then still meets across classes at a posted
+   n-gram meets by pairs of blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..runtime import materialise, parallelism, small_batches
+from ..runtime import checked_broadcast, materialise, parallelism, small_batches
 from .graph import components
-from .textvec import blocks, flat, mix, shingle_sets
+from .keyfilter import key_filter, parted
+from .textvec import blocks, flat, shingle_sets
 
 _U = np.uint64
 
-#: Sets that one task joins at once; larger candidate classes go to tasks by pairs of blocks.
-CLASS_ROWS = 20_000
-
-
-def _edges_of_bands() -> np.ndarray:
-    lows = [1]
-    while lows[-1] < 1 << 40:
-        lows.append(max(lows[-1] + 1, lows[-1] * 3 // 2))
-    return np.array(lows, np.int64)
-
-
-_LOWS = _edges_of_bands()
-
-
-def _publish(flat_sets: np.ndarray, off: np.ndarray, band: np.ndarray, want: np.ndarray, num: int, den: int):
-    """Part hashes for the given sets in the given bands: (set index, hash) arrays."""
-    sizes = np.diff(off)
-    who, out, todo, level = [], [], np.arange(len(sizes)), 0
-    base = (_LOWS[band + 1] - 1) * (den - num) // num + 1
-    base = base + np.where(base > 1, 1 + base // 20, 0)
-    while len(todo):
-        n = sizes[todo]
-        at = np.repeat(off[todo] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        v, owner = flat_sets[at], np.repeat(np.arange(len(todo)), n)
-        m = base[todo] << level
-        part = ((v >> _U(32)) * m.astype(_U)[owner]) >> _U(32)
-        cut = np.ones(len(v), bool)
-        cut[1:] = (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])
-        runs = np.flatnonzero(cut)
-        total = np.add.reduceat(mix(v), runs) if len(runs) else np.zeros(0, _U)
-        run_owner = owner[runs]
-        filled = np.bincount(run_owner, minlength=len(todo))
-        nth = np.arange(len(runs)) - np.concatenate([[0], np.cumsum(filled)[:-1]])[run_owner]
-        take = nth < want[todo][run_owner]
-        key = (band[todo][run_owner] * 64 + level).astype(_U) * _U(0x9E3779B97F4A7C15)
-        out.append(mix(total[take] ^ mix(key[take] + part[runs][take])))
-        who.append(todo[run_owner[take]])
-        todo, level = todo[filled < want[todo]], level + 1
-    return np.concatenate(who or [np.zeros(0, int)]), np.concatenate(out or [np.zeros(0, _U)])
-
-
-def part_hashes(sets: np.ndarray, off: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """All published hashes of the sets, ordered by set: (n+1 offsets, hashes)."""
-    sizes = np.diff(off)
-    used = np.flatnonzero(sizes)
-    whos, outs = [], []
-    own = np.searchsorted(_LOWS, sizes[used], "right") - 1
-    band, least = own.copy(), -(-sizes[used] * num // den)
-    alive = np.ones(len(used), bool)
-    while alive.any():
-        k = np.flatnonzero(alive)
-        ids = used[k]
-        top = np.minimum(sizes[ids], _LOWS[band[k] + 1] - 1)
-        want = top * (den - num) // num + 1
-        n = sizes[ids]
-        at = np.repeat(off[ids] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        who, out = _publish(sets[at], np.concatenate([[0], np.cumsum(n)]), band[k], want, num, den)
-        whos.append(ids[who])
-        outs.append(out)
-        band = band - 1
-        alive &= (band >= 0) & (_LOWS[np.maximum(band, 0) + 1] - 1 >= least)
-    who = np.concatenate(whos or [np.zeros(0, int)])
-    order = np.argsort(who, kind="stable")
-    return np.searchsorted(who[order], np.arange(len(sizes) + 1)), np.concatenate(outs or [np.zeros(0, _U)])[order]
+#: N-grams (8 bytes each) that one task joins at once.
+TASK_SHINGLES = 500_000
 
 
 class Trie:
@@ -251,157 +195,252 @@ def link_classes(sets: list[np.ndarray], num: int, den: int) -> list[int]:
     return [root(i) for i in range(n)]
 
 
-_SETS = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("text_hash", T.LongType()),
-        T.StructField("n_shingles", T.LongType()),
-        T.StructField("node", T.BinaryType()),
-        T.StructField("parts", T.ArrayType(T.LongType())),
-    ]
-)
+_SETS = "doc_id long, text_hash long, n_shingles long, node binary, ref long"
 
 
-def _set_rows(size: int, num: int, den: int):
+def _sets_of(batch: pa.RecordBatch, column: int, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes | None]]]:
+    """For each block of a batch: its rows from and to, the sets end to end, n+1 offsets, and 96-bit names."""
+    data, off = flat(batch.column(column))
+    for i, j in blocks(off):
+        sets, cut = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
+        raw = memoryview(sets.view(np.uint8))
+        names = [xxhash.xxh3_128_digest(raw[8 * a : 8 * b])[:12] if b > a else None for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+        yield i, j, sets, cut, names
+
+
+def _ref(names: list[bytes | None]) -> np.ndarray:
+    return np.frombuffer(b"".join(x[:8] if x else bytes(8) for x in names), np.int64)
+
+
+def _set_rows(size: int):
+    """(doc_id, text_hash, text) -> the name and size of each row's set."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
-            seen: set[bytes] = set()  # a set publishes its parts once in a task
             for batch in batches:
-                data, off = flat(batch.column(2))
-                for i, j in blocks(off):
-                    sets, cut = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
-                    raw = sets.tobytes()
-                    nodes = [
-                        xxhash.xxh3_128_digest(raw[8 * a : 8 * b])[:12] if b > a else None
-                        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())
-                    ]
-                    fresh = np.zeros(j - i, bool)
-                    for k, node in enumerate(nodes):
-                        if node is not None and node not in seen:
-                            seen.add(node)
-                            fresh[k] = True
-                    lengths = np.diff(cut)
-                    at, parts = part_hashes(sets[np.repeat(fresh, lengths)], np.concatenate([[0], np.cumsum(np.where(fresh, lengths, 0)[fresh])]), num, den)
-                    counts = np.zeros(j - i, np.int64)
-                    counts[fresh] = np.diff(at)
+                for i, j, _, cut, names in _sets_of(batch, 2, size):
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).slice(i, j - i),
                             batch.column(1).slice(i, j - i),
-                            pa.array(lengths, pa.int64()),
-                            pa.array(nodes, pa.binary()),
-                            pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(parts.view(np.int64))),
+                            pa.array(np.diff(cut), pa.int64()),
+                            pa.array(names, pa.binary()),
+                            pa.array(_ref(names)),
                         ],
-                        names=_SETS.names,
+                        names=["doc_id", "text_hash", "n_shingles", "node", "ref"],
+                    )
+
+    return run
+
+
+def _range_rows(size: int, bound: int):
+    """(text) -> (token, ref) for the n-grams with a hash below ``bound``; a block's equal sets count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for _, _, sets, cut, names in _sets_of(batch, 0, size):
+                    fresh = np.zeros(len(names), bool)
+                    fresh[list({x: k for k, x in enumerate(names) if x}.values())] = True
+                    lengths = np.diff(cut)
+                    keep = np.repeat(fresh, lengths) & (sets <= _U(bound))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(sets[keep].view(np.int64)), pa.array(np.repeat(_ref(names), lengths)[keep])], names=["token", "ref"]
                     )
 
     return run
 
 
-def _solve_rows(size: int, num: int, den: int):
-    """Batches sorted by key -> (a, b) edges, a star for each class found among one key's texts."""
+def _token_rows(size: int, may_hold: Callable[[np.ndarray], np.ndarray]):
+    """(doc_id, text_hash, text, h) -> (doc_id, text_hash, tokens), the sets of the rows that may be asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for whole in batches:
+                batch = whole.filter(pa.array(may_hold(whole.column(3).to_numpy())))
+                for i, j, sets, cut, _ in _sets_of(batch, 2, size):
+                    tokens = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(sets.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), tokens], names=["doc_id", "text_hash", "tokens"])
+
+    return run
+
+
+def _solve_rows(num: int, den: int):
+    """Batches (task, id, tokens) sorted by task -> (a, b) edges, a star for each class found in one task."""
 
-    def solve(nodes: list[bytes], texts: list[str]):
-        data, off = flat(pa.array(texts, pa.large_string()))
-        sets: list[np.ndarray] = []
-        for i, j in blocks(off):
-            v, cut = shingle_sets(data[off[i] : off[j]], off[i : j + 1] - off[i], size)
-            sets += [v[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+    def solve(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         label = link_classes(sets, num, den)
         pairs = [(nodes[c], nodes[k]) for k, c in enumerate(label) if c != k]
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with np.errstate(over="ignore"):
-            key, nodes, texts = None, [], []
-            for batch in batches:
-                for k, node, text in zip(*(c.to_pylist() for c in batch.columns)):
-                    if k != key:
-                        if len(nodes) > 1:
-                            yield solve(nodes, texts)
-                        key, nodes, texts = k, [], []
-                    nodes.append(node)
-                    texts.append(text)
-            if len(nodes) > 1:
-                yield solve(nodes, texts)
+        held, nodes, sets = None, [], []
+        for batch in batches:
+            lists = batch.column(2)
+            off, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(_U)
+            for k, (task, node) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if task != held:
+                    if len(nodes) > 1:
+                        yield solve(nodes, sets)
+                    held, nodes, sets = task, [], []
+                nodes.append(node)
+                sets.append(values[off[k] : off[k + 1]].copy())
+        if len(nodes) > 1:
+            yield solve(nodes, sets)
 
     return run
 
 
-def ngram_classes(
-    docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, class_rows: int = CLASS_ROWS
-) -> DataFrame:
+def _solved(members: DataFrame, num: int, den: int) -> DataFrame:
+    """Verified edges among ``members`` (task, id, tokens) that share a task."""
+    dealt = members.select("task", "id", "tokens").repartition(parallelism(members.sparkSession), "task").sortWithinPartitions("task")
+    return materialise(dealt.mapInArrow(_solve_rows(num, den), "a long, b long"), "ngram-links")
+
+
+def _stars(posts: DataFrame) -> DataFrame:
+    """Edges (a, b) from the least id at every token to the others there."""
+    least = posts.groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z").drop("z")
+    return posts.join(least, "token").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+
+
+def _weighed(members: DataFrame, by: str) -> DataFrame:
+    """``members`` (with n) and ``total``, the n-grams of all that share ``by``."""
+    return members.join(members.groupBy(by).agg(F.sum("n").alias("total")), by)
+
+
+def _block(many: Column) -> Column:
+    return F.pmod(F.xxhash64("id"), F.greatest(many, F.lit(1)))
+
+
+def _classes(edges: DataFrame, tag: str) -> DataFrame:
+    return components(edges, tag).withColumnRenamed("node", "id")
+
+
+def _links(alive: DataFrame, posts: DataFrame, num: int, den: int, most: int) -> DataFrame:
+    """(id, root) of all sets that link with another; root stands for the class.
+
+    ``alive`` has id, n and tokens, ``posts`` token and id.
+    """
+    near = _classes(_stars(posts), "ngram-near")
+    sized = materialise(_weighed(alive.select("id", "n").join(near, "id"), "root"), "ngram-near")
+    members = alive.join(checked_broadcast(sized.select("id", "root", "total")), "id")
+    edges = _solved(members.where(F.col("total") <= most).withColumn("task", F.col("root").cast("string")), num, den)
+    large = sized.where(F.col("total") > most)
+    if large.isEmpty():
+        return _classes(edges, "ngram-classes")
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """One task for each random block of a class; near copies of one text unite here."""
+        many = F.ceil(F.col("total") / F.lit(most))
+        return alive.select("id", "tokens").join(checked_broadcast(rows.withColumn("task", F.concat_ws("/", "root", _block(many))).select("id", "task")), "id")
+
+    edges = edges.union(_solved(dealt(large), num, den))
+    united = _classes(edges, "ngram-part")
+    heads = large.join(united.select("id", F.col("root").alias("head")), "id", "left").where("head IS NULL OR head = id").drop("total", "head")
+    edges = edges.union(_solved(dealt(materialise(_weighed(heads, "root"), "ngram-heads")), num, den))
+    united = _classes(edges, "ngram-part")
+    # what still meets across classes is compared in full
+    told = posts.join(large.select("id"), "id", "left_semi").join(united, "id", "left").select("token", "id", F.coalesce("root", "id").alias("class"))
+    mixed = told.groupBy("token").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("token")
+    rest = _classes(_stars(told.join(mixed, "token", "left_semi").select("token", "id")), "ngram-rest")
+    rest = _weighed(alive.select("id", "n").join(rest, "id"), "root")
+    wide = F.when(F.col("total") <= most, F.lit(1)).otherwise(F.ceil(F.col("total") / F.lit(max(most // 2, 1))))
+    rest = rest.withColumn("wide", wide).withColumn("block", _block(F.col("wide")))
+    pairs = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("wide") - 1),
+        lambda k: F.concat_ws("/", "root", F.least(k, F.col("block")), F.greatest(k, F.col("block"))),
+    )
+    rest = materialise(rest.withColumn("task", F.explode(pairs)).select("id", "task"), "ngram-rest")
+    rest = alive.select("id", "tokens").join(checked_broadcast(rest), "id")
+    return _classes(edges.union(_solved(rest, num, den)), "ngram-classes")
+
+
+_FLIP = "(-9223372036854775807L - 1L)"
+
+#: Keys order sets by their least doc_id, null ids last; then by name.
+_KEY = f"unhex(concat(if(row.doc_id IS NULL, '01', '00'), lpad(hex(coalesce(row.doc_id, 0L) ^ {_FLIP}), 16, '0'), hex(node)))"
+
+
+def _labelled(docs: DataFrame, size: int, num: int, den: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' sets (of _SETS), and (node, doc_id, text_hash, root) for every set: its first row and, if it links, its class."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("body"))
+    sets = materialise(rows.mapInArrow(_set_rows(size), _SETS), "ngram-sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("row")
+    nodes = sets.where("node IS NOT NULL").groupBy("node").agg(first, F.max("n_shingles").alias("n"), F.max("ref").alias("ref"))
+    nodes = materialise(nodes.withColumn("key", F.expr(_KEY)), "ngram-nodes")
+    # short names of the sets, made again with another seed should two ever be alike
+    seed = 0
+    while not nodes.groupBy(F.xxhash64("node", F.lit(seed))).count().where("count > 1").isEmpty():
+        seed += 1
+    nodes = nodes.withColumn("id", F.xxhash64("node", F.lit(seed)))
+    # a set may hold (den - num)/den of its n-grams alone; most texts hold far more, so a range a little wider tells
+    bound = min(int((1.2 * (den - num) / den + 0.08) * (1 << 64)), (1 << 64) - 1)
+    own = rows.select("body").mapInArrow(_range_rows(size, bound), "token long, ref long")
+    own = own.groupBy("token").agg(F.min("ref").alias("ref"), F.max("ref").alias("high")).where("ref = high")
+    alone = own.groupBy("ref").agg(F.count("*").alias("alone"))
+    spare = F.expr(f"n * {den - num} div {den}")
+    left = nodes.join(alone, "ref", "left").where(F.coalesce("alone", F.lit(0)) <= spare)
+    left = materialise(left.select("id", "n", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("t")), "ngram-left")
+    may_hold = key_filter(left, F.xxhash64("d", "t"))
+    tokens = rows.select("doc_id", "text_hash", "body", F.xxhash64("doc_id", "text_hash").alias("h"))
+    tokens = tokens.mapInArrow(_token_rows(size, may_hold), "doc_id long, text_hash long, tokens array<long>")
+    tokens = tokens.join(checked_broadcast(left), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).select("id", "n", "tokens")
+    repeated = not sets.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
+    alive = materialise(tokens.dropDuplicates(["id"]) if repeated else tokens, "ngram-alive")
+    each = alive.select("id", F.explode("tokens").alias("token"))
+    counts = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = each.join(counts, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("held"))
+    posts = shared.join(alive.select("id", "n"), "id").withColumn("many", F.size("held") - F.col("n") + spare + 1).where("many > 0")
+    posts = materialise(posts.select("id", F.explode(F.expr("slice(held, 1, cast(many AS int)).token")).alias("token")), "ngram-posts")
+    linked = nodes.select("id", "key").join(_links(alive, posts, num, den, most), "id")
+    linked = linked.join(linked.groupBy("root").agg(F.min("key").alias("least")), "root").select("id", "least")
+    labels = nodes.join(linked, "id", "left").select(
+        "node", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"), F.when(F.col("least") != F.col("key"), F.col("least")).alias("root")
+    )
+    return sets, labels
+
+
+def ngram_classes(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, most: int = TASK_SHINGLES) -> DataFrame:
     """One row a document: doc_id, text_hash, n_shingles and component_id.
 
     Documents link when ``den * |x & y| >= num * |x | y|`` over their sets of ``size``-word
     shingles (A-Z lower-cased; a shorter text is one shingle).  component_id is the
-    least doc_id reachable by links, its own included.
+    least doc_id reachable by links, its own included.  ``most`` bounds the shingles
+    that a task joins at once; the result does not depend on it.
 
     Null and empty texts have no shingles and link with nothing.  Rows with a null
     doc_id take part but never give their class its id (a class of such rows alone has
     null).  Repeated rows are kept.  Extra columns are ignored.  An empty table gives
     an empty result.
     """
-    named = _named(docs, size, num, den, class_rows)
-    least = named.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("least"))
-    out = named.join(least, "class", "left")
-    return out.select("doc_id", "text_hash", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    sets, labels = _labelled(docs, size, num, den, most)
+    # the class's key begins with its least doc_id
+    least = F.expr(f"if(substring(hex(root), 1, 2) = '01', NULL, cast(conv(substring(hex(root), 3, 16), 16, -10) AS bigint) ^ {_FLIP})")
+    named = labels.select("node", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(least).alias("component_id"))
+    found = sets.join(named, "node", "left")
+    return found.select("doc_id", "text_hash", "n_shingles", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def _named(docs: DataFrame, size: int, num: int, den: int, class_rows: int = CLASS_ROWS) -> DataFrame:
-    """One row a document: doc_id, text_hash, n_shingles and class, which is null without shingles."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("body"))
-    sets = materialise(rows.mapInArrow(_set_rows(size, num, den), _SETS), "ngram-sets")
-    # candidates: of the sets with one part in common each goes with the least
-    posted = sets.where("size(parts) > 0").select(F.explode("parts").alias("part"), "node")
-    posted = posted.withColumn("a", F.expr("min(node) OVER (PARTITION BY part)")).where("a <> node")
-    near = components(posted.select("a", F.col("node").alias("b")).distinct(), "ngram-near")
-    # one row of each set brings its text to the task of its candidate class
-    first = sets.where("node IS NOT NULL").join(near, "node").groupBy("node", "root").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"))
-    held = rows.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "body")
-    sized = first.groupBy("root").agg(F.count("*").alias("members"))
-    first = first.join(sized, "root")
-    texts = (
-        first.select("root", "node", "members", F.col("row.doc_id").alias("doc_id"), F.col("row.text_hash").alias("text_hash"))
-        .join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")))
-        .dropDuplicates(["node"])
-    )
-    # a class too large for one task meets in tasks by pairs of blocks
-    wide = F.ceil(F.col("members") / F.lit(max(class_rows // 2, 1)))
-    block = F.pmod(F.xxhash64("node"), wide)
-    pairs = F.transform(
-        F.sequence(F.lit(0), wide - 1),
-        lambda k: F.concat_ws("-", F.least(k, block).cast("string"), F.greatest(k, block).cast("string")),
-    )
-    keyed = texts.withColumn("pair", F.explode(F.when(F.col("members") <= class_rows, F.array(F.lit("0"))).otherwise(pairs)))
-    keyed = keyed.withColumn("key", F.concat(F.hex("root"), F.lit("/"), "pair")).select("key", "node", "body")
-    keyed = keyed.repartition(parallelism(spark), "key").sortWithinPartitions("key")
-    links = materialise(keyed.mapInArrow(_solve_rows(size, num, den), "a binary, b binary"), "ngram-links")
-    roots = components(links, "ngram-classes")
-    return sets.join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).select("doc_id", "text_hash", "n_shingles", "class")
-
-
-def near_duplicates_removed(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def near_duplicates_removed(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, most: int = TASK_SHINGLES) -> DataFrame:
     """The documents with one row of each class of near copies.
 
-    It is the one with the least doc_id, null ids last, then the least text hash, then,
-    of rows that repeat both, the least by all columns.  Documents without words stay as
-    they are, unlinked.  All columns of ``docs`` are kept.
+    It is the one with the least doc_id, null ids last, then the least by a hash of its
+    shingles and of its text, then, of rows that repeat both doc_id and text, the least by
+    all columns.  Documents without words stay as they are, unlinked.  All columns of
+    ``docs`` are kept, whatever their names.
     """
-    named = _named(docs, size, num, den).where("class IS NOT NULL").select("doc_id", "text_hash", "class")
-    keys = materialise(named.groupBy("class", "doc_id", "text_hash").agg(F.count("*").alias("n")), "ngram-keys")
-    first = keys.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("row"))
-    told = keys.select("doc_id", "text_hash", "n", F.lit(False).alias("first")).unionByName(
-        first.select("row.doc_id", "row.text_hash", F.lit(0).cast("long").alias("n"), F.lit(True).alias("first"))
-    )
-    told = told.groupBy(F.col("doc_id").alias("told_id"), F.col("text_hash").alias("told_hash")).agg(F.sum("n").alias("n"), F.max("first").alias("first"))
+    sets, labels = _labelled(docs, size, num, den, most)
+    keys = sets.where("node IS NOT NULL").groupBy("doc_id", "text_hash", "node").agg(F.count("*").alias("n"))
+    heads = labels.select("node", F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("root").isNull().alias("head"))
+    first = F.col("head") & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))
+    told = keys.join(heads, "node").select(F.col("doc_id").alias("told_id"), F.col("text_hash").alias("told_hash"), "n", first.alias("first"))
     # keys of which no row, or not every row, stays; of the latter one row each comes back
     told = materialise(told.where("n > 1 OR NOT first"), "ngram-told")
     again = materialise(told.where("first"), "ngram-again")
-    body = docs.withColumn("__hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("told_id")) & (F.col("__hash") == F.col("told_hash"))
-    kept = body.join(told, same, "left_anti").drop("__hash")
-    row = F.min(F.struct(*docs.columns)).alias("row")
-    return kept.unionByName(body.join(again, same, "left_semi").groupBy("doc_id", "__hash").agg(row).select("row.*"))
+    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    body = body.select("row", F.col("row.doc_id").cast("long").alias("id"), F.xxhash64("row.text").alias("hash"))
+    near, rest = parted(body.withColumn("h", F.xxhash64("id", "hash")), key_filter(told, F.xxhash64("told_id", "told_hash")))
+    same = F.col("id").eqNullSafe(F.col("told_id")) & (F.col("hash") == F.col("told_hash"))
+    one = near.join(again, same, "left_semi").groupBy("id", "hash").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return rest.select("row.*").unionByName(near.join(told, same, "left_anti").select("row.*")).unionByName(one.select("row.*"))

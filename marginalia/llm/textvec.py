@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes handled at once by the vectorised code (a longer text is one block of its own).
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 _U = np.uint64
 

@@ -49,7 +49,7 @@ def corpus(seed):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("size", "num", "most"), [(3, 90, 20000), (5, 80, 20000), (3, 90, 3), (2, 60, 20000)])
+@pytest.mark.parametrize(("size", "num", "most"), [(3, 90, 500000), (5, 80, 500000), (3, 90, 300), (5, 80, 100), (2, 60, 500000), (2, 60, 150)])
 def test_classes_match_brute_force(spark, size, num, most):
     docs = corpus(size * num)
     rows = ngram_classes(spark.createDataFrame(docs, "doc_id long, text string"), size, num, 100, most).collect()
