@@ -10,16 +10,20 @@ import json
 import os
 import sys
 import time
+import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from marginalia.operators import keyword, retrieval, vector
+from marginalia.operators import evaluation, fusion, index, keyword
 from marginalia.plans import catalog
+from marginalia.runtime import shared_dir
 from marginalia.sources import corpus
 
 HEADLINE = [
     "bm25_search", "bm25_weighted", "bm25_batch_topk", "vector_cosine_topk", "rrf_hybrid", "hash_embedding_vectors", "tokenize_documents",
     "language_detect", "chunk_text", "proportional_segments", "context_pack", "eval_metrics", "reembed_diff", "ingest_notes",
+    "fts_search", "vector_batch_topk",
 ]
 
 
@@ -28,30 +32,47 @@ def percentiles(times: list[float]) -> dict[str, float]:
     return {"p50_ms": round(1000 * held[len(held) // 2], 1), "p95_ms": round(1000 * held[max(int(len(held) * 0.95) - 1, 0)], 1)}
 
 
-def latencies(spark: SparkSession, d: str, many: int = 8) -> dict[str, dict[str, float]]:
-    """Warm latency of single queries over narrow tables that are cached once, as a service would."""
-    chunks = corpus.chunks(spark, d).select("doc_id", "text").cache()
-    vectors = corpus.vectors(spark, d).select("doc_id", "vector").cache()
-    chunks.count()
-    vectors.count()
-    asked = [" ".join(r.text.split()[:6]) for r in corpus.table(spark, d, "benchmark").orderBy("item_id").limit(many).collect()]
-    point = [list(r.vector) for r in vectors.orderBy("doc_id").limit(many).collect()]
+def latencies(spark: SparkSession, d: str, many: int = 32) -> dict:
+    """Warm latency of single queries over stored indexes, batch throughput, build times and quality.
+
+    The queries are whole benchmark texts, the vectors stored ones; quality is graded by the
+    labels of the pool of twenty, for comparison between builds only.
+    """
+    chunks = corpus.chunks(spark, d).select("doc_id", "text")
+    vectors = corpus.vectors(spark, d).select("doc_id", "vector")
+    root = f"{shared_dir(spark)}/bench-{uuid.uuid4().hex}"
+    build = {}
+    for name, make in (("keyword", lambda: index.build_keywords(chunks, f"{root}/keyword")), ("vector", lambda: index.build_vectors(vectors, f"{root}/vector"))):
+        began = time.time()
+        make()
+        build[f"{name}_build_sec"] = round(time.time() - began, 3)
+    words, near = index.KeywordIndex(spark, f"{root}/keyword", ttl=1e9), index.VectorIndex(spark, f"{root}/vector", ttl=1e9, hold=True)
+    near.units.count()
+    asked = [r.text for r in corpus.table(spark, d, "benchmark").orderBy("item_id").limit(many).collect()]
+    point = [list(r.vector) for r in vectors.orderBy("doc_id").limit(len(asked)).collect()]
     modes = {
-        "keyword": lambda q, v: keyword.search(chunks, q),
-        "vector": lambda q, v: vector.search(vectors, v),
-        "hybrid": lambda q, v: retrieval.search(chunks, vectors, [(q, v)]),
+        "keyword": lambda q, v: words.search(q),
+        "vector": lambda q, v: near.search(v),
+        "hybrid": lambda q, v: fusion.fuse([words.search(q, 20), near.search(v, 20)]),
     }
     out = {}
     for name, run in modes.items():
+        for q, v in list(zip(asked, point))[:3]:
+            run(q, v).collect()
         times = []
         for q, v in zip(asked, point):
             began = time.time()
             run(q, v).collect()
             times.append(time.time() - began)
-        out[name] = percentiles(times[1:])
-    chunks.unpersist()
-    vectors.unpersist()
-    return out
+        out[name] = percentiles(times)
+    queries = corpus.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    began = time.time()
+    pool = keyword.search_many(chunks, queries, 20).cache()
+    n = pool.select("query_id").distinct().count()
+    out["batch_queries_per_sec"] = round(n / (time.time() - began), 2)
+    grades = pool.join(corpus.table(spark, d, "labels"), "doc_id").select("query_id", "doc_id", F.col("quality").alias("grade"))
+    row = evaluation.metrics(pool, grades, 10).agg(*[F.round(F.avg(c), 4).alias(c) for c in ("recall", "mrr", "ndcg")]).first()
+    return {**out, "quality": row.asDict(), **build}
 
 
 def main() -> None:

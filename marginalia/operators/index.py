@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bm25_term, idf, tokenize, tokens_of
 from ..runtime import parallelism, small_batches
+from .topk import Best
 
 #: Buckets of the postings, one folder each.
 BUCKETS = 64
@@ -224,7 +225,7 @@ class VectorIndex:
         """(query_id, doc_id, score, rank) for each row (query_id, vector) of ``queries``.
 
         Queries go out in blocks of a stated size, each against all vectors as one matrix
-        product a batch; a batch passes on its best ``limit`` for each query.
+        product a batch; a task passes on its best ``limit`` for each query.
         """
         self.refresh()
         small_batches(self.spark)
@@ -245,17 +246,13 @@ def _best_rows(asked: list, limit: int):
     matrix = np.array([r.unit for r in asked], float).T if asked else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(ids), limit)
         for batch in batches:
             if matrix is None or not batch.num_rows:
                 continue
-            lists = batch.column(1)
-            rows = lists.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            scores = np.round(rows @ matrix, 9)
-            doc = batch.column(0).to_numpy()
-            k = min(limit, len(doc))
-            # the k-th best score of each query; all that tie with it go on, so ties by doc_id hold
-            least = np.partition(scores, len(doc) - k, axis=0)[len(doc) - k]
-            at, which = np.nonzero((scores >= least) & (scores > 0))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.array(doc[at]), pa.array(scores[at, which])], names=["query_id", "doc_id", "score"])
+            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            best.add(batch.column(0).to_numpy(), np.round(rows @ matrix, 9))
+        which, docs, scores = best.rows()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.array(docs), pa.array(scores)], names=["query_id", "doc_id", "score"])
 
     return run

@@ -2,16 +2,23 @@
 
 For one query every term is a column: a scan yields each chunk's length and term counts,
 a one-row aggregate gives the statistics, and the score is an expression.  No token is
-exploded and nothing is shuffled but that row and the top-k.  For many queries, tokens
-are exploded after they are cut down to those asked for.
+exploded and nothing is shuffled but that row and the top-k.  Many queries are ranked a
+block at a time, by sparse products over Arrow batches.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25_term, idf, tokenize, tokens_of
+from ..runtime import materialise, small_batches
+from .topk import Best
 
 
 def query_terms(query: str) -> list[str]:
@@ -74,23 +81,83 @@ def postings(chunks: DataFrame) -> DataFrame:
     return toks.groupBy("token", "doc_id", "dl").agg(F.count("*").alias("tf"))
 
 
-def search_many(chunks: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+#: Queries that one pass over the corpus ranks.
+BLOCK = 2048
+
+
+def search_many(chunks: DataFrame, queries: DataFrame, limit: int = 10, block: int = BLOCK) -> DataFrame:
     """(query_id, doc_id, score, rank) for each row (query_id, text) of ``queries``.
 
-    Tokens of chunks meet the queries' distinct terms before anything is counted.  The
-    set of terms is broadcast only if Spark finds it small; else the join is shuffled.
+    Queries go out in blocks, each against all chunks: a task counts the block's tokens in a
+    batch of chunks as one sparse product and keeps the best ``limit`` of each query, so
+    what is shuffled is tasks x queries x limit rows, however common a token is.  Tokens are
+    compared by 64-bit hashes.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("token"))
-    wanted = asked.select("token").distinct()
-    toks = chunks.select("doc_id", _tokens().alias("toks"))
-    stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl"))
-    tf = (
-        toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("token"))
-        .join(wanted, "token")
-        .groupBy("token", "doc_id", "dl")
-        .agg(F.count("*").alias("tf"))
-    )
-    df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    part = tf.join(df, "token").join(F.broadcast(stats)).select("token", "doc_id", bm25_term(F.col("tf"), F.col("dl"), F.col("avgdl"), idf(F.col("n"), F.col("df"))).alias("part"))
-    scored = asked.join(part, "token").groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")).where("score > 0")
-    return scored.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)")).where(F.col("rank") <= limit)
+    spark = chunks.sparkSession
+    small_batches(spark)
+
+    def hashed(tokens: Column) -> Column:
+        return F.transform(tokens, lambda t: F.xxhash64(t))
+
+    held = materialise(chunks.select(F.col("doc_id").cast("long").alias("doc_id"), hashed(_tokens()).alias("toks")), "batch-tokens")
+    stats = held.agg(F.count("*").alias("n"), F.avg(F.size("toks")).alias("avgdl")).first()
+    kind = queries.schema["query_id"].dataType.simpleString()
+    asked = materialise(queries.select("query_id", hashed(F.array_distinct(_tokens())).alias("toks")).where(F.size("toks") > 0), "batch-queries")
+    blocks = max(-(-asked.count() // block), 1)
+    found = None
+    for i in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).collect()
+        terms = np.unique(np.array([t for r in part for t in r.toks], np.int64))
+        # as many rows as the block has tokens
+        df = held.mapInArrow(_frequencies(terms), "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()
+        weight = np.zeros(len(terms))
+        for r in df:
+            weight[r.term] = max(0.0, math.log(1 + (stats.n - r.df + 0.5) / (r.df + 0.5)))
+        rows = held.mapInArrow(_scores([r.query_id for r in part], [r.toks for r in part], terms, weight, stats.avgdl or 1.0, limit), f"query_id {kind}, doc_id long, score double")
+        found = rows if found is None else found.unionByName(rows)
+    return found.withColumn("rank", F.expr("row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)")).where(F.col("rank") <= limit)
+
+
+def _counted(batch: pa.RecordBatch, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document's row, term, times) of the terms in a batch, and the documents' lengths."""
+    lists = batch.column(1)
+    off = lists.offsets.to_numpy()
+    flat = lists.values.to_numpy()[off[0] : off[-1]]
+    size = np.diff(off)
+    at = np.minimum(np.searchsorted(terms, flat), max(len(terms) - 1, 0))
+    hit = terms[at] == flat if len(terms) else np.zeros(len(flat), bool)
+    key, times = np.unique(np.repeat(np.arange(len(size)), size)[hit] * max(len(terms), 1) + at[hit], return_counts=True)
+    return key // max(len(terms), 1), key % max(len(terms), 1), times, size
+
+
+def _frequencies(terms: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            total += np.bincount(_counted(batch, terms)[1], minlength=len(terms))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], names=["term", "df"])
+
+    return run
+
+
+def _scores(ids: list, tokens: list, terms: np.ndarray, weight: np.ndarray, avgdl: float, limit: int, k1: float = 1.2, b: float = 0.75):
+    # for each term the queries that ask for it, end to end
+    pairs = sorted((int(np.searchsorted(terms, t)), q) for q, toks in enumerate(tokens) for t in toks)
+    by = np.array([q for _, q in pairs], np.int64)
+    first = np.searchsorted(np.array([t for t, _ in pairs], np.int64), np.arange(len(terms) + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(len(ids), limit)
+        for batch in batches:
+            row, term, times, size = _counted(batch, terms)
+            part = weight[term] * times * (k1 + 1) / (times + k1 * (1 - b + b * size[row] / avgdl))
+            many = first[term + 1] - first[term]
+            at = np.repeat(first[term] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if len(many) else np.zeros(0, np.int64)
+            cell = np.repeat(row, many) * len(ids) + by[at]
+            scores = np.bincount(cell, np.repeat(part, many), minlength=len(size) * len(ids)).reshape(len(size), len(ids))
+            best.add(batch.column(0).to_numpy(), np.round(scores, 9))
+        which, docs, scores = best.rows()
+        yield pa.RecordBatch.from_arrays([pa.array([ids[q] for q in which]) if len(which) else pa.nulls(0, pa.array(ids).type if ids else pa.int64()), pa.array(docs), pa.array(scores)], names=["query_id", "doc_id", "score"])
+
+    return run

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marginalia.functions.text import tokenize, tokens_of
 from marginalia.operators import index, keyword
+from marginalia.operators.topk import Best
 
 
 @pytest.fixture(scope="module")
@@ -122,3 +123,27 @@ def test_vectors(spark, tmp_path):
         assert [x.doc_id for x in own] == [x.doc_id for x in one] and np.allclose([x.score for x in own], [x.score for x in one], atol=1e-8)
     a = index.version(stored, "created_at").first()
     assert (a.n, a.created, a.updated) == (65, "59", None)
+
+
+def test_the_best_of_many_candidates():
+    rng = np.random.default_rng(5)
+    for limit in (1, 3, 50):
+        best, seen = Best(4, limit), []
+        for i in range(30):
+            docs = np.arange(40) * 31 % 997 + 1000 * i
+            scores = np.round(rng.random((40, 4)) * rng.choice([1.0, 0.0], (40, 4), p=[0.8, 0.2]), 1)
+            best.add(docs, scores)
+            seen += [(q, -scores[r, q], docs[r]) for r in range(40) for q in range(4) if scores[r, q] > 0]
+        want = [x for q in range(4) for x in sorted(s for s in seen if s[0] == q)[:limit]]
+        assert sorted(zip(*[a.tolist() for a in best.rows()])) == sorted((q, d, -s) for q, s, d in want)
+
+
+def test_batches_rank_as_single_queries_do(spark, corpus):
+    rows = spark.createDataFrame(corpus, "doc_id long, text string").repartition(3)
+    asked = [(f"q{i}", t) for i, t in enumerate(["w1 w2", "w0", "rare w29", "", "none", "w3 w3 w4", None])]
+    found = keyword.search_many(rows, spark.createDataFrame(asked, "query_id string, text string"), 7, block=2).collect()
+    for q, t in asked:
+        want = [(r.doc_id, r.score) for r in keyword.search(rows, t or "", 7).collect()]
+        got = [(r.doc_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q]
+        assert [d for d, _ in got] == [d for d, _ in want] and np.allclose([s for _, s in got], [s for _, s in want], atol=1e-8)
+    assert keyword.search_many(rows.limit(0), spark.createDataFrame(asked, "query_id string, text string")).count() == 0
