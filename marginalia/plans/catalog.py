@@ -14,6 +14,7 @@ from ..functions.text import (
 )
 from ..operators import entities as entity_ops
 from ..operators import evaluation, filters, ingest, keyword, maintenance, planning, retrieval, segmentation, summary, vector
+from ..runtime import materialise
 from ..sources import captions, corpus
 
 #: The query of the single-query entries, and its translation.
@@ -294,9 +295,10 @@ def cue_clip_lead(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def nearest_word_anchor(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpus.table(spark, d, "events").select(F.col("user_id").alias("source"), F.col("event_id").alias("idx"), _millis("ts").alias("start_ms"))
-    words = rows.where("idx % 5 <> 0").select("source", F.col("start_ms").alias("word_ms"))
-    return segmentation.nearest(rows.where("idx % 5 = 0"), words, 3_600_000)
+    """Views as words, all other events as anchors."""
+    rows = corpus.table(spark, d, "events").select(F.col("user_id").alias("source"), F.col("event_id").alias("idx"), _millis("ts").alias("start_ms"), "event_type")
+    words = rows.where("event_type = 'view'").select("source", F.col("start_ms").alias("word_ms"))
+    return segmentation.nearest(rows.where("event_type <> 'view'").drop("event_type"), words, 3_600_000)
 
 
 def _started() -> Column:
@@ -460,10 +462,11 @@ def keep_last_n(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """Metrics of the batch run at ten under the labels of its pool of twenty."""
-    pool = _batch(spark, d, 20)
-    grades = pool.join(corpus.table(spark, d, "labels"), "doc_id").select("query_id", "doc_id", F.col("quality").alias("grade"))
-    rows = evaluation.metrics(pool, grades, 10)
+    """Metrics of the batch run at ten; quality labels are grades for every query alike."""
+    run = materialise(_batch(spark, d, 10), "eval-run")
+    labels = corpus.table(spark, d, "labels").select("doc_id", F.col("quality").alias("grade"))
+    grades = run.join(labels, "doc_id").select("query_id", "doc_id", "grade")
+    rows = evaluation.metrics(run, grades, 10, labels)
     return rows.select("query_id", *[F.round(c, 6).alias(c) for c in ("recall", "mrr", "ndcg")])
 
 

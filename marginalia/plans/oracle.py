@@ -241,16 +241,15 @@ SELECT b.item, CASE WHEN len(trees) = 1 THEN trees[1] ELSE 'unsorted' END AS tre
 FROM b LEFT JOIN t USING (item)"""
 
 _METRICS = f"""
-WITH {batch(20)},
-grades AS (SELECT query_id, doc_id, quality AS grade FROM run JOIN labels USING (doc_id)),
-top AS (SELECT r.query_id, r.rank, coalesce(g.grade, 0) AS grade FROM run r LEFT JOIN grades g USING (query_id, doc_id) WHERE r.rank <= 10),
+WITH {batch(10)},
+top AS (SELECT r.query_id, r.rank, coalesce(l.quality, 0) AS grade FROM run r LEFT JOIN labels l USING (doc_id) WHERE r.rank <= 10),
 got AS (
   SELECT query_id, count(*) FILTER (grade >= 1) AS hits, min(rank) FILTER (grade >= 1) AS first, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM top GROUP BY query_id
 ),
-best AS (SELECT query_id, grade, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, doc_id) AS r FROM grades WHERE grade >= 1),
-ideal AS (SELECT query_id, count(*) AS total, sum((pow(2, grade) - 1) / log2(r + 1)) FILTER (r <= 10) AS idcg FROM best GROUP BY query_id)
+best AS (SELECT quality AS grade, row_number() OVER (ORDER BY quality DESC, doc_id) AS r FROM labels WHERE quality >= 1),
+ideal AS (SELECT count(*) AS total, sum((pow(2, grade) - 1) / log2(r + 1)) FILTER (r <= 10) AS idcg FROM best)
 SELECT query_id, round(coalesce(hits / least(total, 10), 0), 6) AS recall, round(coalesce(1.0 / first, 0), 6) AS mrr, round(coalesce(dcg / nullif(idcg, 0), 0), 6) AS ndcg
-FROM got LEFT JOIN ideal USING (query_id)"""
+FROM got, ideal"""
 
 _CUES = """
 WITH RECURSIVE c AS (
@@ -292,12 +291,13 @@ timed AS (
 SELECT doc_id, idx, start_ms, end_ms FROM timed"""
 
 _NEAREST = """
-WITH e AS (SELECT user_id AS source, event_id AS idx, epoch_us(ts) // 1000 AS ms FROM events),
+WITH e AS (SELECT user_id AS source, event_id AS idx, epoch_us(ts) // 1000 AS ms, event_type AS kind FROM events),
 n AS (
   SELECT a.source, a.idx, arg_min(w.ms, abs(w.ms - a.ms) * 10 + CASE WHEN w.ms > a.ms THEN 1 ELSE 0 END) AS anchor_ms
-  FROM e a JOIN e w ON w.source = a.source AND w.idx % 5 <> 0 AND abs(w.ms - a.ms) <= 3600000 WHERE a.idx % 5 = 0 GROUP BY 1, 2
+  FROM e a JOIN e w ON w.source = a.source AND w.kind = 'view' AND abs(w.ms - a.ms) <= 3600000 WHERE a.kind <> 'view' GROUP BY 1, 2
 )
-SELECT a.source, a.idx, a.ms AS start_ms, n.anchor_ms FROM e a LEFT JOIN n USING (source, idx) WHERE a.idx % 5 = 0"""
+SELECT a.source, a.idx, a.ms AS start_ms, n.anchor_ms FROM e a LEFT JOIN n USING (source, idx) WHERE a.kind <> 'view'"""
+
 
 def _season() -> str:
     return "CASE " + " ".join(f"WHEN doc_id % 530 <= {b} THEN {n}" for b, n in BOUNDS) + " END"

@@ -1,7 +1,8 @@
 """Operators on small literal inputs."""
 
-import random
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,22 @@ def _back(units, begin, overlap):
     return min([*fit, begin - 1])
 
 
+def test_grades_of_known_sources(spark):
+    from marginalia.operators import evaluation
+
+    run = spark.createDataFrame([("q", i, i) for i in range(1, 5)], "query_id string, doc_id long, rank int")
+    judged = spark.createDataFrame([("q", 1, 0), ("q", 2, 1)], "query_id string, doc_id long, grade int")
+    known = spark.createDataFrame([("q", 1), ("q", 3), ("q", 3), ("q", 9)], "query_id string, doc_id long")
+    assert {r.doc_id: r.grade for r in evaluation.graded(run, judged, known).collect()} == {1: 0, 2: 1, 3: 2, 4: 0}
+    every = evaluation.all_grades(judged, known)
+    assert {r.doc_id: r.grade for r in every.collect()} == {1: 0, 2: 1, 3: 2, 9: 2}
+    row = evaluation.metrics(run, every, 3).first()
+    ideal = 3 / math.log2(2) + 3 / math.log2(3) + 1 / math.log2(4)
+    assert (row.recall, row.mrr) == (2 / 3, 0.5) and abs(row.ndcg - (1 / math.log2(3) + 3 / math.log2(4)) / ideal) < 1e-12
+    alike = evaluation.metrics(run, every, 3, every.select("doc_id", "grade")).first()
+    assert (alike.recall, alike.mrr) == (row.recall, row.mrr) and abs(alike.ndcg - row.ndcg) < 1e-12
+
+
 def test_windows_follow_their_rules():
     rnd = random.Random(1)
     for _ in range(400):
