@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify
@@ -69,3 +69,12 @@ def resolved(asked: DataFrame, entities: DataFrame) -> DataFrame:
     named = asked.select(F.when(typed, entity_type(parts[0])).alias("kind"), slugify(F.when(typed, F.get(parts, F.lit(1))).otherwise(F.col("slug"))).alias("wanted"), typed.alias("typed"))
     fits = (F.col("slug") == F.col("wanted")) & (~F.col("typed") | (F.col("entity_type") == F.col("kind")))
     return entities.join(F.broadcast(named), fits, "left_semi").select("slug")
+
+
+#: Entities that a corpus may begin with (plain examples; a parameter of ``seed``).
+EXAMPLES = [("organization", "example-press", "Example Press"), ("person", "jane-doe", "Jane Doe")]
+
+
+def seed(spark: SparkSession, rows: list[tuple[str, str, str]] = EXAMPLES) -> DataFrame:
+    """(entity_type, slug, label) of a few known entities."""
+    return spark.createDataFrame(rows, "entity_type string, slug string, label string")

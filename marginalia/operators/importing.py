@@ -301,6 +301,45 @@ def any_part(text: Column, parts: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(p)) for p in parts], F.lit(False))
 
 
+#: Weights of sources by where their text comes from (a parameter of ``item_metadata``).
+WEIGHTS = {"auto_caption": 0.8, "generated": 0.9, "published": 1.0, "published_current": 2.0, "published_legacy": 0.7}
+
+
+def item_metadata(provenance: Column, weights: dict[str, float] | None = None, **fields: Column) -> Column:
+    """The JSON metadata of an imported item: provenance, its weight (1 if it has none) and the fields that are not null."""
+    known = F.create_map(*[F.lit(x) for pair in (weights or WEIGHTS).items() for x in pair])
+    weight = F.coalesce(F.try_element_at(known, provenance), F.lit(1.0))
+    return F.to_json(F.struct(provenance.alias("transcript_provenance"), weight.alias("retrieval_weight"), *[c.alias(k) for k, c in fields.items()]))
+
+
+def with_defaults(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
+    """``rows`` with empty and null fields replaced; a default may use the fields before it, with their own in place."""
+    for name, default in defaults.items():
+        rows = rows.withColumn(name, F.coalesce(F.nullif(F.col(name), F.lit("")), default))
+    return rows
+
+
+def transcript_kind(url: Column, mime: Column) -> Column:
+    """How a transcript is read: vtt, srt, json, html or text, by its type, else by its URL's ending."""
+    kind, path = F.lower(F.coalesce(mime, F.lit(""))), F.lower(F.regexp_replace(F.coalesce(url, F.lit("")), r"[?#].*$", ""))
+    by_type = F.when(F.contains(kind, F.lit("vtt")), "vtt").when(F.contains(kind, F.lit("srt")) | F.contains(kind, F.lit("subrip")), "srt").when(F.contains(kind, F.lit("json")), "json").when(F.contains(kind, F.lit("html")), "html")
+    by_path = F.when(F.endswith(path, F.lit(".vtt")), "vtt").when(F.endswith(path, F.lit(".srt")), "srt").when(F.endswith(path, F.lit(".json")), "json").when(path.rlike(r"\.html?$"), "html")
+    return F.coalesce(by_type, by_path, F.lit("text"))
+
+
+def listed_episode(listing: DataFrame, wanted: Column | str, key: str = "track_id") -> DataFrame:
+    """The entry of a supplied listing with that identifier, at most one."""
+    return listing.where(F.col(key).cast("string") == (F.lit(wanted) if isinstance(wanted, str) else wanted)).orderBy(key).limit(1)
+
+
+def batch_locations(slug: Column, prefix: str) -> Column:
+    """struct<manifest, audio, artifacts, namespace> of one channel's batch."""
+    return F.struct(
+        F.concat(F.lit(f"{prefix}/"), slug, F.lit("/queue.json")).alias("manifest"), F.concat(F.lit(f"{prefix}/"), slug, F.lit("/audio")).alias("audio"),
+        F.concat(F.lit(f"{prefix}/"), slug, F.lit("/artifacts")).alias("artifacts"), F.concat(F.lit(f"{prefix}-"), slug).alias("namespace"),
+    )
+
+
 class Registry:
     """Connectors by name: callables with the capabilities that they state."""
 

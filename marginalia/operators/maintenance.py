@@ -61,6 +61,12 @@ def keep_generations(rows: DataFrame, keep: int, group: str, generation: str) ->
     return rows.withColumn("kept", F.expr(f"dense_rank() OVER (PARTITION BY {group} ORDER BY {generation} DESC)") <= keep)
 
 
+def generation_key(name: Column) -> Column:
+    """What a backup's name (``...-20240102T030405Z``, perhaps with fractions of a second) is ordered by; null for other names."""
+    pattern = r"(\d{8}T\d{6})(?:\.(\d{1,9}))?Z(?:\.[a-z0-9.]+)?$"
+    return F.when(name.rlike(pattern), F.concat(F.regexp_extract(name, pattern, 1), F.lit("."), F.rpad(F.regexp_extract(name, pattern, 2), 9, "0")))
+
+
 def drift(chunks: DataFrame, indexed: DataFrame) -> DataFrame:
     """One row: chunks, indexed, missing from the index, stale in it."""
     both = chunks.select("doc_id", F.lit(1).alias("c")).join(indexed.select("doc_id", F.lit(1).alias("i")).distinct(), "doc_id", "full")

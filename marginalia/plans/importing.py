@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metadata as meta
-from ..operators import entities, importing, index, maintenance, planning, segmentation, vector
+from ..operators import entities, importing, index, maintenance, planning, retrieval, segmentation, vector
 from ..runtime import shared_dir
 from ..sources import captions, corpus, feeds
 from .catalog import QUERY, QUERY_VECTOR, _vector_of, query
@@ -386,3 +386,57 @@ def missing_identities(spark: SparkSession, d: str) -> DataFrame:
 def resume_points(spark: SparkSession, d: str) -> DataFrame:
     state = _docs(spark, d).select(F.col("doc_id").alias("position"), F.when(F.col("doc_id") < 17, "imported").when(F.col("doc_id") % 2 == 0, "skipped").otherwise("queued").alias("status"))
     return planning.resume_point(state)
+
+
+@query
+def entity_search(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword search among the sources of two entities, one name unknown."""
+    rows = corpus.chunks(spark, d)
+    links = rows.select("doc_id", F.col("tree").alias("slug"))
+    found = retrieval.search(rows, corpus.vectors(spark, d), [(QUERY, [])], "keyword", entities=["src3", "src5", "nobody"], links=links)
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def tenant_search(spark: SparkSession, d: str) -> DataFrame:
+    """Keyword search of one tenant; languages stand for tenants."""
+    rows = corpus.chunks(spark, d).withColumn("tenant_id", F.col("language"))
+    found = retrieval.search(rows, corpus.vectors(spark, d), [(QUERY, [])], "keyword", tenant="en")
+    return found.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def jobs_of_owner(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.jobs(spark, d).where("owner = 7").orderBy(F.desc("created_at"), F.desc("job_id")).limit(10).select("job_id", "job_type")
+
+
+@query
+def item_metadata(spark: SparkSession, d: str) -> DataFrame:
+    kind = F.when(F.col("doc_id") % 3 == 0, "auto_caption").when(F.col("doc_id") % 3 == 1, "published_current").otherwise("other")
+    return _docs(spark, d, "source").select("doc_id", importing.item_metadata(kind, source_tree_slug=F.col("source"), guid=F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("g"), "doc_id"))).alias("json"))
+
+
+@query
+def manifest_defaults(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d, "source").select("doc_id", F.col("source").alias("slug"), F.when(F.col("doc_id") % 2 == 0, "").otherwise("Show").alias("show_title"), F.lit(None).cast("string").alias("publisher"), F.when(F.col("doc_id") % 3 == 0, "A").alias("author"))
+    return importing.with_defaults(rows, {"show_title": F.col("slug"), "publisher": F.concat(F.col("show_title"), F.lit(" Press")), "author": F.col("publisher")})
+
+
+@query
+def transcript_kinds(spark: SparkSession, d: str) -> DataFrame:
+    mime = F.when(F.col("page_id") % 4 == 0, "text/VTT").when(F.col("page_id") % 4 == 1, "application/x-subrip").when(F.col("page_id") % 4 == 2, "application/json")
+    return corpus.table(spark, d, "pages").select("page_id", importing.transcript_kind(F.col("url"), mime).alias("kind"))
+
+
+@query
+def batch_locations(spark: SparkSession, d: str) -> DataFrame:
+    rows = _docs(spark, d, "source").select("source").distinct()
+    return rows.select("source", importing.batch_locations(F.col("source"), "channel").alias("b")).select("source", "b.*")
+
+
+@query
+def backup_generations(spark: SparkSession, d: str) -> DataFrame:
+    """The two newest backups of each source by names with and without fractions of a second."""
+    name = F.concat(F.lit("b-20240102T"), F.lpad((F.col("doc_id") % 1000000).cast("string"), 6, "0"), F.when(F.col("doc_id") % 2 == 0, ".5").otherwise(""), F.lit("Z.tar"))
+    rows = _docs(spark, d, "source").select("doc_id", "source", maintenance.generation_key(name).alias("generation"))
+    return maintenance.keep_generations(rows, 2, "source", "generation").where("kept").select("doc_id", "source", "generation")

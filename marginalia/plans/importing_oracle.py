@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .catalog import QUERY, QUERY_VECTOR
-from .oracle import near, toks
+from .oracle import bm25, near, toks
 
 
 def _indexed(query: str, formula: str, where: str = "true", weighted: bool = False) -> str:
@@ -103,5 +103,16 @@ SELECT source, count(*) AS segments, count(*) - 1 AS last_index, md5(coalesce(st
   SELECT d, 'm' AS model, CASE WHEN d % 11 = 5 THEN v[1] WHEN d % 3 = 0 THEN list_reverse(v)[1] ELSE v[1] END AS x FROM s WHERE d % 11 <> 5 OR d % 10 <> 0)
 SELECT model, count(*) AS n, round(sum(x::DOUBLE), 4) AS first FROM k GROUP BY model""",
         "missing_identities": "SELECT DISTINCT user_id AS id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)",
+        "entity_search": f"""WITH {bm25('b', QUERY, "source IN ('src3', 'src5')")} SELECT doc_id, round(score, 6) AS score FROM b""",
+        "tenant_search": f"""WITH {bm25('b', QUERY, "lang = 'en'")} SELECT doc_id, round(score, 6) AS score FROM b""",
+        "jobs_of_owner": "SELECT event_id AS job_id, event_type AS job_type FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 10",
+        "item_metadata": """SELECT doc_id, '{"transcript_provenance":"' || CASE doc_id % 3 WHEN 0 THEN 'auto_caption' WHEN 1 THEN 'published_current' ELSE 'other' END || '","retrieval_weight":' || CASE doc_id % 3 WHEN 0 THEN '0.8' WHEN 1 THEN '2.0' ELSE '1.0' END
+  || ',"source_tree_slug":"' || source || '"' || CASE WHEN doc_id % 2 = 0 THEN ',"guid":"g' || doc_id || '"' ELSE '' END || '}' AS json FROM documents""",
+        "manifest_defaults": """WITH r AS (SELECT doc_id, source AS slug, CASE WHEN doc_id % 2 = 0 THEN source ELSE 'Show' END AS show_title FROM documents)
+SELECT doc_id, slug, show_title, show_title || ' Press' AS publisher, CASE WHEN doc_id % 3 = 0 THEN 'A' ELSE show_title || ' Press' END AS author FROM r""",
+        "transcript_kinds": r"""SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'vtt' WHEN 1 THEN 'srt' WHEN 2 THEN 'json' ELSE CASE WHEN regexp_matches(regexp_replace(url, '[?#].*$', ''), '\.html?$') THEN 'html' ELSE 'text' END END AS kind FROM pages""",
+        "batch_locations": "SELECT DISTINCT source, 'channel/' || source || '/queue.json' AS manifest, 'channel/' || source || '/audio' AS audio, 'channel/' || source || '/artifacts' AS artifacts, 'channel-' || source AS namespace FROM documents",
+        "backup_generations": """WITH g AS (SELECT doc_id, source, '20240102T' || lpad((doc_id % 1000000)::VARCHAR, 6, '0') || '.' || CASE WHEN doc_id % 2 = 0 THEN '500000000' ELSE '000000000' END AS generation FROM documents),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY generation DESC) AS nth FROM g) SELECT doc_id, source, generation FROM r WHERE nth <= 2""",
         "resume_points": "SELECT doc_id AS position, 'queued' AS status FROM documents WHERE doc_id >= 17 AND doc_id % 2 = 1 ORDER BY doc_id LIMIT 1",
     }
