@@ -7,19 +7,23 @@
    document falls below one copy.
 5. byte-level BPE: token ids, with their digest.
 
-Rows with nulls pass every stage; a null text has no tokens.
+Rows with nulls pass every stage; a null text has no tokens.  An empty table gives an
+empty one.  Columns beside those of ``documents`` stay up to the mixing stage, whatever
+their names; the last stage names its own.  Rows that repeat in all columns are near copies of
+each other, so the second stage leaves one; rows of null or empty texts stay as often as
+they are there.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm import byte_bpe, mixing, ngram_join, suffix_dedup, toxicity
 from marginalia.llm.queries import language_and_quality, pattern, vocabulary
-from marginalia.runtime import shared_dir
+from marginalia.runtime import shared_dir, swept
 
 #: Bytes of a repeated string: some fifty words of five letters are longer.
 REPEATED = 240
@@ -28,11 +32,18 @@ REPEATED = 240
 TEMPER = 0.3
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns beside doc_id and text under names of no one else, and what gives all of them back."""
+    named = {c: c if c in ("doc_id", "text") else f"own_{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()]), [F.col(n).alias(c) for c, n in named.items()]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     whole = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = toxicity.fit(*toxicity.labelled_sample(whole, labels))
-    return toxicity.score_documents(docs, model).where("predicted = 0").select(*docs.columns)
+    rows, back = _plain(docs)
+    return toxicity.score_documents(rows, model).where("predicted = 0").select(*back)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +51,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cleaned = suffix_dedup.remove_repeats(docs, REPEATED)
-    cleaned = cleaned.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long"))
-    return cleaned.select(*docs.columns)
+    rows, back = _plain(docs)
+    cleaned = suffix_dedup.remove_repeats(rows, REPEATED).withColumn("text", F.col("kept")).select(*back)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cleaned
 
 
 def _nearer(have: dict[str, float]) -> dict[str, float]:
@@ -75,9 +86,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again.
+
+    The folders go when the session ends.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    swept(spark, root)
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
         docs = spark.read.parquet(f"{root}/{name}")

@@ -26,12 +26,20 @@ def queue(entries: DataFrame) -> DataFrame:
     return number(rows, "reason IS NULL")
 
 
-def number(rows: DataFrame, counted: str, order: str = "position", block: int = 4096) -> DataFrame:
+#: Blocks of positions, whose counts one task sums.
+BLOCKS = 65_536
+
+
+def number(rows: DataFrame, counted: str, order: str = "position", block: int | None = None) -> DataFrame:
     """Adds queue_number, 1, 2, ... over the ``counted`` rows by ``order``, null for others.
 
-    Positions are cut into blocks; the counts of the blocks are summed (one row for each
-    block), and numbers run within a block, so no task orders the whole list.
+    Positions are cut into BLOCKS blocks at most, or blocks of a given width; the counts of the
+    blocks are summed (one row for each block), and numbers run within a block, so no task
+    orders the whole list.
     """
+    if block is None:
+        ends = rows.agg(F.min(order).alias("a"), F.max(order).alias("z")).first()
+        block = max(4096, -(-int((ends.z or 0) - (ends.a or 0) + 1) // BLOCKS))
     held = rows.withColumn("__block", F.floor(F.col(order) / block)).withColumn("__one", F.when(F.expr(counted), 1).otherwise(0))
     sums = held.groupBy("__block").agg(F.sum("__one").alias("__n"))
     before = sums.select("__block", F.expr("sum(__n) OVER (ORDER BY __block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - __n").alias("__before"))
