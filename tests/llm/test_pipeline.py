@@ -60,3 +60,26 @@ def test_repeated_and_null_id_rows_keep_their_text(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{name}")
     left = [(r.doc_id, r.text.removesuffix(" end")) for r in docs.collect()]
     assert sorted(left, key=str) == sorted([(1, text[0]), (2, text[1]), (None, text[2]), (3, text[3])], key=str)
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    """An empty table, and one with columns that clash with the stages' own, nulls and repeats."""
+    kind = "doc_id long, text string, lang string, source string, n_chars long, copies long, score double, root string, spans int, row int, d int, h long"
+    rnd = random.Random(3)
+    text = lambda: " ".join("".join(rnd.choice("abcdefghijklm") for _ in range(5)) for _ in range(60))
+    rest = (1, 0.5, "r", 2, 3, 4, 5)
+    rows = [(i, text(), "en" if i % 2 else "de", "s", 0, *rest) for i in range(20)]
+    rows += [rows[3], rows[3], (None, None, None, None, None, *[None] * 7), (None, "", None, "s", 0, *rest), (99, None, "en", "s", 0, *rest)]
+    spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for part in (rows, []):
+        spark.createDataFrame(part, kind).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+        for name, stage in cp.STAGES[:4]:
+            docs = stage(spark, docs, str(tmp_path))
+            assert docs.columns == [c.split()[0] for c in kind.split(", ")], name
+            docs.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}")
+        out = cp.run(spark, str(tmp_path)).collect()
+        ids = [r.doc_id for r in out]
+        assert set(ids) == {r[0] for r in part} and all((r.n_tokens == 0) == (r.doc_id in (None, 99)) for r in out)
+        assert len(ids) >= len(set(part)) and (not part or ids.count(3) <= 4)
