@@ -28,6 +28,9 @@ from marginalia.runtime import shared_dir, swept
 #: Bytes of a repeated string: some fifty words of five letters are longer.
 REPEATED = 240
 
+#: Rounds of the fit of rates: as no document falls below one copy, targets cannot all be met, and most is gained in the first rounds.
+ROUNDS = 12
+
 #: Languages are drawn together by this power of their share.
 TEMPER = 0.3
 
@@ -64,7 +67,7 @@ def _nearer(have: dict[str, float]) -> dict[str, float]:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rates = mixing.mix_rates(docs.select("doc_id", "text"), language_and_quality(docs, labels), totals=_nearer, least=1.0, most=4.0)
+    rates = mixing.mix_rates(docs.select("doc_id", "text"), language_and_quality(docs, labels), totals=_nearer, least=1.0, most=4.0, rounds=ROUNDS)
     return mixing.mixed(docs, rates)
 
 
