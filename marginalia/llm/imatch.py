@@ -53,27 +53,28 @@ def likeness(a: str, b: str) -> Column:
 
 
 def subsets_of(term: str, subsets: tuple[tuple[int, int], ...] = SUBSETS) -> str:
-    """SQL of the subsets that hold a term: 0, the whole lexicon, and those that its hash with their number falls to."""
+    """SQL of the random subsets, 1 and up, that hold a term: those that its hash with their number falls to."""
     parts, first = [], 1
     for many, one_in in subsets:
         parts.append(f"filter(sequence({first}, {first + many - 1}), j -> pmod(xxhash64({term}, j), {one_in}) = 0)")
         first += many
-    return f"concat(array(0), {', '.join(parts)})"
+    return f"concat({', '.join(parts)})"
 
 
-def _subset_hashes(members: str, many: int) -> Column:
-    """The hash of each subset's terms as sixteen hex digits, from structs (j, term) in order.
+def _hashes(terms_: str, members: str, many: int) -> Column:
+    """Sixteen hex digits each: the hash of sorted terms, then of those of each subset, from structs (j, term) in order.
 
     One pass chains the terms' hashes within each subset.
     """
+    whole = f"aggregate(sort_array({terms_}), cast(null AS bigint), (h, t) -> if(h IS NULL, xxhash64(t), xxhash64(h, t)))"
     done = "if(a.j < 0, a.made, concat(a.made, array(struct(a.j AS j, a.h AS h))))"
     chained = (
         f"aggregate({members}, named_struct('j', -1, 'h', 0L, 'made', cast(array() AS array<struct<j:int,h:bigint>>)),"
         " (a, x) -> if(x.j = a.j, named_struct('j', a.j, 'h', xxhash64(a.h, x.term), 'made', a.made),"
         f" named_struct('j', x.j, 'h', xxhash64(x.term), 'made', {done})), a -> map_from_entries({done}))"
     )
-    digits = "lpad(lower(hex(try_element_at(m, j))), 16, '0')"
-    return F.expr(f"transform(array({chained}), m -> transform(sequence(0, {many}), j -> coalesce({digits}, '{NONE}')))[0]")
+    each = f"transform(sequence(1, {many}), j -> try_element_at(m, j))"
+    return F.expr(f"transform(transform(array({chained}), m -> concat(array({whole}), {each}))[0], h -> coalesce(lpad(lower(hex(h)), 16, '0'), '{NONE}'))")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -152,18 +153,24 @@ def fingerprints(docs: DataFrame, band: tuple[float, float] = BAND, subsets: tup
     marked = known.withColumn("js", F.expr(subsets_of("term", subsets)))
     if size <= LEXICON_ROWS:
         marked = F.broadcast(marked)
-    each = each.join(marked, "term", "left").where("side = 0 OR js IS NOT NULL").withColumn("member", F.struct("js", "term"))
+    each = each.join(marked, "term", "left").where("side = 0 OR js IS NOT NULL")
+    # most terms are in no random subset: they come as bare numbers
+    member = F.when(F.size("js") > 0, F.struct("js", "term"))
     sets = each.groupBy("block", "at").agg(
         F.max("row").alias("row"),
-        F.collect_list(F.when(F.col("side").isin(1, 3), F.col("member"))).alias("own"),
-        F.collect_list(F.when(F.col("side").isin(2, 3), F.col("member"))).alias("new"),
+        *[F.collect_list(F.when(F.col("side").isin(*sides), F.col("term"))).alias(name) for name, sides in (("own", (1, 3)), ("new", (2, 3)))],
+        *[F.collect_list(F.when(F.col("side").isin(*sides), member)).alias(f"{name}_in") for name, sides in (("own", (1, 3)), ("new", (2, 3)))],
     )
-    for side in ("own", "new"):
-        used = f"if(size({side}) = 0, transform(row.{side}, t -> struct({subsets_of('t', subsets)} AS js, t AS term)), {side})"
-        sets = sets.withColumn(side, F.expr(f"sort_array(flatten(transform({used}, x -> transform(x.js, j -> struct(j AS j, x.term AS term)))))"))
-    sets = sets.select("block", "at", "row.copy", "row.doc_id", "row.n_chars", "row.edited_sha256", "own", "new")
     many = sum(n for n, _ in subsets)
-    made = sets.withColumn("print", _subset_hashes("own", many)).withColumn("edited_print", _subset_hashes("new", many))
+    made = sets
+    for side, out in (("own", "print"), ("new", "edited_print")):
+        # without a term of the lexicon all terms count
+        alone = f"size({side}) = 0"
+        inside = f"if({alone}, transform(row.{side}, t -> struct({subsets_of('t', subsets)} AS js, t AS term)), {side}_in)"
+        made = made.withColumn("used", F.expr(f"if({alone}, row.{side}, {side})"))
+        made = made.withColumn("members", F.expr(f"sort_array(flatten(transform({inside}, x -> transform(x.js, j -> struct(j AS j, x.term AS term)))))"))
+        made = made.withColumn(out, _hashes("used", "members", many)).drop("used", "members")
+    made = made.select("block", "at", "row.copy", "row.doc_id", "row.n_chars", "row.edited_sha256", "print", "edited_print")
     made = made.withColumn("next_print", F.expr("lead(print) OVER (PARTITION BY block ORDER BY at)")).where("NOT copy")
     return made.select(
         "doc_id",

@@ -231,6 +231,7 @@ def mix_rates(
     most: float | None = None,
     least: float = 0.0,
     totals: Callable[[dict[str, float]], dict[str, float]] | None = None,
+    rounds: int = 40,
 ) -> DataFrame:
     """One row a document: doc_id, text_hash, tokens, domains, p, rate, copies and residuals.
 
@@ -253,7 +254,7 @@ def mix_rates(
     else:
         shares = {d: 1.0 if weights is None or not domains else float(weights.get(d, 0.0)) for d in names}
         wanted = {d: (budget or sum(have.values())) * s / (sum(shares.values()) or 1.0) for d, s in shares.items()}
-    rated, missed = fit_rates(member, [float(wanted.get(d, 0.0)) for d in names], most=most, least=least)
+    rated, missed = fit_rates(member, [float(wanted.get(d, 0.0)) for d in names], rounds, most=most, least=least)
     empty = docs.where("NOT coalesce(text, '') rlike '[^ \\t\\n\\x0B\\f\\r]'").select("doc_id", F.hash("text").alias("text_hash")).distinct()
     total = sum(math.exp(x) for x in priors) or 1.0
     prior = F.array(*[F.lit(math.exp(x) / total) for x in priors] or [F.lit(1.0)])

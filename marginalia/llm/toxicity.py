@@ -276,10 +276,14 @@ def labelled_sample(
     # a few thousand ids at most: the sizes in ``sample`` bound what is broadcast
     rows = docs.where("text IS NOT NULL").select("doc_id", F.col("text").alias("body")).join(F.broadcast(picked), "doc_id")
     rows = materialise(rows.groupBy("doc_id", "label").agg(F.min("body").alias("body")), "toxic-sample")
-    order = "PARTITION BY label ORDER BY xxhash64(doc_id), doc_id"
-    sized = rows.select("doc_id", "body", "label", F.octet_length("body").alias("bytes")).withColumn("upto", F.expr(f"sum(bytes) OVER ({order})"))
-    found = sized.where(F.col("upto") <= most_bytes).select("doc_id", "body", "label").collect()
-    found.sort(key=lambda r: (r[0], r[1]))
+    # as many short rows as the sample has, then the texts, one file of them at a time
+    sizes = rows.select("doc_id", "label", F.octet_length("body").alias("bytes")).orderBy("label", F.xxhash64("doc_id"), "doc_id").collect()
+    taken, upto = set(), {}
+    for r in sizes:
+        upto[r.label] = upto.get(r.label, 0) + r.bytes
+        if upto[r.label] <= most_bytes:
+            taken.add((r.doc_id, r.label))
+    found = sorted((r.doc_id, r.body, r.label) for r in rows.select("doc_id", "body", "label").toLocalIterator() if (r.doc_id, r.label) in taken)
     return [r[1] for r in found], [r[2] for r in found]
 
 
