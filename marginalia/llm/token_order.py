@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,42 +156,84 @@ def _name(shard: int) -> str:
     return f"shard-{shard:06d}.bin"
 
 
-def write_shards(sequences: DataFrame, path: str, n: int, shard_slots: int = SHARD_SLOTS) -> None:
+#: Bytes of records that a task gathers before it packs them by shard.
+PACK_BYTES = 16 << 20
+
+
+def _packed(shard_slots: int):
+    """(shard, slot, record) -> (shard, places, blob): a task's records for one shard together, compressed."""
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        shard = np.concatenate([b.column(0).to_numpy() for b in held])
+        place = (np.concatenate([b.column(1).to_numpy() for b in held]) % shard_slots).astype("<i4")
+        records = np.array([r for b in held for r in b.column(2).to_pylist()], object)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.diff(shard[order], prepend=-1))
+        parts = [order[x:y] for x, y in zip(cuts, [*cuts[1:], len(order)])]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([int(shard[p[0]]) for p in parts], pa.int64()),
+                pa.array([place[p].tobytes() for p in parts], pa.binary()),
+                pa.array([zlib.compress(b"".join(records[p]), 1) for p in parts], pa.binary()),
+            ],
+            names=["shard", "places", "blob"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.nbytes
+            if size >= PACK_BYTES:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return run
+
+
+def write_shards(sequences: DataFrame, path: str, n: int, length: int = LENGTH, shard_slots: int = SHARD_SLOTS) -> None:
     """Write the ``n`` ``sequences`` (shard, slot, record) as shard-NNNNNN.bin files into ``path`` (any file system that pyarrow knows).
 
-    Shards are dealt to tasks by ranges; a task holds whole shards, sorted by slot, and
-    streams one at a time under a name of its own attempt, renamed at the end: a lost
-    task leaves no half shard, and a rerun writes the same bytes.
+    Shards are dealt to tasks by ranges, records packed; a task puts one shard at a time
+    together (shard_slots records) and writes it in slot order under a name of its own
+    attempt, renamed at the end: a lost task leaves no half shard, and a rerun writes the
+    same bytes.
     """
     from pyarrow import fs
 
+    stride = stride_of(length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
-        shard, out, temp = None, None, ""
+        shard, grid, most = None, np.zeros((0, stride), np.uint8), 0
 
         def close() -> None:
-            if out is not None:
-                out.close()
+            if shard is not None:
+                temp = f"{root}/.{_name(shard)}-{uuid.uuid4().hex}"
+                with store.open_output_stream(temp) as out:
+                    out.write(grid[:most].tobytes())
                 store.move(temp, f"{root}/{_name(shard)}")
 
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)] if len(ids) else [0]
-            for a, b in zip(cuts, cuts[1:]):
-                if ids[a] != shard:
+            for at, places, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != shard:
                     close()
-                    shard = int(ids[a])
-                    temp = f"{root}/.{_name(shard)}-{uuid.uuid4().hex}"
-                    out = store.open_output_stream(temp)
-                out.write(b"".join(batch.column(1).slice(a, b - a).to_pylist()))
+                    shard, grid, most = at, np.zeros((shard_slots, stride), np.uint8), 0
+                where = np.frombuffer(places, "<i4")
+                grid[where] = np.frombuffer(zlib.decompress(blob), np.uint8).reshape(-1, stride)
+                most = max(most, int(where.max()) + 1)
         close()
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64())], names=["done"])
 
     shards = max(-(-n // shard_slots), 1)
     tasks = min(parallelism(sequences.sparkSession), shards)
-    dealt = sequences.select("shard", "record", "slot").repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} AS int)")).sortWithinPartitions("slot")
-    dealt.select("shard", "record").mapInArrow(run, "done long").count()
+    packed = sequences.select("shard", "slot", "record").mapInArrow(_packed(shard_slots), "shard long, places binary, blob binary")
+    dealt = packed.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} AS int)")).sortWithinPartitions("shard")
+    dealt.mapInArrow(run, "done long").count()
 
 
 def read_slots(path: str, first: int, count: int, length: int = LENGTH, shard_slots: int = SHARD_SLOTS) -> Iterator[bytes]:

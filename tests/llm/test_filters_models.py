@@ -130,8 +130,8 @@ def test_shards(spark, tmp_path):
     assert n == len(got) == len(want) and {r.slot: bytes(r.record)[2 : 2 + r.n_tokens] for r in got} == want
     assert all(r.shard == r.slot // 4 and r.offset == r.slot % 4 * 66 and len(r.record) == 66 for r in got)
     path = f"file://{tmp_path}/shards"
-    token_order.write_shards(found, path, n, 4)
-    token_order.write_shards(found, path, n, 4)
+    token_order.write_shards(found, path, n, 64, 4)
+    token_order.write_shards(found, path, n, 64, 4)
     read = list(token_order.read_slots(path, 0, n, 64, 4))
     assert read == [want[i] for i in range(n)]
     assert list(token_order.read_slots(path, 3, 4, 64, 4)) == read[3:7]
