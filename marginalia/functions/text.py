@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf, pandas_udf
 
 #: Scripts written without spaces between words.
 CJK = r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
@@ -210,29 +214,56 @@ def classify_url(url: Column) -> Column:
     )
 
 
+_NOT_LATIN = regex.compile(r"[\u0400-\u04FF\u0590-\u05FF\u0600-\u06FF\u0900-\u097F\u4E00-\u9FFF\u3040-\u30FF\uAC00-\uD7AF]")
+
+#: Distinct tokens whose hashes a worker remembers before it starts anew.
+REMEMBERED = 200_000
+
+
+def normalized_token(token: str) -> str:
+    """One token as ``normalized_tokens`` makes it."""
+    if token in SYNONYMS:
+        return SYNONYMS[token]
+    return token[:-1] if len(token) > 1 and token.endswith("s") and not _NOT_LATIN.search(token) else token
+
+
+@lru_cache(maxsize=8)
+def _hashed_units(dims: int):
+    """Texts to signed counts by their tokens' hashes, to unit length; a token is hashed once a worker."""
+    known: dict[str, int] = {}
+
+    def code(token: str) -> int:
+        digest = hashlib.sha256(normalized_token(token).encode()).digest()
+        return int.from_bytes(digest[:4], "big") % dims * 2 + digest[4] % 2
+
+    @arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(texts: pa.Array) -> pa.Array:
+        sums = np.zeros((len(texts), dims))
+        for i, text in enumerate(texts.to_pylist()):
+            tokens = tokens_of(text or "")
+            fresh = set(tokens).difference(known)
+            if len(known) + len(fresh) > REMEMBERED:
+                known.clear()
+                fresh = set(tokens)
+            known.update((t, code(t)) for t in fresh)
+            count = np.bincount(np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens)), minlength=2 * dims).reshape(dims, 2)
+            sums[i] = count[:, 0] - count[:, 1]
+        norm = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        units = np.divide(sums, norm, out=np.zeros_like(sums), where=norm > 0)
+        lost = pa.array(~texts.is_valid().to_numpy(zero_copy_only=False)) if texts.null_count else None
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * dims, pa.int32()), pa.array(units.ravel()), mask=lost)
+
+    return run
+
+
 def hash_embedding(text: Column, dims: int = 8) -> Column:
-    """A unit vector that adds a signed one for each normalised token; zeros without tokens.
+    """A unit vector that adds a signed one for each normalised token; zeros without tokens, null for null.
 
     The token's SHA-256 gives the place (first four bytes modulo ``dims``) and the sign
-    (parity of the fifth byte: even is plus).
+    (parity of the fifth byte: even is plus).  It runs over Arrow batches, where each distinct
+    token is hashed once.
     """
-    hashed = F.transform(normalized_tokens(text), lambda t: F.sha2(t, 256))
-    at = F.transform(
-        hashed,
-        lambda h: F.struct(
-            (F.conv(F.substring(h, 1, 8), 16, 10).cast("long") % dims).alias("i"),
-            F.when(F.conv(F.substring(h, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0).alias("v"),
-        ),
-    )
-    start = F.array_repeat(F.lit(0.0), dims)
-    total = F.aggregate(at, start, lambda acc, x: F.transform(acc, lambda v, i: F.when(i == x["i"], v + x["v"]).otherwise(v)))
-
-    def unit(sums: Column) -> Column:
-        norm = F.sqrt(F.aggregate(sums, F.lit(0.0), lambda a, v: a + v * v))
-        return F.transform(sums, lambda v: F.when(norm > 0, v / norm).otherwise(F.lit(0.0)))
-
-    # the array around the sums is a binding: they are computed once
-    return F.transform(F.array(total), unit)[0]
+    return _hashed_units(dims)(text)
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -110,3 +110,9 @@ def test_languages(one, raw, code):
 def test_no_language(one):
     for raw in ("", "  \n", "123 !?", None):
         assert tuple(one(language.detect(F.lit(raw).cast("string")))) == (None, 0.0)
+
+
+def test_tokens_on_both_sides_are_normalised_alike(spark):
+    texts = ["Cats kitties felines s ss as", "日本語s テスト", "привет домs", "", "x1s été's"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.normalized_tokens(F.col("t")).alias("n")).collect()
+    assert all(list(r.n) == [text.normalized_token(x) for x in text.tokens_of(r.t)] for r in rows)
