@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: is a few MB, so a worker's memory does not depend on the size of a partition.
 ARROW_ROWS = 512
 
-#: Rows of a few numbers each (some 20 MB together) up to which a join's side is broadcast.
+#: Rows of a few numbers each (up to some 70 MB together, as a hashed relation) up to which a join's side is broadcast.
 BROADCAST_ROWS = 500_000
 
 #: Bytes in such a batch at most, for texts that are long.
