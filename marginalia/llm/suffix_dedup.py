@@ -22,7 +22,7 @@ most two window lengths.  So:
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -368,27 +368,41 @@ def _merge(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _clean_rows(digest: bool):
+def _cleaned(batch: pa.RecordBatch, digest: bool) -> pa.RecordBatch:
     """(doc_id, text, spans, rest) -> what is left of each text."""
+    out: list[tuple] = []
+    for body, spans in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist()):
+        raw = body or b""
+        gone = _merge(spans or [])
+        kept, at = [], 0
+        for a, b in gone:
+            kept.append(raw[at:a])
+            at = b
+        kept.append(raw[at:])
+        left = b"".join(kept)
+        out.append((len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest() if digest else (None if body is None else left.decode("utf-8", "ignore"))))
+    done = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)] + [pa.array([r[3] for r in out], pa.string())]
+    names = ["doc_id", *batch.schema.names[3:], "n_bytes", "n_removed", "n_spans", "kept"]
+    return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], *done], names=names)
+
+
+def _clean_rows(digest: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _cleaned(batch, digest)
+
+    return run
+
+
+def _clear_rows(digest: bool, may_hold: Callable[[np.ndarray], np.ndarray]):
+    """(doc_id, text, h, rest) -> the texts that have no spans, as they are cleaned: by one worker, not one to sort them out and one to clean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for body, spans in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist()):
-                raw = body or b""
-                gone = _merge(spans or [])
-                kept, at = [], 0
-                for a, b in gone:
-                    kept.append(raw[at:a])
-                    at = b
-                kept.append(raw[at:])
-                left = b"".join(kept)
-                out.append(
-                    (len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest() if digest else (None if body is None else left.decode("utf-8", "ignore")))
-                )
-            done = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)] + [pa.array([r[3] for r in out], pa.string())]
-            names = ["doc_id", *batch.schema.names[3:], "n_bytes", "n_removed", "n_spans", "kept"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], *done], names=names)
+            clear = batch.filter(pa.array(~may_hold(batch.column(2).to_numpy())))
+            none = pa.nulls(clear.num_rows, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+            columns = [clear.column(0), clear.column(1), none, *clear.columns[3:]]
+            yield _cleaned(pa.RecordBatch.from_arrays(columns, names=[*clear.schema.names[:2], "spans", *clear.schema.names[3:]]), digest)
 
     return run
 
@@ -409,9 +423,11 @@ def remove_repeats(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROW
     held = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"rest_{i}") for i, c in enumerate(rest)])
     body = _keyed(held, *[f"rest_{i}" for i in range(len(rest))])
     # texts without repeats are not shuffled
-    near, clear = parted(body.withColumn("h", F.xxhash64("doc_id", "text_hash")), key_filter(spans, F.xxhash64("d", "t")))
-    joined = near.join(spans, _same(), "left").drop("d", "t").unionByName(clear.withColumn("spans", F.lit(None).cast(spans.schema["spans"].dataType)))
-    joined = joined.select("doc_id", "body", "spans", *[F.col(f"rest_{i}").alias(c) for i, c in enumerate(rest)])
-    kinds = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
+    may_hold = key_filter(spans, F.xxhash64("d", "t"))
+    body = body.withColumn("h", F.xxhash64("doc_id", "text_hash"))
+    own = [F.col(f"rest_{i}").alias(c) for i, c in enumerate(rest)]
+    near = parted(body, may_hold)[0].join(spans, _same(), "left").select("doc_id", "body", "spans", *own)
+    kinds = {f.name: f.dataType.simpleString() for f in near.schema.fields}
     schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in rest), "n_bytes long, n_removed long, n_spans long, kept string"])
-    return joined.mapInArrow(_clean_rows(digest), schema)
+    clear = body.select("doc_id", "body", "h", *own).mapInArrow(_clear_rows(digest, may_hold), schema)
+    return near.mapInArrow(_clean_rows(digest), schema).unionByName(clear)
