@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from ..runtime import small_batches
+from ..runtime import lean, small_batches
 
 #: Distinct pieces that a worker remembers before it starts anew.
 REMEMBERED = 300_000
@@ -163,7 +163,7 @@ def encode_documents(
     rest = [c for c in docs.columns if c != "text" and c not in want]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), *(f"{w} {_KINDS[w]}" for w in want)])
-    return docs.select(F.col("text"), *rest).mapInArrow(_rows(path, pattern, want, len(rest)), schema)
+    return docs.select(F.col("text"), *rest).mapInArrow(lean(_rows(path, pattern, want, len(rest))), schema)
 
 
 def decode_documents(coded: DataFrame, path: str | Callable[[], str], pattern: str) -> DataFrame:
@@ -181,4 +181,4 @@ def decode_documents(coded: DataFrame, path: str | Callable[[], str], pattern: s
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     schema = ", ".join(["ids array<int>", *(f"`{c}` {kinds[c]}" for c in rest), "decoded binary"])
-    return coded.select(F.col("ids").cast("array<int>"), *rest).mapInArrow(run, schema)
+    return coded.select(F.col("ids").cast("array<int>"), *rest).mapInArrow(lean(run), schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import small_batches
+from ..runtime import lean, small_batches
 
 #: Bits of a table at most (16 MB), and bits for each key as long as that is enough.
 BITS, EACH = 1 << 27, 16
@@ -56,6 +56,6 @@ def parted(rows: DataFrame, may_hold: Callable[[np.ndarray], np.ndarray]) -> tup
             for batch in batches:
                 yield batch.filter(pa.array(may_hold(batch.column(at).to_numpy()) == want))
 
-        return rows.mapInArrow(run, rows.schema)
+        return rows.mapInArrow(lean(run), rows.schema)
 
     return part(True), part(False)

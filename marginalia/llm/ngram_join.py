@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checked_broadcast, materialise, parallelism, small_batches
+from ..runtime import checked_broadcast, lean, materialise, parallelism, small_batches
 from .graph import components
 from .keyfilter import key_filter, parted
 from .textvec import blocks, flat, shingle_sets
@@ -294,7 +294,7 @@ def _solve_rows(num: int, den: int):
 def _solved(members: DataFrame, num: int, den: int) -> DataFrame:
     """Verified edges among ``members`` (task, id, tokens) that share a task."""
     dealt = members.select("task", "id", "tokens").repartition(parallelism(members.sparkSession), "task").sortWithinPartitions("task")
-    return materialise(dealt.mapInArrow(_solve_rows(num, den), "a long, b long"), "ngram-links")
+    return materialise(dealt.mapInArrow(lean(_solve_rows(num, den)), "a long, b long"), "ngram-links")
 
 
 def _stars(posts: DataFrame) -> DataFrame:
@@ -365,7 +365,7 @@ def _labelled(docs: DataFrame, size: int, num: int, den: int, most: int) -> tupl
     """The rows' sets (of _SETS), and (node, doc_id, text_hash, root) for every set: its first row and, if it links, its class."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("body"))
-    sets = materialise(rows.mapInArrow(_set_rows(size), _SETS), "ngram-sets")
+    sets = materialise(rows.mapInArrow(lean(_set_rows(size)), _SETS), "ngram-sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("row")
     nodes = sets.where("node IS NOT NULL").groupBy("node").agg(first, F.max("n_shingles").alias("n"), F.max("ref").alias("ref"))
     nodes = materialise(nodes.withColumn("key", F.expr(_KEY)), "ngram-nodes")
@@ -376,7 +376,7 @@ def _labelled(docs: DataFrame, size: int, num: int, den: int, most: int) -> tupl
     nodes = nodes.withColumn("id", F.xxhash64("node", F.lit(seed)))
     # a set may hold (den - num)/den of its n-grams alone; most texts hold far more, so a range a little wider tells
     bound = min(int((1.2 * (den - num) / den + 0.08) * (1 << 64)), (1 << 64) - 1)
-    own = rows.select("body").mapInArrow(_range_rows(size, bound), "token long, ref long")
+    own = rows.select("body").mapInArrow(lean(_range_rows(size, bound)), "token long, ref long")
     own = own.groupBy("token").agg(F.min("ref").alias("ref"), F.max("ref").alias("high")).where("ref = high")
     alone = own.groupBy("ref").agg(F.count("*").alias("alone"))
     spare = F.expr(f"n * {den - num} div {den}")
@@ -384,7 +384,7 @@ def _labelled(docs: DataFrame, size: int, num: int, den: int, most: int) -> tupl
     left = materialise(left.select("id", "n", F.col("row.doc_id").alias("d"), F.col("row.text_hash").alias("t")), "ngram-left")
     may_hold = key_filter(left, F.xxhash64("d", "t"))
     tokens = rows.select("doc_id", "text_hash", "body", F.xxhash64("doc_id", "text_hash").alias("h"))
-    tokens = tokens.mapInArrow(_token_rows(size, may_hold), "doc_id long, text_hash long, tokens array<long>")
+    tokens = tokens.mapInArrow(lean(_token_rows(size, may_hold)), "doc_id long, text_hash long, tokens array<long>")
     tokens = tokens.join(checked_broadcast(left), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).select("id", "n", "tokens")
     repeated = not sets.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty()
     alive = materialise(tokens.dropDuplicates(["id"]) if repeated else tokens, "ngram-alive")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, parallelism, small_batches
+from ..runtime import lean, materialise, parallelism, small_batches
 from .keyfilter import key_filter, parted
 from .textvec import PrefixHash, blocks, flat, mix
 
@@ -265,7 +265,7 @@ def _sort_rows(size: int):
 def _sorted_spans(rows: DataFrame, size: int) -> DataFrame:
     """Repeated ranges among the rows (doc_id, text_hash, key, start, at, raw) that share a key."""
     dealt = rows.select("doc_id", "text_hash", "key", "start", "at", "raw").repartition(parallelism(rows.sparkSession), "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_sort_rows(size), _FOUND)
+    return dealt.mapInArrow(lean(_sort_rows(size)), _FOUND)
 
 
 def _pieces(rows: DataFrame, size: int, width: int) -> DataFrame:
@@ -323,7 +323,7 @@ def repeated_spans(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROW
     k = max(size // 8, 1)
     rows = _keyed(docs)
     long_enough = rows.where(F.octet_length("body") >= size)
-    found = materialise(long_enough.mapInArrow(_anchor_rows(size, k), _ANCHORS), "repeat-anchors")
+    found = materialise(long_enough.mapInArrow(lean(_anchor_rows(size, k)), _ANCHORS), "repeat-anchors")
     # one row of each context; equal rows are summed before they are dealt out
     contexts = found.groupBy("anchor", "context").agg(
         F.count("*").alias("times"), F.min(F.struct("doc_id", "text_hash", "start", "windows", "at")).alias("row")
@@ -429,5 +429,5 @@ def remove_repeats(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROW
     near = parted(body, may_hold)[0].join(spans, _same(), "left").select("doc_id", "body", "spans", *own)
     kinds = {f.name: f.dataType.simpleString() for f in near.schema.fields}
     schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in rest), "n_bytes long, n_removed long, n_spans long, kept string"])
-    clear = body.select("doc_id", "body", "h", *own).mapInArrow(_clear_rows(digest, may_hold), schema)
-    return near.mapInArrow(_clean_rows(digest), schema).unionByName(clear)
+    clear = body.select("doc_id", "body", "h", *own).mapInArrow(lean(_clear_rows(digest, may_hold)), schema)
+    return near.mapInArrow(lean(_clean_rows(digest)), schema).unionByName(clear)

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise, small_batches
+from ..runtime import lean, materialise, small_batches
 from .textvec import ALNUM, PrefixHash, blocks, flat, mix, words
 
 _U = np.uint64
@@ -307,4 +307,4 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
                 yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*rest, "score", "predicted"])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "score double, predicted int"])
-    return docs.select(*rest).mapInArrow(run, schema)
+    return docs.select(*rest).mapInArrow(lean(run), schema)
