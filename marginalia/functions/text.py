@@ -83,6 +83,11 @@ def slugify(text: Column, most: int | None = None, default: str | None = None) -
     return slug if default is None else F.coalesce(F.nullif(slug, F.lit("")), F.lit(default))
 
 
+def safe_name(text: Column, most: int = 80, default: str = "podcast") -> Column:
+    """A slug for files and trees: references decoded first, cut to a length, never empty."""
+    return slugify(unescape(text), most, default)
+
+
 #: A character reference, as HTML texts have them with and without the semicolon.
 REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 

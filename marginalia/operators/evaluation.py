@@ -62,3 +62,10 @@ def latencies(times: DataFrame) -> DataFrame:
     held = times.groupBy("mode").agg(F.array_sort(F.collect_list("ms")).alias("ms"))
     n = F.size("ms")
     return held.select("mode", F.expr("(ms[(size(ms) - 1) div 2] + ms[size(ms) div 2]) / 2").alias("p50"), F.element_at("ms", F.greatest(F.floor(n * 0.95).cast("int"), F.lit(1))).alias("p95"))
+
+
+def compare(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(mode, metric, before, after, change) of two reports (mode, metric, value); a side that lacks a row has null."""
+    old = before.select("mode", "metric", F.col("value").alias("before"))
+    both = old.join(after.select("mode", "metric", F.col("value").alias("after")), ["mode", "metric"], "full")
+    return both.withColumn("change", F.col("after") - F.col("before")).orderBy("mode", "metric")

@@ -93,10 +93,13 @@ def merge_plan(stored: DataFrame, incoming: DataFrame, key: str = "identity", ve
 
 
 def merged_metadata(left: Column, right: Column) -> Column:
-    """Two JSON objects of scalars as one; the right one wins."""
-    kind = "map<string,string>"
-    a = F.coalesce(F.from_json(left, kind), F.create_map().cast(kind))
-    b = F.coalesce(F.from_json(right, kind), F.create_map().cast(kind))
+    """Two JSON objects as one; the right one wins.  Values keep their types; what is no object counts as empty."""
+    kind = "map<string,variant>"
+
+    def members(text: Column) -> Column:
+        return F.coalesce(F.from_json(F.when(text.rlike(r"^\s*\{"), text), kind), F.create_map().cast(kind))
+
+    a, b = members(left), members(right)
     return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b))
 
 

