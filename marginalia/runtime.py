@@ -87,6 +87,14 @@ def small_batches(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH", "")) if x)
 
 
+def trim() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    give = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if give is not None:
+        give(0)
+
+
 def lean(rows):
     """A mapInArrow function whose worker gives freed memory back to the system when a task ends.
 
@@ -96,10 +104,7 @@ def lean(rows):
 
     def run(batches):
         yield from rows(batches)
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim is not None:
-            trim(0)
+        trim()
 
     return run
 
