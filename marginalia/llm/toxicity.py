@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import lean, materialise, small_batches
+from ..runtime import lean, materialise, small_batches, trim
 from .textvec import ALNUM, PrefixHash, blocks, flat, mix, words
 
 _U = np.uint64
@@ -148,7 +148,14 @@ def swaps(groups: tuple[tuple[str, ...], ...]) -> dict[int, int]:
     return out
 
 
-def fit(
+def fit(texts: list[str], labels: list[int], **how) -> Model:
+    """``fitted``, after which the driver gives back the memory that the fit took."""
+    model = fitted(texts, labels, **how)
+    trim()
+    return model
+
+
+def fitted(
     texts: list[str],
     labels: list[int],
     groups: tuple[tuple[str, ...], ...] = IDENTITY_TERMS,
