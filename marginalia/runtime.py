@@ -31,6 +31,8 @@ ARROW_BYTES = 16 << 20
 #: Where the package lies; of no effect on machines that have it elsewhere on their path.
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
+_SPREAD = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -56,11 +58,21 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once into the shared folder and return the DataFrame that reads it.
 
     Unlike an in-memory cache the result outlives the executors, is compressed, and
-    the reader sees only a file scan: column pruning and filters reach it.
+    the reader sees only a file scan: column pruning and filters reach it.  Small partitions
+    are put together up to the advisory size, not spread over all cores, so a small table
+    has few files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_SPREAD, None)
+    spark.conf.set(_SPREAD, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_SPREAD)
+        else:
+            spark.conf.set(_SPREAD, before)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
