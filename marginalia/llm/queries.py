@@ -69,7 +69,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived records as they are read back from their bytes."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    rows = warc.parsed(warc.as_records(warc.derive(warc.responses_of(pages))))
+    rows = warc.round_trip(warc.responses_of(pages))
     headers = F.array_join(F.transform("source_headers", lambda h: F.concat_ws(": ", h["name"], h["value"])), "\n")
     return rows.withColumn("source_headers", headers).withColumn("block", F.sha2("block", 256)).withColumnRenamed("block", "block_sha256")
 

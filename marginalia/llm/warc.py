@@ -15,6 +15,7 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,9 +96,32 @@ _ARROW = {"content_length": pa.int64(), "block": pa.binary(), "source_headers":
 _DERIVED = ", ".join(f"{c} {_KINDS.get(c, 'string')}" for c in _COLUMNS)
 
 
+def _headers(lists: list[list[tuple[str, str]]]) -> pa.Array:
+    """Lists of (name, value) as a column, from flat arrays."""
+    flat = [h for one in lists for h in one]
+    items = pa.StructArray.from_arrays([pa.array([n for n, _ in flat], pa.string()), pa.array([v for _, v in flat], pa.string())], names=["name", "value"])
+    ends = np.cumsum([0, *map(len, lists)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+
+
 def _table(rows: list[tuple], names: list[str]) -> list[pa.Array]:
     cols = list(zip(*rows)) or [()] * len(names)
-    return [pa.array(list(c), _ARROW.get(n, pa.string())) for n, c in zip(names, cols)]
+    return [_headers(list(c)) if n == "source_headers" else pa.array(list(c), _ARROW.get(n, pa.string())) for n, c in zip(names, cols)]
+
+
+def _derived(rid: str | None, uri: str | None, date: str | None, block: bytes | None, known: str | None) -> Iterator[tuple]:
+    """The metadata record and the conversion record of a response, as tuples in the order of _COLUMNS."""
+    raw = block or b""
+    status, fields, payload = split_http(raw)
+    source, whole = known or digest(payload), digest(raw)
+    title, text, links = plain_text(payload.decode("utf-8", "replace"))
+    name = rid or f"{uri} {date} {whole}"
+    lines = [("status", status), *((f"http-{k.lower()}", v) for k, v in fields), ("payload-digest", source), ("block-digest", whole), ("title", title), *(("outlink", x) for x in links)]
+    meta = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in lines).encode("utf-8", "replace")
+    headers = [("status", status), *fields]
+    for kind, mime, made in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
+        own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {name}')}>"
+        yield kind, own, rid or "", _uri(uri or ""), date or "", mime, source, whole, headers, digest(made), len(made), made
 
 
 def derive(responses: DataFrame) -> DataFrame:
@@ -120,20 +144,8 @@ def derive(responses: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for rid, uri, date, block, known in zip(*(c.to_pylist() for c in batch.columns[:5])):
-                raw = block or b""
-                status, fields, payload = split_http(raw)
-                source, whole = known or digest(payload), digest(raw)
-                title, text, links = plain_text(payload.decode("utf-8", "replace"))
-                name = rid or f"{uri} {date} {whole}"
-                lines = [("status", status), *((f"http-{k.lower()}", v) for k, v in fields), ("payload-digest", source), ("block-digest", whole), ("title", title), *(("outlink", x) for x in links)]
-                meta = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in lines).encode("utf-8", "replace")
-                headers = [{"name": "status", "value": status}, *({"name": k, "value": v} for k, v in fields)]
-                for kind, mime, made in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
-                    own = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{kind} {name}')}>"
-                    out.append((kind, own, rid or "", _uri(uri or ""), date or "", mime, source, whole, headers, digest(made), len(made), made))
-            twice = pa.array([i for i in range(batch.num_rows) for _ in range(2)], pa.int64())
+            out = [row for one in zip(*(c.to_pylist() for c in batch.columns[:5])) for row in _derived(*one)]
+            twice = pa.array(np.repeat(np.arange(batch.num_rows), 2))
             yield pa.RecordBatch.from_arrays([*(c.take(twice) for c in batch.columns[5:]), *_table(out, _COLUMNS)], names=[*rest, *_COLUMNS])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), _DERIVED])
@@ -170,6 +182,21 @@ _HEADERS = {
 SOURCE = "Source-HTTP-"
 
 
+def _bytes_of(kind: str, values: tuple, headers: list[tuple[str, str]], block: bytes | None) -> bytes:
+    """The record of one derived row; ``values`` by the columns of _HEADERS."""
+    fields = [(h, v or "") for h, v in zip(_HEADERS.values(), values)]
+    return record(kind, fields + [(SOURCE + n, v or "") for n, v in headers], block or b"")
+
+
+def _rows_of(raw: bytes) -> Iterator[tuple]:
+    """The rows of the records in some bytes, in the order of _COLUMNS, and whether each block has the stated digest."""
+    for fields, block in read_records(raw):
+        got = dict(fields)
+        headers = [(k[len(SOURCE) :], v) for k, v in fields if k.startswith(SOURCE)]
+        stated = got.get("WARC-Block-Digest")
+        yield (got.get("WARC-Type"), *(got.get(h, "") for h in _HEADERS.values()), headers, stated, len(block), block, stated == digest(block))
+
+
 def as_records(derived: DataFrame) -> DataFrame:
     """Each derived record's bytes in ``raw``, ready to be written one after another; columns beside the record's stay."""
     need = ["warc_type", *_HEADERS, "source_headers", "block"]
@@ -178,17 +205,28 @@ def as_records(derived: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = []
-            for kind, *values, headers, block in zip(*(c.to_pylist() for c in batch.columns[: len(need)])):
-                fields = [(h, v or "") for h, v in zip(_HEADERS.values(), values)]
-                fields += [(SOURCE + h["name"], h["value"] or "") for h in headers or []]
-                raw.append(record(kind, fields, block or b""))
+            rows = zip(*(c.to_pylist() for c in batch.columns[: len(need)]))
+            raw = [_bytes_of(kind, values, [(h["name"], h["value"]) for h in headers or []], block) for kind, *values, headers, block in rows]
             yield pa.RecordBatch.from_arrays([*batch.columns[len(need) :], pa.array(raw, pa.binary())], names=[*rest, "raw"])
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "raw binary"])
     return derived.select(*need, *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
 
 
+def _read_back(rest: list[str]):
+    """(raw, rest) -> a row a record."""
+    names = [*_COLUMNS, "sound"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, row) for i, raw in enumerate(batch.column(0).to_pylist()) if raw is not None for row in _rows_of(raw)]
+            same = pa.array([i for i, _ in found], pa.int64())
+            cols = _table([r[:-1] for _, r in found], _COLUMNS)
+            yield pa.RecordBatch.from_arrays([*(c.take(same) for c in batch.columns[1:]), *cols, pa.array([r[-1] for _, r in found], pa.bool_())], names=[*rest, *names])
+
+    return run
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """One row a record of the bytes in ``raw`` (a record, a file or gzip members), with the columns that ``derive`` gives.
 
@@ -196,26 +234,31 @@ def parsed(files: DataFrame) -> DataFrame:
     states.  Null bytes give no rows; bytes that are no records are an error.
     """
     small_batches(files.sparkSession)
-    names = [*_COLUMNS, "sound"]
-    rest = [c for c in files.columns if c not in {*names, "raw"}]
+    rest = [c for c in files.columns if c not in {*_COLUMNS, "sound", "raw"}]
     kinds = {f.name: f.dataType.simpleString() for f in files.schema.fields}
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), _DERIVED, "sound boolean"])
+    return files.select("raw", *[F.col(f"`{c}`") for c in rest]).mapInArrow(_read_back(rest), schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def round_trip(responses: DataFrame) -> DataFrame:
+    """``parsed(as_records(derive(responses)))`` by one worker, not three in a row."""
+    small_batches(responses.sparkSession)
+    need = ["record_id", "target_uri", "warc_date", "block", "payload_digest"]
+    rest = [c for c in responses.columns if c not in {*need, *_COLUMNS, "sound", "raw"}]
+    kinds = {f.name: f.dataType.simpleString() for f in responses.schema.fields}
+    back = _read_back(rest)
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, raw in enumerate(batch.column(0).to_pylist()):
-                out = []
-                for fields, block in read_records(raw) if raw is not None else ():
-                    got = dict(fields)
-                    headers = [{"name": k[len(SOURCE) :], "value": v} for k, v in fields if k.startswith(SOURCE)]
-                    stated = got.get("WARC-Block-Digest")
-                    out.append((got.get("WARC-Type"), *(got.get(h, "") for h in _HEADERS.values()), headers, stated, len(block), block, stated == digest(block)))
-                if out:
-                    same = pa.array([i] * len(out), pa.int64())
-                    cols = _table([r[:-1] for r in out], _COLUMNS)
-                    yield pa.RecordBatch.from_arrays([*(c.take(same) for c in batch.columns[1:]), *cols, pa.array([r[-1] for r in out], pa.bool_())], names=[*rest, *names])
+            raw = [_bytes_of(r[0], r[1:8], r[8], r[11]) for one in zip(*(c.to_pylist() for c in batch.columns[:5])) for r in _derived(*one)]
+            twice = pa.array(np.repeat(np.arange(batch.num_rows), 2))
+            yield pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), *(c.take(twice) for c in batch.columns[5:])], names=["raw", *rest])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return back(written(batches))
 
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), _DERIVED, "sound boolean"])
-    return files.select("raw", *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
+    return responses.select(*need, *[F.col(f"`{c}`") for c in rest]).mapInArrow(run, schema)
 
 
 def write_warcs(derived: DataFrame, path: str) -> None:

@@ -226,6 +226,8 @@ def test_warc_edges(spark, tmp_path):
     assert len(back) == 8 and all(r.sound for r in back) and not any("Evil" in h.name for r in back for h in r.source_headers)
     assert {r.target_uri for r in back} == {"http://x/%0D%0AEvil: 1", "", "http://y/"}
     assert [[(h.name, h.value) for h in r.source_headers] for r in back if "x/" in r.target_uri][0] == [("status", "HTTP/1.1 404 Not"), ("X-A", "1"), ("x-a", "2")]
+    at_once = warc.round_trip(source.withColumnRenamed("raw", "n")).collect()
+    assert sorted(str(r) for r in at_once) == sorted(str(r) for r in warc.parsed(warc.as_records(made.withColumnRenamed("raw", "n"))).collect())
     path = f"file://{tmp_path}/warcs"
     warc.write_warcs(made.repartition(3), path)
     warc.write_warcs(made.repartition(3), path)
