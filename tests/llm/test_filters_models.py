@@ -328,3 +328,49 @@ def test_mixing(spark):
     assert all(max(map(abs, r.residuals)) < 1e-3 for r in held)
     assert {r.rate for r in mixing.mix_rates(docs, labelled.limit(0)).collect()} == {1.0}
     assert mixing.mix_rates(docs.limit(0), labelled).count() == 0
+
+
+def test_mixing_query_matches_plain_code(spark, tmp_path):
+    """op1 against naive Bayes by plain loops, and its rates against the targets' least squares."""
+    rnd = random.Random(12)
+    vocab = {"en": ["the", "house", "river", "stone"], "de": ["das", "haus", "fluss", "stein"], "fr": ["la", "maison", "eau", "pierre"]}
+    rows = []
+    for i in range(90):
+        lang = ["en", "de", "fr"][i % 3]
+        words = [rnd.choice(vocab[lang] if rnd.random() < 0.8 else vocab["en"] + ["new", "word"]) for _ in range(rnd.randrange(1, 40))]
+        rows.append((i, "  ".join(words).title(), lang))
+    rows += [(200, None, "en"), (201, " ", None), (202, "unheard words only", None)]
+    quality = {i: i % 2 for i in range(0, 90, 1) if i % 5}
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, q) for i, q in quality.items()], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.doc_id: r for r in queries.op1_mixing(spark, str(tmp_path)).collect()}
+    assert set(got) == {r[0] for r in rows}
+    split = lambda t: [w for w in regex.split(r"[ \t\n\x0B\f\r]+", (t or "").lower()) if w]
+    named = {i: f"{lang}-{'good' if quality[i] else 'poor'}" for i, _, lang in rows if i in quality}
+    domains = sorted(set(named.values()))
+    size = {d: sum(x == d for x in named.values()) for d in domains}
+    held = {d: Counter(w for i, t, _ in rows if named.get(i) == d for w in set(split(t))) for d in domains}
+    seen = sum(held.values(), Counter())
+    total = len(named)
+    logs = {w: [np.log((held[d][w] + 0.5) / (size[d] + 1)) - np.log((seen[w] + 0.5) / (total + 1)) for d in domains] for w in seen if seen[w] >= 5}
+    p, tokens = [], []
+    for i, t, _ in rows:
+        known = [logs[w] for w in split(t) if w in logs]
+        z = np.array([np.log(size[d] / total) for d in domains]) + (np.sum(known, axis=0) * min(len(known), 30) / len(known) if known else 0)
+        p.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+        tokens.append(len(split(t)))
+        assert got[i].tokens == tokens[-1] and list(got[i].domains) == domains and np.allclose(got[i].p, p[-1], atol=1e-9), i
+    a = (np.array(p) * np.array(tokens, float)[:, None]).T
+    target = np.full(len(domains), sum(tokens) / len(domains))
+    rate = np.array([got[r[0]].rate for r in rows])
+    best = np.linalg.norm(a @ _nonnegative_least_squares(a, target) - target)
+    assert (rate >= 0).all() and np.linalg.norm(a @ rate - target) <= 1.01 * best + 1e-3 * target.sum()
+    assert all(abs(got[i].copies - got[i].rate) <= 1 for i in got)
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert url_filter.filter_urls(none, queries.URL_RULES).count() == 0
+    docs = spark.createDataFrame([], "doc_id long, text string, score int")
+    assert toxicity.score_documents(docs, toxicity.fit([], [])).columns == ["doc_id", "text", "score", "predicted"]
+    assert toxicity.score_documents(docs, toxicity.fit([], [])).count() == 0
