@@ -31,6 +31,9 @@ ARROW_BYTES = 16 << 20
 #: Where the package lies; of no effect on machines that have it elsewhere on their path.
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
+#: Written tables after which the driver collects its garbage.
+_COLLECT_EVERY = 6
+
 _SPREAD = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
 
 _written: list[tuple[SparkSession, str]] = []
@@ -74,6 +77,9 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
         else:
             spark.conf.set(_SPREAD, before)
     _written.append((spark, path))
+    if len(_written) % _COLLECT_EVERY == 0:
+        # shuffle files of finished steps go when the driver's garbage does, which else may take half an hour
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
