@@ -95,7 +95,7 @@ def test_idf(one):
 @pytest.mark.parametrize(
     ("raw", "code"),
     [
-        ("Что говорит книга об исходе", "ru"), ("מה אומר הספר על יציאת מצרים", "he"), ("что такое BEMA сегодня у нас", "ru"),
+        ("Что говорит книга об исходе", "ru"), ("מה אומר הספר על יציאת מצרים", "he"), ("что такое SPARK сегодня у нас", "ru"),
         ("¿Qué dice el libro sobre el éxodo?", "es"), ("Que dit le livre sur les pauvres dans la ville", "fr"),
         ("Was sagt das Buch über die Stadt und wie", "de"), ("Jerusalem", "en"), ("什么是耶稣的名字在这里的意思是什么呢朋友们你好", "zh"),
     ],
