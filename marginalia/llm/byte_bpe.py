@@ -25,10 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from ..runtime import lean, small_batches
+from ..runtime import lean, small_batches, trim
 
 #: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
+
+#: Texts that are cut into pieces at once.
+_TEXTS = 128
 
 
 def byte_characters() -> list[str]:
@@ -69,6 +72,8 @@ class Codec:
         self.decimal = [str(i) for i in range(len(self.bytes))]
         self.split = regex.compile(pattern).findall
         self.known: dict[str, tuple[int, ...]] = {}
+        del shown, merges
+        trim()  # what the model was made from
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Token ids of every text, without special tokens."""
@@ -112,7 +117,7 @@ def codec(path: str, pattern: str) -> Codec:
 def _rows(path: str | Callable[[], str], pattern: str, want: tuple[str, ...], extra: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path() if callable(path) else path, pattern)
-        for batch in batches:
+        for batch in (whole.slice(i, _TEXTS) for whole in batches for i in range(0, whole.num_rows, _TEXTS)):
             texts = [t or "" for t in batch.column(0).to_pylist()]
             coded = coder.encode(texts)
             cols: list[pa.Array] = []
