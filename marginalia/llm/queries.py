@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import shared_dir, swept
-from . import byte_bpe, gif_media, imatch, mixing, ngram_join, suffix_dedup, token_order, toxicity, url_filter, warc
+from . import byte_bpe, gif_media, imatch, mixing, ngram_join, quality, spelling, suffix_dedup, token_order, toxicity, url_filter, warc
 
 #: Rules of the URL query: (verdict, host, path).
 URL_RULES = [
@@ -104,12 +104,23 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_classes(_documents(spark, sf_dir), 3, 90, 100).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out)
+    return quality.score_documents(docs, labels).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variant_groups(spelling.vocabulary(_documents(spark, sf_dir), every=31))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_mixing, op2_byte_bpe, op3_gif_media, op4_suffix_dedup, op5_warc, op6_url_trie, op7_toxicity,
-            op8_token_order, op9_imatch, op10_ngram_join,
+            op8_token_order, op9_imatch, op10_ngram_join, op11_quality, op13_spelling,
         )
     }
 
