@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import shared_dir, swept
-from . import byte_bpe, gif_media, imatch, mixing, ngram_join, quality, spelling, suffix_dedup, token_order, toxicity, url_filter, warc
+from . import byte_bpe, conversation, gif_media, imatch, mixing, ngram_join, quality, spelling, suffix_dedup, token_order, toxicity, url_filter, warc
 
 #: Rules of the URL query: (verdict, host, path).
 URL_RULES = [
@@ -111,6 +111,18 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, labels).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op12_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    damaged = conversation.damaged(rows)
+    summary, lines = conversation.repair(damaged)
+    out = rows.select("conv_id").distinct()
+    for more in (conversation.gaps(damaged), summary, conversation.line_digests(lines)):
+        named = more.withColumnRenamed("conv_id", "c")
+        out = out.join(named, F.col("conv_id").eqNullSafe(F.col("c")), "left").drop("c")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variant_groups(spelling.vocabulary(_documents(spark, sf_dir), every=31))
 
@@ -120,7 +132,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         f.__name__: f
         for f in (
             op1_mixing, op2_byte_bpe, op3_gif_media, op4_suffix_dedup, op5_warc, op6_url_trie, op7_toxicity,
-            op8_token_order, op9_imatch, op10_ngram_join, op11_quality, op13_spelling,
+            op8_token_order, op9_imatch, op10_ngram_join, op11_quality, op12_conversation, op13_spelling,
         )
     }
 
