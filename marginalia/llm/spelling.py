@@ -1,18 +1,20 @@
 """Spelling variants: words one edit apart, found in a positional q-gram index under a count filter.
 
 Two words of lengths m <= n that differ by one inserted, deleted or replaced code point share
-at least n - 5 of their 3-grams, at places that differ by one at most.  So, with the 3-grams of all words in
-one order, rare ones first:
-
-1. a word is dealt to the buckets of its first four 3-grams (repeats are numbered); words that
-   are near share one of these buckets.  Buckets of more than ``BUCKET`` words are dealt
-   once more, by pairs of 3-grams out of the first five; near words share two of those;
-2. in a bucket, words in order of length look up their 3-grams in an inverted index of the
-   words before them, by place and within the length limit.  The four shortest posting
-   lists are merged on a heap; what they hold is looked up in the longer lists until the
-   bound is met or out of reach;
-3. what meets the bound is compared code point by code point, and a pair counts in the bucket
-   of its first common 3-grams only.
+at least n - 5 of their 3-grams, at places that differ by one at most.
+
+1. One edit lies in one third of the longer word, so near words share all grams of the other
+   two.  A word is dealt to six buckets: by what each third leaves, once for its own
+   length and once for a partner longer by one.
+2. In a bucket, words of length n look up their 3-grams in an inverted index of the words
+   before them, under limits of place and length.  The shortest posting lists, of which one must
+   hold whatever meets the bound, are merged on a heap; what they hold is looked up in the
+   longer ones until the bound is met or out of reach.
+3. What meets the bound is compared code point by code point.  Words that share more than one
+   such part would meet again; a pair counts where the later third is left out.
+
+No bucket is split further: its words differ in one third of few code points, and
+the index, not the number of its pairs, decides what a frequent ending costs.
 """
 
 from __future__ import annotations
@@ -23,29 +25,15 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import groupby
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import checked_broadcast, lean, materialise, parallelism, small_batches
-from .textvec import mix
-
-_U = np.uint64
+from ..runtime import lean, materialise, parallelism, small_batches
 
 #: Code points of a gram; words shorter than 7 would share too few of them for the filter.
 Q, SHORTEST = 3, 7
 
-#: Slots of the table that orders grams; grams that share one only add candidates.
-SLOTS = 1 << 20
-
-#: Words of a bucket beyond which it is dealt by two grams.
-BUCKET = 200
-
-#: A repeated gram's number fits these bits of a token.
-_TIMES = 12
-
 #: Runs that are words, from SHORTEST code points on.
 _RUNS = r"[A-Za-zÀ-ÿ]{%d,}" % SHORTEST
 
@@ -67,60 +55,6 @@ def vocabulary(docs: DataFrame, every: int | None = None, least: int = 2) -> Dat
     return rows.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def _grams(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Slot of every gram of every word, concatenated, and n+1 offsets."""
-    size = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-    points = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32).astype(_U)
-    many = np.maximum(size - Q + 1, 0)
-    off = np.concatenate([[0], np.cumsum(many)])
-    first = np.concatenate([[0], np.cumsum(size)])[:-1]
-    at = np.repeat(first - off[:-1], many) + np.arange(off[-1])
-    return (mix(points[at] << _U(42) | points[at + 1] << _U(21) | points[at + 2]) & _U(SLOTS - 1)).astype(np.int64), off
-
-
-def _order(words: DataFrame) -> np.ndarray:
-    """The rank of every slot: by how many grams of the vocabulary fall into it, rare first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        with np.errstate(over="ignore"):
-            for batch in batches:
-                total += np.bincount(_grams(batch.column(0))[0], minlength=SLOTS)
-        slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
-
-    found = words.select("word").mapInArrow(lean(run), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(SLOTS, np.int64)
-    total[found.column("slot").to_numpy()] = found.column("n").to_numpy()
-    rank = np.empty(SLOTS, np.int32)
-    rank[np.lexsort((np.arange(SLOTS), total))] = np.arange(SLOTS, dtype=np.int32)
-    return rank
-
-
-def _signed(words: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(word, n, sig): ``sig`` holds the word's first Q + 2 tokens, a token being a gram's rank and its number in the word."""
-    held = words.sparkSession.sparkContext.broadcast(rank)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            with np.errstate(over="ignore"):
-                slot, off = _grams(batch.column(0))
-            ranks = held.value[slot].astype(np.int64)
-            owner = np.repeat(np.arange(len(off) - 1), np.diff(off))
-            by = np.lexsort((ranks, owner))
-            ranks = ranks[by]
-            new = np.ones(len(ranks), bool)
-            new[1:] = (ranks[1:] != ranks[:-1]) | (owner[1:] != owner[:-1])
-            nth = np.arange(len(ranks)) - np.maximum.accumulate(np.where(new, np.arange(len(ranks)), 0))
-            token = ranks << _TIMES | np.minimum(nth, (1 << _TIMES) - 1)
-            keep = np.arange(len(token)) - np.repeat(off[:-1], np.diff(off)) < Q + 2
-            cut = np.concatenate([[0], np.cumsum(np.minimum(np.diff(off), Q + 2))])
-            sig = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(token[keep]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sig], names=["word", "n", "sig"])
-
-    return words.select("word", "n").mapInArrow(lean(run), "word string, n long, sig array<long>")
-
-
 def one_edit(a: str, b: str) -> bool:
     """Do the words differ by exactly one inserted, deleted or replaced code point?"""
     if len(a) > len(b):
@@ -139,74 +73,80 @@ def merged(lists: list[list[int]]) -> Iterator[tuple[int, int]]:
         yield member, sum(1 for _ in run)
 
 
-def near_in_bucket(words: list[str]) -> Iterator[tuple[int, int]]:
-    """Positions of all pairs one edit apart, in a list of distinct words ordered by length.
+def near_in_bucket(words: list[str], size: int) -> Iterator[tuple[int, int]]:
+    """Positions of the pairs one edit apart whose longer word has ``size`` code points, in a list ordered by length.
 
-    Two indexes hold the words so far that are as long as the present one, and one shorter: in the
+    Two indexes hold the words so far of ``size`` and of ``size`` - 1 code points: in the
     first a shared gram has the same place, in the second the same or the one before.
     """
     same: dict[tuple[str, int], list[int]] = {}
     shorter: dict[tuple[str, int], list[int]] = {}
-    size = -1
+    bound = size - 2 * Q + 1
     for i, word in enumerate(words):
-        if len(word) != size:
-            shorter = same if len(word) == size + 1 else {}
-            same, size = {}, len(word)
-        bound = size - 2 * Q + 1
-        grams = [(word[at : at + Q], at) for at in range(size - Q + 1)]
-        found = [p for g in grams if (p := same.get(g))] if same else []
-        if shorter:
-            found += [p for gram, at in grams for place in (at, at - 1) if (p := shorter.get((gram, place)))]
-        # what shares ``bound`` grams is in ``bound`` of these lists, so in one of the shortest of them
-        if len(found) >= bound:
-            found.sort(key=len)
-            few = len(found) - bound + 1
-            for member, many in merged(found[:few]):
-                left = bound - 1
-                for longer in found[few:]:
-                    if many >= bound or many + left < bound:
-                        break
-                    at = bisect_left(longer, member)
-                    many += at < len(longer) and longer[at] == member
-                    left -= 1
-                if many >= bound and one_edit(words[member], word):
-                    yield member, i
+        grams = [(word[at : at + Q], at) for at in range(len(word) - Q + 1)]
+        into = shorter
+        if len(word) == size:
+            into = same
+            found = [p for g in grams if (p := same.get(g))]
+            if shorter:
+                found += [p for gram, at in grams for place in (at, at - 1) if (p := shorter.get((gram, place)))]
+            # what shares ``bound`` grams is in ``bound`` of these lists, so in one of the shortest of them
+            if len(found) >= bound:
+                found.sort(key=len)
+                few = len(found) - bound + 1
+                for member, many in merged(found[:few]):
+                    left = bound - 1
+                    for longer in found[few:]:
+                        if many >= bound or many + left < bound:
+                            break
+                        at = bisect_left(longer, member)
+                        many += at < len(longer) and longer[at] == member
+                        left -= 1
+                    if many >= bound and one_edit(words[member], word):
+                        yield member, i
         for g in grams:
-            held = same.get(g)
+            held = into.get(g)
             if held is None:
-                same[g] = [i]
+                into[g] = [i]
             else:
                 held.append(i)
 
 
-def _meet(depth: int):
-    """Rows (key, word, n, sig) ordered by key, length and word -> pairs of near words, bucket by bucket."""
-
-    def pairs(key, rows: list[tuple]) -> Iterator[tuple]:
-        path = list(key)
-        for i, j in near_in_bucket([r[0] for r in rows]):
-            a, b = rows[i], rows[j]
-            other = set(b[2][: Q + depth])
-            if [t for t in a[2][: Q + depth] if t in other][:depth] == path:
-                yield a[0], a[1], b[0], b[1]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
-        for batch in batches:
-            for k, word, n, sig in zip(*(c.to_pylist() for c in batch.columns[:4])):
-                if k != key:
-                    if len(rows) > 1:
-                        out += pairs(key, rows)
-                    key, rows = k, []
-                rows.append((word, n, sig))
-            if len(out) >= 4096:
-                yield _batch(out)
-                out = []
-        if len(rows) > 1:
-            out += pairs(key, rows)
-        yield _batch(out)
-
-    return run
+def _thirds(size: int) -> tuple[int, int]:
+    return size // 3, size - size // 3
+
+
+def _met(key: str, rows: list[tuple[str, int]]) -> Iterator[tuple]:
+    """The pairs of one bucket; ``key`` is the length of the longer word, the third that is left out, and the rest."""
+    rows.sort(key=lambda r: (len(r[0]), r[0]))
+    size = len(rows[-1][0])
+    if not key.startswith(f"{size}"):  # no word here is the longer one
+        return
+    third = key[len(f"{size}")]
+    one, two = _thirds(size)
+    for i, j in near_in_bucket([r[0] for r in rows], size):
+        a, b = rows[i][0], rows[j][0]
+        before = third != "c" and a[:two] == b[:two] or third == "a" and a[:one] == b[:one] and a[two - size :] == b[two - size :]
+        if not before:
+            yield *rows[i], *rows[j]
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, word, n) ordered by key -> pairs of near words, bucket by bucket."""
+    key, rows, out = None, [], []
+    for batch in batches:
+        for k, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+            if k != key:
+                if len(rows) > 1:
+                    out += _met(key, rows)
+                key, rows = k, []
+            rows.append((word, n))
+        if len(out) >= 4096:
+            yield _batch(out)
+            out = []
+    if len(rows) > 1:
+        out += _met(key, rows)
+    yield _batch(out)
 
 
 _PAIRS = "a string, a_n long, b string, b_n long"
@@ -217,29 +157,23 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["a", "a_n", "b", "b_n"])
 
 
-def near_pairs(words: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(a, a_n, b, b_n): every pair of near words once, of ``words`` (word, n; a written table, distinct words).
+def near_pairs(words: DataFrame) -> DataFrame:
+    """(a, a_n, b, b_n): every pair of near words once, of ``words`` (word, n; distinct words).
 
     Words of fewer than SHORTEST code points are an error: the filter would not be exact.
     """
     small_batches(words.sparkSession)
-    spark = words.sparkSession
     if not words.where(F.length("word") < SHORTEST).isEmpty():
         raise ValueError(f"words have at least {SHORTEST} code points")
-    signed = materialise(_signed(words, _order(words)), "spelling-signed")
-    keyed = signed.select(F.explode(F.slice("sig", 1, Q + 1)).alias("t"), "word", "n", "sig")
-    hot = materialise(keyed.groupBy("t").agg(F.count("*").alias("many")).where(F.col("many") > bucket).select("t"), "spelling-hot")
-    few = checked_broadcast(hot)
-    plain = keyed.join(few, "t", "left_anti").select(F.array("t").alias("key"), "word", "n", "sig")
-    # the second gram comes later in the order than the first
-    second = keyed.join(few, "t", "left_semi").withColumn("u", F.explode(F.filter("sig", lambda x: x > F.col("t"))))
-    double = second.select(F.array("t", "u").alias("key"), "word", "n", "sig")
 
-    def met(rows: DataFrame, depth: int) -> DataFrame:
-        dealt = rows.repartition(parallelism(spark), "key").sortWithinPartitions("key", F.length("word"), "word")
-        return dealt.mapInArrow(lean(_meet(depth)), _PAIRS)
+    def keys(size: str) -> str:
+        one, two = f"({size}) div 3", f"{size} - ({size}) div 3"
+        rests = {"c": f"left(word, {two})", "b": f"left(word, {one}), '-', right(word, {one})", "a": f"right(word, {two})"}
+        return ", ".join(f"concat({size}, '{third}', {rest})" for third, rest in rests.items())
 
-    return met(plain, 1).unionByName(met(double, 2))
+    keys = F.expr(f"array({keys('length(word)')}, {keys('length(word) + 1')})")
+    dealt = words.select(F.explode(keys).alias("key"), "word", "n").repartition(parallelism(words.sparkSession), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(lean(_meet), _PAIRS)
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -256,7 +190,7 @@ def roots(forms: DataFrame) -> DataFrame:
         found = step.drop("moved")
 
 
-def variant_groups(words: DataFrame, ratio: int = 10, bucket: int = BUCKET) -> DataFrame:
+def variant_groups(words: DataFrame, ratio: int = 10) -> DataFrame:
     """``words`` (word, n) with form, root, n_near and form_n.
 
     n_near counts the near words; the form is the near word of largest n, the first in
@@ -268,7 +202,7 @@ def variant_groups(words: DataFrame, ratio: int = 10, bucket: int = BUCKET) -> D
     if ratio < 2:
         raise ValueError("ratio is at least 2")
     words = materialise(words.groupBy("word").agg(F.sum("n").alias("n")), "spelling-words")
-    met = near_pairs(words, bucket)
+    met = near_pairs(words)
     # each pair serves both of its words: one pass over the pairs
     sides = met.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("n")), F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("n")))).alias("s")).select("s.*")
     best = sides.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("less"), F.col("near"))).alias("best"))

@@ -126,9 +126,9 @@ def test_one_edit_against_all_edits():
         assert spelling.one_edit(a, b) == (b in edits and a != b)
 
 
-@pytest.mark.parametrize("bucket", [1, 8, 200])
-def test_variants_against_brute_force(spark, bucket):
-    rnd = random.Random(bucket)
+@pytest.mark.parametrize("seed", [1, 8])
+def test_variants_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
     words = {}
     for _ in range(60):
         word = "".join(rnd.choice("aabeté") for _ in range(rnd.randint(7, 12)))
@@ -138,7 +138,7 @@ def test_variants_against_brute_force(spark, bucket):
             word = max(word[:at] + rnd.choice("abetéx") + word[at + rnd.randint(0, 1) :], word, key=len) if rnd.random() < 0.7 or len(word) < 8 else word[:at] + word[at + 1 :]
     words["a" * 400], words["a" * 401] = 2, 50
     table = spark.createDataFrame(list(words.items()), "word string, n long")
-    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.variant_groups(table, bucket=bucket).collect()}
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in spelling.variant_groups(table).collect()}
     assert got == variants(words)
     assert sum(v[3] for v in got.values()) > 100 and sum(v[1] != v[0] and v[0] is not None for v in got.values()) > 0
 
