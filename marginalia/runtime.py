@@ -127,6 +127,20 @@ def lean(rows):
     return run
 
 
+def plain_names(df: DataFrame, *keep: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with every column but those to ``keep`` under a plain name of its own, and what they were called.
+
+    Functions over Arrow batches take names apart at dots and backquotes.
+    """
+    named = {f"own_{i}": c for i, c in enumerate(df.columns) if c not in keep}
+    back = {c: n for n, c in named.items()}
+    return df.toDF(*[back.get(c, c) for c in df.columns]), named
+
+
+def own_names(df: DataFrame, named: dict[str, str]) -> DataFrame:
+    return df.toDF(*[named.get(c, c) for c in df.columns])
+
+
 def parallelism(spark: SparkSession) -> int:
     """The number of partitions for an explicit deal by key."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
