@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from ..runtime import lean, small_batches, trim
+from ..runtime import lean, own_names, plain_names, small_batches, trim
 
 #: Distinct pieces that a worker remembers before it starts anew.
 REMEMBERED = 100_000
@@ -165,10 +165,11 @@ def encode_documents(
     The work is a narrow map: no shuffle, one Arrow batch in memory.
     """
     small_batches(docs.sparkSession)
-    rest = [c for c in docs.columns if c != "text" and c not in want]
+    docs, named = plain_names(docs.drop(*want), "text")
+    rest = [c for c in docs.columns if c != "text"]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), *(f"{w} {_KINDS[w]}" for w in want)])
-    return docs.select(F.col("text"), *rest).mapInArrow(lean(_rows(path, pattern, want, len(rest))), schema)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in rest), *(f"{w} {_KINDS[w]}" for w in want)])
+    return own_names(docs.select(F.col("text"), *rest).mapInArrow(lean(_rows(path, pattern, want, len(rest))), schema), named)
 
 
 def decode_documents(coded: DataFrame, path: str | Callable[[], str], pattern: str) -> DataFrame:
@@ -176,7 +177,8 @@ def decode_documents(coded: DataFrame, path: str | Callable[[], str], pattern: s
 
     An id outside the vocabulary is an error.  A column named ``decoded`` is replaced.
     """
-    rest = [c for c in coded.columns if c not in ("ids", "decoded")]
+    coded, named = plain_names(coded.drop("decoded"), "ids")
+    rest = [c for c in coded.columns if c != "ids"]
     kinds = {f.name: f.dataType.simpleString() for f in coded.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,5 +187,5 @@ def decode_documents(coded: DataFrame, path: str | Callable[[], str], pattern: s
             out = [None if x is None else coder.decode(x) for x in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    schema = ", ".join(["ids array<int>", *(f"`{c}` {kinds[c]}" for c in rest), "decoded binary"])
-    return coded.select(F.col("ids").cast("array<int>"), *rest).mapInArrow(lean(run), schema)
+    schema = ", ".join(["ids array<int>", *(f"{c} {kinds[c]}" for c in rest), "decoded binary"])
+    return own_names(coded.select(F.col("ids").cast("array<int>"), *rest).mapInArrow(lean(run), schema), named)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import small_batches
+from ..runtime import own_names, plain_names, small_batches
 
 #: Samples in a row of the payload pictures, and rows of one frame.
 WIDTH, ROWS = 64, 512
@@ -302,7 +302,8 @@ def frames_of(media: DataFrame) -> DataFrame:
     """
     small_batches(media.sparkSession)
     added = ["frame", "start", "delay", "disposal", "width", "height", "samples", "colours"]
-    rest = [c for c in media.columns if c != "media" and c not in added]
+    media, named = plain_names(media.drop(*added), "media")
+    rest = [c for c in media.columns if c != "media"]
     kinds = {f.name: f.dataType.simpleString() for f in media.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,8 +325,8 @@ def frames_of(media: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays([*(c.take(same) for c in batch.columns[1:]), *cols], names=[*rest, *added])
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), _FRAMES])
-    return media.select("media", *rest).mapInArrow(run, schema)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in rest), _FRAMES])
+    return own_names(media.select("media", *rest).mapInArrow(run, schema), named)
 
 
 def store_texts(docs: DataFrame) -> DataFrame:

@@ -90,7 +90,7 @@ def posteriors(docs: DataFrame, domains: list[str], priors: list[float], model:
     a few dozen of them, so long documents keep soft memberships.
     """
     k = len(domains)
-    rows = docs.select(F.col("doc_id"), F.hash("text").alias("text_hash"), F.expr(_words("coalesce(text, '')")).alias("words"))
+    rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.expr(_words("coalesce(text, '')")).alias("words"))
     each = rows.select("doc_id", "text_hash", F.explode(F.filter("words", lambda w: w != "")).alias("word"))
     # the vocabulary has a stated size
     found = each.join(F.broadcast(model), "word", "left").groupBy("doc_id", "text_hash").agg(
@@ -255,7 +255,7 @@ def mix_rates(
         shares = {d: 1.0 if weights is None or not domains else float(weights.get(d, 0.0)) for d in names}
         wanted = {d: (budget or sum(have.values())) * s / (sum(shares.values()) or 1.0) for d, s in shares.items()}
     rated, missed = fit_rates(member, [float(wanted.get(d, 0.0)) for d in names], rounds, most=most, least=least)
-    empty = docs.where("NOT coalesce(text, '') rlike '[^ \\t\\n\\x0B\\f\\r]'").select("doc_id", F.hash("text").alias("text_hash")).distinct()
+    empty = docs.where("NOT coalesce(text, '') rlike '[^ \\t\\n\\x0B\\f\\r]'").select("doc_id", F.xxhash64("text").alias("text_hash")).distinct()
     total = sum(math.exp(x) for x in priors) or 1.0
     prior = F.array(*[F.lit(math.exp(x) / total) for x in priors] or [F.lit(1.0)])
     rest = empty.select("doc_id", "text_hash", F.lit(0).cast("long").alias("tokens"), prior.alias("p"), F.lit(1.0).alias("rate"))
@@ -274,5 +274,5 @@ def mixed(docs: DataFrame, rates: DataFrame) -> DataFrame:
     """
     held = rates.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "copies").where("copies > 0")
     body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    joined = body.join(held, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.hash("row.text") == F.col("t")))
+    joined = body.join(held, F.col("row.doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("row.text") == F.col("t")))
     return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

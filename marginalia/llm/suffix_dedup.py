@@ -81,7 +81,7 @@ def anchors(data: np.ndarray, off: np.ndarray, size: int, k: int) -> tuple[np.nd
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
-_ANCHORS = "doc_id long, text_hash int, anchor long, context long, start int, windows int, at int"
+_ANCHORS = "doc_id long, text_hash long, anchor long, context long, start int, windows int, at int"
 
 
 def _anchor_rows(size: int, k: int):
@@ -226,7 +226,7 @@ def repeated_windows(contexts: list[bytes], at: list[int], group: list[int], siz
     return far, near
 
 
-_FOUND = "doc_id long, text_hash int, start int, end int"
+_FOUND = "doc_id long, text_hash long, start int, end int"
 
 
 def _sort_rows(size: int):
@@ -240,7 +240,7 @@ def _sort_rows(size: int):
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([rows[i][0] for i in hit], pa.int64()),
-                pa.array([rows[i][1] for i in hit], pa.int32()),
+                pa.array([rows[i][1] for i in hit], pa.int64()),
                 pa.array([rows[i][3] + rows[i][4] - int(far[i]) for i in hit], pa.int32()),
                 pa.array([rows[i][3] + rows[i][4] - int(near[i]) + size for i in hit], pa.int32()),
             ],
@@ -351,7 +351,7 @@ def repeated_spans(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROW
 
 def _keyed(docs: DataFrame, *rest: str) -> DataFrame:
     """The texts with the key that joins go by; made alike everywhere, so that Spark deals them out once."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.hash("text").alias("text_hash"), F.col("text").alias("body"), *rest)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("body"), *rest)
 
 
 def _same() -> Column:

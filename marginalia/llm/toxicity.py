@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import lean, materialise, small_batches, trim
+from ..runtime import lean, materialise, own_names, plain_names, small_batches, trim
 from .textvec import ALNUM, PrefixHash, blocks, flat, mix, words
 
 _U = np.uint64
@@ -302,7 +302,8 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
     """
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c not in ("score", "predicted")]
+    docs, named = plain_names(docs.drop("score", "predicted"), "text")
+    rest = docs.columns
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     at = rest.index("text")
 
@@ -313,5 +314,5 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = 0.7) -> Da
                 cols = [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*rest, "score", "predicted"])
 
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in rest), "score double, predicted int"])
-    return docs.select(*rest).mapInArrow(lean(run), schema)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in rest), "score double, predicted int"])
+    return own_names(docs.mapInArrow(lean(run), schema), named)
