@@ -15,16 +15,23 @@ from pyspark.sql import functions as F
 from .functions import translation
 from .functions.text import citation_label, hash_embedding, timestamp_url, tokens_of
 from .operators import entities as entity_ops
-from .operators import filters, ingest, maintenance, retrieval, summary
+from .operators import filters, fusion, ingest, maintenance, retrieval, summary
+from .operators.blockindex import BlockIndex
 from .store import Store
 
 
 class KnowledgeEngine:
-    """Sources, chunks, vectors, jobs and entities of one tenant, and search over them."""
+    """Sources, chunks, vectors, jobs and entities of one tenant, and search over them.
 
-    def __init__(self, spark: SparkSession, root: str, tenant: str = "local", translator: translation.Translator | None = None) -> None:
+    Tables hold what was added; searches read the index beside them.  The tables are written first: what a
+    lost driver leaves out of the index, ``sync_index`` brings in.  ``ttl`` is how many seconds a search may lag behind
+    other writers.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, tenant: str = "local", translator: translation.Translator | None = None, ttl: float = 0.0) -> None:
         self.spark, self.tenant = spark, tenant
         self.store = Store(spark, root)
+        self.index = BlockIndex(spark, f"{root.rstrip('/')}/index", ttl)
         self.translator = translator or translation.translator("noop")
 
     def ping(self) -> dict:
@@ -59,6 +66,7 @@ class KnowledgeEngine:
         if new:
             now = {k: made[k].withColumn("created_at", F.current_timestamp()) for k in ("sources", "embeddings", "jobs")}
             self.store.commit({"sources": now["sources"], "chunks": made["chunks"], "embeddings": now["embeddings"], "jobs": now["jobs"], **(extra or {})})
+            self.index.append(self._indexed([row.source_id]))
         return {"source_id": row.source_id, "job_id": job.job_id, "status": "added" if new else "present"}
 
     def add_text_source(self, title: str, text: str, collection_id: str | None = None) -> dict:
@@ -98,6 +106,23 @@ class KnowledgeEngine:
         attached = entity_ops.attach(held, links).withColumnRenamed("doc_id", "source_id").withColumn("tenant_id", F.lit(self.tenant))
         return {"entities": new, "aliases": aliases.withColumn("tenant_id", F.lit(self.tenant)), "source_entities": attached} if rows else {}
 
+    def _indexed(self, source_ids: list[str] | None = None) -> DataFrame:
+        """Chunks as the index takes them, of some sources or of all tenants' sources."""
+        sources, chunks = self.store.table("sources"), self.store.table("chunks").select("source_id", "chunk_id", "text")
+        if source_ids is not None:
+            sources, chunks = sources.where(F.col("source_id").isin(*source_ids)), chunks.where(F.col("source_id").isin(*source_ids))
+        linked = self.store.table("source_entities").groupBy("source_id").agg(F.collect_set("slug").alias("entities"))
+        sources = sources.select("source_id", "title", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.col("tenant_id").alias("tenant"), "language", "tree").join(linked, "source_id", "left")
+        vectors = self.store.table("embeddings").where(F.col("model") == ingest.HASH_MODEL).select("chunk_id", "vector")
+        return chunks.join(sources, "source_id").join(vectors, "chunk_id", "left").withColumnRenamed("chunk_id", "doc_id")
+
+    def sync_index(self) -> dict:
+        """Bring the index to what the tables hold; how many chunks were added and taken out."""
+        self.index.refresh(force=True)
+        held, wanted = self.index.holds(), self._indexed()
+        removed = self.index.delete(held.join(wanted.select("doc_id"), "doc_id", "left_anti")) if self.index.state["segments"] else 0
+        return {"removed": removed, "added": self.index.append(wanted.join(held.withColumn("doc_id", F.col("doc_id").cast("string")), "doc_id", "left_anti"))}
+
     def set_source_preference(self, source_id: str, weight: float, label: str | None = None) -> dict:
         if not weight > 0:
             raise ValueError("a weight is positive")
@@ -108,6 +133,7 @@ class KnowledgeEngine:
         if label is not None:
             rows = rows.withColumn("preference", F.when(hit, F.lit(label)).otherwise(F.col("preference")))
         self.store.commit(replaced={"sources": rows})
+        self.index.replace(self._indexed([source_id]))
         return {"source_id": source_id, "weight": float(weight), "preference": label}
 
     def delete_source(self, source_id: str) -> bool:
@@ -115,6 +141,7 @@ class KnowledgeEngine:
         if self._source(source_id) is None:
             return False
         gone = self.spark.createDataFrame([(source_id,)], "source_id string")
+        self.index.delete(self._table("chunks").where(F.col("source_id") == source_id).select(F.col("chunk_id").alias("doc_id")))
         names = ["embeddings", "source_entities", "chunks", "jobs", "sources"]
         self.store.commit(replaced=maintenance.delete_sources({n: self.store.table(n) for n in names}, gone, "source_id"))
         return True
@@ -156,21 +183,29 @@ class KnowledgeEngine:
         if query_translated is None and translation.fallback(query, found, self.translator) not in (None, query):
             query_translated = translation.fallback(query, found, self.translator)
         texts = [query] + ([query_translated] if query_translated and query_translated.casefold() != query.casefold() else [])
-        chunks = self._chunks()
-        links = self._table("chunks").select(F.col("chunk_id").alias("doc_id"), "source_id").join(self._table("source_entities").select("source_id", "slug"), "source_id")
-        slugs = None
+        if mode not in retrieval.MODES:
+            raise ValueError(f"mode is one of {', '.join(retrieval.MODES)}")
+        kept: dict[str, list] = {"tenant": [self.tenant]}
+        if decision.language is not None:
+            kept["language"] = [decision.language, *([None] if decision.undetermined else [])]
+        if source_tree_slug is not None:
+            kept["tree"] = [source_tree_slug]
         if entity_slugs:
             # entities by slug, with their type if it is named; unknown ones are ignored unless all are
             asked = self.spark.createDataFrame([(e,) for e in entity_slugs], "slug string")
-            slugs = [r.slug for r in entity_ops.resolved(asked, self._table("entities")).collect()]
-            if not slugs:
-                chunks = chunks.where(F.lit(False))
-        weights = chunks.select("doc_id", "weight")
-        vectors = self._table("embeddings").where(F.col("model") == ingest.HASH_MODEL).select(F.col("chunk_id").alias("doc_id"), "vector").join(weights, "doc_id")
-        return retrieval.search(
-            chunks.select("doc_id", "text", "language", "tree", "title", "weight"), vectors, [(t, self._vector(t)) for t in texts], mode, limit, decision,
-            source_tree_slug, None, slugs, links, chunks.select("doc_id", "title"),
-        )
+            kept["entity"] = [r.slug for r in entity_ops.resolved(asked, self._table("entities")).collect()]
+        most = limit if len(texts) == 1 else 2 * limit
+        titles = self._chunks().select("doc_id", "title")
+
+        def one(text: str) -> DataFrame:
+            if mode == "keyword":
+                return self.index.search(text, most, kept)
+            if mode == "vector":
+                return self.index.nearest(self._vector(text), most, kept)
+            return fusion.fuse([self.index.search(text, 2 * most, kept), self.index.nearest(self._vector(text), 2 * most, kept)], most, titles)
+
+        runs = [one(t) for t in texts]
+        return runs[0] if len(runs) == 1 else fusion.fuse(runs, limit, titles)
 
     def search_knowledge(
         self, query: str, limit: int = 10, mode: str = "hybrid", entity_slugs: list[str] | None = None, source_tree_slug: str | None = None,

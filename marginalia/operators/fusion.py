@@ -26,6 +26,8 @@ def fuse(runs: list[DataFrame], limit: int = 10, titles: DataFrame | None = None
     fused = rows.groupBy("doc_id").agg(F.sum(1 / (F.lit(DAMP) + F.col("rank"))).alias("score"))
     keys = [F.desc(F.round("score", 12))]
     if titles is not None:
-        fused = titles.select("doc_id", "title").join(F.broadcast(fused), "doc_id", "right")
+        # an inner join may broadcast the few; those without a title come back by a join of few with few
+        named = titles.select("doc_id", "title").join(F.broadcast(fused.select("doc_id")), "doc_id")
+        fused = fused.join(F.broadcast(named), "doc_id", "left")
         keys.append(F.asc_nulls_last("title"))
     return fused.orderBy(*keys, F.asc("doc_id")).limit(limit).select("doc_id", "score")
