@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 import unicodedata
 
@@ -56,7 +55,24 @@ def version_metadata(title: Column, show: str) -> Column:
     return F.struct(number.alias("number"), F.when(number.isNotNull(), item).alias("item_id"), label.alias("label"), weight.alias("weight"))
 
 
-_ANCHOR = r"""(?is)<a\s+[^>]*href=["']([^"']+)["'][^>]*>(.*?)</a>"""
+#: Begin of an anchor, a quoted target in its tag, and its label.
+_BEGIN = r"(?i)(?=<a\s)"
+_TARGET = r"""(?i)^<a\s(?:[^>]*\s)?href\s*=\s*(?:"([^">]+)"|'([^'>]+)')[^>]*>"""
+_LABEL = r"(?is)^<a\s[^>]*>(.*?)</a>"
+
+
+def _anchor(piece: Column) -> list[Column]:
+    """Target and label, without tags, of a piece of a page that begins with an anchor; empty if it does not."""
+    label = F.regexp_replace(F.regexp_extract(piece, _LABEL, 1), r"<[^>]+>", " ")
+    target = F.concat(F.regexp_extract(piece, _TARGET, 1), F.regexp_extract(piece, _TARGET, 2))
+    return [target.alias("href"), label.alias("label"), piece.rlike(_LABEL).alias("closed")]
+
+
+def _plain(text: Column) -> Column:
+    """The text with the character references that attributes need: ampersand, quotes and angle brackets."""
+    for reference, character in (("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(reference), F.lit(character))
+    return text
 
 
 def document_links(page: Column, word: str = "transcript", suffix: str = ".pdf") -> Column:
@@ -64,45 +80,45 @@ def document_links(page: Column, word: str = "transcript", suffix: str = ".pdf")
 
     The label, without its tags, has the word, or the target has word and suffix; the target has either.
     """
-    targets = F.regexp_extract_all(page, F.lit(_ANCHOR), F.lit(1))
-    labels = F.regexp_extract_all(page, F.lit(_ANCHOR), F.lit(2))
-    both = F.zip_with(targets, labels, lambda t, b: F.struct(t.alias("href"), F.lower(t).alias("low"), F.lower(F.regexp_replace(b, r"(?s)<[^>]+>", " ")).alias("label")))
+    found = F.transform(F.split(page, _BEGIN), lambda piece: F.struct(*_anchor(piece)))
 
     def fits(x: Column) -> Column:
-        has_word, has_suffix = F.contains(x["low"], F.lit(word)), F.contains(x["low"], F.lit(suffix))
-        return (F.contains(x["label"], F.lit(word)) | (has_word & has_suffix)) & (has_suffix | has_word)
+        has_word, has_suffix = F.contains(F.lower(x["href"]), F.lit(word)), F.contains(F.lower(x["href"]), F.lit(suffix))
+        return (x["href"] != "") & x["closed"] & (has_word | has_suffix & F.contains(F.lower(x["label"]), F.lit(word)))
 
-    return F.array_distinct(F.transform(F.filter(both, fits), lambda x: x["href"]))
+    return F.array_distinct(F.transform(F.filter(found, fits), lambda x: x["href"]))
 
 
-def versioned_links(page: Column, host: str, word: str = "transcript", before: int = 1200, after: int = 800) -> Column:
+def versioned_links(page: Column, host: str, word: str = "transcript", before: int = 1200, after: int = 800, mark: str = "legacy") -> Column:
     """array<struct<version, url>>: links to a host that speak of the word, and which version the text around them names.
 
-    The text around is ``before`` characters ahead of the anchor's begin and ``after`` from
-    it on.  If the first two links have one version, the first is current, the second legacy.
+    A fold over the pieces of a page, which begin at its anchors, keeps how far it has come; the text around
+    is ``before`` characters ahead of an anchor's begin and ``after`` from it on, without tags.  Where it has the mark
+    the version is legacy, else current.  If the first two of the distinct links have one version, the first is
+    current, the second legacy.  Null gives null.
     """
-    anchor = re.compile(r"""<a[^>]+href=["']([^"']+)["'][^>]*>(.*?)</a>""", re.S | re.I)
-    tag = re.compile(r"<[^>]+>")
-
-    def found(text: str | None) -> list[dict] | None:
-        if text is None:
-            return None
-        out = {}
-        for m in anchor.finditer(text):
-            url = html.unescape(m[1])
-            if host in url and word in f"{url} {html.unescape(tag.sub(' ', m[2]))}".lower():
-                around = tag.sub(" ", text[max(0, m.start() - before) : m.start() + after]).lower()
-                out.setdefault(("legacy" if "legacy" in around else "current", url))
-        links = [list(x) for x in out]
-        if len(links) > 1 and links[0][0] == links[1][0]:
-            links[0][0], links[1][0] = "current", "legacy"
-        return [{"version": v, "url": u} for v, u in links]
-
-    @pandas_udf(T.ArrayType(T.StructType([T.StructField("version", T.StringType()), T.StructField("url", T.StringType())])))
-    def run(pages: pd.Series) -> pd.Series:
-        return pages.map(found)
-
-    return run(page)
+    none = F.array().cast("array<struct<at:int,href:string,label:string,closed:boolean>>")
+
+    def step(done: Column, piece: Column) -> Column:
+        raw, label, closed = _anchor(piece)
+        href = _plain(raw).alias("href")
+        wanted = closed & F.contains(href, F.lit(host))
+        one = F.array(F.struct(done["at"].alias("at"), href, label, closed))
+        return F.struct((done["at"] + F.length(piece)).alias("at"), F.when(wanted, F.concat(done["found"], one)).otherwise(done["found"]).alias("found"))
+
+    met = F.aggregate(F.split(page, _BEGIN), F.struct(F.lit(0).alias("at"), none.alias("found")), step)["found"]
+
+    def told(x: Column) -> Column:
+        begin = F.greatest(x["at"] - before, F.lit(0))
+        around = F.regexp_replace(F.substring(page, begin + 1, x["at"] + after - begin), r"<[^>]+>", " ")
+        legacy = F.contains(F.lower(around), F.lit(mark))
+        return F.struct(F.when(legacy, "legacy").otherwise("current").alias("version"), x["href"].alias("url"))
+
+    spoken = F.filter(met, lambda x: F.contains(F.lower(F.concat_ws(" ", x["href"], x["label"])), F.lit(word)))
+    links = F.array_distinct(F.transform(spoken, told))
+    alike = F.coalesce(F.get(links, F.lit(0))["version"] == F.get(links, F.lit(1))["version"], F.lit(False))
+    turned = F.transform(links, lambda x, i: F.struct(F.when(alike & (i == 0), "current").when(alike & (i == 1), "legacy").otherwise(x["version"]).alias("version"), x["url"].alias("url")))
+    return F.when(page.isNotNull(), turned)
 
 
 def first_link_to(page: Column, *parts: str) -> Column:

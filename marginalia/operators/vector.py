@@ -32,7 +32,7 @@ def search(vectors: DataFrame, query: Column | list[float], limit: int = 10) ->
 
 def compare_stored(stored: DataFrame, fresh: DataFrame, same: float = 0.999) -> DataFrame:
     """(doc_id, action, similarity): created, updated, unchanged or orphaned."""
-    old = stored.groupBy("doc_id").agg(F.first("vector").alias("old"), F.count("*").alias("times"))
+    old = stored.groupBy("doc_id").agg(F.min("vector").alias("old"), F.count("*").alias("times"))
     both = old.join(fresh.select("doc_id", F.col("vector").alias("new")), "doc_id", "full")
     near = F.when(F.size("old") == F.size("new"), cosine(F.col("old"), F.col("new")))
     action = (

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import metadata as meta
 from ..operators import entities, importing, index, maintenance, planning, retrieval, segmentation, vector
-from ..runtime import shared_dir
+from ..runtime import shared_dir, swept
+from ..operators.blockindex import BlockIndex
+from ..operators.reembed import Reembedding
 from ..sources import captions, corpus, feeds
 from .catalog import QUERY, QUERY_VECTOR, _vector_of, query
 
@@ -22,6 +24,7 @@ def _docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
 def fts_search(spark: SparkSession, d: str) -> DataFrame:
     """The stored index with the classic formula and global statistics."""
     path = f"{shared_dir(spark)}/keywords-{uuid.uuid4().hex}"
+    swept(spark, path)
     index.build_keywords(corpus.chunks(spark, d), path)
     found = index.KeywordIndex(spark, path).search(f"{QUERY} the", formula="fts")
     return found.select("doc_id", F.round("score", 6).alias("score"))
@@ -31,15 +34,60 @@ def fts_search(spark: SparkSession, d: str) -> DataFrame:
 def index_filtered_search(spark: SparkSession, d: str) -> DataFrame:
     """The stored index over German sources, with statistics of these alone and weights."""
     path = f"{shared_dir(spark)}/keywords-{uuid.uuid4().hex}"
+    swept(spark, path)
     index.build_keywords(corpus.chunks(spark, d), path)
     sources = corpus.sources(spark, d).where("language = 'de'").select("doc_id", "weight", "title")
     found = index.KeywordIndex(spark, path).search("der und ein von erly", sources=sources, scope="filtered")
     return found.select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query
+def block_index_upkeep(spark: SparkSession, d: str) -> DataFrame:
+    """The index in segments after an append of one document in a hundred and a delete of another, with weights."""
+    path = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    swept(spark, path)
+    rows = corpus.chunks(spark, d).join(corpus.sources(spark, d).select("doc_id", "title", "weight"), "doc_id")
+    held = BlockIndex(spark, path)
+    held.append(rows.where("doc_id % 100 <> 3"))
+    held.append(rows.where("doc_id % 100 = 3"))
+    held.delete(rows.select("doc_id").where("doc_id % 100 = 1"))
+    return held.search(f"{QUERY} the").select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def block_index_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Bitmaps of tenant, language (or none), tree and entity before the ranks, statistics of what passes."""
+    path = f"{shared_dir(spark)}/blocks-{uuid.uuid4().hex}"
+    swept(spark, path)
+    entities = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("even"))).otherwise(F.array(F.concat(F.lit("odd-"), F.col("doc_id") % 5)))
+    rows = corpus.chunks(spark, d).withColumn("tenant", F.concat(F.lit("t"), F.col("doc_id") % 3)).withColumn("entities", entities)
+    held = BlockIndex(spark, path)
+    held.append(rows)
+    trees = [f"src{i}" for i in range(1, 20, 2)]
+    kept = {"tenant": ["t0", "t1"], "language": ["de", None], "tree": trees, "entity": ["even", "odd-3"]}
+    return held.search("der und ein von erly", 10, kept).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query
+def reembed_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Counts by action of a re-embedding in ranges that is stopped after two of them and taken up again."""
+    path = f"{shared_dir(spark)}/reembed-{uuid.uuid4().hex}"
+    swept(spark, path)
+    rows, n = corpus.vectors(spark, d).select("doc_id", "vector"), F.col("doc_id") % 5
+    turned = F.when(n == 1, F.transform("vector", lambda x: -x)).otherwise(F.col("vector"))
+    stored = rows.where(n != 2).select("doc_id", F.lit("m").alias("model"), turned.alias("vector"))
+    stored = stored.unionByName(rows.where(n == 3).withColumn("model", F.lit("m"))).unionByName(rows.where(n == 4).withColumn("model", F.lit("old")))
+    size = max(rows.count() // 6, 1)
+    Reembedding(spark, path, rows, stored, "m", lambda part: part, size).run(2)
+    again = Reembedding(spark, path, rows, stored, "m", lambda part: part, size)
+    again.run()
+    return again.counts()
+
+
 @query
 def vector_index_search(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/units-{uuid.uuid4().hex}"
+    swept(spark, path)
     index.build_vectors(corpus.vectors(spark, d).select("doc_id", "vector"), path)
     return index.VectorIndex(spark, path).search(_vector_of(spark, d, QUERY_VECTOR)).select("doc_id", F.round("score", 6).alias("score"))
 
@@ -48,6 +96,7 @@ def vector_index_search(spark: SparkSession, d: str) -> DataFrame:
 def vector_batch_topk(spark: SparkSession, d: str) -> DataFrame:
     """The three nearest vectors of every vector whose id is divisible by 100."""
     path = f"{shared_dir(spark)}/units-{uuid.uuid4().hex}"
+    swept(spark, path)
     rows = corpus.vectors(spark, d).select("doc_id", "vector")
     index.build_vectors(rows, path)
     asked = rows.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
@@ -94,6 +143,13 @@ def document_anchors(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("page_id", F.size("found").alias("n"), F.array_join("found", " ").alias("found"))
 
 
+@query
+def versioned_page_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links that speak of ``th``, as legacy ones where the text around has ``and``."""
+    rows = corpus.table(spark, d, "pages").select("page_id", F.posexplode(meta.versioned_links(F.col("html"), "/", "th", 300, 200, "and")).alias("n", "link"))
+    return rows.select("page_id", F.col("n").cast("long").alias("n"), "link.version", "link.url")
+
+
 @query
 def episode_pages(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("doc_id")

@@ -29,6 +29,23 @@ def oracle_sql() -> dict[str, str]:
     return {
         "fts_search": _indexed(f"{QUERY} the", "fts"),
         "index_filtered_search": _indexed("der und ein von erly", "scan", "lang = 'de'", True),
+        "reembed_ranges": """WITH c AS (SELECT CASE vec_id % 5 WHEN 1 THEN 'updated' WHEN 2 THEN 'created' WHEN 3 THEN 'updated' ELSE 'unchanged' END AS action FROM embeddings)
+SELECT action, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT 'other_models', count(*) FROM embeddings WHERE vec_id % 5 = 4""",
+        "block_index_upkeep": _indexed(f"{QUERY} the", "scan", "doc_id % 100 <> 1", True),
+        "block_index_filters": _indexed(
+            "der und ein von erly", "scan",
+            "doc_id % 3 < 2 AND (lang = 'de' OR lang IS NULL) AND regexp_matches(source, '^src1?[13579]$') AND (doc_id % 2 = 0 OR doc_id % 5 = 3)",
+        ),
+        "versioned_page_links": r"""WITH p AS (SELECT page_id, html, string_split(html, '<a ') AS s FROM pages),
+a AS (SELECT page_id, html, s, unnest(range(1, len(s)))::BIGINT AS k FROM p),
+b AS (SELECT page_id, html, k, s[k + 1] AS rest, (list_sum(list_transform(s[1:k], lambda x: length(x))) + 3 * (k - 1))::BIGINT AS start FROM a),
+c AS (SELECT page_id, k, start, html, regexp_extract(rest, 'href="([^"]+)"', 1) AS url, regexp_replace(string_split(string_split(rest, '</a>')[1], '>')[2], '<[^>]+>', ' ', 'g') AS label FROM b WHERE contains(rest, '</a>')),
+v AS (SELECT page_id, k, url, CASE WHEN contains(lower(regexp_replace(substr(html, greatest(start - 300, 0) + 1, start + 200 - greatest(start - 300, 0)), '<[^>]+>', ' ', 'g')), 'and') THEN 'legacy' ELSE 'current' END AS version
+  FROM c WHERE contains(url, '/') AND contains(lower(url || ' ' || label), 'th')),
+f AS (SELECT page_id, version, url, min(k) AS k FROM v GROUP BY ALL),
+n AS (SELECT page_id, url, version, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS n FROM f),
+e AS (SELECT page_id, count(*) = 2 AND count(DISTINCT version) = 1 AS alike FROM n WHERE n < 2 GROUP BY page_id)
+SELECT page_id, n, CASE WHEN alike AND n = 0 THEN 'current' WHEN alike AND n = 1 THEN 'legacy' ELSE version END AS version, url FROM n JOIN e USING (page_id)""",
         "vector_index_search": f"WITH {near('v', QUERY_VECTOR)} SELECT doc_id, round(score, 6) AS score FROM v",
         "vector_batch_topk": """WITH s AS (
   SELECT q.vec_id AS query_id, e.vec_id AS doc_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0

@@ -51,6 +51,16 @@ def test_search(engine):
         engine.search_knowledge("dog", language_policy="other")
 
 
+def test_searches_open_the_index(engine):
+    for mode in ("keyword", "vector"):
+        plan = engine._ranked("dog river", 3, mode, None, "show", "any", None, None)._jdf.queryExecution().executedPlan().toString()
+        assert ("/index/postings" if mode == "keyword" else "/index/vectors") in plan and "/chunks/" not in plan
+    # what a lost driver left out of the index comes back
+    held = engine.index.holds()
+    n = held.count()
+    assert engine.index.delete(held.limit(1)) == 1 and engine.sync_index() == {"removed": 0, "added": 1} and engine.index.holds().count() == n
+
+
 def test_context_pack(engine):
     pack = engine.retrieve_context_pack("where is the dog and what does the river do", 2, "keyword", translate_quotes=True)
     assert pack["response_language"] == "en" and "'en'" in pack["response_language_directive"] and pack["notice"] is None
