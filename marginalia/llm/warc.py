@@ -8,15 +8,18 @@ gives the same records.  Writing and parsing of the record format live here as w
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +59,68 @@ def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     return lines[0], fields, payload
 
 
+def unchunked(body: bytes) -> bytes:
+    """A body without the framing of chunks; ValueError if it is cut off or no such body."""
+    out, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at)
+        if end < 0:
+            raise ValueError("a chunked body that is cut off")
+        size = int(body[at:end].split(b";")[0].strip(), 16)
+        if size < 0 or end + 2 + size > len(body):
+            raise ValueError("a chunk that is cut off")
+        if size == 0:
+            return b"".join(out)
+        out.append(body[end + 2 : end + 2 + size])
+        at = end + 2 + size + 2
+
+
+def _inflated(body: bytes, coding: str) -> bytes:
+    if coding in ("gzip", "x-gzip"):
+        return gzip.decompress(body)
+    if coding == "deflate":  # with the wrapper that the standard names, or without it
+        try:
+            return zlib.decompress(body)
+        except zlib.error:
+            return zlib.decompress(body, -zlib.MAX_WBITS)
+    if coding == "zstd":
+        return zstandard.ZstdDecompressor().decompressobj().decompress(body)
+    raise ValueError(f"unknown content coding {coding}")
+
+
+_CHARSET = re.compile(rb"""<meta\b[^>]{0,200}?\bcharset\s*=\s*["']?([A-Za-z0-9_:.-]+)""", re.I)
+
+
+def payload_text(fields: list[tuple[str, str]], payload: bytes) -> str:
+    """The text of a response's payload: framing and codings off, decoded by its character set.
+
+    The set is that of a byte order mark, of Content-Type, of a meta tag within the first 1024 bytes, else UTF-8;
+    names that are not known count as UTF-8, bytes that do not fit as replacement characters.  A payload whose framing or
+    coding is broken or not known is a ValueError.
+    """
+    told: dict[str, list[str]] = {}
+    for name, value in fields:
+        told.setdefault(name.lower(), []).extend(v.strip().lower() for v in value.split(","))
+    try:
+        if "chunked" in told.get("transfer-encoding", []):
+            payload = unchunked(payload)
+        for coding in reversed([c for c in told.get("content-encoding", []) if c not in ("", "identity")]):
+            payload = _inflated(payload, coding) if payload else payload
+    except (OSError, EOFError, zlib.error, zstandard.ZstdError) as e:
+        raise ValueError(str(e)) from None
+    if payload.startswith(codecs.BOM_UTF8):
+        return payload[3:].decode("utf-8", "replace")
+    if payload[:2] in (codecs.BOM_UTF16_LE, codecs.BOM_UTF16_BE):
+        return payload.decode("utf-16", "replace")
+    named = re.search(r"""charset\s*=\s*["']?([a-z0-9_:.-]+)""", ",".join(told.get("content-type", [])))
+    inside = _CHARSET.search(payload[:1024])
+    charset = named[1] if named else inside[1].decode() if inside else "utf-8"
+    try:
+        return payload.decode(charset, "replace")
+    except (LookupError, ValueError):  # no such set, or none of text
+        return payload.decode("utf-8", "replace")
+
+
 def _line(value: str) -> str:
     """A header value on one line; line breaks become spaces."""
     return " ".join(value.split("\r\n")).replace("\r", " ").replace("\n", " ").strip()
@@ -83,7 +148,7 @@ def read_records(raw: bytes) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
             raise ValueError("not a WARC record")
         lines = raw[at:end].decode("utf-8").split("\r\n")
         fields = [(a.strip(), b.strip()) for a, _, b in (x.partition(":") for x in lines[1:])]
-        size = int(next(v for k, v in fields if k == "Content-Length"))
+        size = int(next(v for k, v in fields if k.lower() == "content-length"))
         if end + 4 + size > len(raw):
             raise ValueError("a WARC record that is cut off")
         yield fields, raw[end + 4 : end + 4 + size]
@@ -114,9 +179,12 @@ def _derived(rid: str | None, uri: str | None, date: str | None, block: bytes |
     raw = block or b""
     status, fields, payload = split_http(raw)
     source, whole = known or digest(payload), digest(raw)
-    title, text, links = plain_text(payload.decode("utf-8", "replace"))
+    try:
+        (title, text, links), undecoded = plain_text(payload_text(fields, payload)), []
+    except ValueError as e:
+        title, text, links, undecoded = "", "", [], [("undecoded", str(e))]
     name = rid or f"{uri} {date} {whole}"
-    lines = [("status", status), *((f"http-{k.lower()}", v) for k, v in fields), ("payload-digest", source), ("block-digest", whole), ("title", title), *(("outlink", x) for x in links)]
+    lines = [("status", status), *((f"http-{k.lower()}", v) for k, v in fields), ("payload-digest", source), ("block-digest", whole), *undecoded, ("title", title), *(("outlink", x) for x in links)]
     meta = "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in lines).encode("utf-8", "replace")
     headers = [("status", status), *fields]
     for kind, mime, made in (("metadata", "application/warc-fields", meta), ("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace"))):
@@ -130,7 +198,8 @@ def derive(responses: DataFrame) -> DataFrame:
     ``responses`` has record_id, target_uri, warc_date, block (an HTTP response) and, if
     known, payload_digest; other columns stay.  The metadata record holds the source's
     HTTP headers, digests, title and links as ``name: value`` lines; the conversion record the
-    text as UTF-8.  Both keep the source's identifier (refers_to), payload digest, block
+    text as UTF-8, of a payload without chunks and codings and by its own character set (``payload_text``); of a
+    payload that cannot be decoded it is empty, and the metadata have a line ``undecoded``.  Both keep the source's identifier (refers_to), payload digest, block
     digest, status and HTTP headers.  A null block counts as empty and still gives both
     records; nulls elsewhere become empty.  A source without an identifier gives its
     records identifiers by its URI, date and content.  Columns named like the record's are replaced.
