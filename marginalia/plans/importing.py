@@ -12,6 +12,7 @@ from ..operators import entities, importing, index, maintenance, planning, retri
 from ..runtime import shared_dir, swept
 from ..operators.blockindex import BlockIndex
 from ..operators.reembed import Reembedding
+from ..operators.replacing import ImportedSources
 from ..sources import captions, corpus, feeds
 from .catalog import QUERY, QUERY_VECTOR, _vector_of, query
 
@@ -84,6 +85,24 @@ def reembed_ranges(spark: SparkSession, d: str) -> DataFrame:
     return again.counts()
 
 
+@query
+def replaced_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sources after an import of all documents and one of a later version of every tenth, with what each import did."""
+    path = f"{shared_dir(spark)}/imported-{uuid.uuid4().hex}"
+    swept(spark, path)
+    docs = corpus.table(spark, d, "documents").where(F.trim("text") != "").select(F.col("doc_id").cast("string").alias("guid"), F.col("source").alias("tree"), "text")
+    held = ImportedSources(spark, path, ["guid", "tree"], 8)
+
+    def part(rows: DataFrame, text) -> tuple[DataFrame, DataFrame]:
+        return rows.select("guid", "tree", F.concat(F.lit("Document "), "guid").alias("title")), rows.select(F.col("guid").alias("item"), F.lit(1).alias("chunk_index"), text.alias("text"))
+
+    later = docs.where(F.col("guid").cast("long") % 10 == 3)
+    held.run(*part(docs.where(F.col("guid").cast("long") % 20 != 3), F.col("text")), 1, "first")
+    done = held.run(*part(later, F.concat("text", F.lit(" (revised)"))), 2, "second")
+    rows = held.sources().join(held.chunks().select("source_id", "text"), "source_id").join(done, "item", "left")
+    return rows.select("item", "version", F.coalesce("action", F.lit("left")).alias("action"), F.length("text").alias("n_chars"))
+
+
 @query
 def vector_index_search(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/units-{uuid.uuid4().hex}"

@@ -29,6 +29,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "fts_search": _indexed(f"{QUERY} the", "fts"),
         "index_filtered_search": _indexed("der und ein von erly", "scan", "lang = 'de'", True),
+        "replaced_sources": """SELECT doc_id::VARCHAR AS item, CASE WHEN doc_id % 10 = 3 THEN 2 ELSE 1 END AS version, CASE WHEN doc_id % 20 = 3 THEN 'insert' WHEN doc_id % 10 = 3 THEN 'replace' ELSE 'left' END AS action,
+  length(text) + CASE WHEN doc_id % 10 = 3 THEN 10 ELSE 0 END AS n_chars FROM documents WHERE trim(text) <> ''""",
         "reembed_ranges": """WITH c AS (SELECT CASE vec_id % 5 WHEN 1 THEN 'updated' WHEN 2 THEN 'created' WHEN 3 THEN 'updated' ELSE 'unchanged' END AS action FROM embeddings)
 SELECT action, count(*) AS n FROM c GROUP BY 1 UNION ALL SELECT 'other_models', count(*) FROM embeddings WHERE vec_id % 5 = 4""",
         "block_index_upkeep": _indexed(f"{QUERY} the", "scan", "doc_id % 100 <> 1", True),
