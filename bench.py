@@ -16,6 +16,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators import evaluation, fusion, index, keyword
+from marginalia.operators.blockindex import BlockIndex
 from marginalia.plans import catalog
 from marginalia.runtime import shared_dir
 from marginalia.sources import corpus
@@ -46,6 +47,10 @@ def latencies(spark: SparkSession, d: str, many: int = 32) -> dict:
         began = time.time()
         make()
         build[f"{name}_build_sec"] = round(time.time() - began, 3)
+    began = time.time()
+    blocks = BlockIndex(spark, f"{root}/blocks", ttl=1e9, hold=True)
+    blocks.append(chunks.join(vectors, "doc_id", "left"))
+    build["blocks_build_sec"] = round(time.time() - began, 3)
     words, near = index.KeywordIndex(spark, f"{root}/keyword", ttl=1e9), index.VectorIndex(spark, f"{root}/vector", ttl=1e9, hold=True)
     near.units.count()
     asked = [r.text for r in corpus.table(spark, d, "benchmark").orderBy("item_id").limit(many).collect()]
@@ -54,6 +59,10 @@ def latencies(spark: SparkSession, d: str, many: int = 32) -> dict:
         "keyword": lambda q, v: words.search(q),
         "vector": lambda q, v: near.search(v),
         "hybrid": lambda q, v: fusion.fuse([words.search(q, 20), near.search(v, 20)]),
+        # the way of the engine
+        "engine_keyword": lambda q, v: blocks.search(q),
+        "engine_vector": lambda q, v: blocks.nearest(v),
+        "engine_hybrid": lambda q, v: fusion.fuse([blocks.search(q, 20), blocks.nearest(v, 20)]),
     }
     out = {}
     for name, run in modes.items():

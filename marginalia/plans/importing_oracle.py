@@ -75,7 +75,8 @@ SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date_key, event_id) A
 r AS (SELECT source, t, row_number() OVER (PARTITION BY source ORDER BY k) AS i, count(*) OVER (PARTITION BY source) AS many FROM f),
 w AS (SELECT source, string_agg('Part ' || t, '. ' ORDER BY i) AS terms, any_value(many) AS many FROM r GROUP BY source)
 SELECT source, CASE WHEN 2 * many + 1 > 30 THEN array_to_string(list_slice(string_split('Extra. ' || terms || '.', ' '), 1, 30), ' ') ELSE 'Extra. ' || terms || '.' END AS glossary FROM w""",
-        "sentence_ends": r"""SELECT regexp_matches(regexp_replace(text, '\s+$', ''), '([.?!]|\.”|[?!]"|[.?!]'')$') AS ends, count(*) AS n FROM conversations GROUP BY 1""",
+        "sentence_ends": r"""WITH t AS (SELECT ((conv_id + turn) % 9)::INT AS kind, text || ['', '?"', '.' || chr(8221), ' and', chr(39), '! ' || chr(10) || ' ', ',', chr(8221), ' ' || chr(10)][((conv_id + turn) % 9)::INT + 1] AS text FROM conversations)
+SELECT kind, regexp_matches(regexp_replace(text, '\s+$', ''), '([.?!]|\.”|[?!]"|[.?!]'')$') AS ends, count(*) AS n FROM t GROUP BY ALL""",
         "serialized_jobs": """SELECT event_id AS job_id, '{"job_id":' || event_id || ',"job_type":"' || event_type || '","owner":' || user_id || '}' AS json FROM events""",
         "stale_urls": "SELECT page_id, url FROM pages WHERE contains(url, '/en/1') OR contains(url, '?page=') OR contains(url, '.org/de')",
         "caption_identities": """SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'source_tree_slug' WHEN page_id % 10 = 0 THEN 'video_id' WHEN page_id % 7 = 0 THEN 'guid' WHEN page_id % 6 = 0 THEN 'canonical_url' END AS problem FROM pages""",
@@ -121,7 +122,7 @@ SELECT source, count(*) AS segments, count(*) - 1 AS last_index, md5(coalesce(st
         "reembedded": """WITH s AS (SELECT vec_id AS d, embedding AS v FROM embeddings), k AS (
   SELECT d, 'm' AS model, CASE WHEN d % 11 = 5 THEN v[1] WHEN d % 3 = 0 THEN list_reverse(v)[1] ELSE v[1] END AS x FROM s WHERE d % 11 <> 5 OR d % 10 <> 0)
 SELECT model, count(*) AS n, round(sum(x::DOUBLE), 4) AS first FROM k GROUP BY model""",
-        "missing_identities": "SELECT DISTINCT user_id AS id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)",
+        "missing_identities": "SELECT DISTINCT user_id AS id FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0)",
         "entity_search": f"""WITH {bm25('b', QUERY, "source IN ('src3', 'src5')")} SELECT doc_id, round(score, 6) AS score FROM b""",
         "tenant_search": f"""WITH {bm25('b', QUERY, "lang = 'en'")} SELECT doc_id, round(score, 6) AS score FROM b""",
         "jobs_of_owner": "SELECT event_id AS job_id, event_type AS job_type FROM events WHERE user_id = 7 ORDER BY ts DESC, event_id DESC LIMIT 10",
