@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf, pandas_udf
 
-#: Scripts written without spaces between words.
+#: Scripts written without spaces between words.
 CJK = r"[\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
 
-#: Letters of scripts to which English stemming does not apply.
+#: Letters of scripts to which English stemming does not apply.
 NOT_LATIN = r"[\x{0400}-\x{04FF}\x{0590}-\x{05FF}\x{0600}-\x{06FF}\x{0900}-\x{097F}\x{4E00}-\x{9FFF}\x{3040}-\x{30FF}\x{AC00}-\x{D7AF}]"
 
 #: Words that count as another.
