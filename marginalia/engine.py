@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from .functions import translation
 from .functions.text import citation_label, hash_embedding, timestamp_url, tokens_of
 from .operators import entities as entity_ops
-from .operators import filters, fusion, ingest, maintenance, retrieval, summary
+from .operators import filters, fusion, importloop, ingest, maintenance, retrieval, summary
 from .operators.blockindex import BlockIndex
+from .runtime import materialise
 from .store import Store
 
 
@@ -106,10 +107,36 @@ class KnowledgeEngine:
         attached = entity_ops.attach(held, links).withColumnRenamed("doc_id", "source_id").withColumn("tenant_id", F.lit(self.tenant))
         return {"entities": new, "aliases": aliases.withColumn("tenant_id", F.lit(self.tenant)), "source_entities": attached} if rows else {}
 
-    def _indexed(self, source_ids: list[str] | None = None) -> DataFrame:
+    def import_transcripts(
+        self, items: DataFrame, contents: DataFrame, show: str, kind: str = "Published", limit: int | None = None, count_skips: bool = True, numbers: tuple[int | None, int | None] = (None, None)
+    ) -> DataFrame:
+        """Import a listing's transcripts (``importloop.import_loop``); returns a row for each item with its status and reason.
+
+        ``contents``: guid, content, url, mime, seconds.  Sources, chunks, vectors, jobs and the state of
+        items of this ``kind`` (Published or Generated) change in one commit, so a run that is cut off has done nothing.
+        """
+        weight, label = (1.0, "published") if kind == "Published" else (0.9, "generated")
+        state = self._table("items")
+        mine = state.where(F.col("kind") == kind)
+        named = items.withColumn("title", importloop.source_title(show, F.col("title"), kind))
+        loop = importloop.import_loop(named, mine, self._sources().select("source_id", "title", "url"), importloop.read_transcripts(contents), show, self.tenant, limit, count_skips, numbers)
+        results = materialise(loop.results, "import-results")
+        told = F.to_json(F.struct(F.lit(show).alias("show_title"), F.lit(f"podcast_{kind.lower()}_transcript").alias("input_type")))
+        sources = loop.made["sources"].withColumn("weight", F.lit(weight)).withColumn("preference", F.lit(label)).withColumn("metadata", told)
+        now = {"sources": sources, "embeddings": loop.made["embeddings"], "jobs": loop.made["jobs"]}
+        added = {**{k: v.withColumn("created_at", F.current_timestamp()) for k, v in now.items()}, "chunks": loop.made["chunks"]}
+        after = importloop.next_state(mine, results).withColumn("kind", F.lit(kind)).withColumn("tenant_id", F.lit(self.tenant))
+        rest = self.store.table("items").where(~(F.col("tenant_id").eqNullSafe(self.tenant) & F.col("kind").eqNullSafe(kind)))
+        self.store.commit(added, {"items": rest.unionByName(after)})
+        self.index.append(self._indexed(results.where("status = 'imported'").select("source_id")))
+        return results
+
+    def _indexed(self, source_ids: list[str] | DataFrame | None = None) -> DataFrame:
         """Chunks as the index takes them, of some sources or of all tenants' sources."""
         sources, chunks = self.store.table("sources"), self.store.table("chunks").select("source_id", "chunk_id", "text")
-        if source_ids is not None:
+        if isinstance(source_ids, DataFrame):
+            sources, chunks = sources.join(source_ids, "source_id", "left_semi"), chunks.join(source_ids, "source_id", "left_semi")
+        elif source_ids is not None:
             sources, chunks = sources.where(F.col("source_id").isin(*source_ids)), chunks.where(F.col("source_id").isin(*source_ids))
         linked = self.store.table("source_entities").groupBy("source_id").agg(F.collect_set("slug").alias("entities"))
         sources = sources.select("source_id", "title", F.coalesce("weight", F.lit(1.0)).alias("weight"), F.col("tenant_id").alias("tenant"), "language", "tree").join(linked, "source_id", "left")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metadata as meta
-from ..operators import entities, importing, index, maintenance, planning, retrieval, segmentation, vector
+from ..operators import entities, importing, importloop, index, maintenance, planning, retrieval, segmentation, vector
 from ..runtime import shared_dir, swept
 from ..operators.blockindex import BlockIndex
 from ..operators.reembed import Reembedding
@@ -103,6 +103,24 @@ def replaced_sources(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("item", "version", F.coalesce("action", F.lit("left")).alias("action"), F.length("text").alias("n_chars"))
 
 
+@query
+def import_loop_results(spark: SparkSession, d: str) -> DataFrame:
+    """Every document as an episode: done before, incomplete, without transcript, known, unreadable, silent, or imported; the loop ends at the 300th."""
+    n = F.col("doc_id")
+    rows = _docs(spark, d, "text").withColumn("vtt", F.concat(F.lit("WEBVTT\n\n00:01.000 --> 00:05.000\n"), F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit("\n")))
+    items = rows.select(
+        n.alias("position"), F.concat(F.lit("g"), n).alias("guid"), F.concat(F.lit("T"), n % 601).alias("title"), F.concat(F.lit("u"), n * 7 % 701).alias("url"),
+        F.when(n % 13 > 0, "t.vtt").alias("transcript_url"), F.when(n % 19 == 0, "statistics not complete").alias("incomplete"),
+    )
+    state = rows.where(n % 5 == 1).select(F.concat(F.lit("g"), n).alias("guid"), F.when(n % 10 == 1, "imported").otherwise("error").alias("status"))
+    known = rows.where(n % 17 == 3).select(F.concat(F.lit("s"), n).alias("source_id"), F.concat(F.lit("T"), n).alias("title"), F.concat(F.lit("u"), n + 350).alias("url"))
+    again = F.when(n % 2 == 0, F.concat("vtt", F.lit("\n00:05.000 --> 00:09.000\nand so on\n"))).otherwise(F.col("vtt"))
+    content = F.when(n % 11 == 2, None).when(n % 11 == 5, "WEBVTT\n").otherwise(again)
+    contents = rows.select(F.concat(F.lit("g"), n).alias("guid"), content.alias("content"), F.lit("t.vtt").alias("url"), F.lit(None).cast("string").alias("mime"), F.lit(60).alias("seconds"))
+    found = importloop.import_loop(items, state, known, importloop.read_transcripts(contents), "Show", limit=300)
+    return found.results.select("position", "guid", "status", "reason", F.col("source_id").isNotNull().alias("has_source"), "n_segments")
+
+
 @query
 def vector_index_search(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/units-{uuid.uuid4().hex}"

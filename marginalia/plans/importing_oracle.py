@@ -93,6 +93,15 @@ SELECT p AS position, problem FROM (SELECT p, CASE WHEN p % 13 = 0 THEN 'queue_n
         "artifact_triplets": """WITH r AS (SELECT page_id AS n, CASE WHEN page_id % 11 = 0 THEN 'missing or invalid artifact' WHEN page_id % 5 = 0 THEN 'no segments' WHEN page_id % 19 = 0 THEN 'statistics not complete' WHEN page_id % 23 = 0 AND page_id <> -1 THEN 'mismatch: queue_number'
   WHEN page_id % 7 = 0 THEN 'no word times' WHEN page_id % 13 = 0 THEN 'an empty chunk' WHEN page_id % 17 = 0 THEN 'no chunk anchors' END AS reason FROM pages)
 SELECT 's' || n AS stem, CASE WHEN reason IS NOT NULL THEN 'skipped_incomplete' WHEN n % 2 = 0 THEN 'reconcile' ELSE 'import' END AS status, reason FROM r""",
+        "import_loop_results": """WITH RECURSIVE c AS (SELECT doc_id AS n, 'T' || (doc_id % 601) AS title, 'u' || (doc_id * 7 % 701) AS url FROM documents),
+k AS (SELECT 'T' || doc_id AS title, 'u' || (doc_id + 350) AS url FROM documents WHERE doc_id % 17 = 3),
+s AS (SELECT n, title, url, row_number() OVER (ORDER BY n) AS i, CASE WHEN n % 10 = 1 THEN 'already_done' WHEN n % 19 = 0 THEN 'skipped_incomplete' WHEN n % 13 = 0 THEN 'missing_transcript'
+  WHEN title IN (SELECT title FROM k) OR url IN (SELECT url FROM k) THEN 'skipped_existing' WHEN n % 11 IN (2, 5) THEN 'error' ELSE 'imported' END AS first FROM c),
+w AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS n, NULL::VARCHAR AS status, []::VARCHAR[] AS had, 0 AS counted
+  UNION ALL SELECT i, n, status, CASE WHEN status = 'imported' THEN list_concat(had, [title, url]) ELSE had END, counted + CASE WHEN status IN ('imported', 'skipped_existing') THEN 1 ELSE 0 END
+  FROM (SELECT s.i, s.n, s.title, s.url, w.had, w.counted, CASE WHEN w.counted >= 300 THEN 'not_reached' WHEN s.first IN ('imported', 'error') AND (list_contains(w.had, s.title) OR list_contains(w.had, s.url)) THEN 'skipped_existing' ELSE s.first END AS status FROM w JOIN s ON s.i = w.i + 1))
+SELECT n AS position, 'g' || n AS guid, status, CASE WHEN status = 'error' THEN CASE WHEN n % 11 = 2 THEN 'transcript could not be read' ELSE 'transcript has no segments' END WHEN status = 'skipped_incomplete' THEN 'statistics not complete' END AS reason,
+  status IN ('imported', 'skipped_existing') AS has_source, CASE WHEN status = 'imported' THEN CASE WHEN n % 2 = 0 THEN 2 ELSE 1 END END AS n_segments FROM w WHERE i > 0""",
         "import_actions": """WITH a AS (SELECT doc_id AS position, 'g' || doc_id AS guid, CASE WHEN doc_id % 20 = 1 THEN 'skip_terminal' WHEN doc_id % 3 = 0 THEN 'missing_transcript' WHEN doc_id % 4 = 2 OR doc_id % 14 = 5 THEN 'skip_existing' ELSE 'import' END AS action FROM documents),
 f AS (SELECT position FROM a WHERE action IN ('skip_existing', 'import') ORDER BY position LIMIT 40)
 SELECT position, guid, CASE WHEN action IN ('skip_existing', 'import') AND position NOT IN (SELECT position FROM f) THEN 'later' ELSE action END AS action FROM a""",

@@ -26,6 +26,8 @@ SCHEMAS = {
     "entities": "tenant_id string, entity_type string, slug string, label string",
     "aliases": "tenant_id string, slug string, alias string",
     "source_entities": "source_id string, tenant_id string, slug string, role string",
+    "items": "guid string, tenant_id string, kind string, status string, reason string, source_id string",
+    "batches": "stream string, batch long",
 }
 
 
