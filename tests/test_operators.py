@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marginalia.operators import entities, filters, fusion, ingest, keyword, maintenance, planning, retrieval, segmentation, summary, vector
 from marginalia.sources import captions, feeds
+from marginalia.store import Store
 from marginalia.streaming import landing
 
 
@@ -254,4 +255,4 @@ def test_ingest_and_stream(spark, tmp_path):
         landing.ingest_notes(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
         (tmp_path / "in" / f"again{n}.json").write_text(json.dumps({"title": "A", "text": "hello", "collection_id": None}) + "\n")
     landing.ingest_notes(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
-    assert spark.read.parquet(f"{tmp_path}/out/sources").count() == 1
+    assert Store(spark, f"{tmp_path}/out").table("sources").count() == 1
