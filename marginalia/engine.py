@@ -173,6 +173,25 @@ class KnowledgeEngine:
         self.store.commit(replaced=maintenance.delete_sources({n: self.store.table(n) for n in names}, gone, "source_id"))
         return True
 
+    # bundles
+
+    def export(self, path: str) -> None:
+        """All tables as a bundle whose files bear digests."""
+        settings = {"embedding_model": ingest.HASH_MODEL, "version": self.store.version()}
+        maintenance.export_bundle({n: self.store.table(n) for n in self.store.schemas}, path, settings)
+
+    def restore(self, path: str) -> dict[str, int]:
+        """Fill an empty corpus from a bundle after its digests are checked, in one commit; rows by table."""
+        if self.store.version() > 0:
+            raise ValueError("a bundle is restored into an empty corpus only")
+        tables = maintenance.import_bundle(self.spark, path)
+        unknown = sorted(set(tables) - set(self.store.schemas))
+        if unknown:
+            raise maintenance.BundleRefused(f"not tables of a corpus: {unknown}")
+        self.store.commit(tables)
+        self.sync_index()
+        return {n: rows.count() for n, rows in tables.items()}
+
     # listings
 
     def _source(self, source_id: str):

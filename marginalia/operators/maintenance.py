@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,25 +105,79 @@ def merged_metadata(left: Column, right: Column) -> Column:
     return F.to_json(F.map_concat(F.map_filter(a, lambda k, v: ~F.map_contains_key(b, k)), b))
 
 
-def export_bundle(tables: dict[str, DataFrame], path: str) -> None:
-    """Parquet for every table and a manifest of counts and schemas; never overwrites.
+class BundleRefused(ValueError):
+    """A bundle that is not what its manifest says, or beyond the limits."""
 
-    The manifest is written last, by Spark, so an unfinished bundle has none.
+
+class BundleLimits(NamedTuple):
+    """The most that a bundle may hold; a file's bytes are hashed as one row, which bounds them."""
+
+    file_bytes: int = 1 << 30
+    total_bytes: int = 1 << 50
+    files: int = 10_000_000
+
+    def check(self) -> None:
+        if any(type(x) is not int or x <= 0 for x in self) or self.file_bytes >= 1 << 31:
+            raise BundleRefused("limits are positive whole numbers, a file's below 2 GiB")
+
+
+_LISTING = "name string, bytes long, sha256 string"
+
+
+def _plain(name: str) -> bool:
+    """Is it a table's name: letters, digits and ``_``, and none that a bundle has for itself?"""
+    return re.fullmatch(r"[A-Za-z0-9]\w*", name, re.ASCII) is not None and name not in ("files", "manifest")
+
+
+def _listed(spark: SparkSession, path: str, hashed: bool) -> DataFrame:
+    """(name, bytes, sha256) of a bundle's data files, hashed where they lie, a file a row."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    name = F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)
+    return files.where(~F.startswith(name, F.lit("files/"))).select(name.alias("name"), F.col("length").alias("bytes"), (F.sha2("content", 256) if hashed else F.lit(None).cast("string")).alias("sha256"))
+
+
+def _within(files: DataFrame, limits: BundleLimits) -> dict:
+    """Number, bytes and digest of a file listing, which may be long; over a limit it is refused."""
+    limits.check()
+    seal = F.bit_xor(F.xxhash64("name", "bytes", "sha256"))
+    told = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.max("bytes").alias("most"), F.coalesce(seal, F.lit(0)).alias("seal")).first()
+    if (told.most or 0) > limits.file_bytes or told.bytes > limits.total_bytes or told.files > limits.files:
+        raise BundleRefused("files, bytes in all or bytes of a file are over the limits")
+    return {"files": told.files, "bytes": told.bytes, "seal": told.seal}
+
+
+def export_bundle(tables: dict[str, DataFrame], path: str, settings: dict | None = None, limits: BundleLimits = BundleLimits()) -> None:
+    """Parquet for every table, a listing of the files with their SHA-256, and a manifest; never overwrites.
+
+    The manifest (counts, schemas, ``settings``, a seal over the listing) is written last, by Spark, so an
+    unfinished bundle has none.  Names of tables are letters, digits
+    and ``_``.
     """
-    first = next(iter(tables.values()))
+    limits.check()
+    bad = [n for n in tables if not _plain(n)]
+    if bad or not tables:
+        raise BundleRefused(f"tables have plain names, not {bad}")
+    spark = next(iter(tables.values())).sparkSession
     entries = []
     for name, rows in sorted(tables.items()):
         rows.write.mode("errorifexists").parquet(f"{path}/{name}")
-        written = first.sparkSession.read.parquet(f"{path}/{name}")
-        entries.append({"table": name, "rows": written.count(), "schema": json.loads(rows.schema.json())})
-    manifest = json.dumps({"format": "marginalia-bundle", "format_version": 1, "tables": entries})
-    first.sparkSession.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/manifest")
+        entries.append({"table": name, "rows": spark.read.parquet(f"{path}/{name}").count(), "schema": json.loads(rows.schema.json())})
+    _within(_listed(spark, path, False), limits)  # before any file is read as one row
+    _listed(spark, path, True).write.mode("errorifexists").parquet(f"{path}/files")
+    sealed = _within(spark.read.schema(_LISTING).parquet(f"{path}/files"), limits)
+    manifest = json.dumps({"format": "marginalia-bundle", "format_version": 2, "settings": settings or {}, "tables": entries, **sealed})
+    spark.createDataFrame([(manifest,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{path}/manifest")
 
 
 def _manifest(spark: SparkSession, path: str) -> dict:
-    manifest = json.loads(spark.read.text(f"{path}/manifest", wholetext=True).first()[0])
-    if manifest.get("format") != "marginalia-bundle" or manifest.get("format_version") != 1:
-        raise ValueError("not a bundle of this format")
+    try:
+        manifest = json.loads(spark.read.text(f"{path}/manifest", wholetext=True).first()[0])
+    except json.JSONDecodeError as e:
+        raise BundleRefused("the manifest cannot be read") from e
+    if not isinstance(manifest, dict) or manifest.get("format") != "marginalia-bundle" or manifest.get("format_version") != 2:
+        raise BundleRefused("not a bundle of this format")
+    if not all(_plain(str(e.get("table"))) for e in manifest["tables"]):
+        raise BundleRefused("tables have plain names")
     return manifest
 
 
@@ -131,16 +187,39 @@ def inspect_bundle(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(entries, "table string, rows long, columns string")
 
 
+def bundle_problems(spark: SparkSession, path: str, limits: BundleLimits = BundleLimits()) -> DataFrame:
+    """(name, problem) of data files that are missing, added, of other bytes or of other content than listed.
+
+    The listing itself must bear the manifest's seal.  All files are read, in parallel.
+    """
+    told = _manifest(spark, path)
+    listing = spark.read.schema(_LISTING).parquet(f"{path}/files")
+    if _within(listing, limits) != {k: told.get(k) for k in ("files", "bytes", "seal")}:
+        raise BundleRefused("the listing of files is not the manifest's")
+    _within(_listed(spark, path, False), limits)  # what lies there, before it is read
+    now = _listed(spark, path, True).select("name", F.col("bytes").alias("now_bytes"), F.col("sha256").alias("now_sha"))
+    problem = (
+        F.when(F.col("now_bytes").isNull(), "missing")
+        .when(F.col("bytes").isNull(), "added")
+        .when(F.col("bytes") != F.col("now_bytes"), "other size")
+        .when(F.col("sha256") != F.col("now_sha"), "other content")
+    )
+    return listing.join(now, "name", "full").select("name", problem.alias("problem")).where("problem IS NOT NULL")
+
+
 def _kinds(schema: dict) -> list[tuple[str, str]]:
     return [(f["name"], json.dumps(f["type"], sort_keys=True)) for f in schema["fields"]]
 
 
-def import_bundle(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of a bundle after counts, names and types of columns are checked against its manifest."""
+def import_bundle(spark: SparkSession, path: str, limits: BundleLimits = BundleLimits()) -> dict[str, DataFrame]:
+    """The tables of a bundle after its files' digests, its counts, names and types of columns are checked against its manifest."""
+    bad = bundle_problems(spark, path, limits).orderBy("name").limit(5).collect()
+    if bad:
+        raise BundleRefused(", ".join(f"{r.name}: {r.problem}" for r in bad))
     out = {}
     for entry in _manifest(spark, path)["tables"]:
-        rows = spark.read.parquet(f"{path}/{entry['table']}")
-        if _kinds(entry["schema"]) != _kinds(json.loads(rows.schema.json())) or rows.count() != entry["rows"]:
-            raise ValueError(f"table {entry['table']} is not as the manifest says")
-        out[entry["table"]] = rows
+        stored = spark.read.parquet(f"{path}/{entry['table']}")
+        if _kinds(entry["schema"]) != _kinds(json.loads(stored.schema.json())) or stored.count() != entry["rows"]:
+            raise BundleRefused(f"table {entry['table']} is not as the manifest says")
+        out[entry["table"]] = stored
     return out

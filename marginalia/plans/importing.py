@@ -121,6 +121,19 @@ def import_loop_results(spark: SparkSession, d: str) -> DataFrame:
     return found.results.select("position", "guid", "status", "reason", F.col("source_id").isNotNull().alias("has_source"), "n_segments")
 
 
+@query
+def bundle_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and labels through a bundle whose files are hashed and checked: rows and a sum by table."""
+    path = f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    swept(spark, path)
+    maintenance.export_bundle({n: corpus.table(spark, d, n) for n in ("documents", "labels")}, path)
+    back = maintenance.import_bundle(spark, path)
+    told = maintenance.inspect_bundle(spark, path).select(F.col("table").alias("name"), "rows", "columns")
+    sums = back["documents"].agg(F.sum(F.length("text")).alias("total")).withColumn("name", F.lit("documents"))
+    sums = sums.unionByName(back["labels"].agg(F.sum("doc_id").alias("total")).withColumn("name", F.lit("labels")))
+    return told.join(sums, "name")
+
+
 @query
 def vector_index_search(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/units-{uuid.uuid4().hex}"

@@ -102,6 +102,8 @@ w AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS n, NULL::VARCHAR AS status, []::VAR
   FROM (SELECT s.i, s.n, s.title, s.url, w.had, w.counted, CASE WHEN w.counted >= 300 THEN 'not_reached' WHEN s.first IN ('imported', 'error') AND (list_contains(w.had, s.title) OR list_contains(w.had, s.url)) THEN 'skipped_existing' ELSE s.first END AS status FROM w JOIN s ON s.i = w.i + 1))
 SELECT n AS position, 'g' || n AS guid, status, CASE WHEN status = 'error' THEN CASE WHEN n % 11 = 2 THEN 'transcript could not be read' ELSE 'transcript has no segments' END WHEN status = 'skipped_incomplete' THEN 'statistics not complete' END AS reason,
   status IN ('imported', 'skipped_existing') AS has_source, CASE WHEN status = 'imported' THEN CASE WHEN n % 2 = 0 THEN 2 ELSE 1 END END AS n_segments FROM w WHERE i > 0""",
+        "bundle_round_trip": """SELECT 'documents' AS name, count(*) AS "rows", 'doc_id,text,lang,source,n_chars' AS columns, sum(length(text))::BIGINT AS total FROM documents
+UNION ALL SELECT 'labels', count(*), 'doc_id,quality,toxic', sum(doc_id)::BIGINT FROM labels""",
         "import_actions": """WITH a AS (SELECT doc_id AS position, 'g' || doc_id AS guid, CASE WHEN doc_id % 20 = 1 THEN 'skip_terminal' WHEN doc_id % 3 = 0 THEN 'missing_transcript' WHEN doc_id % 4 = 2 OR doc_id % 14 = 5 THEN 'skip_existing' ELSE 'import' END AS action FROM documents),
 f AS (SELECT position FROM a WHERE action IN ('skip_existing', 'import') ORDER BY position LIMIT 40)
 SELECT position, guid, CASE WHEN action IN ('skip_existing', 'import') AND position NOT IN (SELECT position FROM f) THEN 'later' ELSE action END AS action FROM a""",
