@@ -12,7 +12,11 @@ _CUES = "events array<struct<tStartMs:double,dDurationMs:double,aAppend:int,segs
 
 def vtt(files: DataFrame) -> DataFrame:
     """(file, idx, start_ms, end_ms, body) of VTT texts (file, content); cues without text go."""
-    blocks = files.select("file", F.posexplode(F.split("content", r"\r?\n[ \t]*\r?\n")).alias("n", "block"))
+    return vtt_blocks(files.select("file", F.posexplode(F.split("content", r"\r?\n[ \t]*\r?\n")).alias("n", "block")))
+
+
+def vtt_blocks(blocks: DataFrame) -> DataFrame:
+    """The same of blocks (file, n, block) between blank lines."""
     timing = F.regexp_extract("block", r"([\d:.,]+)[ \t]+-->[ \t]+([\d:.,]+)", 0)
     start = timestamp_ms(F.regexp_extract("block", r"([\d:.,]+)[ \t]+-->", 1))
     end = timestamp_ms(F.regexp_extract("block", r"-->[ \t]+([\d:.,]+)", 1))

@@ -34,10 +34,14 @@ def episodes(feeds: DataFrame) -> DataFrame:
     """
     body = F.regexp_replace("content", r"^\s*<\?xml[^>]*\?>", "")
     items = F.regexp_extract_all(body, F.lit(r"(?s)(<item\b[^>]*>.*?</item>)"), F.lit(1))
+    return episodes_of(feeds.select("feed", F.posexplode(items).alias("n", "raw")))
+
+
+def episodes_of(items: DataFrame) -> DataFrame:
+    """The same of items (feed, n, raw) as they stand in a feed."""
     # each item is parsed alone; the namespaces that its names use are declared for it
     head = '<item xmlns:itunes="i" xmlns:podcast="p" xmlns:content="c" xmlns:atom="a" xmlns:media="m" xmlns:dc="d">'
-    rows = feeds.select("feed", F.posexplode(items).alias("n", "raw"))
-    rows = rows.select("feed", "n", F.from_xml(F.regexp_replace("raw", r"^<item\b[^>]*>", head), _ITEM).alias("i"))
+    rows = items.select("feed", "n", F.from_xml(F.regexp_replace("raw", r"^<item\b[^>]*>", head), _ITEM).alias("i"))
 
     def text(name: str):
         return F.nullif(F.trim(F.col(f"i.`{name}`")), F.lit(""))
