@@ -13,7 +13,7 @@ from ..runtime import shared_dir, swept
 from ..operators.blockindex import BlockIndex
 from ..operators.reembed import Reembedding
 from ..operators.replacing import ImportedSources
-from ..sources import captions, corpus, feeds
+from ..sources import captions, corpus, feeds, readers
 from .catalog import QUERY, QUERY_VECTOR, _vector_of, query
 
 
@@ -134,6 +134,22 @@ def bundle_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return told.join(sums, "name")
 
 
+@query
+def caption_folder(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations written as caption files, fifty to a file, and read back by the data source."""
+    path = f"{shared_dir(spark)}/captions-{uuid.uuid4().hex}"
+    swept(spark, path)
+    at = F.col("turn") * 4
+    time = F.concat(F.lpad(F.floor(at / 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((at % 60).cast("string"), 2, "0"))
+    rows = corpus.table(spark, d, "conversations").where("conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL").withColumn("folder", F.expr("conv_id DIV 50"))
+    block = F.concat(time, F.lit(".000 --> "), time, F.lit(".900\n"), F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit("\n"))
+    ordered = rows.repartition("folder").sortWithinPartitions("folder", "conv_id", "turn", "role", "text")
+    ordered.select("folder", block.alias("value")).write.partitionBy("folder").text(path)
+    found = readers.units(spark, path, "vtt", ending=".txt")
+    cues = readers.vtt_cues(found).unionByName(readers.errors(found).select("file", F.lit(0).alias("idx"), F.lit(None).cast("long").alias("start_ms"), F.lit(None).cast("long").alias("end_ms"), F.col("error").alias("body")))
+    return cues.select(F.regexp_extract("file", r"folder=(\d+)", 1).cast("long").alias("folder"), "idx", "start_ms", F.length("body").alias("n_chars"))
+
+
 @query
 def vector_index_search(spark: SparkSession, d: str) -> DataFrame:
     path = f"{shared_dir(spark)}/units-{uuid.uuid4().hex}"

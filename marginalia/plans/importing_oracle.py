@@ -104,6 +104,8 @@ SELECT n AS position, 'g' || n AS guid, status, CASE WHEN status = 'error' THEN
   status IN ('imported', 'skipped_existing') AS has_source, CASE WHEN status = 'imported' THEN CASE WHEN n % 2 = 0 THEN 2 ELSE 1 END END AS n_segments FROM w WHERE i > 0""",
         "bundle_round_trip": """SELECT 'documents' AS name, count(*) AS "rows", 'doc_id,text,lang,source,n_chars' AS columns, sum(length(text))::BIGINT AS total FROM documents
 UNION ALL SELECT 'labels', count(*), 'doc_id,quality,toxic', sum(doc_id)::BIGINT FROM labels""",
+        "caption_folder": r"""WITH c AS (SELECT conv_id // 50 AS folder, conv_id, turn, role, text, trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL)
+SELECT folder, row_number() OVER (PARTITION BY folder ORDER BY conv_id, turn, role, text) AS idx, turn * 4000 AS start_ms, length(body) AS n_chars FROM c WHERE body <> ''""",
         "import_actions": """WITH a AS (SELECT doc_id AS position, 'g' || doc_id AS guid, CASE WHEN doc_id % 20 = 1 THEN 'skip_terminal' WHEN doc_id % 3 = 0 THEN 'missing_transcript' WHEN doc_id % 4 = 2 OR doc_id % 14 = 5 THEN 'skip_existing' ELSE 'import' END AS action FROM documents),
 f AS (SELECT position FROM a WHERE action IN ('skip_existing', 'import') ORDER BY position LIMIT 40)
 SELECT position, guid, CASE WHEN action IN ('skip_existing', 'import') AND position NOT IN (SELECT position FROM f) THEN 'later' ELSE action END AS action FROM a""",

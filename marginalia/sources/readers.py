@@ -94,8 +94,8 @@ class _Files(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, folder: str, kind: str, task: int) -> None:
-        self.folder, self.kind, self.task, self.only = folder, kind, task, None
+    def __init__(self, folder: str, kind: str, task: int, endings: tuple[str, ...]) -> None:
+        self.folder, self.kind, self.task, self.endings, self.only = folder, kind, task, endings, None
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         for f in filters:
@@ -107,7 +107,7 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         store, root = fs.FileSystem.from_uri(self.folder)
         found = store.get_file_info(fs.FileSelector(root, recursive=True))
-        files = sorted((f.path[len(root) :].lstrip("/"), f.size or 0) for f in found if f.is_file and f.path.lower().endswith(_ENDINGS[self.kind]))
+        files = sorted((f.path[len(root) :].lstrip("/"), f.size or 0) for f in found if f.is_file and f.path.lower().endswith(self.endings))
         out, group, size = [], [], 0
         for name, n in files:
             if self.only is not None and name not in self.only:
@@ -133,7 +133,7 @@ class _Reader(DataSourceReader):
 
 
 class Units(DataSource):
-    """Options: path, kind (vtt, rss or json), taskBytes."""
+    """Options: path, kind (vtt, rss or json), taskBytes, ending (of file names, instead of the kind's own)."""
 
     @classmethod
     def name(cls) -> str:
@@ -146,14 +146,15 @@ class Units(DataSource):
         kind = self.options.get("kind", "")
         if kind not in _CUTTERS:
             raise ValueError(f"kind is one of {', '.join(_CUTTERS)}")
-        return _Reader(self.options["path"], kind, int(self.options.get("taskBytes", TASK)))
+        ending = self.options.get("ending", "").lower()
+        return _Reader(self.options["path"], kind, int(self.options.get("taskBytes", TASK)), (ending,) if ending else _ENDINGS[kind])
 
 
-def units(spark: SparkSession, folder: str, kind: str, task: int = TASK) -> DataFrame:
+def units(spark: SparkSession, folder: str, kind: str, task: int = TASK, ending: str = "") -> DataFrame:
     """The units of a folder's files of that kind; a filter on ``file`` keeps other files from being opened."""
     spark.dataSource.register(Units)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    return spark.read.format(FORMAT).option("kind", kind).option("taskBytes", str(task)).load(folder)
+    return spark.read.format(FORMAT).option("kind", kind).option("taskBytes", str(task)).option("ending", ending).load(folder)
 
 
 def errors(found: DataFrame) -> DataFrame:
