@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import small_batches
+from ..runtime import ARROW_BYTES, ARROW_ROWS, small_batches
 
 
 def strip(text: Column) -> Column:
@@ -217,33 +219,71 @@ class Windows:
         return min(int(np.searchsorted(self.place, self.place[begin] - 1 - self.overlap, "left")), begin - 1)
 
 
+def windowed(units: Iterable[tuple[int | None, str]], target: int, most: int, overlap: int) -> Iterator[tuple]:
+    """(start, body, overlap_chars) of the windows over one transcript's (start, text), as they come.
+
+    A boundary depends on the units up to ``most`` characters on, so what is held is one window's
+    units, one more, and those that the next window repeats.
+    """
+    held: list[tuple[int | None, str]] = []
+    back = own = 0  # units repeated from before, and characters of the others
+
+    def cut() -> tuple:
+        nonlocal back, own
+        whole = Windows([t for _, t in held], target, most, overlap)
+        stop = whole.end(back)
+        row = held[back][0], " ".join(t for _, t in held[:stop]), int(whole.place[back])
+        first = whole.overlap_from(stop)
+        own -= int(whole.place[stop] - whole.place[back])
+        del held[:first]
+        back = stop - first
+        return row
+
+    for start, text in units:
+        held.append((start, text))
+        own += len(text) + 1
+        while own - 1 > most and len(held) - back > 1:
+            yield cut()
+    while len(held) > back:
+        yield cut()
+
+
 def overlapping(segments: DataFrame, target: int = 1800, most: int = 2400, overlap: int = 250) -> DataFrame:
     """(source, chunk, start_ms, body, overlap_chars) of segments (source, idx, start_ms, text).
 
     A transcript is cut into windows near ``target`` characters, at sentence ends where
     possible; each repeats the end of the one before.  start_ms is that of the first word
     (``word_ms``, if the segments have it) of the window's own part, else of its segment.
-    The choice of a boundary looks back and ahead, which is why this one runs on a group of
-    Pandas rows, one transcript each.  Blank segments are left out.
+    The choice of a boundary looks back and ahead, so segments stream through a task in the order of
+    Spark's sort; it holds a batch and a window, however long a transcript is.  Blank segments are left out.
     """
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx")
-        text = rows["text"].fillna("").str.split().str.join(" ")
-        rows, text = rows[text != ""], text[text != ""].tolist()
-        out, begin = [], 0
-        starts, windows = rows["at"].tolist(), Windows(text, target, most, overlap)
-        while begin < len(text):
-            stop, first = windows.end(begin), windows.overlap_from(begin)
-            out.append((rows["source"].iloc[0], len(out), starts[begin], " ".join(text[first:stop]), int(windows.place[begin] - windows.place[first])))
-            begin = stop
-        return pd.DataFrame(out, columns=["source", "chunk", "start_ms", "body", "overlap_chars"])
-
+    def spoken(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for source, at, text in zip(*(b.column(c).to_pylist() for c in ("source", "at", "text"))):
+                text = " ".join((text or "").split())
+                if text:
+                    yield source, at, text
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for source, rows in groupby(spoken(batches), lambda r: r[0]):
+            for chunk, (at, body, repeated) in enumerate(windowed((r[1:] for r in rows), target, most, overlap)):
+                out.append((source, chunk, at, body, repeated))
+                size += len(body)
+                if len(out) == ARROW_ROWS or size > ARROW_BYTES // 4:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                    out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    names = ["source", "chunk", "start_ms", "body", "overlap_chars"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()]
     small_batches(segments.sparkSession)
     at = F.coalesce("word_ms", "start_ms") if "word_ms" in segments.columns else F.col("start_ms")
-    return segments.select("source", "idx", at.alias("at"), "text").groupBy("source").applyInPandas(
-        run, "source long, chunk long, start_ms long, body string, overlap_chars long"
-    )
+    rows = segments.select(F.col("source").cast("long").alias("source"), "idx", at.cast("long").alias("at"), "text")
+    dealt = rows.repartition("source").sortWithinPartitions("source", F.col("idx").asc_nulls_last(), "at", "text")
+    return dealt.mapInArrow(run, "source long, chunk long, start_ms long, body string, overlap_chars long")
 
 
 def nearest(anchors: DataFrame, words: DataFrame, tolerance: int = 1000) -> DataFrame:

@@ -154,6 +154,38 @@ def test_windows_follow_their_rules():
             assert held.overlap_from(begin) == _back(units, begin, overlap)
 
 
+def test_streamed_windows_are_those_of_whole_transcripts(monkeypatch):
+    rnd, most_held = random.Random(2), 0
+    whole = segmentation.Windows
+
+    class Watched(whole):
+        def __init__(self, units, *args):
+            nonlocal most_held
+            most_held = max(most_held, len(units))
+            super().__init__(units, *args)
+
+    for _ in range(300):
+        units = ["x" * rnd.choice([1, 3, 20, 90, 300, 900]) + rnd.choice(["", "", ".", "?'", ","]) for _ in range(rnd.randrange(0, 60))]
+        target, most, overlap = rnd.choice([(100, 150, 30), (450, 600, 80), (1800, 2400, 250), (700, 700, 0), (100, 150, 5000)])
+        held, want, begin = whole(units, target, most, overlap), [], 0
+        while begin < len(units):
+            stop, first = held.end(begin), held.overlap_from(begin)
+            want.append((begin, " ".join(units[first:stop]), int(held.place[begin] - held.place[first])))
+            begin = stop
+        assert list(segmentation.windowed(enumerate(units), target, most, overlap)) == want
+    monkeypatch.setattr(segmentation, "Windows", Watched)
+    assert len(list(segmentation.windowed(((i, f"sentence number {i} ends here.") for i in range(20_000)), 450, 600, 80))) > 1000
+    assert most_held < 40
+
+
+def test_overlapping_edges(spark):
+    kind = "source long, idx long, start_ms long, text string"
+    assert segmentation.overlapping(spark.createDataFrame([], kind)).count() == 0
+    rows = [(None, 0, 5, "no source."), (1, None, 9, "last of one."), (1, 0, None, "first of one."), (2, 0, 0, None), (3, 1, 1, "same."), (3, 1, 1, "same.")]
+    got = segmentation.overlapping(spark.createDataFrame(rows, kind), 450, 600, 40).collect()
+    assert {(r.source, r.chunk, r.start_ms, r.body) for r in got} == {(None, 0, 5, "no source."), (1, 0, None, "first of one. last of one."), (3, 0, 1, "same. same.")}
+
+
 def test_sentence_ends(spark):
     texts = ["a.", "a. ", "a?'", "a!\"", "a.”", "a?”", "a,", "", "a.’", "a.'\u00a0"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(segmentation.ends_sentence(F.col("t")).alias("e")).collect()
