@@ -42,6 +42,15 @@ def test_url_query(spark):
         url_filter.HostPathTrie([("maybe", "a", "/")])
 
 
+def test_url_rules_are_the_contracts():
+    trie = url_filter.HostPathTrie(queries.URL_RULES)
+    want = {
+        ("a.com", "/en/1"): ("com/en/", "block"), ("example.com", "/en/71"): ("example.com/en/7", "allow"), ("x.net", "/de/1"): ("net/de/", "allow"),
+        ("www.example.net", "/de/8"): ("example.net/de/8", "block"), ("org", "/es/"): ("org/es/", "block"),
+    }
+    assert {at: trie.match(*at) for at in want} == want
+
+
 def sentences(n, seed):
     rnd = random.Random(seed)
     bad, groups = ["awful", "wretch", "vermin"], ["women", "men", "muslim", "christian"]
