@@ -19,11 +19,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25_term, idf, tokenize, tokens_of
-from ..runtime import parallelism, small_batches
+from ..runtime import lean, parallelism, small_batches
 from .topk import Best
 
-#: Buckets of the postings, one folder each.
-BUCKETS = 64
+#: Buckets of the postings, one folder each, and parts that a bucket is dealt to; the bucket of all chunks' lengths.
+BUCKETS, STRIPES, DOCS = 64, 8, -1
+
+#: Tokens of the chunks that share blocks, from which on no more chunks are added, and blocks in one Arrow batch.
+STRETCH, BLOCK_ROWS = 2_000_000, 8192
+
+_ENTRIES = "entries array<struct<doc_id:bigint,dl:int,tf:int>>"
 
 #: Seconds for which an open index is taken as current without a look at the pointer.
 TTL = 30.0
@@ -60,22 +65,56 @@ def _bucket(token: Column, buckets: int) -> Column:
 def build_keywords(chunks: DataFrame, path: str, buckets: int = BUCKETS) -> str:
     """Write the postings of ``chunks`` (doc_id, text) and make them current.
 
-    Postings are dealt by ranges of (bucket, token, doc_id): a stop word's postings go to many
-    files.  Every chunk is in ``docs`` with its length, those without tokens too.
+    A row is a block: a token and its entries (doc_id, length, count) in one stretch of chunks.  Blocks
+    are dealt by bucket and stripe, so a stop word's lie in several files.  The blocks without a token, in bucket
+    ``DOCS``, have every chunk with its length, those without tokens too.
     """
     spark = chunks.sparkSession
+    small_batches(spark)
     generation = uuid.uuid4().hex
-    toks = chunks.select("doc_id", F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("toks"))
-    each = toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("token")).groupBy("token", "doc_id", "dl").agg(F.count("*").cast("int").alias("tf"))
-    each = each.withColumn("bucket", _bucket(F.col("token"), buckets))
-    order = ["bucket", "token", "doc_id"]
-    each.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order).write.partitionBy("bucket").parquet(f"{path}/{generation}/postings")
-    toks.select("doc_id", F.size("toks").alias("dl")).write.parquet(f"{path}/{generation}/docs")
+    toks = chunks.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(tokenize(F.col("text")), F.array().cast("array<string>")).alias("toks"))
+    blocks = toks.mapInArrow(lean(_blocks), f"token string, {_ENTRIES}")
+    blocks = blocks.withColumn("bucket", F.when(F.col("token").isNull(), DOCS).otherwise(_bucket(F.col("token"), buckets)))
+    first = F.col("entries")[0]["doc_id"]
+    dealt = blocks.repartition(parallelism(spark), "bucket", F.pmod(F.xxhash64(first), F.lit(STRIPES)))
+    dealt.sortWithinPartitions("bucket", "token", first).write.partitionBy("bucket").parquet(f"{path}/{generation}/postings")
     spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.parquet(f"{path}/{generation}/layout")
     publish(spark, path, generation)
     return generation
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, toks) to posting blocks; chunks are put together up to ``STRETCH`` tokens."""
+    held, many = [], 0
+    for batch in batches:
+        held.append(batch)
+        many += len(batch.column(1).flatten())
+        if many >= STRETCH:
+            yield from _posted(held)
+            held, many = [], 0
+    if held:
+        yield from _posted(held)
+
+
+def _posted(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    docs = pa.concat_arrays([b.column(0) for b in held])
+    dl = np.concatenate([b.column(1).value_lengths().to_numpy() for b in held]).astype(np.int64)
+    coded = pa.concat_arrays([b.column(1).flatten() for b in held]).dictionary_encode()
+    key, tf = np.unique(coded.indices.to_numpy().astype(np.int64) * len(dl) + np.repeat(np.arange(len(dl)), dl), return_counts=True)
+    code, row = key // len(dl), key % len(dl)
+    yield _lists(pa.nulls(1, pa.string()), np.array([0, len(dl)]), docs, dl, np.zeros(len(dl)))
+    begins = np.searchsorted(code, np.arange(len(coded.dictionary) + 1))
+    for i in range(0, len(begins) - 1, BLOCK_ROWS):
+        some = begins[i : i + BLOCK_ROWS + 1]
+        at = row[some[0] : some[-1]]
+        yield _lists(coded.dictionary[i : i + BLOCK_ROWS], some - some[0], docs.take(pa.array(at)), dl[at], tf[some[0] : some[-1]])
+
+
+def _lists(tokens: pa.Array, offsets: np.ndarray, docs: pa.Array, dl: np.ndarray, tf: np.ndarray) -> pa.RecordBatch:
+    entries = pa.StructArray.from_arrays([docs, pa.array(dl.astype(np.int32)), pa.array(tf.astype(np.int32))], names=["doc_id", "dl", "tf"])
+    return pa.RecordBatch.from_arrays([tokens, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), entries)], names=["token", "entries"])
+
+
 class KeywordIndex:
     """An open index; it looks for a newer generation once its time to live has passed."""
 
@@ -93,16 +132,18 @@ class KeywordIndex:
             return False
         self.folder = folder
         self.buckets = self.spark.read.parquet(f"{folder}/layout").first().buckets
-        self.postings = self.spark.read.schema("token string, doc_id long, dl int, tf int, bucket int").parquet(f"{folder}/postings")
-        self.docs = self.spark.read.schema("doc_id long, dl int").parquet(f"{folder}/docs")
+        blocks = self.spark.read.schema(f"token string, {_ENTRIES}, bucket int").parquet(f"{folder}/postings")
+        self.postings = blocks.where(F.col("bucket") != DOCS).select("token", F.inline("entries"), "bucket")
+        self.docs = blocks.where(F.col("bucket") == DOCS).select(F.inline("entries")).drop("tf")
         row = self.docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
         self.n, self.avgdl = row.n, row.avgdl or 0.0
         return True
 
     def of(self, tokens: list[str]) -> DataFrame:
-        """The postings of some tokens: folders and row groups of others are not read."""
+        """The postings of some tokens, by document: folders and row groups of others are not read."""
         buckets = [_bucket(F.lit(t), self.buckets) for t in tokens]
-        return self.postings.where(F.col("bucket").isin(*buckets) & F.col("token").isin(*tokens)).drop("bucket")
+        rows = self.postings.where(F.col("bucket").isin(*buckets) & F.col("token").isin(*tokens)).repartition("doc_id")
+        return rows.groupBy("token", "doc_id", "dl").agg(F.sum("tf").cast("int").alias("tf"))
 
     def search(self, query: str, limit: int = 10, sources: DataFrame | None = None, scope: str = "global", formula: str = "scan") -> DataFrame:
         """(doc_id, score) of the best chunks for a query.

@@ -70,6 +70,16 @@ def test_the_index_ranks_as_the_scan_does(spark, corpus, opened):
     assert a == b
 
 
+def test_a_token_of_many_chunks_is_stored_as_a_block(spark, corpus, tmp_path):
+    path = f"file://{tmp_path}/k"
+    index.build_keywords(spark.createDataFrame(corpus, "doc_id long, text string").coalesce(1), path, 8)
+    held = index.KeywordIndex(spark, path)
+    times = {(t, i): n for i, text in corpus for t, n in Counter(re.findall(r"\w+", (text or "").lower())).items()}
+    stored = spark.read.parquet(f"{held.folder}/postings")
+    assert stored.count() == len({t for t, _ in times}) + 1 and held.docs.count() == len(corpus)
+    assert {(r.token, r.doc_id): r.tf for r in held.postings.collect()} == times
+
+
 def test_a_query_reads_its_own_buckets(opened):
     plan = opened.of(["w3"])._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [(bucket" in plan
