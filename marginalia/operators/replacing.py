@@ -2,7 +2,7 @@
 
 Sources and their chunks are two Parquet tables, partitioned by a bucket of the item's identity, so an item's rows
 lie in one bucket of each.  A replacement validates everything first and then takes three steps, each a dynamic
-overwrite of the buckets concerned: the new chunks beside the old ones, then the sources, then the old chunks out.
+overwrite of the buckets concerned but the first: the new chunks beside the old ones in files of their own, then the sources, then the old chunks out.
 Readers join chunks with sources, so they see an item change with the second step alone.  A
 run that ended anywhere is told by what the tables hold: ``outcome`` says so and ``resolve`` ends it.
 """
@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import BROADCAST_ROWS, checked_broadcast, materialise
 
 #: Buckets of both tables.
 BUCKETS = 64
@@ -44,9 +44,12 @@ class ImportedSources:
     def sources(self) -> DataFrame:
         return self._read("sources")
 
-    def chunks(self) -> DataFrame:
-        """Chunks of the sources that are there."""
-        return self._read("chunks").join(self.sources().select("source_id"), "source_id", "left_semi")
+    def chunks(self, *columns: Column | str) -> DataFrame:
+        """Chunks of the sources that are there; with ``columns``, these of them alone, worked out before texts could be shuffled."""
+        rows = self._read("chunks")
+        if columns:
+            rows = rows.select("source_id", *columns)
+        return rows.join(self.sources().select("source_id"), "source_id", "left_semi")
 
     def _item(self, row: str = "") -> Column:
         return F.col(f"{row}{self.keys[0]}").cast("string")
@@ -84,10 +87,13 @@ class ImportedSources:
         )
         return rows.select("item", action.alias("action"), "source_id")
 
+    def _write(self, name: str, rows: DataFrame, mode: str) -> None:
+        dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "item")
+        dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
+
     def _overwrite(self, name: str, rows: DataFrame) -> None:
         """Write the buckets of ``rows`` and leave the others' files as they are; ``rows`` is a written table."""
-        dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "item")
-        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        self._write(name, rows, "overwrite")
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64("item"), F.lit(self.buckets)).cast("int")
@@ -99,11 +105,9 @@ class ImportedSources:
         if bad:
             raise ImportRefused(", ".join(f"{n} {a}" for a, n in sorted(bad.items())))
         todo = plan.where("action IN ('insert', 'replace')").select("item", F.col("source_id").alias("old"))
-        # new identifiers by rule: a run that is repeated makes the same ones
-        named = F.concat(F.lit("src_"), F.substring(F.sha2(F.concat_ws("|", "item", F.lit(import_id)), 256), 1, 32))
-        todo = materialise(todo.withColumn("source_id", named).withColumn("bucket", self._bucket()), "import-todo")
+        todo = materialise(todo.withColumn("source_id", self._named(import_id)).withColumn("bucket", self._bucket()), "import-todo")
         touched = todo.select("bucket").distinct()
-        fresh = chunks.join(todo.select("item", "source_id", "bucket"), "item")
+        fresh = self._of(chunks, todo).withColumns({"source_id": self._named(import_id), "bucket": self._bucket()})
         fresh = fresh.select("source_id", "item", F.col("chunk_index").cast("int").alias("chunk_index"), "text", F.lit(import_id).alias("import_id"), "bucket")
         self._prepare(fresh, touched)
         head = items.withColumn("item", self._item()).join(todo.select("item", "source_id", "bucket"), "item")
@@ -112,23 +116,55 @@ class ImportedSources:
         self._clean(touched)
         return plan.select("item", "action")
 
+    def _named(self, import_id: str) -> Column:
+        """New identifiers by rule: a run that is repeated makes the same ones."""
+        return F.concat(F.lit("src_"), F.substring(F.sha2(F.concat_ws("|", "item", F.lit(import_id)), 256), 1, 32))
+
+    def _of(self, chunks: DataFrame, todo: DataFrame) -> DataFrame:
+        """The chunks of the items to do; their texts are shuffled for that only if there are many other items."""
+        others = materialise(chunks.select("item").distinct().join(todo.select("item"), "item", "left_anti"), "import-others")
+        n = others.count()
+        if not n:
+            return chunks.where("item IS NOT NULL")
+        if n <= BROADCAST_ROWS:
+            return chunks.where("item IS NOT NULL").join(F.broadcast(others), "item", "left_anti")
+        return chunks.join(todo.select("item"), "item", "left_semi")
+
     def _prepare(self, fresh: DataFrame, touched: DataFrame) -> None:
-        held = self._read("chunks").join(touched, "bucket", "left_semi").join(fresh.select("source_id").distinct(), "source_id", "left_anti")
-        self._overwrite("chunks", materialise(held.unionByName(fresh), "import-chunks"))
+        """The new chunks go into files beside the old ones; what a run that was cut off left of the same ones goes first."""
+        held = self._read("chunks")
+        left = materialise(held.join(touched, "bucket", "left_semi").select("source_id").distinct().join(fresh.select("source_id").distinct(), "source_id", "left_semi"), "import-left")
+        self._without(left)
+        self._write("chunks", fresh, "append")
 
     def _switch(self, head: DataFrame, todo: DataFrame, touched: DataFrame) -> None:
         held = self.sources().join(touched, "bucket", "left_semi").join(todo.select(F.col("old").alias("source_id")).unionByName(todo.select("source_id")), "source_id", "left_anti")
         self._overwrite("sources", materialise(held.unionByName(head), "import-sources"))
 
     def _clean(self, touched: DataFrame) -> None:
-        """Chunks without a source go from the buckets touched; of a bucket that they fill, an empty row remains to be overwritten."""
-        held = self._read("chunks").join(touched, "bucket", "left_semi")
-        kept = materialise(held.join(self.sources().select("source_id"), "source_id", "left_semi"), "import-kept")
-        self._overwrite("chunks", kept)
-        bare = touched.join(kept.select("bucket").distinct(), "bucket", "left_anti")
-        if not bare.isEmpty():
-            marks = bare.select(F.lit(None).cast("string").alias("source_id"), F.lit(None).cast("string").alias("item"), F.lit(0).alias("chunk_index"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("import_id"), "bucket")
-            self._overwrite("chunks", materialise(marks, "import-bare"))
+        """Chunks without a source go from the buckets touched."""
+        held = self._read("chunks").join(touched, "bucket", "left_semi").where("source_id IS NOT NULL").select("source_id").distinct()
+        self._without(materialise(held.join(self.sources().select("source_id"), "source_id", "left_anti"), "import-loose"))
+
+    def _without(self, gone: DataFrame) -> None:
+        """Take the chunks of the sources ``gone`` (source_id), a written table, out of the buckets that have any.
+
+        A bucket's rows are read where they lie and written as its new files, which take the place of
+        the old ones when all are there, so texts are neither shuffled nor written twice; of a
+        bucket without other rows, an empty row remains to be overwritten.
+        """
+        if gone.isEmpty():
+            return
+        gone, chunks = checked_broadcast(gone), self._read("chunks")
+        many = materialise(chunks.select("source_id", "bucket").join(gone.withColumn("gone", F.lit(True)), "source_id", "left").groupBy("bucket").agg(F.count("gone").alias("gone"), F.count("*").alias("n")), "import-buckets")
+        # a row for each bucket
+        hit = [r for r in many.where("gone > 0").collect()]
+        kept = chunks.where(F.col("bucket").isin(*[r.bucket for r in hit])).join(gone, "source_id", "left_anti").select(*chunks.columns)
+        bare = [(r.bucket,) for r in hit if r.gone == r.n]
+        if bare:
+            empty = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "chunk_index" else F.lit(0).alias(f.name) for f in chunks.schema.fields if f.name != "bucket"]
+            kept = kept.unionByName(self.spark.createDataFrame(bare, "bucket int").select(*empty, "bucket"))
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/chunks")
 
     def outcome(self, import_id: str) -> str:
         """What became of a run: succeeded (sources are there), prepared (only chunks are) or none; partly, if some chunks have no source."""

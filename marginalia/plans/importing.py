@@ -99,8 +99,8 @@ def replaced_sources(spark: SparkSession, d: str) -> DataFrame:
     later = docs.where(F.col("guid").cast("long") % 10 == 3)
     held.run(*part(docs.where(F.col("guid").cast("long") % 20 != 3), F.col("text")), 1, "first")
     done = held.run(*part(later, F.concat("text", F.lit(" (revised)"))), 2, "second")
-    rows = held.sources().join(held.chunks().select("source_id", "text"), "source_id").join(done, "item", "left")
-    return rows.select("item", "version", F.coalesce("action", F.lit("left")).alias("action"), F.length("text").alias("n_chars"))
+    rows = held.sources().join(held.chunks(F.length("text").alias("n_chars")), "source_id").join(done, "item", "left")
+    return rows.select("item", "version", F.coalesce("action", F.lit("left")).alias("action"), "n_chars")
 
 
 @query

@@ -49,6 +49,20 @@ def test_only_changed_buckets_are_written(spark, tmp_path):
     assert store._read("chunks").where("source_id IS NOT NULL").count() == len(want)
 
 
+def test_new_items_leave_the_files_of_others(spark, tmp_path):
+    """An import that takes nothing out adds files, and writes no chunk that is there again; a rerun adds no chunk twice."""
+    store = ImportedSources(spark, f"file://{tmp_path}/s", KEYS, 2)
+    store.run(items(spark, range(6)), chunks(spark, range(6)), 1, "a")
+    before = {f for f in files(f"{tmp_path}/s") if "/chunks/" in f}
+    store._switch = lambda *_: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError, match="lost"):
+        store.run(items(spark, [7, 8]), chunks(spark, [7, 8, 9]), 1, "b")
+    assert before < files(f"{tmp_path}/s")
+    store = ImportedSources(spark, f"file://{tmp_path}/s", KEYS, 2)
+    store.run(items(spark, [7, 8]), chunks(spark, [7, 8, 9]), 1, "b")
+    assert store._read("chunks").count() == len(texts(store)) == sum(1 + i % 3 for i in (0, 1, 2, 3, 4, 5, 7, 8))
+
+
 def test_refusals_write_nothing(spark, tmp_path):
     store = ImportedSources(spark, f"file://{tmp_path}/s", KEYS, 4)
     store.run(items(spark, range(4)), chunks(spark, range(4)), 1, "a")
