@@ -18,6 +18,9 @@ SCRIPTS = [
     ("latin", r"A-Za-z\x{00C0}-\x{00D6}\x{00D8}-\x{00F6}\x{00F8}-\x{024F}"),
 ]
 
+#: The range that holds all scripts but Latin, and those without spaces between words.
+_FAR = r"[\x{0400}-\x{D7AF}]"
+
 # ... and the words that tell languages of Latin script apart, in order of precedence.
 STOP_WORDS = {
     "en": "the a an and or of to in on for is are what does do say says said about that this with from by as it its was were be been has have had not but if so we you they he she who which when where why how",
@@ -57,16 +60,19 @@ def detect(text: Column) -> Column:
         def ranked(count) -> Column:
             return F.array_max(F.array(*[F.struct(count(code, letters).alias("n"), F.lit(-i).alias("order"), F.lit(code).alias("code")) for i, (code, letters) in enumerate(SCRIPTS)]))
 
-        # one look at most texts shows that they have letters of no other script
-        best = F.when(sample.rlike(f"[{others}]"), ranked(lambda _, letters: letters_of(letters))).otherwise(
-            ranked(lambda code, letters: letters_of(letters) if code == "latin" else F.lit(0))
-        )
-        return _bind(best, lambda found: decide(sample, found))
+        # one look at most texts shows that they have letters of no other script: all those are in one range
+        def known(far: Column) -> Column:
+            best = F.when(far & sample.rlike(f"[{others}]"), ranked(lambda _, letters: letters_of(letters))).otherwise(
+                ranked(lambda code, letters: letters_of(letters) if code == "latin" else F.lit(0))
+            )
+            return _bind(best, lambda found: decide(sample, found, far))
+
+        return _bind(sample.rlike(_FAR), known)
 
-    def decide(sample: Column, best: Column) -> Column:
+    def decide(sample: Column, best: Column, far: Column) -> Column:
         dense = F.least(F.lit(1.0), best["n"] / F.greatest(F.lit(20), F.length(sample)))
         other = F.struct(best["code"].alias("language"), dense.alias("confidence"))
-        latin = _bind(tokenize(sample), lambda words: of_words(words, dense))
+        latin = _bind(tokenize(sample, far), lambda words: of_words(words, dense))
         return F.when((F.length(sample) == 0) | (best["n"] == 0), none).when(best["code"] == "latin", latin).otherwise(other)
 
     def of_words(words: Column, dense: Column) -> Column:
@@ -93,4 +99,5 @@ def detect(text: Column) -> Column:
 
 def tagged(found: Column) -> Column:
     """The language of ``detect``, null below the confidence that tagging asks for."""
-    return F.when(found["confidence"] >= TAGGED_FROM, found["language"])
+    # bound, as the text would else be looked at twice
+    return _bind(found, lambda d: F.when(d["confidence"] >= TAGGED_FROM, d["language"]))

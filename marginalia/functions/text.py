@@ -33,18 +33,19 @@ SYNONYMS = {
 }
 
 
-def tokenize(text: Column) -> Column:
+def tokenize(text: Column, maybe: Column | None = None) -> Column:
     """Runs of letters and digits, lower-cased; runs in scripts without spaces become bigrams.
 
-    Null gives null.
+    Null gives null.  Where ``maybe`` is false, the text is known to have no such script.
     """
+    cjk = text.rlike(CJK) if maybe is None else maybe & text.rlike(CJK)
     runs = F.transform(F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), F.lower)
 
     def split(run: Column) -> Column:
         grams = F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2)))
         return F.when(run.rlike(CJK) & (F.length(run) > 1), grams).otherwise(F.array(run))
 
-    return F.when(text.rlike(CJK), F.flatten(F.transform(runs, split))).otherwise(runs)
+    return F.when(cjk, F.flatten(F.transform(runs, split))).otherwise(runs)
 
 
 _RUN, _CJK = regex.compile(r"[\p{L}\p{N}]+"), regex.compile(r"[\u4E00-\u9FFF\u3040-\u30FF\uAC00-\uD7AF]")

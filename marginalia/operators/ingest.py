@@ -36,7 +36,8 @@ def notes(rows: DataFrame, tenant: str = "local", most: int = 700) -> dict[str,
         tagged(detect(F.col("text"))).alias("language"),
         "text",
     )
-    pieces = sources.select("source_id", "tenant_id", "title", "language", F.posexplode(chunk_text(F.col("text"), most)).alias("n", "c"))
+    # an outer explode is not preceded by a filter that would cut every text once more
+    pieces = sources.select("source_id", "tenant_id", "title", "language", F.posexplode_outer(chunk_text(F.col("text"), most)).alias("n", "c")).where("n IS NOT NULL")
     chunks = pieces.select(
         _id("chk", "source_id", (F.col("n") + 1).cast("string")).alias("chunk_id"), "source_id", "tenant_id", (F.col("n") + 1).alias("chunk_index"),
         F.col("c.body").alias("text"), "c.start_char", "c.end_char", "title", "language",

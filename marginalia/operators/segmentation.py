@@ -15,7 +15,8 @@ from ..runtime import ARROW_BYTES, ARROW_ROWS, small_batches
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    # one match, not one try at every character
+    return F.regexp_extract(text, r"(?Us)^\s*((?:.*\S)?)", 1)
 
 
 def _fold(units: Column, begin: Column, step, finish) -> Column:
