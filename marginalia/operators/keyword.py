@@ -35,12 +35,20 @@ def term_counts(chunks: DataFrame, terms: list[str]) -> DataFrame:
     """Length and the count of each term; the other columns of ``chunks`` but its text stay."""
     rest = [c for c in chunks.columns if c != "text"]
     held = chunks.select(*rest, _tokens().alias("toks"))
+    # one look at all tokens leaves the few that are terms
+    hits = F.filter("toks", lambda x: x.isin(terms)) if terms else F.array().cast("array<string>")
+    held = held.select(*rest, F.size("toks").alias("dl"), hits.alias("hits"))
 
     def count(term: str) -> Column:
-        return F.size(F.filter("toks", lambda x: x == F.lit(term)))
+        return F.size(F.filter("hits", lambda x: x == F.lit(term)))
 
     counts = [count(t).alias(f"tf{i}") for i, t in enumerate(terms)]
-    return held.select(*rest, F.size("toks").alias("dl"), *counts)
+    return held.select(*rest, "dl", *counts)
+
+
+def _terms_of(terms: list[str], among: list[str]) -> list[Column]:
+    """Columns tf0, tf1, ... of ``terms`` from the counts of more terms."""
+    return [F.col(f"tf{among.index(t)}").alias(f"tf{i}") for i, t in enumerate(terms)]
 
 
 def statistics(counts: DataFrame, terms: list[str]) -> DataFrame:
@@ -66,8 +74,23 @@ def search(chunks: DataFrame, query: str, limit: int = 10, corpus: DataFrame | N
     tokens gives no rows.  Ties go by title, then by doc_id.
     """
     terms = query_terms(query)
-    counts = term_counts(chunks, terms)
+    # statistics come before scores, from the same counts: texts are cut once
+    counts = materialise(term_counts(chunks, terms), "term-counts")
     stats = statistics(counts if corpus is None else term_counts(corpus, terms), terms)
+    return _best(counts, stats, terms, limit)
+
+
+def search_each(chunks: DataFrame, queries: list[str], limit: int = 10) -> list[DataFrame]:
+    """As ``search``, for each of a few queries; the chunks are cut into tokens once for all."""
+    each = [query_terms(q) for q in queries]
+    every = list(dict.fromkeys(t for terms in each for t in terms))
+    counts = materialise(term_counts(chunks, every), "term-counts")
+    rest = [c for c in counts.columns if c == "dl" or c in chunks.columns]
+    own = [counts.select(*rest, *_terms_of(terms, every)) for terms in each]
+    return [_best(c, statistics(c, terms), terms, limit) for c, terms in zip(own, each)]
+
+
+def _best(counts: DataFrame, stats: DataFrame, terms: list[str], limit: int) -> DataFrame:
     ranked = score(counts, stats, terms)
     if "weight" in ranked.columns:
         ranked = ranked.withColumn("score", F.col("score") * F.col("weight"))

@@ -97,14 +97,11 @@ def search(
     near = vectors if held is chunks else vectors.join(held.select("doc_id"), "doc_id", "left_semi")
     most = limit if len(queries) == 1 else 2 * limit
 
-    def one(text: str, query: list[float]) -> DataFrame:
-        if mode == "keyword":
-            return keyword.search(held, text, most).select("doc_id", "score")
-        if mode == "vector":
-            return vector.search(near, query, most).select("doc_id", "score")
-        return fusion.fuse([keyword.search(held, text, 2 * most).select("doc_id", "score"), vector.search(near, query, 2 * most).select("doc_id", "score")], most, titles)
-
-    runs = [one(t, v) for t, v in queries]
+    deep = 2 * most if mode == "hybrid" else most
+    said = keyword.search_each(held, [t for t, _ in queries], deep) if mode != "vector" else []
+    met = [vector.search(near, v, deep) for _, v in queries] if mode != "keyword" else []
+    each = [[run.select("doc_id", "score") for run in (said[i : i + 1] + met[i : i + 1])] for i in range(len(queries))]
+    runs = [fusion.fuse(pair, most, titles) if mode == "hybrid" else pair[0] for pair in each]
     return runs[0] if len(runs) == 1 else fusion.fuse(runs, limit, titles)
 
 

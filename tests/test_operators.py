@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from marginalia.functions.language import detect
 from marginalia.operators import entities, filters, fusion, ingest, keyword, maintenance, planning, retrieval, segmentation, summary, vector
 from marginalia.sources import captions, feeds
 from marginalia.store import Store
@@ -288,3 +289,25 @@ def test_ingest_and_stream(spark, tmp_path):
         (tmp_path / "in" / f"again{n}.json").write_text(json.dumps({"title": "A", "text": "hello", "collection_id": None}) + "\n")
     landing.ingest_notes(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert Store(spark, f"{tmp_path}/out").table("sources").count() == 1
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_text_is_cut_into_tokens_once_for_all_queries(spark):
+    """Ranks come from counts that are written once; they are those of one search for each query."""
+    rows = [(i, None, "t", " ".join(f"w{(i * k) % 11}" for k in range(1, 9))) for i in range(40)]
+    held = spark.createDataFrame(rows, "doc_id long, language string, tree string, text string")
+    asked = ["w1 w2", "w3 w1 w9", "?!"]
+    for text, run in zip(asked, keyword.search_each(held, asked, 5)):
+        assert [(r.doc_id, r.score) for r in run.collect()] == [(r.doc_id, r.score) for r in keyword.search(held.select("doc_id", "text"), text, 5).collect()]
+        assert "regexp_extract_all" not in _plan(run)
+
+
+def test_notes_are_cut_and_looked_at_once(spark):
+    rows = spark.createDataFrame([("a", "the one and the other", None), ("b", "  ", None), ("c", None, None), ("d", "\u00a0und der \n\n eine ", None)], "title string, text string, collection_id string")
+    chunks = ingest.notes(rows)["chunks"].select("title", "language", "chunk_index", "text")
+    assert sorted(map(tuple, chunks.collect())) == [("a", "en", 1, "the one and the other"), ("d", "de", 1, "und der\n\neine")]
+    assert _plan(chunks).count("regexp_extract_all") <= _plan(rows.select(detect(F.col("text"))["language"])).count("regexp_extract_all")
+    assert "size(aggregate" not in _plan(chunks)
