@@ -170,3 +170,14 @@ def test_heads_are_read_without_entries(spark, held):
     plan = index._of(["w1"]).select("token", "window", "bits")._jdf.queryExecution().executedPlan().toString()
     assert "entries" not in plan.split("ReadSchema")[1] and "bucket" in plan
     assert index.search("w1", filters={"tenant": ["one"]}).select(F.col("doc_id")).count() == 10
+
+
+def test_tokens_are_laid_out_as_one_text(spark, tmp_path, monkeypatch):
+    """What an append shuffles and writes in between holds no array of tokens; documents without tokens stay."""
+    seen, write = [], blockindex.materialise
+    monkeypatch.setattr(blockindex, "materialise", lambda df, tag: (seen.append(df.schema), write(df, tag))[1])
+    held = blockindex.BlockIndex(spark, f"file://{tmp_path}/b")
+    assert held.append(spark.createDataFrame([(1, "One two one"), (2, ""), (3, None), (4, "two 文字列")], "doc_id long, text string")) == 4
+    assert not [f.name for schema in seen for f in schema.fields if f.dataType.simpleString() == "array<string>" and f.name != "entities"]
+    assert sorted((r.token, [e.tf for e in r.entries]) for r in held._table("postings").collect()) == [("one", [2]), ("two", [1, 1]), ("字列", [1]), ("文字", [1])]
+    assert held.holds().count() == 4
