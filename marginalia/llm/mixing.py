@@ -25,7 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import materialise
+from ..runtime import materialise, relieve
 
 #: Labelled documents that the classifier reads at most, the first by hash of doc_id.
 SAMPLE = 6000
@@ -181,6 +181,7 @@ def fit_rates(
     residual = [float(first[f"t{i}"]) - targets[i] for i in range(k)]
 
     for turn in range(rounds):
+        relieve(memberships.sparkSession)  # a round's plans are large, and most rounds write nothing
         rated = state.withColumn("rate", F.expr(_rate(steps, most, least)))
         if len(steps) >= _WRITE:
             state, steps = materialise(rated.withColumn("start", F.col("rate")).drop("rate"), "mix-state"), []

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import lean, materialise, own_names, plain_names, small_batches, trim
+from ..runtime import lean, materialise, own_names, plain_names, relieve, small_batches, trim
 from .textvec import ALNUM, PrefixHash, blocks, flat, mix, words
 
 _U = np.uint64
@@ -291,6 +291,7 @@ def labelled_sample(
         if upto[r.label] <= most_bytes:
             taken.add((r.doc_id, r.label))
     found = sorted((r.doc_id, r.body, r.label) for r in rows.select("doc_id", "body", "label").toLocalIterator() if (r.doc_id, r.label) in taken)
+    relieve(docs.sparkSession, always=True)  # the JVM's copies go before the fit takes its own memory
     return [r[1] for r in found], [r[2] for r in found]
 
 
