@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -113,10 +113,49 @@ def _collapse(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"[ \t\n\x0B\f\r\x{A0}]+", " "), "^ | $", "")
 
 
+def references(texts: Column) -> tuple[Column, Column]:
+    """The distinct character references in an array of texts, and what each decodes to; for ``woven``."""
+    none = F.array().cast("array<string>")
+    found = F.transform(texts, lambda t: F.when(F.contains(t, F.lit("&")), F.regexp_extract_all(t, F.lit(f"({REFERENCE})"), F.lit(1))).otherwise(none))
+    refs = F.array_distinct(F.flatten(found))
+    return refs, _decoded(refs)
+
+
+def woven(text: Column, decoded: Column) -> Column:
+    """``unescape`` where lambdas may call it: ``decoded`` maps references to what they decode to."""
+    parts = F.zip_with(F.split(text, REFERENCE), F.regexp_extract_all(text, F.lit(f"({REFERENCE})"), F.lit(1)), lambda a, r: F.concat(a, F.coalesce(F.try_element_at(decoded, r), F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
+
+
+#: White space, and what has it in other runs than single spaces.
+_BLANKS = " \t\n\x0b\f\r\xa0"
+_RUNS = r"[\t\n\x0B\f\r\x{A0}][ \t\n\x0B\f\r\x{A0}]*| [ \t\n\x0B\f\r\x{A0}]+"
+
+
+def _any(conditions: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
+
+
+def collapse(text: Column) -> Column:
+    """Runs of white space to one space, none at the ends.
+
+    Texts are matched only where bytes show that there is something to change.
+    """
+    runs = F.when(_any([F.contains(text, F.lit(x)) for x in ("  ", *_BLANKS[1:])]), F.regexp_replace(text, _RUNS, " ")).otherwise(text)
+    # "$" is also before a last line separator
+    edge = _any([F.startswith(runs, F.lit(" ")), *[F.endswith(runs, F.lit(f" {x}")) for x in ("", "\x85", "\u2028", "\u2029")]])
+    return F.when(edge, F.regexp_replace(runs, "^ | $", "")).otherwise(runs)
+
+
+def without_tags(page: Column) -> Column:
+    """CDATA unwrapped, tags to spaces."""
+    stripped = F.regexp_replace(F.regexp_replace(page, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1"), r"(?s)<[^>]+>", " ")
+    return F.when(F.contains(page, F.lit("<")), stripped).otherwise(page)
+
+
 def clean_html_flat(page: Column) -> Column:
     """CDATA unwrapped, tags to spaces, entities decoded, white space collapsed."""
-    body = F.regexp_replace(page, r"(?s)<!\[CDATA\[(.*?)\]\]>", "$1")
-    return _collapse(unescape(F.regexp_replace(body, r"(?s)<[^>]+>", " ")))
+    return _collapse(unescape(without_tags(page)))
 
 
 def clean_html_blocks(page: Column) -> Column:

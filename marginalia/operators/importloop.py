@@ -39,16 +39,17 @@ def read_transcripts(contents: DataFrame) -> DataFrame:
 
     A null content is an error, as is one without segments; the other rows are not touched by it.
     """
-    rows = contents.withColumn("is_vtt", transcript_kind(F.col("url"), F.col("mime")) == "vtt")
-    cues = captions.vtt(rows.where("is_vtt AND content IS NOT NULL").select(F.col("guid").alias("file"), "content"))
-    cue = F.struct("idx", F.struct("start_ms", "end_ms", F.col("body").alias("text")).cast(_SEGMENT).alias("s"))
-    timed = cues.groupBy(F.col("file").alias("guid")).agg(F.transform(F.array_sort(F.collect_list(cue)), lambda c: c["s"]).alias("cues"))
+    is_vtt = F.coalesce(transcript_kind(F.col("url"), F.col("mime")) == "vtt", F.lit(False))
+    rows = contents.select("guid", "content", "seconds", is_vtt.alias("is_vtt"))
+    # each kind has its own column, so that a text is not cleaned as the other kind as well
+    rows = rows.withColumn("captions", F.when(F.col("is_vtt"), F.col("content"))).withColumn("page", F.when(~F.col("is_vtt"), F.col("content")))
+    rows = captions.with_cues(rows, "captions", "cues")
     # bound by an array of one: entities are decoded in a worker, which no lambda may call
-    page = F.array(pieces(clean_html_blocks(F.col("content")), "a"))
+    page = F.array(pieces(clean_html_blocks(F.col("page")), "a"))
     plain = F.transform(page, lambda parts: proportional(parts, F.coalesce("seconds", F.lit(0))))[0]
-    told = F.transform(plain, lambda s: F.struct(s["start_ms"].alias("start_ms"), s["end_ms"].alias("end_ms"), s["body"].alias("text")).cast(_SEGMENT))
-    rows = rows.join(timed, "guid", "left").select("guid", "content", F.when(F.col("is_vtt"), F.col("cues")).otherwise(told).alias("segments"))
-    error = F.when(F.col("content").isNull(), UNREAD).when(F.coalesce(F.size("segments"), F.lit(0)) < 1, SILENT)
+    told = F.transform(plain, lambda s: F.struct(s["start_ms"].alias("start_ms"), s["end_ms"].alias("end_ms"), s["body"].alias("text")))
+    rows = rows.select("guid", F.col("content").isNull().alias("unread"), F.when(F.col("is_vtt"), F.col("cues").cast(f"array<{_SEGMENT}>")).otherwise(told.cast(f"array<{_SEGMENT}>")).alias("segments"))
+    error = F.when(F.col("unread"), UNREAD).when(F.coalesce(F.size("segments"), F.lit(0)) < 1, SILENT)
     return rows.select("guid", F.when(error.isNull(), F.col("segments")).alias("segments"), error.alias("error"))
 
 
@@ -112,10 +113,13 @@ def import_loop(
     rows = items.where("guid IS NOT NULL").groupBy("guid").agg(F.min("position").alias("position"), F.min_by(one, "position").alias("i")).select("guid", "position", "i.*")
     rows = rows.withColumn("at", at).join(state.groupBy("guid").agg(F.max(F.col("status").isin(*terminal)).alias("over")), "guid", "left")
     rows = _held(rows, known, "there", "source_id")
-    told = read.groupBy("guid").agg(F.min_by(F.struct("segments", "error"), F.coalesce("error", F.lit(""))).alias("r"))
-    rows = rows.join(told, "guid", "left")
-    count = F.coalesce(F.size("r.segments"), F.lit(0))
-    rows = rows.withColumn("n_segments", count.cast("long")).withColumn("error", F.when(F.col("r").isNull(), UNREAD).otherwise(F.coalesce("r.error", F.when(count < 1, SILENT))))
+    # texts are written as they are read, by no shuffle; what is decided needs counts and reasons, and only the imported ones' texts are fetched
+    count = F.coalesce(F.size("segments"), F.lit(0)).cast("long")
+    reads = read.select("guid", "segments", "error", count.alias("n_segments"), F.xxhash64("segments").alias("mark"))
+    reads = materialise(reads.where("guid IS NOT NULL"), "loop-read")
+    told = reads.groupBy("guid").agg(F.min(F.struct(F.coalesce("error", F.lit("")).alias("order"), "mark", "error", "n_segments")).alias("r"))
+    rows = rows.join(told, "guid", "left").withColumn("n_segments", F.coalesce("r.n_segments", F.lit(0)))
+    rows = rows.withColumn("error", F.when(F.col("r").isNull(), UNREAD).otherwise(F.coalesce("r.error", F.when(F.col("n_segments") < 1, SILENT))))
     status = (
         F.when(F.coalesce("over", F.lit(False)), "already_done")
         .when(F.col("incomplete").isNotNull(), "skipped_incomplete")
@@ -124,8 +128,7 @@ def import_loop(
         .when(F.col("error").isNotNull(), "error")
         .otherwise("candidate")
     )
-    rows = materialise(rows.withColumn("segments", F.col("r.segments")).drop("r").withColumn("status", status), "loop-items")
-    narrow = rows.drop("segments")
+    narrow = materialise(rows.withColumn("mark", F.col("r.mark")).drop("r").withColumn("status", status), "loop-items")
     won = first_come(narrow.where("status = 'candidate'").select("at", "title", "url"), "at", ["title", "url"])
     named = won.withColumn("first", F.col("at"))
     narrow = _held(narrow.join(won.select("at", F.lit(True).alias("won")), "at", "left"), named, "first", "first")
@@ -141,7 +144,7 @@ def import_loop(
         elif last.n == limit:
             end = F.struct(F.lit(last["at"].position).cast(narrow.schema["position"].dataType).alias("position"), F.lit(last["at"].guid).alias("guid"))
             narrow = narrow.withColumn("status", F.when(F.col("at") > end, "not_reached").otherwise(F.col("status")))
-    new = rows.join(narrow.where("status = 'imported'").select("at"), "at", "left_semi")
+    new = narrow.where("status = 'imported'").select("guid", "mark", "title", "url").join(reads.select("guid", "mark", "segments"), ["guid", "mark"]).dropDuplicates(["guid"])
     made = transcripts(new.select(F.lit(show).alias("show_title"), F.col("title").alias("episode_title"), F.col("url").alias("episode_url"), F.lit(None).cast("string").alias("language"), "segments"), tenant)
     made = {**made, "sources": made["sources"].join(new.select("title", "url"), "title").withColumn("show", F.lit(show))}
     ids = made["sources"].select("source_id", "title", "url")

@@ -107,7 +107,7 @@ def replaced_sources(spark: SparkSession, d: str) -> DataFrame:
 def import_loop_results(spark: SparkSession, d: str) -> DataFrame:
     """Every document as an episode: done before, incomplete, without transcript, known, unreadable, silent, or imported; the loop ends at the 300th."""
     n = F.col("doc_id")
-    rows = _docs(spark, d, "text").withColumn("vtt", F.concat(F.lit("WEBVTT\n\n00:01.000 --> 00:05.000\n"), F.trim(F.regexp_replace("text", r"\s+", " ")), F.lit("\n")))
+    rows = _docs(spark, d, "text").withColumn("vtt", F.concat(F.lit("WEBVTT\n\n00:01.000 --> 00:05.000\n"), F.trim(F.regexp_replace("text", r"[\t\n\x0B\f\r]\s*| \s+", " ")), F.lit("\n")))
     items = rows.select(
         n.alias("position"), F.concat(F.lit("g"), n).alias("guid"), F.concat(F.lit("T"), n % 601).alias("title"), F.concat(F.lit("u"), n * 7 % 701).alias("url"),
         F.when(n % 13 > 0, "t.vtt").alias("transcript_url"), F.when(n % 19 == 0, "statistics not complete").alias("incomplete"),

@@ -5,23 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_html_flat, mmss_to_ms, timestamp_ms, unescape
+from ..functions.text import clean_html_flat, collapse, mmss_to_ms, references, timestamp_ms, unescape, without_tags, woven
 
 _CUES = "events array<struct<tStartMs:double,dDurationMs:double,aAppend:int,segs:array<struct<utf8:string,tOffsetMs:double>>>>"
 
 
+#: Blank lines part the blocks of a caption text.
+_BLANK = r"\r?\n[ \t]*\r?\n"
+
+
+def _block(block: Column) -> tuple[Column, Column, Column, Column]:
+    """Has a block a timing line, what are its start and end, and what does it say, tags and references included?"""
+    return (
+        block.rlike(r"[\d:.,]+[ \t]+-->[ \t]+[\d:.,]+"), F.regexp_extract(block, r"([\d:.,]+)[ \t]+-->", 1),
+        F.regexp_extract(block, r"-->[ \t]+([\d:.,]+)", 1), F.regexp_extract(block, r"(?s)-->[^\n]*\n(.*)$", 1),
+    )
+
+
+def with_cues(rows: DataFrame, content: str, name: str) -> DataFrame:
+    """``rows`` with the cues of ``vtt`` as an array<struct<start_ms, end_ms, text>>; null texts have none.
+
+    A text is cut and cleaned in its own row: nothing is shuffled.
+    """
+
+    def parts(block: Column) -> Column:
+        # short strings, so that times are not looked for in the whole block again and again
+        _, start, end, body = _block(block)
+        return F.struct(start.alias("start"), end.alias("end"), body.alias("body"))
+
+    def cue(c: Column) -> Column:
+        return F.struct(timestamp_ms(c["start"]).alias("start_ms"), timestamp_ms(c["end"]).alias("end_ms"), without_tags(c["body"]).alias("text"))
+
+    def clean(decoded: Column) -> Column:
+        # what a lambda is given is computed once, however often it is named
+        plain = F.transform("cues_", lambda c: F.struct(c["start_ms"].alias("start_ms"), c["end_ms"].alias("end_ms"), woven(c["text"], decoded).alias("text")))
+        said = F.transform(plain, lambda c: F.struct(c["start_ms"].alias("start_ms"), c["end_ms"].alias("end_ms"), collapse(c["text"]).alias("text")))
+        return F.filter(said, lambda c: c["text"] != "")
+
+    timed = F.filter(F.split(content, _BLANK), lambda b: F.contains(b, F.lit("-->")) & _block(b)[0])
+    rows = rows.withColumn("cues_", F.transform(F.transform(timed, parts), cue))
+    refs, decoded = references(F.transform("cues_", lambda c: c["text"]))
+    rows = rows.withColumn("refs_", refs).withColumn("decoded_", decoded)
+    return rows.withColumn(name, clean(F.map_from_arrays("refs_", "decoded_"))).drop("cues_", "refs_", "decoded_")
+
+
 def vtt(files: DataFrame) -> DataFrame:
     """(file, idx, start_ms, end_ms, body) of VTT texts (file, content); cues without text go."""
-    return vtt_blocks(files.select("file", F.posexplode(F.split("content", r"\r?\n[ \t]*\r?\n")).alias("n", "block")))
+    return vtt_blocks(files.select("file", F.posexplode(F.split("content", _BLANK)).alias("n", "block")))
 
 
 def vtt_blocks(blocks: DataFrame) -> DataFrame:
     """The same of blocks (file, n, block) between blank lines."""
-    timing = F.regexp_extract("block", r"([\d:.,]+)[ \t]+-->[ \t]+([\d:.,]+)", 0)
-    start = timestamp_ms(F.regexp_extract("block", r"([\d:.,]+)[ \t]+-->", 1))
-    end = timestamp_ms(F.regexp_extract("block", r"-->[ \t]+([\d:.,]+)", 1))
-    body = clean_html_flat(F.regexp_extract("block", r"(?s)-->[^\n]*\n(.*)$", 1))
-    rows = blocks.where(timing != "").select("file", "n", start.alias("start_ms"), end.alias("end_ms"), body.alias("body")).where("body <> ''")
+    timed, start, end, body = _block(F.col("block"))
+    rows = blocks.where(timed).select("file", "n", timestamp_ms(start).alias("start_ms"), timestamp_ms(end).alias("end_ms"), clean_html_flat(body).alias("body")).where("body <> ''")
     return rows.select("file", F.expr("row_number() OVER (PARTITION BY file ORDER BY n)").alias("idx"), "start_ms", "end_ms", "body")
 
 

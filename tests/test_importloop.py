@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marginalia.engine import KnowledgeEngine
 from marginalia.operators import importloop
+from marginalia.sources import captions
 
 ITEMS = "position long, guid string, title string, url string, transcript_url string, incomplete string"
 READ = "guid string, segments array<struct<start_ms:bigint,end_ms:bigint,text:string>>, error string"
@@ -90,3 +91,26 @@ def test_engine_imports_goes_on_after_errors_and_takes_up_again(spark, tmp_path)
     assert titles.pop("Elsewhere") and set(titles) == {f"Show: Part {i} (Published Transcript)" for i in (1, 2, 3, 5)} and set(titles.values()) == {("published", 1.0)}
     assert {r.title for r in engine.search_knowledge("otter river", 1, "keyword", language_policy="any").collect()} == {"Show: Part 3 (Published Transcript)"}
     assert engine.import_transcripts(items, mended, "Show", kind="Generated").where("status = 'imported'").count() == 0  # the addresses are there
+
+
+def test_transcripts_are_read_in_their_own_rows(spark):
+    block = "{}\n00:0{}.000 --> 00:0{}.500 align:start\n{}\n\n"
+    said = ["<v A>one</v>\n two", "a &amp; b &#x41;&lt;&nopenope; &amp c", "\t x  y\u00a0 ", "<![CDATA[in <b>side</b>]]> &nbsp;", " ", "end \u2028", "R&D", "5 --> 6\nz"]
+    vtt = "WEBVTT\n\nNOTE 3 --> x\n\n" + "".join(block.format(i, i, i, s) for i, s in enumerate(said)) + "bad 0:0:0:0 --> 1:2:3:4\nno time\n\nplain block\r\n\r\n00:09.000 --> 00:10.000\r\nlast\r\n"
+    texts = [("a", vtt, "t.vtt"), ("b", None, "t.vtt"), ("c", "WEBVTT\n", "t.vtt"), ("d", "<p>A page &amp; a paragraph.</p><p>Another one of it.</p>", "t.html"), ("e", "", "t.vtt"), (None, vtt, "t.vtt")]
+    contents = spark.createDataFrame(texts, "guid string, content string, url string").withColumn("mime", F.lit(None).cast("string")).withColumn("seconds", F.lit(60))
+    read = importloop.read_transcripts(contents)
+    got = {r.guid: ([tuple(s) for s in r.segments or []], r.error) for r in read.collect()}
+    want = captions.vtt(contents.where("guid = 'a'").select(F.col("guid").alias("file"), "content")).orderBy("idx").collect()
+    assert got["a"] == ([(r.start_ms, r.end_ms, r.body) for r in want], None) and len(want) > 7
+    assert got["b"] == ([], importloop.UNREAD) and got["c"] == got["e"] == ([], importloop.SILENT)
+    assert [s[2] for s in got["d"][0]] == ["A page & a paragraph. Another one of it."] and got[None] == got["a"]
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_text_counts_where_a_guid_has_two(spark):
+    items = spark.createDataFrame([(1, "g", "T", "u", "t", None)], ITEMS)
+    read = spark.createDataFrame([("g", None, "odd"), ("g", [(0, 5, "One."), (5, 9, "Two.")], None), ("g", [(0, 9, "Only.")], None), (None, [(0, 9, "No one's.")], None)], READ)
+    loop = importloop.import_loop(items, spark.createDataFrame([], "guid string, status string"), spark.createDataFrame([], "source_id string, title string, url string"), read, "S")
+    row = loop.results.first()
+    assert row.status == "imported" and loop.made["chunks"].count() == row.n_segments and loop.made["sources"].count() == 1
