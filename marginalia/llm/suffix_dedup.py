@@ -380,9 +380,10 @@ def _cleaned(batch: pa.RecordBatch, digest: bool) -> pa.RecordBatch:
             at = b
         kept.append(raw[at:])
         left = b"".join(kept)
-        out.append((len(raw), len(raw) - len(left), len(gone), hashlib.sha256(left).hexdigest() if digest else (None if body is None else left.decode("utf-8", "ignore"))))
-    done = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)] + [pa.array([r[3] for r in out], pa.string())]
-    names = ["doc_id", *batch.schema.names[3:], "n_bytes", "n_removed", "n_spans", "kept"]
+        text = None if body is None else left.decode("utf-8", "ignore")
+        out.append((len(raw), len(raw) - len(left), len(gone), *([hashlib.sha256(left).hexdigest()] if digest else []), text))
+    done = [pa.array([r[i] for r in out], pa.int64()) for i in range(3)] + [pa.array([r[i] for r in out], pa.string()) for i in range(3, 4 + digest)]
+    names = ["doc_id", *batch.schema.names[3:], "n_bytes", "n_removed", "n_spans", "kept", *(["text"] if digest else [])]
     return pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[3:], *done], names=names)
 
 
@@ -412,8 +413,8 @@ def remove_repeats(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROW
 
     Adds n_bytes, n_removed, n_spans (maximal removed runs) and ``kept``: the remaining
     text (a character cut by a removal goes too; null stays null) or, with ``digest``,
-    the lowercase hex SHA-256 of the remaining bytes.  ``text`` is left out; other
-    columns stay, but for columns with the names that are added, which are replaced.
+    the lowercase hex SHA-256 of the remaining bytes, beside that text as ``text``.
+    Else ``text`` is left out; other columns stay, but for columns with the names that are added, which are replaced.
     Every row stays, whatever is left of it.
     """
     added = {"n_bytes", "n_removed", "n_spans", "kept", "spans", "text_hash"}
@@ -428,6 +429,6 @@ def remove_repeats(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROW
     own = [F.col(f"rest_{i}").alias(c) for i, c in enumerate(rest)]
     near = parted(body, may_hold)[0].join(spans, _same(), "left").select("doc_id", "body", "spans", *own)
     kinds = {f.name: f.dataType.simpleString() for f in near.schema.fields}
-    schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in rest), "n_bytes long, n_removed long, n_spans long, kept string"])
+    schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in rest), "n_bytes long, n_removed long, n_spans long, kept string", *(["text string"] if digest else [])])
     clear = body.select("doc_id", "body", "h", *own).mapInArrow(lean(_clear_rows(digest, may_hold)), schema)
     return near.mapInArrow(lean(_clean_rows(digest)), schema).unionByName(clear)

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from marginalia.llm import queries
 from marginalia.llm.suffix_dedup import _Sorter, remove_repeats, repeated_windows
 
 
@@ -130,3 +131,15 @@ def test_windows_of_one_anchor():
     with np.errstate(over="ignore"):
         far, near = repeated_windows([b"xxABCDEFGHyy", b"zABCDEFGHq", b"nothing alike"], [4, 3, 3], [0, 0, 0], 6)
     assert far.tolist() == [2, 2, -1] and near.tolist() == [0, 0, -1]
+
+
+def test_query_shows_what_is_left_of_each_text(spark, tmp_path):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghijklm") for _ in range(rnd.randrange(7, 11)))
+    own = [" ".join(word() for _ in range(80)) + str(i) for i in range(6)]
+    passage = " ".join(word() for _ in range(60))
+    texts = [t + (f" {passage}" if i < 3 else "") for i, t in enumerate(own)] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.op4_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [rows[i].text for i in range(8)] == [*own, None, ""]
+    assert all(r.n_bytes == len(texts[i] or "") and hashlib.sha256((r.text or "").encode()).hexdigest() == r.kept_sha256 for i, r in rows.items())
