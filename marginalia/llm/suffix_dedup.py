@@ -31,12 +31,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import lean, materialise, parallelism, small_batches
 from .keyfilter import key_filter, parted
-from .textvec import PrefixHash, blocks, flat, mix
-
-_U = np.uint64
-
-#: Positions that one anchor search covers; their number must fit the low bits of a key.
-_POS_BITS = 20
+from .passages import shared_words
+from .textvec import POS_BITS, PrefixHash, anchors, blocks, flat
 
 #: Contexts of one anchor that are sorted together; more are split by the bytes around it.
 GROUP_ROWS = 2_000
@@ -44,43 +40,6 @@ GROUP_ROWS = 2_000
 #: Contexts sorted together, over several anchors.
 _SORT_ROWS = 4096
 
-
-def anchors(data: np.ndarray, off: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window, anchor, anchor hash) for all anchors of concatenated texts."""
-    w = size - k + 1
-    low = _U((1 << _POS_BITS) - 1)
-    out: list[tuple] = []
-    step = (1 << _POS_BITS) - size
-    for at in range(0, max(len(data) - size + 1, 0), step):
-        sub = data[at : at + step + size - 1]
-        h = mix(PrefixHash(sub).every(k))
-        key = (h & ~low) | np.arange(len(h), dtype=_U)
-        n = len(sub) - size + 1
-        pad = np.full(-(-len(key) // w) * w, ~_U(0))
-        pad[: len(key)] = key
-        grid = pad.reshape(-1, w)
-        ahead = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-        least = np.minimum(ahead[:n], np.minimum.accumulate(grid, axis=1).ravel()[w - 1 : w - 1 + n])
-        # windows inside one text: those after a text's last full window are none
-        whole = np.zeros(n + 1, np.int64)
-        begin = np.clip(off[:-1] - at, 0, n)
-        end = np.clip(np.maximum(off[1:] - size + 1, off[:-1]) - at, 0, n)
-        np.add.at(whole, begin, 1)
-        np.add.at(whole, end, -1)
-        p = np.flatnonzero(np.cumsum(whole[:-1]) > 0)
-        if not len(p):
-            continue
-        a = (least[p] & low).astype(np.int64)
-        new = np.ones(len(p), bool)
-        new[1:] = (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(p)]]) - 1
-        out.append((p[first] + at, p[last] + at, a[first] + at, h[a[first]]))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
 _ANCHORS = "doc_id long, text_hash long, anchor long, context long, start int, windows int, at int"
 
 
@@ -317,8 +276,8 @@ def repeated_spans(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROW
     text share one result row, made as if each was a text of its own.  ``size`` is at
     least 1 and at most half of what one anchor search covers (else ValueError).
     """
-    if not 0 < size <= 1 << _POS_BITS - 1:
-        raise ValueError(f"size must be between 1 and {1 << _POS_BITS - 1}")
+    if not 0 < size <= 1 << POS_BITS - 1:
+        raise ValueError(f"size must be between 1 and {1 << POS_BITS - 1}")
     small_batches(docs.sparkSession)
     k = max(size // 8, 1)
     rows = _keyed(docs)
@@ -408,18 +367,25 @@ def _clear_rows(digest: bool, may_hold: Callable[[np.ndarray], np.ndarray]):
     return run
 
 
-def remove_repeats(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROWS, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROWS, digest: bool = False, shared: int = 0) -> DataFrame:
     """The documents with every byte of a repeated ``size``-byte string removed.
 
     Adds n_bytes, n_removed, n_spans (maximal removed runs) and ``kept``: the remaining
     text (a character cut by a removal goes too; null stays null) or, with ``digest``,
     the lowercase hex SHA-256 of the remaining bytes, beside that text as ``text``.
+    With ``shared``, n_shared_words is added last: the text's words in runs of that many
+    words that another document has too, whatever their bytes.  These are counted, not removed.
     Else ``text`` is left out; other columns stay, but for columns with the names that are added, which are replaced.
     Every row stays, whatever is left of it.
     """
-    added = {"n_bytes", "n_removed", "n_spans", "kept", "spans", "text_hash"}
+    added = {"n_bytes", "n_removed", "n_spans", "kept", "spans", "text_hash"} | ({"n_shared_words"} if shared else set())
     rest = [c for c in docs.columns if c not in added | {"doc_id", "text"}]
-    spans = repeated_spans(docs, size, group_rows).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), "spans")
+    spans = repeated_spans(docs, size, group_rows)
+    if shared:
+        counted = shared_words(_keyed(docs), shared).select("doc_id", "text_hash", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans"), "n_shared_words")
+        spans = spans.withColumn("n_shared_words", F.lit(None).cast("long")).unionByName(counted)
+        spans = spans.groupBy("doc_id", "text_hash").agg(F.first("spans", True).alias("spans"), F.max("n_shared_words").alias("n_shared_words"))
+    spans = spans.withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
     spans = materialise(spans, "repeat-spans")
     held = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"rest_{i}") for i, c in enumerate(rest)])
     body = _keyed(held, *[f"rest_{i}" for i in range(len(rest))])
@@ -427,8 +393,12 @@ def remove_repeats(docs: DataFrame, size: int = 400, group_rows: int = GROUP_ROW
     may_hold = key_filter(spans, F.xxhash64("d", "t"))
     body = body.withColumn("h", F.xxhash64("doc_id", "text_hash"))
     own = [F.col(f"rest_{i}").alias(c) for i, c in enumerate(rest)]
-    near = parted(body, may_hold)[0].join(spans, _same(), "left").select("doc_id", "body", "spans", *own)
+    near_own = own + ([F.coalesce("n_shared_words", F.lit(0).cast("long")).alias("n_shared_words")] if shared else [])
+    near = parted(body, may_hold)[0].join(spans, _same(), "left").select("doc_id", "body", "spans", *near_own)
     kinds = {f.name: f.dataType.simpleString() for f in near.schema.fields}
-    schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in rest), "n_bytes long, n_removed long, n_spans long, kept string", *(["text string"] if digest else [])])
-    clear = body.select("doc_id", "body", "h", *own).mapInArrow(lean(_clear_rows(digest, may_hold)), schema)
-    return near.mapInArrow(lean(_clean_rows(digest)), schema).unionByName(clear)
+    names = rest + (["n_shared_words"] if shared else [])
+    schema = ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in names), "n_bytes long, n_removed long, n_spans long, kept string", *(["text string"] if digest else [])])
+    clear_own = own + ([F.lit(0).cast("long").alias("n_shared_words")] if shared else [])
+    clear = body.select("doc_id", "body", "h", *clear_own).mapInArrow(lean(_clear_rows(digest, may_hold)), schema)
+    done = near.mapInArrow(lean(_clean_rows(digest)), schema).unionByName(clear)
+    return done.select(*[F.col(f"`{c}`") for c in done.columns if c != "n_shared_words"], "n_shared_words") if shared else done

@@ -21,6 +21,9 @@ import pyarrow.compute as pc
 #: Bytes handled at once by the vectorised code (a longer text is one block of its own).
 BLOCK = 1 << 19
 
+#: Positions that one anchor search covers; their number must fit the low bits of a key.
+POS_BITS = 20
+
 _U = np.uint64
 
 
@@ -62,12 +65,12 @@ def powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PrefixHash:
-    """Hashes of any byte range of one buffer in constant time each."""
+    """Hashes of any range of one buffer of bytes, or of 64-bit hashes, in constant time each."""
 
     def __init__(self, data: np.ndarray, seed: int = 1) -> None:
         up, self.down = powers(seed, len(data) + 1)
         self.sums = np.zeros(len(data) + 1, _U)
-        np.cumsum(byte_table(seed)[data] * up[: len(data)], out=self.sums[1:])
+        np.cumsum((data if data.dtype == _U else byte_table(seed)[data]) * up[: len(data)], out=self.sums[1:])
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Raw hashes of data[start:end]; equal ranges have equal hashes."""
@@ -152,3 +155,39 @@ def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarr
     keep[1:] = out[1:] != out[:-1]
     keep[out_off[:-1][many > 0]] = True
     return out[keep], np.concatenate([[0], np.cumsum(keep)])[out_off]
+
+
+def anchors(data: np.ndarray, off: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, last window, anchor, anchor hash) for all anchors of concatenated texts."""
+    w = size - k + 1
+    low = _U((1 << POS_BITS) - 1)
+    out: list[tuple] = []
+    step = (1 << POS_BITS) - size
+    for at in range(0, max(len(data) - size + 1, 0), step):
+        sub = data[at : at + step + size - 1]
+        h = mix(PrefixHash(sub).every(k))
+        key = (h & ~low) | np.arange(len(h), dtype=_U)
+        n = len(sub) - size + 1
+        pad = np.full(-(-len(key) // w) * w, ~_U(0))
+        pad[: len(key)] = key
+        grid = pad.reshape(-1, w)
+        ahead = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+        least = np.minimum(ahead[:n], np.minimum.accumulate(grid, axis=1).ravel()[w - 1 : w - 1 + n])
+        # windows inside one text: those after a text's last full window are none
+        whole = np.zeros(n + 1, np.int64)
+        begin = np.clip(off[:-1] - at, 0, n)
+        end = np.clip(np.maximum(off[1:] - size + 1, off[:-1]) - at, 0, n)
+        np.add.at(whole, begin, 1)
+        np.add.at(whole, end, -1)
+        p = np.flatnonzero(np.cumsum(whole[:-1]) > 0)
+        if not len(p):
+            continue
+        a = (least[p] & low).astype(np.int64)
+        new = np.ones(len(p), bool)
+        new[1:] = (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)
+        first = np.flatnonzero(new)
+        last = np.concatenate([first[1:], [len(p)]]) - 1
+        out.append((p[first] + at, p[last] + at, a[first] + at, h[a[first]]))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U)
+    return tuple(np.concatenate(x) for x in zip(*out))
