@@ -7,7 +7,7 @@ its context.  So:
 1. anchors are counted; only those in more than one place go on;
 2. a context that another document holds too is shared as a whole;
 3. of anchors with several contexts, the windows of each context are compared by hash: of a
-   shared context those of two rows in different documents, of others those of every row.
+   shared context those in two of the documents, of others those in the one that holds it.
 
 The texts are read once for each step and not shuffled.
 """
@@ -30,6 +30,9 @@ _U = np.uint64
 #: Bytes of texts handled at once.
 _BYTES = 1 << 20
 
+#: Stands for a null doc_id in keys; no id that tables count up to.
+_NO_ID = -7046029254386353131
+
 
 def _word_anchors(batch: pa.RecordBatch, size: int) -> Iterator[tuple]:
     """(row, first word, windows - 1, anchor, context, word hashes, place of the first word) of blocks of (doc_id, text_hash, body)."""
@@ -39,19 +42,20 @@ def _word_anchors(batch: pa.RecordBatch, size: int) -> Iterator[tuple]:
         begin, end, count = words(sub, cut, NOT_SPACE)
         each = mix(PrefixHash(sub).of(begin, end) + (end - begin).astype(_U))
         at = np.concatenate([[0], np.cumsum(count)])
-        first, last, _, h = anchors(each, at, size, max(size // 3, 1))
+        first, last, _, h = anchors(each, at, size, max(size // 2, 1))
         again = PrefixHash(mix(each + _U(0x9E3779B97F4A7C15)))
         context = mix(again.of(first, last + size) + (last - first).astype(_U))
         row = np.searchsorted(at, first, "right") - 1
         yield row + i, first - at[row], last - first, h, context, again, first
 
 
-def _key(ids: np.ndarray, texts: np.ndarray, start: np.ndarray, h: np.ndarray, context: np.ndarray) -> np.ndarray:
-    return mix(mix(mix(h + mix(context)) + ids.view(_U)) + texts.view(_U) + start.astype(_U))
+def _key(ids: np.ndarray, texts: np.ndarray, h: np.ndarray, context: np.ndarray) -> np.ndarray:
+    """Of a context in one document, wherever it is there."""
+    return mix(mix(mix(h + mix(context)) + ids.view(_U)) + texts.view(_U))
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column(0).fill_null(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()
+    return batch.column(0).fill_null(_NO_ID).to_numpy(), batch.column(1).to_numpy()
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -80,7 +84,7 @@ def _places(size: int, may_hold):
                     row, start, more, h, context = row[on], start[on], more[on], h[on], context[on]
                     pick = pa.array(row)
                     columns = [batch.column(0).take(pick), batch.column(1).take(pick), _long(h), _long(context)]
-                    columns += [pa.array(start.astype(np.int32)), pa.array(more.astype(np.int32)), _long(_key(ids[row], texts[row], start, h, context))]
+                    columns += [pa.array(start.astype(np.int32)), pa.array(more.astype(np.int32)), _long(_key(ids[row], texts[row], h, context))]
                     yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "anchor", "context", "start", "more", "key"])
 
     return run
@@ -94,7 +98,7 @@ def _windows(size: int, may_hold):
             for batch in batches:
                 ids, texts = _ids(batch)
                 for row, start, more, h, context, hashes, first in _word_anchors(batch, size):
-                    on = np.flatnonzero(may_hold(_key(ids[row], texts[row], start, h, context)))
+                    on = np.flatnonzero(may_hold(_key(ids[row], texts[row], h, context)))
                     many = more[on] + 1
                     nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                     place = np.repeat(first[on], many) + nth
@@ -120,7 +124,7 @@ def shared_words(rows: DataFrame, size: int = 51) -> DataFrame:
     ``rows`` are (doc_id, text_hash, body); words are runs of other bytes than space and
     0x09-0x0D.  A word counts if any shared run holds it.  Texts are told apart by doc_id and
     text_hash, so rows equal in both are one document; what one document repeats by itself
-    alone is not shared.  Windows of words are told apart by 64-bit hashes.
+    alone is not shared.  Windows of words, and the documents that hold one, are told apart by 64-bit hashes.
     """
     small_batches(rows.sparkSession)
     rows = rows.select("doc_id", "text_hash", "body").where(F.octet_length("body") >= 2 * size - 1)
@@ -130,21 +134,16 @@ def shared_words(rows: DataFrame, size: int = 51) -> DataFrame:
         lean(_places(size, key_filter(known, F.col("anchor")))), "doc_id long, text_hash long, anchor long, context long, start int, more int, key long"
     )
     places = materialise(places, "passage-places")
-    who = F.struct("doc_id", "text_hash", "key")
-    contexts = places.groupBy("anchor", "context").agg(F.min(who).alias("lo"), F.max(who).alias("hi"), F.count("*").alias("times"))
-    same = F.col("lo.doc_id").eqNullSafe(F.col("hi.doc_id")) & (F.col("lo.text_hash") == F.col("hi.text_hash"))
-    contexts = materialise(contexts.select("anchor", "context", "times", F.col("lo.key").alias("lo"), F.col("hi.key").alias("hi"), (~same).alias("shared")), "passage-contexts")
-    whole = places.join(contexts.where("shared").select("anchor", "context"), ["anchor", "context"], "left_semi")
+    contexts = places.groupBy("anchor", "context").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
+    contexts = materialise(contexts, "passage-contexts")
+    whole = places.join(contexts.where("lo < hi").select("anchor", "context"), ["anchor", "context"], "left_semi")
     spans = whole.select("doc_id", "text_hash", "start", (F.col("start") + F.col("more") + size).alias("end"))
     several = contexts.groupBy("anchor").agg(F.count("*").alias("many")).where("many > 1").select("anchor")
-    parts = contexts.join(several, "anchor", "left_semi")
-    # rows to compare: of a context in one text all, else one of each of two texts
-    repeats = parts.where("not shared and times > 2").select("anchor", "context")
-    asked = parts.select(F.explode(F.array("lo", "hi")).alias("key")).unionByName(places.join(repeats, ["anchor", "context"], "left_semi").select("key"))
-    asked = materialise(asked.distinct(), "passage-asked")
+    asked = contexts.join(several, "anchor", "left_semi").select(F.explode(F.array_distinct(F.array("lo", "hi"))).alias("key"))
+    asked = materialise(asked, "passage-asked")
     windows = materialise(rows.mapInArrow(lean(_windows(size, key_filter(asked, F.col("key")))), "doc_id long, text_hash long, start int, window long"), "passage-windows")
-    who = F.struct("doc_id", "text_hash")
-    met = windows.groupBy("window").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where(~same).select("window")
+    who = F.xxhash64("doc_id", "text_hash")
+    met = windows.groupBy("window").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo < hi").select("window")
     met = windows.join(met, "window", "left_semi").select("doc_id", "text_hash", "start", (F.col("start") + size).alias("end"))
     found = spans.unionByName(met).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
     return found.select("doc_id", "text_hash", _covered(F.col("spans")).alias("n_shared_words"))

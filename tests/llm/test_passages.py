@@ -43,6 +43,8 @@ def test_shared_words_match_brute_force(spark, size, words):
     texts = [None, "", "a", f"{own} x {own} {own}é"] + [text() for _ in range(60)]
     texts += texts[4:8]
     rows = list(enumerate(texts)) + [(None, texts[9]), (None, texts[10] + " z"), (5, texts[5]), (5, "b " + texts[5])]
+    alone = " ".join(f"v{i}" for i in range(3 * size))
+    rows += [(0, alone), (None, alone)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     found = remove_repeats(docs.selectExpr("doc_id", "text", "text as raw"), 400, shared=size).collect()
     want = dict(zip(rows, brute(rows, size)))
